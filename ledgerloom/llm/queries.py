@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import token_count
+from ledgerloom.llm import quality, token_count
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -19,3 +19,8 @@ def op5_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
