@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import quality, token_count
+from ledgerloom.llm import quality, token_count, toxicity
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -24,3 +24,8 @@ def op5_token_counts(spark, sf_dir):
 @query
 def op10_quality_classifier(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
