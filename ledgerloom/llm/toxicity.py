@@ -184,7 +184,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[k] for k in sorted(known)), -30, 30))))
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 200, decay: float = 3e-4) -> np.ndarray:
+def _logistic(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 400, decay: float = 1e-5) -> np.ndarray:
     x = np.zeros((len(rows), width + 1), np.float32)
     x[:, width] = 1
     for i, r in enumerate(rows):
