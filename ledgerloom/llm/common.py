@@ -70,3 +70,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BROADCAST_MB = 64  # a side is broadcast only when it was measured to be smaller than this
+
+
+def lower_ascii(text) -> F.Column:
+    """Lower-case A-Z alone; texts of ASCII alone take the faster built-in."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def measured_mb(df: DataFrame, bytes_each) -> float:
+    """Size of a materialised frame, from its rows and not from the optimizer's guess."""
+    return (df.agg(F.sum(bytes_each).alias("b")).first().b or 0) / 1e6
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, hash of text) is not in the materialised ``gone(doc_id, mark)``."""
+    if measured_mb(gone, F.lit(64)) < BROADCAST_MB:
+        gone = F.broadcast(gone)
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"))
+    mark = F.xxhash64(docs["text"])
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (mark == gone["_gone_mark"]), "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import quality, token_count, toxicity
+from ledgerloom.llm import decontaminate, quality, token_count, toxicity
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -29,3 +29,28 @@ def op10_quality_classifier(spark, sf_dir):
 @query
 def op7_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op1_decontamination"] = r"""
+WITH doc AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, w[s:s + 12] AS v, least(len(w), 13) AS k
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s FROM item WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM win),
+place AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS s FROM doc),
+cand AS (SELECT p.doc_id, p.s, ks.k, p.w[p.s:p.s + ks.k - 1] AS v FROM place p JOIN ks ON p.s + ks.k - 1 <= len(p.w)),
+hit AS (SELECT c.doc_id, c.s, c.k, win.item_id FROM cand c JOIN win ON c.k = win.k AND c.v = win.v),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS p FROM hit) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
