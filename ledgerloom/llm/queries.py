@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, quality, token_count, toxicity
+from ledgerloom.llm import decontaminate, quality, secrets, token_count, toxicity
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -54,3 +54,39 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM doc d LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)
 """
+
+
+@query
+def op2_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def _secrets_sql() -> str:
+    kinds = ", ".join(f"({i}, '{k[0]}', '{k[1].replace(chr(39), chr(39) * 2)}', '{k[2]}', '{k[3]}')" for i, k in enumerate(secrets.KINDS))
+    near = lambda role: f"""(coalesce(s - max(CASE WHEN role = '{role}' THEN e END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {secrets.REACH}, false)
+      OR coalesce(min(CASE WHEN role = '{role}' THEN s END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - e <= {secrets.REACH}, false))"""
+    return rf"""
+WITH kind(rank, name, pattern, role, strength) AS (VALUES {kinds}),
+doc AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (SELECT doc_id, t, kind.*, regexp_extract_all(t, pattern) AS h, string_split_regex(t, pattern) AS g FROM doc, kind),
+part AS (SELECT * EXCLUDE (h, g), h[i] AS hit, length(g[i]) AS gap FROM (SELECT *, unnest(generate_series(1, len(h))) AS i FROM raw)),
+placed AS (SELECT *, sum(gap + length(hit)) OVER (PARTITION BY doc_id, t, rank ORDER BY i) AS e FROM part),
+kept AS (
+  SELECT doc_id, t, rank, name, role, strength, e - length(hit) AS s, e FROM placed
+  WHERE (name <> 'assign' OR length(regexp_replace(hit, '{secrets.BEFORE_VALUE.replace("'", "''")}', '')) >= 6)
+    AND (name <> 'weak_secret' OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')))),
+scoped AS (
+  SELECT *, {near('identifier')} AS by_identifier, {near('secret')} AS by_secret FROM kept
+  WINDOW w AS (PARTITION BY doc_id, t ORDER BY s, rank, e)),
+told AS (
+  SELECT *, name || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS line FROM scoped
+  WHERE strength = 'base' OR (role = 'identifier' AND by_secret) OR (role = 'secret' AND by_identifier) OR (role = 'endpoint' AND by_secret AND by_identifier)),
+per AS (
+  SELECT doc_id, t, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access, count(*) FILTER (name = 'hex') AS n_hex,
+    string_agg(line, ',' ORDER BY s, rank, e) FILTER (strength = 'base') AS base, string_agg(line, ',' ORDER BY s, rank, e) AS spans FROM told GROUP BY doc_id, t)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id AND d.t = per.t
+"""
+
+
+ORACLES["op2_secret_scan"] = _secrets_sql()
