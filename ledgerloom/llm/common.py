@@ -73,7 +73,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_MB = 64  # a side is broadcast only when it was measured to be smaller than this
+BROADCAST_MB = 32  # a side is broadcast only when it was measured to be smaller than this
 
 
 def lower_ascii(text) -> F.Column:

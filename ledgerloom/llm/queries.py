@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, quality, secrets, token_count, toxicity
+from ledgerloom.llm import decontaminate, line_dedup, quality, secrets, token_count, toxicity
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -90,3 +90,32 @@ FROM doc d LEFT JOIN per ON d.doc_id IS NOT DISTINCT FROM per.doc_id AND d.t = p
 
 
 ORACLES["op2_secret_scan"] = _secrets_sql()
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_line_dedup"] = f"""
+WITH line AS (
+  SELECT doc_id, no, s, row_number() OVER (ORDER BY doc_id, no) AS pos
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS no FROM documents WHERE text IS NOT NULL)),
+one AS (SELECT s, min(pos) AS pos, length(s) AS n FROM line WHERE trim(s) <> '' GROUP BY s),
+long AS (SELECT * FROM one WHERE n >= {line_dedup.MIN_CHARS}),
+cut AS (SELECT s, pos, n, i, hash(left(s, i - 1) || substr(s, i + 1)) AS v FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM long)),
+swap AS (SELECT n, i, v, min(pos) AS m FROM cut GROUP BY ALL HAVING count(*) > 1),
+twin AS (
+  SELECT s, min(m) AS m FROM (
+    SELECT cut.s, swap.m FROM cut JOIN swap USING (n, i, v)
+    UNION ALL SELECT cut.s, long.pos FROM cut JOIN long ON cut.v = hash(long.s) AND cut.n = long.n + 1
+    UNION ALL SELECT long.s, cut.pos FROM cut JOIN long ON cut.v = hash(long.s) AND cut.n = long.n + 1) GROUP BY s),
+judged AS (
+  SELECT line.*, trim(line.s) <> '' AND line.pos > least(one.pos, coalesce(twin.m, one.pos)) AS gone
+  FROM line LEFT JOIN one USING (s) LEFT JOIN twin USING (s)),
+per AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_removed, string_agg(s, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)) AS kept
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
