@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import BROADCAST_MB, cut, lower_ascii, measured_mb, without
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words, after lower-casing
 SHINGLE = 3
 END = ""  # stands behind the last word of every document; no word is empty
 END_KEY = 0
 
 
 def words(text) -> F.Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
 def shingle(array, at, size: int) -> F.Column:
@@ -54,7 +54,8 @@ def _window_shingles(wins: DataFrame) -> DataFrame:
 def _places(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """Every word place of every document with its shingle's key, and one place behind the last word."""
     d = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.concat(words(F.col("text")), F.array(F.lit(END))).alias("all"))
-    d = d.select("doc_id", "mark", "all", F.posexplode("all").alias("pos", "word"))
+    # the outer form: for the inner one the optimizer infers a filter that would split every text twice
+    d = d.select("doc_id", "mark", "all", F.posexplode_outer("all").alias("pos", "word"))
     keys = [shingle("all", F.col("pos"), g) for g in sizes] or [F.lit(END_KEY).cast("long")]
     key = keys[0] if len(keys) == 1 else F.explode(F.array(*keys))
     d = d.select("doc_id", "mark", "all", "pos", "word", key.alias("key"))
