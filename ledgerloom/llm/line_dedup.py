@@ -34,7 +34,7 @@ def _small(df: DataFrame, bytes_each) -> DataFrame:
 def _lines(docs: DataFrame) -> DataFrame:
     """(h1, h2, pos, line) of every line that is not blank."""
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("text is not null")
-    d = d.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where("trim(line) <> ''")
+    d = d.select("doc_id", "mark", F.posexplode_outer(F.split("text", "\n", -1)).alias("no", "line")).where("trim(line) <> ''")
     return d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "mark", "no").alias("pos"), "line")
 
 

@@ -56,7 +56,7 @@ def parts(docs: DataFrame) -> DataFrame:
     """
     d = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("t"))
     every = F.concat(F.expr("array(struct(-1 as rank, 0 as i, 0 as gap, 0 as size, true as keep))"), *(_matches(r, k[1], F.col("t")) for r, k in enumerate(KINDS)))
-    d = d.select("doc_id", "mark", F.explode(every).alias("p")).select("doc_id", "mark", "p.*")
+    d = d.select("doc_id", "mark", F.explode_outer(every).alias("p")).select("doc_id", "mark", "p.*")
     d = d.repartition("doc_id", "mark").dropDuplicates(["doc_id", "mark", "rank", "i"])
     e = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("doc_id", "mark", "rank").orderBy("i")).cast("int")
     return d.withColumn("e", e).where("keep").select("doc_id", "mark", "rank", (F.col("e") - F.col("size")).alias("s"), "e")
