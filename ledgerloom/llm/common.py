@@ -36,11 +36,13 @@ def held_out(doc_id) -> F.Column:
 
 def scale_of(df: DataFrame) -> int:
     """Compressed bytes behind ``df`` as the optimizer estimates them (file sizes for scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def partitions_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    return max(least, -(-scale_of(df) // bytes_each))
+def groups_for(df: DataFrame, bytes_each: int) -> int:
+    """How many groups keep each near ``bytes_each`` of source files; where no size is known, a multiple of the shuffle partitions."""
+    size, least = scale_of(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 4 * least if size > 1 << 55 else max(least, -(-size // bytes_each))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

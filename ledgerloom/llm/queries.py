@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, line_dedup, quality, secrets, token_count, toxicity
+from ledgerloom.llm import decontaminate, line_dedup, quality, secrets, token_count, toxicity, vector_dedup
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -119,3 +119,24 @@ per AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN per USING (doc_id)
 """
+
+
+@query
+def op9_vector_dedup(spark, sf_dir):
+    return vector_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_vector_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+unit AS (
+  SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT v.vec_id, coalesce(deg.n, 0) AS n_links, comp.c AS component_id, v.vec_id = comp.c AS kept
+FROM v LEFT JOIN deg ON deg.a = v.vec_id JOIN comp ON comp.a = v.vec_id
+"""
