@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, line_dedup, quality, secrets, token_count, toxicity, vector_dedup
+from ledgerloom.llm import decontaminate, line_dedup, quality, secrets, suffix_dedup, token_count, toxicity, vector_dedup
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -140,3 +140,8 @@ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT v.vec_id, coalesce(deg.n, 0) AS n_links, comp.c AS component_id, v.vec_id = comp.c AS kept
 FROM v LEFT JOIN deg ON deg.a = v.vec_id JOIN comp ON comp.a = v.vec_id
 """
+
+
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
