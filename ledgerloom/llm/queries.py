@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, line_dedup, quality, secrets, suffix_dedup, token_count, toxicity, vector_dedup
+from ledgerloom.llm import decontaminate, line_dedup, ngram_join, quality, secrets, suffix_dedup, token_count, toxicity, vector_dedup
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -145,3 +145,8 @@ FROM v LEFT JOIN deg ON deg.a = v.vec_id JOIN comp ON comp.a = v.vec_id
 @query
 def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.report(table(spark, sf_dir, "documents"))
