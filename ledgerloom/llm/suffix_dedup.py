@@ -21,13 +21,14 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_MB, cut, groups_for, measured_mb, without
+from ledgerloom.llm.common import cut, groups_for, without
 
 DEPTH, GRAM = 50, 18
 SEGMENT = 1 << 20  # bytes hashed at once
@@ -172,10 +173,16 @@ def shared_minimisers(docs: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(find, "doc_id long, mark long, h binary")
 
 
+def _base(docs: DataFrame) -> DataFrame:
+    """All rows by a key that is never null: both joins with texts read one and the same shuffle of them."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("key"), F.xxhash64("text").alias("mark"))
+
+
 def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, mark, spans binary of (start, end) pairs): what smaller doc_ids hold too."""
-    lists = shared.groupBy(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark")).agg(F.collect_list("h").alias("h"))
-    held = docs.join(lists, (docs["doc_id"] == lists["s_id"]) & (docs["mark"] == lists["s_mark"])).select("doc_id", "mark", "text", "h")
+    lists = shared.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list("h").alias("h"))
+    held = _base(docs).join(lists.hint("shuffle_hash"), ["key", "mark"]).select("doc_id", "mark", "text", "h")
 
     def send(batches):
         rows, n = [], 0
@@ -200,7 +207,7 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         lowest: dict[bytes, int] = {}
         entries = []
         for h, doc, mark, start, size, data in zip(b.h, b.doc, b.mark, b.start, b.sizes, b.data):
-            at = 0
+            at, data = 0, zlib.decompress(data)
             for e in zip(np.frombuffer(h, np.int64).tolist(), np.frombuffer(doc, np.int64).tolist(), np.frombuffer(mark, np.int64).tolist(), np.frombuffer(start, np.int64).tolist(), np.frombuffer(size, np.int64).tolist()):
                 s = data[at:at + e[4]]
                 at += e[4]
@@ -237,7 +244,7 @@ def _packed(rows: list) -> pd.DataFrame:
         if i == len(rows) or rows[i][0] != rows[lo][0]:
             part = rows[lo:i]
             ints = [np.array([r[k] for r in part], np.int64).tobytes() for k in (1, 2, 3, 4)]
-            out.append((part[0][0], *ints, np.array([len(r[5]) for r in part], np.int64).tobytes(), b"".join(r[5] for r in part)))
+            out.append((part[0][0], *ints, np.array([len(r[5]) for r in part], np.int64).tobytes(), zlib.compress(b"".join(r[5] for r in part), 1)))
             lo = i
     return pd.DataFrame(out, columns=["bucket", "h", "doc", "mark", "start", "sizes", "data"])
 
@@ -294,7 +301,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     first = sizes.groupBy("mark", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = cut(sizes.join(first.drop("last"), ["mark", "twin"]).where("doc_id > first").select("doc_id", "mark", "n"))
     rest = without(d.where(F.octet_length("text") >= DEPTH), copies)
-    parts = repeats(rest, shared_minimisers(rest, buckets), buckets)
+    parts = repeats(docs, shared_minimisers(rest, buckets), buckets)
 
     def whole(batches):
         for b in batches:
@@ -306,11 +313,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    spans = cut(spans_of(docs)).select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), "spans")
-    if measured_mb(spans, F.lit(64) + F.aggregate("spans", F.lit(0), lambda a, x: a + F.length(x))) < BROADCAST_MB:
-        spans = F.broadcast(spans)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mark"))
-    d = d.join(spans, (d["doc_id"] == spans["s_id"]) & (d["mark"] == spans["s_mark"]), "left").select("doc_id", "text", "spans")
+    spans = spans_of(docs).select(F.col("doc_id").alias("key"), "mark", "spans")
+    d = _base(docs).join(spans.hint("shuffle_hash"), ["key", "mark"], "left").select("doc_id", "text", "spans")
 
     def keep(batches):
         for b in batches:
