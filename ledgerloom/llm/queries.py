@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, line_dedup, ngram_join, quality, secrets, suffix_dedup, token_count, toxicity, vector_dedup
+from ledgerloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_count, toxicity, vector_dedup
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -150,3 +150,40 @@ def op8_suffix_dedup(spark, sf_dir):
 @query
 def op4_ngram_join(spark, sf_dir):
     return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def _mixing_sql() -> str:
+    levels = ["domain", "lang", "source"]
+    ctes, keys, up = [], ["one"], "root"
+    for i in range(3):
+        here = ["one", *levels[:i + 1]]
+        cases = "".join(f" WHEN lang = '{k[2:]}' THEN {v}" if k.startswith("*/") and i == 1 else f" WHEN concat_ws('/', {', '.join(levels[:i + 1])}) = '{k}' THEN {v}" if not k.startswith("*/") else "" for k, v in mixing.WEIGHTS.items())
+        k, h = ", ".join(keys), ", ".join(here)
+        ctes.append(f"""
+n{i} AS (SELECT {h}, CAST(sum(t) * {mixing.MAX_EPOCHS} AS DOUBLE) AS c, CAST(CASE{cases} ELSE 1 END AS DOUBLE) AS w FROM leaf GROUP BY {h}),
+o{i} AS (SELECT *, c / w AS r FROM n{i} JOIN {up} USING ({k})),
+l{i} AS (SELECT *, (b - coalesce(sum(c) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER (PARTITION BY {k}) - coalesce(sum(w) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lam
+  FROM o{i} WINDOW f AS (PARTITION BY {k} ORDER BY r, {levels[i]})),
+u{i} AS (SELECT {h}, CASE WHEN r <= lam THEN c ELSE w * max(CASE WHEN r > lam THEN lam END) OVER (PARTITION BY {k}) END AS b FROM l{i}),""")
+        keys, up = here, f"u{i}"
+    return f"""
+WITH doc AS (
+  SELECT doc_id, CASE WHEN substr(md5(coalesce(source, 'unknown')), 1, 1) < '8' THEN 'web' WHEN substr(md5(coalesce(source, 'unknown')), 1, 1) < 'c' THEN 'forum' ELSE 'curated' END AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS t FROM documents),
+leaf AS (SELECT 1 AS one, domain, lang, source, sum(t) AS t FROM doc GROUP BY ALL),
+root AS (SELECT 1 AS one, CAST(floor(sum(t) * CAST({mixing.FRACTION} AS DOUBLE)) AS DOUBLE) AS b FROM leaf),
+{''.join(ctes)}
+due AS (SELECT domain, lang, source, t AS whole, CAST(floor(round(b, 6)) AS BIGINT) AS due FROM u2 JOIN leaf USING (one, domain, lang, source)),
+full_ AS (SELECT *, CASE WHEN whole > 0 THEN least(due // whole, {mixing.MAX_EPOCHS}) ELSE 0 END AS n FROM due),
+keyed AS (SELECT doc.*, n, CASE WHEN n < {mixing.MAX_EPOCHS} THEN due - n * whole ELSE 0 END AS rest, md5('{mixing.SEED}|' || CAST(n AS BIGINT) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM doc JOIN full_ USING (domain, lang, source)),
+told AS (SELECT *, n + CASE WHEN coalesce(sum(t) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest THEN 1 ELSE 0 END AS copies FROM keyed)
+SELECT doc_id, domain, lang, source, CAST(t AS BIGINT) AS n_tokens, CAST(copies AS BIGINT) AS n_copies FROM told WHERE copies > 0
+"""
+
+
+ORACLES["op6_mixing"] = _mixing_sql()
