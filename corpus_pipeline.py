@@ -1,11 +1,59 @@
-"""Corpus pipeline: stages over the documents table, filled in as the operators arrive."""
+"""Corpus pipeline: quality, line dedup, near duplicates, decontamination, mixing.
 
-STAGES = []
+Each stage works on all rows its predecessor kept and is written as Parquet before the next one reads
+it. All stages but the last return the columns of ``documents``; the last adds n_tokens and n_copies.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from ledgerloom.llm.common import scratch_dir, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_deduplication),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", source_mixing),
+]
+
+#: A learned classifier is no SQL; the pipeline is tested against a brute-force version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; what each returns is written to the shared scratch folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    at = f"{scratch_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
     return docs

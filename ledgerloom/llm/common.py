@@ -14,18 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_scratch(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder the cluster names; one of our own only where it names none."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints; one of our own only where it names none."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
-    ensure_scratch(df.sparkSession)
+    scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -79,4 +79,4 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_tokens", "n_copies"]
     assert len(out.collect()) >= 1
     assert m.mix(docs.limit(0)).count() == 0
-    assert m.mix(docs, fraction=5.0).agg(F.sum("n_copies")).first()[0] == 2 * 4  # leaves without tokens give none
+    assert m.mix(docs, fraction=5.0).agg(F.sum("n_copies")).first()[0] == 2 * 5  # both rows of 1, the null id, 2 (in a leaf that has tokens) and 4; a leaf without tokens gives none
