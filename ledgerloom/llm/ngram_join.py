@@ -5,14 +5,14 @@ T = ceil(0.75 n) common shingles at least for a set of n. Of the shingles in has
 n - T + t of either document then hold t common ones, t = 1 + n div 8; these prefixes are inverted.
 
 1. Copies of whole texts collapse to their first document. Shingles held once drop out of the inverted
-   lists, and with them all documents that keep too few shared ones: most documents end here.
-2. Star rounds: in every list the most connected document is a pivot; each document is compared with
-   the pivot it meets most often. This settles groups of near copies with one comparison for each
-   member, so no list is ever expanded into all of its pairs.
-3. T-occurrence search among different components: each document merges its short lists and counts;
-   up to t - 1 of its longest lists are set aside (DivideSkip), which lowers the count that is required
-   by as many, and are probed afterwards, for the documents reached, by binary search in their sorted
-   shingle sets, which gives the exact overlap.
+   lists, and with them all documents that keep too few shared ones: first over prefixes, then, for the
+   documents that are left, over whole sets, where T shared shingles are needed. Most documents end here.
+2. Star rounds: in lists of a few sampled shingles the most connected document is a pivot; each document
+   is compared with the pivot it meets most often. This settles groups of near copies with one comparison
+   for each member, so no list is ever expanded into all of its pairs.
+3. T-occurrence search among different components. The T - t longest lists of each document are set aside
+   (DivideSkip); its short lists are merged and counted, and documents that occur t times are probed for
+   the long ones by binary search in their sorted sets, which gives the exact overlap.
 
 Every pair that can reach the threshold and is not yet known to be connected is compared, so the
 components are those of all links. Defined results: texts of fewer than five words are one shingle;
@@ -22,8 +22,6 @@ component is null); several texts of one doc_id share its component; extra colum
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +30,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import BROADCAST_MB, components, cut, groups_for, measured_mb, without
 
 WORDS, PERCENT = 5, 75
-LONG = 256  # lists longer than this may be set aside
+SAMPLED = 24  # shingles of a document that take part in a star round
+BLOCK = 1 << 19  # pairs looked at together
 BUCKET_BYTES = 12 << 20
 LOT = 1 << 20
 _r = np.random.default_rng(4)
@@ -113,11 +112,6 @@ def common(n):
     return 1 + n // 8
 
 
-def least_common(n):
-    """The least t of any partner that is not too small."""
-    return 1 + need(n) // 8
-
-
 def _packed(arrays: dict, buckets: int) -> pd.DataFrame:
     to = (arrays["h"] % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(to, kind="stable")
@@ -129,18 +123,21 @@ def _unpacked(b: pd.DataFrame, **kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(b[k]), t) for k, t in kinds.items()]
 
 
-def shared_prefixes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(node, n, h binary, df binary): prefix shingles that other documents' prefixes hold too, of documents that keep enough."""
+def shared_shingles(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
+    """(node, n, k, parts of (h binary, df binary)): shingles that two documents hold, of documents that keep enough.
+
+    Over prefixes in hash order or over whole sets; ``df`` is the number of documents that sent the shingle.
+    """
 
     def send(batches):
         held, n = [], 0
         for b in batches:
             for doc, s in zip(b.doc_id, shingle_sets(list(b.text))):
                 if len(s):
-                    p = s[:len(s) - need(len(s)) + common(len(s))]
+                    p = s if whole else s[:len(s) - need(len(s)) + common(len(s))]
                     held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int32)))
                     n += len(p)
-                    if n >= 1 << 21:
+                    if n >= 1 << 20:
                         yield _packed(dict(zip("hdn", map(np.concatenate, zip(*held)))), buckets)
                         held, n = [], 0
         if n:
@@ -168,11 +165,16 @@ def shared_prefixes(docs: DataFrame, buckets: int) -> DataFrame:
     sent = docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, d binary, n binary")
     found = sent.groupBy("bucket").applyInPandas(find, "node long, n int, k long, h binary, df binary")
     kept = found.groupBy("node", "n").agg(F.sum("k").alias("k"), F.collect_list(F.struct("h", "df")).alias("parts"))
-    return kept.where(F.expr(f"k >= 1 + ((({PERCENT} * n + 99) div 100) div 8)"))
+    least = f"(({PERCENT} * n + 99) div 100)"
+    return kept.where(F.expr(f"k >= {least}" if whole else f"k >= 1 + {least} div 8"))
+
 
+def _lists(found: DataFrame, comp: DataFrame | None, buckets: int, sample: int = 0) -> DataFrame:
+    """Inverted lists of the documents that are left, packed by bucket: h, node, n, share, component.
 
-def _lists(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
-    """Inverted lists of the documents that are left, packed by bucket: h, node, n, share, component, short, aside."""
+    With ``sample``, lists of the shingles of least hash; else a document's short lists: all but the T - t
+    longest, in the order (df, hash), of which those held once, n - k, come first and lead nowhere.
+    """
     d = found.select("node", "n", "k", "parts")
     d = d.withColumn("c", F.col("node")) if comp is None else d.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n", "k", "parts", F.coalesce("component", "node").alias("c"))
 
@@ -181,25 +183,23 @@ def _lists(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
         for b in batches:
             for node, n, k, parts, c in zip(b.node, b.n, b.k, b.parts, b.c):
                 h = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in parts])
-                df = np.concatenate([np.frombuffer(p["df"], np.int32) for p in parts])
-                aside = least_common(int(n)) - 1
-                longest = np.argsort(-df.astype(np.int64), kind="stable")[:aside]
-                longest = longest[df[longest] > LONG]
-                short = np.ones(len(h), bool)
-                short[longest] = False
-                prefix = int(n) - need(int(n)) + common(int(n))
-                held.append((h, np.full(len(h), node, np.int64), np.full(len(h), n, np.int32), np.full(len(h), k / prefix, np.float32), np.full(len(h), c, np.int64), short, np.full(len(h), len(longest), np.int32)))
+                if sample:
+                    h = np.sort(h)[:sample]
+                else:
+                    df = np.concatenate([np.frombuffer(p["df"], np.int32) for p in parts])
+                    h = h[np.lexsort((h, df))[:max(0, int(n) - need(int(n)) + common(int(n)) - (int(n) - int(k)))]]
+                held.append((h, np.full(len(h), node, np.int64), np.full(len(h), n, np.int32), np.full(len(h), k / n, np.float32), np.full(len(h), c, np.int64)))
                 total += len(h)
-            if total >= 1 << 20:
-                yield _packed(dict(zip("hdnscqa", map(np.concatenate, zip(*held)))), buckets)
+            if total >= 1 << 19:
+                yield _packed(dict(zip("hdnsc", map(np.concatenate, zip(*held)))), buckets)
                 held, total = [], 0
-        if held:
-            yield _packed(dict(zip("hdnscqa", map(np.concatenate, zip(*held)))), buckets)
+        if total:
+            yield _packed(dict(zip("hdnsc", map(np.concatenate, zip(*held)))), buckets)
 
-    return d.mapInPandas(send, "bucket long, h binary, d binary, n binary, s binary, c binary, q binary, a binary")
+    return d.mapInPandas(send, "bucket long, h binary, d binary, n binary, s binary, c binary")
 
 
-_LISTS = dict(h=np.uint64, d=np.int64, n=np.int32, s=np.float32, c=np.int64, q=bool, a=np.int32)
+_LISTS = dict(h=np.uint64, d=np.int64, n=np.int32, s=np.float32, c=np.int64)
 
 
 def _counted(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> pd.DataFrame:
@@ -217,7 +217,7 @@ def _stars(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
     """(a, b): each document with the pivot of another component that it meets most often."""
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, d, n, s, c, _, _ = _unpacked(b, **_LISTS)
+        h, d, n, s, c = _unpacked(b, **_LISTS)
         order = np.lexsort((d, -s, h))
         h, d, n, c = h[order], d[order], n[order], c[order]
         first = np.ones(len(h), bool)
@@ -226,56 +226,35 @@ def _stars(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
         ok = (c != c[at]) & (PERCENT * n <= 100 * n[at]) & (PERCENT * n[at] <= 100 * n)
         return _counted(d[ok], d[at][ok], np.zeros(ok.sum(), np.int64))[["a", "b", "k"]]
 
-    met = _lists(found, comp, buckets).groupBy("bucket").applyInPandas(find, "a long, b long, k long")
+    met = _lists(found, comp, buckets, SAMPLED).groupBy("bucket").applyInPandas(find, "a long, b long, k long")
     met = met.groupBy("a", "b").agg(F.sum("k").alias("k"))
     return met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def merge_lists(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
-    """(document, occurrences) for documents in at least ``least`` of some sorted lists, by a heap over the lists' heads."""
-    heap = [(x[0], i, 0) for i, x in enumerate(lists) if len(x)]
-    heapq.heapify(heap)
-    out = []
-    while heap:
-        doc, count = heap[0][0], 0
-        while heap and heap[0][0] == doc:
-            _, i, at = heap[0]
-            count += 1
-            if at + 1 < len(lists[i]):
-                heapq.heapreplace(heap, (lists[i][at + 1], i, at + 1))
-            else:
-                heapq.heappop(heap)
-        if count >= least:
-            out.append((int(doc), count))
-    return out
-
-
 def _candidates(found: DataFrame, comp: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): pairs of different components that reach the count over a's short lists.
+    """(a, b): pairs of different components that occur together t times in the short lists.
 
-    The merge runs bucket by bucket over sorted lists (sorted runs are merged by one sort instead of a
-    heap of single entries), the counts add up over buckets.
+    Lists are merged bucket by bucket, a block of sorted runs by one sort, as a heap would one entry
+    after the other; counts add up over buckets. Lists within one component are not expanded.
     """
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, d, n, _, c, q, aside = _unpacked(b, **_LISTS)
+        h, d, n, _, c = _unpacked(b, **_LISTS)
         order = np.lexsort((d, h))
-        h, d, n, c, q, aside = (x[order] for x in (h, d, n, c, q, aside))
+        h, d, n, c = (x[order] for x in (h, d, n, c))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
-        lowest, highest = np.minimum.reduceat(c, cuts[:-1]), np.maximum.reduceat(c, cuts[:-1])
-        pairs, total = [], 0
-        done = []
-        for lo, hi in zip(cuts[:-1][lowest != highest].tolist(), cuts[1:][lowest != highest].tolist()):
-            asks = np.flatnonzero(q[lo:hi]) + lo
-            for block in range(0, len(asks), 1024):
-                own = asks[block:block + 1024, None]
-                ok = (c[own] != c[None, lo:hi]) & (PERCENT * n[own] <= 100 * n[None, lo:hi]) & (PERCENT * n[None, lo:hi] <= 100 * n[own])
-                i, j = np.nonzero(ok)
-                i = own[i, 0]
-                j = j + lo
-                pairs.append((d[i], d[j], np.minimum(common(n[i].astype(np.int64)), common(n[j].astype(np.int64))) - aside[i]))
+        mixed = np.minimum.reduceat(c, cuts[:-1]) != np.maximum.reduceat(c, cuts[:-1]) if len(h) else np.zeros(0, bool)
+        pairs, total, done = [], 0, []
+        for lo, hi in zip(cuts[:-1][mixed].tolist(), cuts[1:][mixed].tolist()):
+            step = max(1, BLOCK // (hi - lo))
+            for at in range(lo, hi, step):
+                own = np.arange(at, min(at + step, hi))[:, None]
+                other = np.arange(lo, hi)[None]
+                i, j = np.nonzero((d[own] < d[other]) & (c[own] != c[other]) & (PERCENT * n[own] <= 100 * n[other]) & (PERCENT * n[other] <= 100 * n[own]))
+                i, j = i + at, j + lo
+                pairs.append((d[i], d[j], common(np.minimum(n[i], n[j]).astype(np.int64))))
                 total += len(i)
-                if total > 1 << 21:
+                if total > BLOCK:
                     done.append(_counted(*map(np.concatenate, zip(*pairs))))
                     pairs, total = [], 0
         if pairs:
@@ -283,8 +262,7 @@ def _candidates(found: DataFrame, comp: DataFrame, buckets: int) -> DataFrame:
         return pd.concat(done) if done else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("a", "b", "low", "k")})
 
     met = _lists(found, comp, buckets).groupBy("bucket").applyInPandas(find, "a long, b long, low long, k long")
-    met = met.groupBy("a", "b", "low").agg(F.sum("k").alias("k")).where("k >= low")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.groupBy("a", "b", "low").agg(F.sum("k").alias("k")).where("k >= low").select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -302,9 +280,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(100 * both >= PERCENT * (len(a) + len(b) - both))
         return pd.Series(out, dtype="bool")
 
-    x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b").distinct()
+    def side(name: str, column: str) -> DataFrame:
+        ids = _small(pairs.select(F.col(name).alias("node")).distinct(), small)
+        return sets.join(ids, "node", "left_semi").select(F.col("node").alias(name), F.col("set").alias(column))
+
+    small = measured_mb(pairs, F.lit(32)) < BROADCAST_MB
+    return side("a", "x").join(_small(pairs, small), "a").join(side("b", "y"), "b").where(near("x", "y")).select("a", "b").distinct()
+
+
+def _small(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def linked(docs: DataFrame, stars: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -314,20 +299,20 @@ def linked(docs: DataFrame, stars: int = 2) -> tuple[DataFrame, DataFrame]:
     first = ids.groupBy("mark", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = cut(ids.join(first.drop("last"), ["mark", "twin"]).where("doc_id > first").select("doc_id", "mark", "first"))
     rest = without(docs, copies)
-    found = cut(shared_prefixes(rest, buckets))
-    who = found.select(F.col("node").alias("w")).distinct()
-    if measured_mb(found, F.lit(16)) < BROADCAST_MB:
-        who = F.broadcast(who)
+    def only(some: DataFrame) -> DataFrame:
+        ids = some.select(F.col("node").alias("w")).distinct()
+        return rest.select("doc_id", "text").join(_small(ids, measured_mb(ids, F.lit(32)) < BROADCAST_MB), F.col("doc_id") == F.col("w"), "left_semi")
 
     def encode(batches):
         for b in batches:
             yield pd.DataFrame({"node": b.doc_id, "set": [s.tobytes() for s in shingle_sets(list(b.text))]})
 
-    sets = rest.select("doc_id", "text").join(who, F.col("doc_id") == F.col("w"), "left_semi").mapInPandas(encode, "node long, set binary")
-    sets = cut(sets.where("length(set) > 0"))
+    left = cut(shared_shingles(rest, buckets, False).select("node"))
+    found = cut(shared_shingles(only(left), buckets, True))
+    sets = cut(only(found).mapInPandas(encode, "node long, set binary").where("length(set) > 0"))
     links, comp = None, None
     for _ in range(stars):
-        more = cut(_verified(_stars(found, comp, buckets), sets))
+        more = cut(_verified(cut(_stars(found, comp, buckets)), sets))
         links = more if links is None else links.unionAll(more)
         comp = cut(components(links))
     links = links.unionAll(cut(_verified(cut(_candidates(found, comp, buckets)), sets)))

@@ -2,8 +2,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
-
 from ledgerloom.llm import ngram_join as j
 
 
@@ -43,13 +41,11 @@ def check(spark, docs):
     assert {x.doc_id: tuple(x)[1:] for x in j.report(df).collect()} == brute(docs)
 
 
-def test_sets_and_merge():
+def test_sets():
     texts = ["A b C d e f a b c d e", "\tone  two\n", "", None, " ", "É é x y z", "a b c d e " * 3000]
     assert [len(s) for s in j.shingle_sets(texts)] == [len(shingles(t)) for t in texts]
     a, b = j.shingle_sets(["A b c d e", "a B\nc\td e"])
     assert (a == b).all() and j.shingle_sets(["a b"])[0] != j.shingle_sets(["ab"])[0]
-    lists = [np.array(x) for x in ([1, 3, 5], [3, 5, 9], [5], [])]
-    assert j.merge_lists(lists, 2) == [(3, 2), (5, 3)]
 
 
 def test_random_near_copies(spark):
