@@ -163,14 +163,35 @@ def shared_minimisers(docs: DataFrame, buckets: int) -> DataFrame:
         start, which = np.flatnonzero(first), np.cumsum(first) - 1
         many = (doc[start] != doc[np.append(start[1:], len(h)) - 1])[which] | known
         h, doc, mark = h[many], doc[many], mark[many]
-        order = np.lexsort((h, mark, doc))
-        h, doc, mark = h[order], doc[order], mark[order]
-        cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(mark) != 0)) + 1
-        at = np.concatenate([[0], cuts]).astype(int) if len(h) else np.zeros(0, int)
-        return pd.DataFrame({"doc_id": doc[at], "mark": mark[at], "h": [np.unique(x).tobytes() for x in np.split(h, cuts)] if len(h) else []})
+        return _sliced(buckets, doc, mark, h.view(np.int64))
+
+    def gather(b: pd.DataFrame) -> pd.DataFrame:
+        doc, mark, h = (np.frombuffer(b"".join(b[c]), np.int64) for c in ("doc", "mark", "x"))
+        rows = [(d, m, np.unique(x).tobytes()) for d, m, x in _each(doc, mark, h)]
+        return pd.DataFrame(rows, columns=["doc_id", "mark", "h"])
 
     sent = docs.select("doc_id", "mark", "text").mapInPandas(send, "bucket long, h binary, doc binary, mark binary, known binary")
-    return sent.groupBy("bucket").applyInPandas(find, "doc_id long, mark long, h binary")
+    found = sent.groupBy("bucket").applyInPandas(find, "slice long, doc binary, mark binary, x binary")
+    return found.groupBy("slice").applyInPandas(gather, "doc_id long, mark long, h binary")
+
+
+def _sliced(slices: int, doc: np.ndarray, mark: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
+    """Entries packed by slice of documents, so that rows do not grow as documents times buckets."""
+    to = ((doc.astype(np.uint64) ^ mark.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(slices)
+    by = np.argsort(to, kind="stable")
+    x = np.stack(values, 1) if len(values) > 1 else values[0]
+    rows = [(int(to[p[0]]), doc[p].tobytes(), mark[p].tobytes(), np.ascontiguousarray(x[p]).tobytes()) for p in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(p)]
+    return pd.DataFrame(rows, columns=["slice", "doc", "mark", "x"])
+
+
+def _each(doc: np.ndarray, mark: np.ndarray, x: np.ndarray):
+    """(doc_id, mark, its values) for each document among entries."""
+    order = np.lexsort((mark, doc))
+    doc, mark, x = doc[order], mark[order], x[order]
+    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(mark) != 0)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(doc)]):
+        if hi > lo:
+            yield int(doc[lo]), int(mark[lo]), x[lo:hi]
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -180,13 +201,13 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, mark, spans binary of (start, end) pairs): what smaller doc_ids hold too."""
-    lists = shared.groupBy(F.col("doc_id").alias("key"), "mark").agg(F.collect_list("h").alias("h"))
+    """(slice, doc, mark, x binary of (start, end) pairs), packed: what smaller doc_ids hold too."""
+    lists = shared.select(F.col("doc_id").alias("key"), "mark", "h")
     held = _base(docs).join(lists.hint("shuffle_hash"), ["key", "mark"]).select("doc_id", "mark", "text", "h")
 
     def send(batches):
         rows, n = [], 0
-        for lot in _segments(batches, lambda b, i: np.unique(np.frombuffer(b"".join(b.h.iloc[i]), np.uint64))):
+        for lot in _segments(batches, lambda b, i: np.frombuffer(b.h.iloc[i], np.uint64)):
             table, h, data, base = runs([x[3] for x in lot], GRAM, DEPTH)
             raw = data.tobytes()
             edge = np.searchsorted(table[:, 0], np.arange(len(lot) + 1))
@@ -231,10 +252,11 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             size, last = size + len(x[4]), x[0]
         if lot:
             gone += _windows(lot)
-        return _by_document(gone)
+        a = np.array(gone, np.int64).reshape(-1, 4)
+        return _sliced(buckets, a[:, 0].copy(), a[:, 1].copy(), a[:, 2], a[:, 3])
 
     sent = held.mapInPandas(send, "bucket long, h binary, doc binary, mark binary, start binary, sizes binary, data binary")
-    return sent.groupBy("bucket").applyInPandas(find, "doc_id long, mark long, spans binary")
+    return sent.groupBy("bucket").applyInPandas(find, "slice long, doc binary, mark binary, x binary")
 
 
 def _packed(rows: list) -> pd.DataFrame:
@@ -273,13 +295,6 @@ def _windows(lot: list) -> list:
     return [(lot[o][1], lot[o][2], lot[o][3] + int(a), lot[o][3] + int(b) + DEPTH) for o, a, b in zip(own[first].tolist(), inner[first].tolist(), inner[last].tolist())]
 
 
-def _by_document(gone: list) -> pd.DataFrame:
-    spans: dict = {}
-    for doc, mark, a, b in gone:
-        spans.setdefault((doc, mark), []).append((a, b))
-    return pd.DataFrame({"doc_id": [k[0] for k in spans], "mark": [k[1] for k in spans], "spans": [_union(np.array(x, np.int64)).tobytes() for x in spans.values()]}).astype({"doc_id": "int64", "mark": "int64"})
-
-
 def _union(spans: np.ndarray) -> np.ndarray:
     """Maximal runs covered by (start, end) rows."""
     if not len(spans):
@@ -292,7 +307,7 @@ def _union(spans: np.ndarray) -> np.ndarray:
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, spans array<binary>) of documents that lose bytes; mark is xxhash64(text)."""
+    """(doc_id, mark, spans binary of disjoint (start, end) pairs) of documents that lose bytes; mark is xxhash64(text)."""
     buckets = groups_for(docs, BUCKET_BYTES)
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("doc_id is not null and text is not null")
     d = d.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -305,10 +320,17 @@ def spans_of(docs: DataFrame) -> DataFrame:
 
     def whole(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "mark": b.mark, "spans": [np.array([0, n], np.int64).tobytes() for n in b.n]})
+            doc, mark, n = (b[c].to_numpy(np.int64) for c in ("doc_id", "mark", "n"))
+            yield _sliced(buckets, doc, mark, np.zeros(len(n), np.int64), n)
+
+    def gather(b: pd.DataFrame) -> pd.DataFrame:
+        doc, mark = (np.frombuffer(b"".join(b[c]), np.int64) for c in ("doc", "mark"))
+        spans = np.frombuffer(b"".join(b.x), np.int64).reshape(-1, 2)
+        rows = [(d, m, _union(x).tobytes()) for d, m, x in _each(doc, mark, spans)]
+        return pd.DataFrame(rows, columns=["doc_id", "mark", "spans"])
 
-    every = parts.unionAll(copies.mapInPandas(whole, "doc_id long, mark long, spans binary"))
-    return every.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans"))
+    every = parts.unionAll(copies.mapInPandas(whole, "slice long, doc binary, mark binary, x binary"))
+    return every.groupBy("slice").applyInPandas(gather, "doc_id long, mark long, spans binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -321,7 +343,7 @@ def report(docs: DataFrame) -> DataFrame:
             out = []
             for text, held in zip(b.text, b.spans):
                 raw = text.encode()
-                u = _union(np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)) if held is not None else np.zeros((0, 2), np.int64)
+                u = _union(np.frombuffer(held, np.int64).reshape(-1, 2)) if held is not None else np.zeros((0, 2), np.int64)
                 at, kept = 0, hashlib.sha256()
                 for a, e in u.tolist():
                     kept.update(raw[at:a])
