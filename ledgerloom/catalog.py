@@ -1,4 +1,11 @@
-"""Queries of the graph engine by name, and the SQL each must agree with."""
+"""Queries of the graph engine by name, over the driver's tables, and the SQL each must agree with."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from ledgerloom import catalog_flow, catalog_graph, catalog_learning
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+for part in (catalog_flow, catalog_graph, catalog_learning):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES

@@ -34,7 +34,7 @@ def flow_agg(ledger: DataFrame, bin_days: int = BIN_DAYS) -> DataFrame:
         F.sum(money("amount")).alias("amount"), F.count(F.lit(1)).alias("txns"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     per_pair = per_bin.groupBy("src", "dst", "num_bins").agg(
         F.sum("amount").cast("double").alias("total_amount"), F.sum("txns").alias("txn_count"), F.min("t0").alias("first_ts"), F.max("t1").alias("last_ts"),
-        F.map_from_entries(F.collect_list(F.struct("bin", F.struct(F.col("amount").cast("double"), "txns")))).alias("m"))
+        F.map_from_entries(F.collect_list(F.struct("bin", F.struct(F.col("amount").cast("double").alias("amount"), "txns")))).alias("m"))
     bins = F.sequence(F.lit(0), F.col("num_bins") - 1)
     get = lambda field, zero: F.transform(bins, lambda i: F.coalesce(F.try_element_at("m", i)[field], zero))
     return per_pair.select("src", "dst", "total_amount", "txn_count", "first_ts", "last_ts", ((F.col("last_ts") - F.col("first_ts")) / DAY).alias("span_days"),
@@ -73,6 +73,13 @@ def money_flow(accounts: DataFrame, flows: DataFrame) -> DataFrame:
                     F.round(F.least("in_amount", "out_amount") / (F.greatest("in_amount", "out_amount") + 0.01), 6).alias("pass_through_ratio"))
 
 
+def _part(where: str):
+    """Payments of the bins of ``line`` that meet a condition on i and n_bins."""
+    i, _, bound = where.split(" ", 2)
+    late = where.startswith("i >=")
+    return F.aggregate("line", F.lit(0).cast("long"), lambda a, x: a + F.when((x[i] >= F.expr(bound)) if late else (x[i] < F.expr(bound)), x["cnt"]).otherwise(0))
+
+
 def temporal_features(accounts: DataFrame, flows: DataFrame, reference_ts: int | None = None) -> DataFrame:
     """Timing features of every account; accounts that never pay keep the defaults (-1 for the three day features)."""
     ref = F.broadcast(flows.agg(F.max("last_ts").alias("ref"))) if reference_ts is None else None
@@ -81,10 +88,10 @@ def temporal_features(accounts: DataFrame, flows: DataFrame, reference_ts: int |
         F.max(F.when(F.col("out"), F.col("last_ts"))).alias("last_out"), F.min(F.when(~F.col("out"), F.col("first_ts"))).alias("first_in"))
     bins = flows.select("src", F.posexplode_outer(F.arrays_zip("amount_bins", "count_bins")).alias("i", "z")).groupBy("src", "i").agg(
         F.sum(money("z.amount_bins")).alias("amt"), F.sum("z.count_bins").alias("cnt")).groupBy("src").agg(
-        F.count(F.lit(1)).alias("n_bins"), F.max("cnt").alias("peak_cnt"), F.max("amt").alias("peak_amt"), F.sum("amt").alias("all_amt"), F.count_if("cnt > 0").alias("active"),
+        F.count(F.lit(1)).alias("n_bins"), F.max("cnt").alias("peak_cnt"), F.max("amt").alias("peak_amt"), F.sum("amt").alias("all_amt"), F.count_if(F.col("cnt") > 0).alias("active"),
         F.collect_list(F.struct("i", "cnt")).alias("line")).select(
         F.col("src").alias("id"), "n_bins", "peak_cnt", "peak_amt", "all_amt", "active",
-        *(F.aggregate("line", F.lit(0).cast("long"), lambda a, x, late=late: a + F.when((x["i"] >= F.expr("n_bins div 2")) if late else (x["i"] < F.expr("n_bins div 2")), x["cnt"]).otherwise(0)).alias(k) for k, late in (("early", False), ("late", True))))
+        _part("i < n_bins div 2").alias("early"), _part("i >= n_bins div 2").alias("late"))
     per = both.where("n > 0").join(bins, "id")
     per = per.join(ref) if ref is not None else per.withColumn("ref", F.lit(reference_ts).cast("long"))
     span = (F.col("t1") - F.col("t0")) / DAY

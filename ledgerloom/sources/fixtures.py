@@ -29,7 +29,7 @@ def flow_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_shipdate")
     return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"), epoch("l_shipdate").alias("ts"))
+        (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("amount"), epoch("l_shipdate").alias("ts"))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
