@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.fixpoint import components, cut, scratch_dir  # noqa: F401
+
 WORKING_SET_MB = 48  # what one Python group may hold before the number of groups is raised
 
 
@@ -14,22 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; one of our own only where it names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id) -> F.Column:
     """True for the fifth of documents that no model may learn from; null ids are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -46,35 +32,6 @@ def groups_for(df: DataFrame, bytes_each: int) -> int:
     return 4 * least if size > 1 << 55 else max(least, -(-size // bytes_each))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges(a, b)``: (node, component = smallest reachable node).
-
-    Alternating large-star and small-star steps: every step only groups by node and takes minima,
-    which Spark pre-aggregates before the shuffle, so hubs never gather in one task as a list.
-    Self loops and nulls are ignored; an empty edge table gives an empty result.
-    """
-    e = edges.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
-    before = None
-    for _ in range(rounds):
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
-            low2.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionAll(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_MB = 32  # a side is broadcast only when it was measured to be smaller than this
 
@@ -96,3 +53,28 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"))
     mark = F.xxhash64(docs["text"])
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (mark == gone["_gone_mark"]), "left_anti")
+
+
+SLICED = "slice long, a binary, b binary, x binary"
+
+
+def sliced(slices: int, a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
+    """Entries of documents (a, b), packed by slice of documents: rows do not grow as documents times buckets."""
+    to = ((a.astype(np.uint64) ^ b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(slices)
+    by = np.argsort(to, kind="stable")
+    x = np.stack([v.astype(np.int64) if v.dtype != np.uint64 else v.view(np.int64) for v in values], 1)
+    parts = np.split(by, np.flatnonzero(np.diff(to[by])) + 1)
+    rows = [(int(to[p[0]]), a[p].tobytes(), b[p].tobytes(), x[p].tobytes()) for p in parts if len(p)]
+    return pd.DataFrame(rows, columns=["slice", "a", "b", "x"])
+
+
+def unsliced(packed: pd.DataFrame, width: int):
+    """(a, b, values of shape (n, width)) of each document in a slice."""
+    a, b = (np.frombuffer(b"".join(packed[c]), np.int64) for c in ("a", "b"))
+    x = np.frombuffer(b"".join(packed.x), np.int64).reshape(-1, width)
+    order = np.lexsort((b, a))
+    a, b, x = a[order], b[order], x[order]
+    cuts = np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(a)]):
+        if hi > lo:
+            yield int(a[lo]), int(b[lo]), x[lo:hi]

@@ -10,7 +10,9 @@ n - T + t of either document then hold t common ones, t = 1 + n div 8; these pre
 2. Star rounds: in lists of a few sampled shingles the most connected document is a pivot; each document
    is compared with the pivot it meets most often. This settles groups of near copies with one comparison
    for each member, so no list is ever expanded into all of its pairs.
-3. T-occurrence search among different components. The T - t longest lists of each document are set aside
+3. Documents that met one pivot but are not connected yet form a cluster; its pairs are compared in tiles
+   of TILE by TILE documents, so a set travels once for each tile and not once for each pair.
+4. T-occurrence search among different clusters and components. The T - t longest lists of each document are set aside
    (DivideSkip); its short lists are merged and counted, and documents that occur t times are probed for
    the long ones by binary search in their sorted sets, which gives the exact overlap.
 
@@ -27,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_MB, components, cut, groups_for, measured_mb, without
+from ledgerloom.llm.common import BROADCAST_MB, SLICED, components, cut, groups_for, measured_mb, sliced, unsliced, without
 
 WORDS, PERCENT = 5, 75
+TILE = 64  # documents of a cluster that are compared with as many others at once
 SAMPLED = 24  # shingles of a document that take part in a star round
 BLOCK = 1 << 19  # pairs looked at together
 BUCKET_BYTES = 12 << 20
@@ -71,7 +74,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
 
 
 def _combined(w: np.ndarray, size: int) -> np.ndarray:
-    out = np.full(len(w) - size + 1, np.uint64(size) * _STEP, np.uint64)
+    out = np.full(len(w) - size + 1, np.uint64(int(size) * int(_STEP) % (1 << 64)), np.uint64)
     for j in range(size):
         out = out * _BASE + w[j:len(w) - size + 1 + j]
     return _mix(out)
@@ -124,7 +127,7 @@ def _unpacked(b: pd.DataFrame, **kinds) -> list[np.ndarray]:
 
 
 def shared_shingles(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
-    """(node, n, k, parts of (h binary, df binary)): shingles that two documents hold, of documents that keep enough.
+    """(node, n, k, h binary, df binary): shingles that two documents hold, of documents that keep enough.
 
     Over prefixes in hash order or over whole sets; ``df`` is the number of documents that sent the shingle.
     """
@@ -155,51 +158,50 @@ def shared_shingles(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
         df = np.bincount(which, fresh, which[-1] + 1).astype(np.int64)[which]
         many = df > 1
         h, d, n, df = h[many], d[many], n[many], np.minimum(df[many], 1 << 30).astype(np.int32)
-        order = np.lexsort((h, n, d))
-        h, d, n, df = h[order], d[order], n[order], df[order]
-        cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(n) != 0)) + 1
-        at = np.concatenate([[0], cuts]).astype(int) if len(h) else np.zeros(0, int)
-        parts = list(zip(np.split(h, cuts), np.split(df, cuts))) if len(h) else []
-        return pd.DataFrame({"node": d[at], "n": n[at], "k": np.diff(np.append(at, len(h))) if len(h) else at, "h": [x.tobytes() for x, _ in parts], "df": [y.tobytes() for _, y in parts]})
+        return sliced(buckets, d, n.astype(np.int64), h, df)
+
+    def gather(b: pd.DataFrame) -> pd.DataFrame:
+        rows = [(d, n, len(x), np.ascontiguousarray(x[:, 0]).tobytes(), x[:, 1].astype(np.int32).tobytes()) for d, n, x in unsliced(b, 2)]
+        return pd.DataFrame(rows, columns=["node", "n", "k", "h", "df"])
 
     sent = docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, d binary, n binary")
-    found = sent.groupBy("bucket").applyInPandas(find, "node long, n int, k long, h binary, df binary")
-    kept = found.groupBy("node", "n").agg(F.sum("k").alias("k"), F.collect_list(F.struct("h", "df")).alias("parts"))
+    found = sent.groupBy("bucket").applyInPandas(find, SLICED)
+    kept = found.groupBy("slice").applyInPandas(gather, "node long, n int, k long, h binary, df binary")
     least = f"(({PERCENT} * n + 99) div 100)"
     return kept.where(F.expr(f"k >= {least}" if whole else f"k >= 1 + {least} div 8"))
 
 
-def _lists(found: DataFrame, comp: DataFrame | None, buckets: int, sample: int = 0) -> DataFrame:
-    """Inverted lists of the documents that are left, packed by bucket: h, node, n, share, component.
+def _lists(found: DataFrame, comp: DataFrame | None, buckets: int, sample: int = 0, cluster: DataFrame | None = None) -> DataFrame:
+    """Inverted lists of the documents that are left, packed by bucket: h, node, n, share, component, cluster.
 
     With ``sample``, lists of the shingles of least hash; else a document's short lists: all but the T - t
     longest, in the order (df, hash), of which those held once, n - k, come first and lead nowhere.
     """
-    d = found.select("node", "n", "k", "parts")
-    d = d.withColumn("c", F.col("node")) if comp is None else d.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n", "k", "parts", F.coalesce("component", "node").alias("c"))
+    d = found.select("node", "n", "k", "h", "df")
+    d = d.withColumn("c", F.col("node")) if comp is None else d.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n", "k", "h", "df", F.coalesce("component", "node").alias("c"))
+    d = d.withColumn("g", F.col("node")) if cluster is None else d.join(cluster, "node", "left").withColumn("g", F.coalesce("g", "node"))
 
     def send(batches):
         held, total = [], 0
         for b in batches:
-            for node, n, k, parts, c in zip(b.node, b.n, b.k, b.parts, b.c):
-                h = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in parts])
+            for node, n, k, h, df, c, g in zip(b.node, b.n, b.k, b.h, b.df, b.c, b.g):
+                h = np.frombuffer(h, np.uint64)
                 if sample:
                     h = np.sort(h)[:sample]
                 else:
-                    df = np.concatenate([np.frombuffer(p["df"], np.int32) for p in parts])
-                    h = h[np.lexsort((h, df))[:max(0, int(n) - need(int(n)) + common(int(n)) - (int(n) - int(k)))]]
-                held.append((h, np.full(len(h), node, np.int64), np.full(len(h), n, np.int32), np.full(len(h), k / n, np.float32), np.full(len(h), c, np.int64)))
+                    h = h[np.lexsort((h, np.frombuffer(df, np.int32)))[:max(0, int(n) - need(int(n)) + common(int(n)) - (int(n) - int(k)))]]
+                held.append((h, np.full(len(h), node, np.int64), np.full(len(h), n, np.int32), np.full(len(h), k / n, np.float32), np.full(len(h), c, np.int64), np.full(len(h), g, np.int64)))
                 total += len(h)
             if total >= 1 << 19:
-                yield _packed(dict(zip("hdnsc", map(np.concatenate, zip(*held)))), buckets)
+                yield _packed(dict(zip("hdnscg", map(np.concatenate, zip(*held)))), buckets)
                 held, total = [], 0
         if total:
-            yield _packed(dict(zip("hdnsc", map(np.concatenate, zip(*held)))), buckets)
+            yield _packed(dict(zip("hdnscg", map(np.concatenate, zip(*held)))), buckets)
 
-    return d.mapInPandas(send, "bucket long, h binary, d binary, n binary, s binary, c binary")
+    return d.mapInPandas(send, "bucket long, h binary, d binary, n binary, s binary, c binary, g binary")
 
 
-_LISTS = dict(h=np.uint64, d=np.int64, n=np.int32, s=np.float32, c=np.int64)
+_LISTS = dict(h=np.uint64, d=np.int64, n=np.int32, s=np.float32, c=np.int64, g=np.int64)
 
 
 def _counted(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> pd.DataFrame:
@@ -217,7 +219,7 @@ def _stars(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
     """(a, b): each document with the pivot of another component that it meets most often."""
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, d, n, s, c = _unpacked(b, **_LISTS)
+        h, d, n, s, c, _ = _unpacked(b, **_LISTS)
         order = np.lexsort((d, -s, h))
         h, d, n, c = h[order], d[order], n[order], c[order]
         first = np.ones(len(h), bool)
@@ -231,26 +233,26 @@ def _stars(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
     return met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def _candidates(found: DataFrame, comp: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): pairs of different components that occur together t times in the short lists.
+def _candidates(found: DataFrame, comp: DataFrame, cluster: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): pairs of different components and clusters that occur together t times in the short lists.
 
     Lists are merged bucket by bucket, a block of sorted runs by one sort, as a heap would one entry
     after the other; counts add up over buckets. Lists within one component are not expanded.
     """
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, d, n, _, c = _unpacked(b, **_LISTS)
+        h, d, n, _, c, g = _unpacked(b, **_LISTS)
         order = np.lexsort((d, h))
-        h, d, n, c = (x[order] for x in (h, d, n, c))
+        h, d, n, c, g = (x[order] for x in (h, d, n, c, g))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
-        mixed = np.minimum.reduceat(c, cuts[:-1]) != np.maximum.reduceat(c, cuts[:-1]) if len(h) else np.zeros(0, bool)
+        mixed = (np.minimum.reduceat(c, cuts[:-1]) != np.maximum.reduceat(c, cuts[:-1])) & (np.minimum.reduceat(g, cuts[:-1]) != np.maximum.reduceat(g, cuts[:-1])) if len(h) else np.zeros(0, bool)
         pairs, total, done = [], 0, []
         for lo, hi in zip(cuts[:-1][mixed].tolist(), cuts[1:][mixed].tolist()):
             step = max(1, BLOCK // (hi - lo))
             for at in range(lo, hi, step):
                 own = np.arange(at, min(at + step, hi))[:, None]
                 other = np.arange(lo, hi)[None]
-                i, j = np.nonzero((d[own] < d[other]) & (c[own] != c[other]) & (PERCENT * n[own] <= 100 * n[other]) & (PERCENT * n[other] <= 100 * n[own]))
+                i, j = np.nonzero((d[own] < d[other]) & (c[own] != c[other]) & (g[own] != g[other]) & (PERCENT * n[own] <= 100 * n[other]) & (PERCENT * n[other] <= 100 * n[own]))
                 i, j = i + at, j + lo
                 pairs.append((d[i], d[j], common(np.minimum(n[i], n[j]).astype(np.int64))))
                 total += len(i)
@@ -261,24 +263,59 @@ def _candidates(found: DataFrame, comp: DataFrame, buckets: int) -> DataFrame:
             done.append(_counted(*map(np.concatenate, zip(*pairs))))
         return pd.concat(done) if done else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("a", "b", "low", "k")})
 
-    met = _lists(found, comp, buckets).groupBy("bucket").applyInPandas(find, "a long, b long, low long, k long")
+    met = _lists(found, comp, buckets, cluster=cluster).groupBy("bucket").applyInPandas(find, "a long, b long, low long, k long")
     return met.groupBy("a", "b", "low").agg(F.sum("k").alias("k")).where("k >= low").select("a", "b").distinct()
 
 
+def _overlap_reaches(a: np.ndarray, b: np.ndarray) -> bool:
+    """The smaller sorted set probes the larger one by binary search."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < PERCENT * len(b):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _within_clusters(cluster: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among documents of one cluster that are of different components, tile by tile."""
+    d = cluster.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+    torn = d.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y")
+    tile = F.pmod(F.xxhash64("node"), F.expr(f"(size + {TILE - 1}) div {TILE}")).cast("int")
+    d = cut(d.join(torn, "g").select("g", "node", "c", tile.alias("tile")))
+    tiles = d.select("g", "tile").distinct()
+    both = tiles.join(tiles.withColumnRenamed("tile", "other"), "g").where("tile <= other").withColumn("task", F.xxhash64("g", "tile", "other"))
+    sent = both.select("g", "task", F.explode_outer(F.array_distinct(F.array("tile", "other"))).alias("tile")).join(d, ["g", "tile"]).join(sets, "node").select("task", "node", "c", "tile", "set")
+
+    def meet(b: pd.DataFrame) -> pd.DataFrame:
+        out, x = [], [np.frombuffer(v, np.uint64) for v in b.set]
+        node, c, tile = b.node.to_numpy(), b.c.to_numpy(), b.tile.to_numpy()
+        root = {int(k): int(k) for k in c}
+
+        def find(k):
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        far = tile.min() != tile.max()
+        for i in range(len(x)):
+            for j in np.flatnonzero((tile[i + 1:] != tile[i]) if far else (tile[i + 1:] == tile[i])) + i + 1:
+                p, q = find(int(c[i])), find(int(c[j]))
+                if p != q and _overlap_reaches(x[i], x[j]):
+                    root[p] = q
+                    out.append((int(node[i]), int(node[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return sent.groupBy("task").applyInPandas(meet, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sets reach the threshold: the smaller set probes the larger by binary search."""
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            both = int((b[at] == a).sum())
-            out.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        return pd.Series(out, dtype="bool")
+        return pd.Series([_overlap_reaches(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y)], dtype="bool")
 
     def side(name: str, column: str) -> DataFrame:
         ids = _small(pairs.select(F.col(name).alias("node")).distinct(), small)
@@ -310,12 +347,17 @@ def linked(docs: DataFrame, stars: int = 2) -> tuple[DataFrame, DataFrame]:
     left = cut(shared_shingles(rest, buckets, False).select("node"))
     found = cut(shared_shingles(only(left), buckets, True))
     sets = cut(only(found).mapInPandas(encode, "node long, set binary").where("length(set) > 0"))
-    links, comp = None, None
+    links, comp, cluster = None, None, None
     for _ in range(stars):
-        more = cut(_verified(cut(_stars(found, comp, buckets)), sets))
+        met = cut(_stars(found, comp, buckets))
+        if cluster is None:
+            cluster = cut(met.select(F.col("a").alias("node"), F.col("b").alias("g")).unionAll(met.select(F.col("b").alias("node"), F.col("b").alias("g"))).groupBy("node").agg(F.min("g").alias("g")))
+        more = cut(_verified(met, sets))
         links = more if links is None else links.unionAll(more)
         comp = cut(components(links))
-    links = links.unionAll(cut(_verified(cut(_candidates(found, comp, buckets)), sets)))
+    links = links.unionAll(cut(_within_clusters(cluster, comp, sets)))
+    comp = cut(components(links))
+    links = links.unionAll(cut(_verified(cut(_candidates(found, comp, cluster, buckets)), sets)))
     # a copy keeps a document's other texts and its own first one together
     links = links.unionAll(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     return copies, components(links)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, groups_for, without
+from ledgerloom.llm.common import SLICED, cut, groups_for, sliced, unsliced, without
 
 DEPTH, GRAM = 50, 18
 SEGMENT = 1 << 20  # bytes hashed at once
@@ -163,37 +163,17 @@ def shared_minimisers(docs: DataFrame, buckets: int) -> DataFrame:
         start, which = np.flatnonzero(first), np.cumsum(first) - 1
         many = (doc[start] != doc[np.append(start[1:], len(h)) - 1])[which] | known
         h, doc, mark = h[many], doc[many], mark[many]
-        return _sliced(buckets, doc, mark, h.view(np.int64))
+        return sliced(buckets, doc, mark, h)
 
     def gather(b: pd.DataFrame) -> pd.DataFrame:
-        doc, mark, h = (np.frombuffer(b"".join(b[c]), np.int64) for c in ("doc", "mark", "x"))
-        rows = [(d, m, np.unique(x).tobytes()) for d, m, x in _each(doc, mark, h)]
+        rows = [(d, m, np.unique(x[:, 0].view(np.uint64)).tobytes()) for d, m, x in unsliced(b, 1)]
         return pd.DataFrame(rows, columns=["doc_id", "mark", "h"])
 
     sent = docs.select("doc_id", "mark", "text").mapInPandas(send, "bucket long, h binary, doc binary, mark binary, known binary")
-    found = sent.groupBy("bucket").applyInPandas(find, "slice long, doc binary, mark binary, x binary")
+    found = sent.groupBy("bucket").applyInPandas(find, SLICED)
     return found.groupBy("slice").applyInPandas(gather, "doc_id long, mark long, h binary")
 
 
-def _sliced(slices: int, doc: np.ndarray, mark: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
-    """Entries packed by slice of documents, so that rows do not grow as documents times buckets."""
-    to = ((doc.astype(np.uint64) ^ mark.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(slices)
-    by = np.argsort(to, kind="stable")
-    x = np.stack(values, 1) if len(values) > 1 else values[0]
-    rows = [(int(to[p[0]]), doc[p].tobytes(), mark[p].tobytes(), np.ascontiguousarray(x[p]).tobytes()) for p in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(p)]
-    return pd.DataFrame(rows, columns=["slice", "doc", "mark", "x"])
-
-
-def _each(doc: np.ndarray, mark: np.ndarray, x: np.ndarray):
-    """(doc_id, mark, its values) for each document among entries."""
-    order = np.lexsort((mark, doc))
-    doc, mark, x = doc[order], mark[order], x[order]
-    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(mark) != 0)) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(doc)]):
-        if hi > lo:
-            yield int(doc[lo]), int(mark[lo]), x[lo:hi]
-
-
 def _base(docs: DataFrame) -> DataFrame:
     """All rows by a key that is never null: both joins with texts read one and the same shuffle of them."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
@@ -201,7 +181,7 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(slice, doc, mark, x binary of (start, end) pairs), packed: what smaller doc_ids hold too."""
+    """Spans (start, end) by (doc_id, mark), packed by slice: what smaller doc_ids hold too."""
     lists = shared.select(F.col("doc_id").alias("key"), "mark", "h")
     held = _base(docs).join(lists.hint("shuffle_hash"), ["key", "mark"]).select("doc_id", "mark", "text", "h")
 
@@ -253,10 +233,10 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         if lot:
             gone += _windows(lot)
         a = np.array(gone, np.int64).reshape(-1, 4)
-        return _sliced(buckets, a[:, 0].copy(), a[:, 1].copy(), a[:, 2], a[:, 3])
+        return sliced(buckets, a[:, 0].copy(), a[:, 1].copy(), a[:, 2], a[:, 3])
 
     sent = held.mapInPandas(send, "bucket long, h binary, doc binary, mark binary, start binary, sizes binary, data binary")
-    return sent.groupBy("bucket").applyInPandas(find, "slice long, doc binary, mark binary, x binary")
+    return sent.groupBy("bucket").applyInPandas(find, SLICED)
 
 
 def _packed(rows: list) -> pd.DataFrame:
@@ -321,15 +301,13 @@ def spans_of(docs: DataFrame) -> DataFrame:
     def whole(batches):
         for b in batches:
             doc, mark, n = (b[c].to_numpy(np.int64) for c in ("doc_id", "mark", "n"))
-            yield _sliced(buckets, doc, mark, np.zeros(len(n), np.int64), n)
+            yield sliced(buckets, doc, mark, np.zeros(len(n), np.int64), n)
 
     def gather(b: pd.DataFrame) -> pd.DataFrame:
-        doc, mark = (np.frombuffer(b"".join(b[c]), np.int64) for c in ("doc", "mark"))
-        spans = np.frombuffer(b"".join(b.x), np.int64).reshape(-1, 2)
-        rows = [(d, m, _union(x).tobytes()) for d, m, x in _each(doc, mark, spans)]
+        rows = [(d, m, _union(x).tobytes()) for d, m, x in unsliced(b, 2)]
         return pd.DataFrame(rows, columns=["doc_id", "mark", "spans"])
 
-    every = parts.unionAll(copies.mapInPandas(whole, "slice long, doc binary, mark binary, x binary"))
+    every = parts.unionAll(copies.mapInPandas(whole, SLICED))
     return every.groupBy("slice").applyInPandas(gather, "doc_id long, mark long, spans binary")
 
 
