@@ -1,2 +1,284 @@
+"""Queries over training features, masks, splits and rankings; sources and sinks."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ledgerloom import catalog_flow as cf
+from ledgerloom import catalog_graph as cg
+from ledgerloom.catalog_flow import GRAPH, hp, joined
+from ledgerloom.operators import evaluate, export, features, flow, identity, masking
+from ledgerloom.plans.fixpoint import scratch_dir
+from ledgerloom.sources import fixtures as fx
+from ledgerloom.sources import ledger as files
+from ledgerloom.sources.fixtures import with_
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+NAMES = list(features.ACCOUNT_FEATURES)
+_WCC = cg.WCC_SQL
+_PR = cg.PR_SQL[len(GRAPH):].lstrip(",\n")
+_TRI = cg._triangle_sql(1000)[len(GRAPH):].lstrip(",\n")
+_TRI = _TRI[_TRI.index("deg AS"):]
+_TRI_CTES, _TRI_SELECT = _TRI.rsplit("\nSELECT", 1)
+RAW_SQL = f"""{_WCC},
+{_PR}, {_TRI_CTES}, tri AS (SELECT{_TRI_SELECT}),
+{cf.MONEY_SQL}, {cf.TEMPORAL_SQL}, {cf.IDENTITY_SQL},
+raw AS (SELECT a.id, round(coalesce(pr, 0), 6) AS pagerank, com_size, (SELECT count(*) FROM both_ WHERE src = a.id) AS aa_degree, triangle_count, clustering_coef,
+  in_degree, out_degree, in_amount, out_amount, in_txns AS in_txn_count, out_txns AS out_txn_count, fan_in_ratio, fan_out_ratio, pass_through_ratio, net_flow,
+  activity_span_days, days_since_last_txn, account_age_days, mean_inter_txn_days, txn_per_active_day, burst_ratio, active_bin_count, activity_concentration, peak_bin_fraction, early_late_ratio, in_out_lag_days,
+  device_share_cnt, ip_share_cnt, phone_share_cnt, email_share_cnt, CAST(a.id % 9 = 0 AS INT) AS is_external
+  FROM accounts a JOIN label USING (id) JOIN sized USING (com_id) JOIN tri USING (id) JOIN money_flow USING (id) JOIN temporal USING (id) JOIN identity USING (id) LEFT JOIN pr{cg.PR_ROUNDS} p ON p.id = a.id)"""
+_FORM = {"identity": "{0}", "log1p": "ln(1 + greatest({0}, 0))", "symlog": "CASE WHEN {0} >= 0 THEN ln(1 + {0}) ELSE -ln(1 - {0}) END", "clamp": "CASE WHEN {0} = -1 THEN 0 ELSE {0} END", "boolean": "CASE WHEN {0} <> 0 THEN 1 ELSE 0 END"}
+FEATURE_SQL = RAW_SQL + ",\nfeat AS (SELECT id, " + ", ".join("CAST(" + _FORM[t].format(f"CAST({k} AS DOUBLE)") + f" AS DOUBLE) AS {k}" for k, t in features.ACCOUNT_FEATURES.items()) + " FROM raw)"
+
+
+def raw(spark, sf_dir):
+    """All attributes of every account, written back to one frame by joins on the id."""
+    ids, flows = fx.accounts(spark, sf_dir), hp(spark, sf_dir)
+    edges = flow.account_edges(flows)
+    d = ids.join(cg._fixed(spark, sf_dir), "id", "left").na.fill(0.0, ["pagerank"])
+    for more in (cg.wcc(spark, sf_dir), cg.graph.aa_degree(ids, edges), cg.graph.triangles(ids, edges), flow.money_flow(ids, flows), flow.temporal_features(ids, flows), identity.identity_sharing(ids, fx.owners(spark, sf_dir), fx.identities(spark, sf_dir))):
+        d = d.join(more, "id")
+    return d.withColumnsRenamed({"in_txns": "in_txn_count", "out_txns": "out_txn_count"}).withColumn("is_external", F.expr("cast(id % 9 = 0 as int)"))
+
+
+def _features(spark, sf_dir):
+    return features.account_features(raw(spark, sf_dir))
+
+
+def rounded(d, names, places=5):
+    return d.select("id", *((F.round(k, places) + F.lit(0.0)).alias(k) for k in names))
+
+
+@query(FEATURE_SQL + " SELECT id, " + ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in NAMES) + " FROM feat")
+def account_features(spark, sf_dir):
+    return rounded(_features(spark, sf_dir), NAMES, 6)
+
+
+@query(FEATURE_SQL + ", train AS (SELECT * FROM feat WHERE id % 5 <> 0) SELECT id, " + ", ".join(f"round((f.{k} - s.{k}_m) / greatest(s.{k}_s, 1e-6), 4) + 0.0 AS {k}" for k in NAMES) + " FROM feat f, (SELECT " + ", ".join(f"avg({k}) AS {k}_m, stddev_pop({k}) AS {k}_s" for k in NAMES) + " FROM train) s")
+def normalised_features(spark, sf_dir):
+    d = _features(spark, sf_dir)
+    return rounded(features.normalise(d, features.fit_normaliser(d.where("id % 5 <> 0"), NAMES), NAMES), NAMES, 4)
+
+
+@query(RAW_SQL + """ SELECT count(*) AS total_accounts, count(*) FILTER (days_since_last_txn = -1) AS no_last_txn, count(*) FILTER (account_age_days = -1) AS no_age, count(*) FILTER (mean_inter_txn_days = -1) AS no_gap,
+  count(*) FILTER (days_since_last_txn = -1 AND in_txn_count + out_txn_count = 0) AS no_last_and_no_txns, count(*) FILTER (mean_inter_txn_days = -1 AND in_txn_count + out_txn_count = 1) AS no_gap_and_one_txn,
+  count(*) FILTER (activity_span_days = 0) AS span_zero, count(*) FILTER (activity_span_days <> 0) AS span_nonzero, min(com_size) AS min_com_size, max(com_size) AS max_com_size FROM raw""")
+def sentinel_counts(spark, sf_dir):
+    return features.sentinel_counts(raw(spark, sf_dir))
+
+
+_LABELS = ", target AS (SELECT id, is_mule AS label FROM mules), long AS (" + " UNION ALL ".join(f"SELECT id, label, '{k}' AS feature, {k} AS score FROM feat JOIN target USING (id)" for k in ("in_degree", "out_degree", "net_flow", "device_share_cnt", "aa_degree", "is_external")) + ")"
+SOME = ["in_degree", "out_degree", "net_flow", "device_share_cnt", "aa_degree", "is_external"]
+
+
+def _target(spark, sf_dir):
+    return fx.mules(spark, sf_dir).withColumnRenamed("is_mule", "label")
+
+
+def _some(spark, sf_dir):
+    return rounded(_features(spark, sf_dir), SOME, 6)
+
+
+@query(FEATURE_SQL + _LABELS + """, r AS (SELECT feature, label, round(score, 6) AS score, count(*) OVER (PARTITION BY feature) AS N, sum(label) OVER (PARTITION BY feature) AS P,
+  rank() OVER (PARTITION BY feature ORDER BY round(score, 6)) + (count(*) OVER (PARTITION BY feature, round(score, 6)) - 1) / 2.0 AS mid FROM long),
+auc AS (SELECT feature, round((sum(mid) FILTER (label = 1) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(N) - max(P))), 6) AS auc FROM r GROUP BY feature)
+SELECT feature, CAST(auc AS DOUBLE) AS auc, CAST(round(greatest(auc, 1 - auc), 6) AS DOUBLE) AS best_auc FROM auc""")
+def feature_auc(spark, sf_dir):
+    return evaluate.feature_auc(_some(spark, sf_dir), _target(spark, sf_dir), SOME)
+
+
+@query(FEATURE_SQL + _LABELS + """ SELECT feature, CASE WHEN stddev_pop(score) < 1e-12 OR stddev_pop(label) < 1e-12 THEN 0 ELSE round(corr(score, label), 5) END AS r FROM (SELECT feature, label, round(score, 6) AS score FROM long) GROUP BY feature""")
+def feature_corr(spark, sf_dir):
+    return evaluate.feature_corr(_some(spark, sf_dir), _target(spark, sf_dir), SOME)
+
+
+_EDGE_SQL = GRAPH + """, ref AS (SELECT max(last_ts) AS ref FROM hp),
+edge AS (SELECT src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(ln(1 + txn_count), 6) AS log_txns, round((last_ts - first_ts) / 86400.0, 6) AS span_days, CAST((SELECT count(*) FROM hp_bin b WHERE b.src = hp.src AND b.dst = hp.dst AND b.cnt > 0 AND b.i < {w}) AS DOUBLE) AS active_bins,
+  round(greatest((ref - last_ts) / 86400.0, 0), 6) AS recency_days, round(greatest((last_ts - first_ts) / 86400.0, 0), 6) AS duration_days, round(total_amount / txn_count, 6) AS amount_per_txn FROM hp, ref)"""
+WIDTH = 4
+
+
+def _edges(spark, sf_dir):
+    flows = hp(spark, sf_dir)
+    return features.edge_features(flows, flows.agg(F.max("last_ts")), WIDTH)
+
+
+@query(_EDGE_SQL.replace("{w}", str(WIDTH)) + f" SELECT *, round(active_bins / {WIDTH}, 6) AS active_fraction FROM edge")
+def edge_features(spark, sf_dir):
+    return _edges(spark, sf_dir).select("src", "dst", *(F.round(k, 6).alias(k) for k in ("log_amount", "log_txns", "span_days", "active_bins", "recency_days", "duration_days", "active_fraction", "amount_per_txn")))
+
+
+@query(f"""{GRAPH}, want AS (SELECT src, dst, unnest(range({WIDTH})) AS i FROM hp)
+SELECT w.src, w.dst, CAST(w.i AS INT) AS bin, round(ln(1 + CAST(coalesce(amt, 0) AS DOUBLE)), 6) AS log_amount, CAST(coalesce(cnt, 0) AS DOUBLE) AS txns FROM want w LEFT JOIN hp_bin b ON w.src = b.src AND w.dst = b.dst AND w.i = b.i""")
+def edge_bin_features(spark, sf_dir):
+    d = _edges(spark, sf_dir).select("src", "dst", "bins", F.explode_outer(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("bin"))
+    return d.select("src", "dst", "bin", F.round(F.get("bins", 2 * F.col("bin")), 6).alias("log_amount"), F.get("bins", 2 * F.col("bin") + 1).alias("txns"))
+
+
+MASK_SQL = with_("ledger", "accounts", "owners", "mules", "rings") + """,
+ends AS (SELECT src AS id, * FROM ring_ledger WHERE ring_id > 0 UNION ALL SELECT dst, * FROM ring_ledger WHERE ring_id > 0),
+ring AS (SELECT id, ring_id FROM (SELECT id, ring_id, row_number() OVER (PARTITION BY id ORDER BY ts, src, dst, amount, ring_id) AS r FROM ends) WHERE r = 1),
+held AS (SELECT m.id, is_mule, coalesce(ring_id, 0) AS ring_id FROM mules m LEFT JOIN ring USING (id)),
+mring AS (SELECT ring_id, row_number() OVER (ORDER BY md5('1337|ring|' || ring_id), ring_id) AS r FROM (SELECT DISTINCT ring_id FROM held WHERE is_mule = 1 AND ring_id > 0)),
+dark AS (SELECT ring_id FROM mring WHERE r <= (SELECT round_even(count(*) * 0.4, 0) FROM mring)),
+dealt AS (SELECT id, row_number() OVER (ORDER BY md5('1337|mule|' || id), id) AS r FROM held WHERE is_mule = 1 AND ring_id NOT IN (SELECT ring_id FROM dark)),
+shown AS (SELECT id FROM dealt WHERE r <= (SELECT round_even(sum(is_mule) * 0.3, 0) FROM held)),
+mask AS (SELECT id, is_mule, ring_id, CAST(id IN (SELECT id FROM shown) AS INT) AS pu_label, CASE WHEN is_mule = 0 THEN 0 WHEN id IN (SELECT id FROM shown) THEN 1 ELSE 2 END AS bucket,
+  CAST(ring_id IN (SELECT ring_id FROM dark) AS INT) AS forced_test FROM held),
+input AS (SELECT a.id, max(party) AS party, max(party // 2) AS entity FROM accounts a LEFT JOIN owners ON a.id = account GROUP BY a.id),
+member AS (SELECT m.*, CASE WHEN entity >= 0 THEN 'E:' || entity WHEN party IS NOT NULL THEN 'P:' || party ELSE 'solo:' || id END AS group_key FROM mask m JOIN input USING (id)),
+grp AS (SELECT group_key, max(forced_test) AS forced, max(pu_label) AS pos FROM member GROUP BY 1),
+free AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY md5('1337|group|' || group_key), group_key) AS r, count(*) OVER (PARTITION BY pos) AS k FROM grp WHERE forced = 0),
+quota AS (SELECT *, CASE WHEN pos = 0 THEN round_even(k * 0.2, 0) WHEN k = 1 THEN 0 WHEN k = 2 THEN 1 ELSE greatest(round_even(k * 0.2, 0), 1) END AS nv, greatest(round_even(k * 0.15, 0), 1) AS t1, round_even(k * 0.15, 0) AS t0 FROM free),
+placed AS (SELECT group_key, CASE WHEN r <= nv THEN 1 WHEN r <= nv + (CASE WHEN pos = 0 THEN t0 WHEN k <= 2 THEN 0 WHEN nv + t1 >= k THEN greatest(k - nv - 1, 1) ELSE t1 END) THEN 2 ELSE 0 END AS split FROM quota
+  UNION ALL SELECT group_key, 2 FROM grp WHERE forced = 1),
+split AS (SELECT id, group_key, split FROM member JOIN placed USING (group_key))"""
+
+
+def _mask(spark, sf_dir):
+    return masking.pu_mask(fx.mules(spark, sf_dir), masking.account_rings(fx.ring_ledger(spark, sf_dir)), 0.3, 0.4)
+
+
+def _split(spark, sf_dir):
+    inputs = masking.masking_inputs(fx.accounts(spark, sf_dir), fx.owners(spark, sf_dir), cg.entities(spark, sf_dir))
+    members = _mask(spark, sf_dir).join(inputs.select("id", masking.group_key().alias("group_key")), "id")
+    return masking.split_accounts(members.select("id", "group_key", "pu_label", "forced_test"))
+
+
+@query(f"{MASK_SQL} SELECT id, party, entity FROM input")
+def masking_inputs(spark, sf_dir):
+    return masking.masking_inputs(fx.accounts(spark, sf_dir), fx.owners(spark, sf_dir), cg.entities(spark, sf_dir))
+
+
+@query(f"{MASK_SQL} SELECT id, ring_id FROM ring")
+def account_rings(spark, sf_dir):
+    return masking.account_rings(fx.ring_ledger(spark, sf_dir))
+
+
+@query(f"{MASK_SQL} SELECT * FROM mask")
+def pu_mask(spark, sf_dir):
+    return _mask(spark, sf_dir)
+
+
+@query(f"{MASK_SQL} SELECT * FROM split")
+def split_accounts(spark, sf_dir):
+    return _split(spark, sf_dir)
+
+
+@query(f"{MASK_SQL} SELECT split, bucket, count(*) AS n, CAST(sum(is_mule) AS BIGINT) AS n_mules FROM mask JOIN split USING (id) GROUP BY ALL")
+def split_summary(spark, sf_dir):
+    return masking.split_summary(_mask(spark, sf_dir), _split(spark, sf_dir))
+
+
+@query(f"{MASK_SQL} SELECT id FROM split WHERE split = 1")
+def split_accounts_scan(spark, sf_dir):
+    return masking.accounts_of(masking.flags(_split(spark, sf_dir)), "val")
+
+
+SCORES_SQL = with_("scores") + """,
+tot AS (SELECT count(*) AS N, CAST(sum(label) AS BIGINT) AS P FROM scores),
+g AS (SELECT score, count(*) AS n, sum(label) AS pos FROM scores GROUP BY score),
+down AS (SELECT *, sum(n) OVER (ORDER BY score DESC) AS n_to, sum(pos) OVER (ORDER BY score DESC) AS pos_to FROM g),
+rank_ AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place, sum(label) OVER (ORDER BY score DESC, id) AS pos_to FROM scores)"""
+KS_SQL = "ks(k) AS (VALUES (100), (250), (500), (1000)), hit AS (SELECT k, CAST(coalesce(max(pos_to), 0) AS BIGINT) AS tp FROM ks LEFT JOIN rank_ ON place <= k GROUP BY k)"
+
+
+@query(f"""{SCORES_SQL} SELECT max(tot.N) AS n, max(P) AS n_pos, round(sum((pos / P) * (pos_to / n_to)), 6) AS average_precision,
+  round((sum(pos * (tot.N - n_to + (n + 1) / 2.0)) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(tot.N) - max(P))), 6) AS roc_auc FROM down, tot""".replace("max(tot.N)", "max(tot.n)").replace("tot.N", "tot.n").replace("count(*) AS N, CAST(sum(label)", "count(*) AS n, CAST(sum(label)").replace("(n + 1)", "(down.n + 1)"))
+def ranking_metrics(spark, sf_dir):
+    return evaluate.ranking_metrics(fx.scores(spark, sf_dir))
+
+
+@query(f"{SCORES_SQL}, {KS_SQL} SELECT CAST(k AS BIGINT) AS k, round(tp / least(k, N), 6) AS precision FROM hit, tot")
+def precision_at_k(spark, sf_dir):
+    return evaluate.precision_at_k(fx.scores(spark, sf_dir))
+
+
+@query(f"{SCORES_SQL}, {KS_SQL} SELECT CAST(k AS BIGINT) AS k, tp AS hits, round(tp / P, 6) AS recall, round(least(1.0, k / P), 6) AS ceiling, round((tp / P) / least(1.0, k / P), 6) AS normalised FROM hit, tot")
+def hidden_recall(spark, sf_dir):
+    return evaluate.hidden_recall(fx.scores(spark, sf_dir))
+
+
+@query(f"""{SCORES_SQL}, ks AS (SELECT CAST(rate AS DOUBLE) AS rate, CAST(greatest(1, least(round_even(CAST(rate AS DOUBLE) * N, 0), N)) AS BIGINT) AS k FROM (VALUES (0.0005), (0.001), (0.005), (0.01), (0.02)) v(rate), tot)
+SELECT rate AS alert_rate, k, CAST(max(pos_to) AS BIGINT) AS tp, round(max(pos_to) / P, 6) AS recall, round(max(pos_to) / k, 6) AS precision, round((max(pos_to) / k) / (P / N), 6) AS lift FROM ks JOIN rank_ ON place <= k, tot GROUP BY rate, k, P, N""")
+def gains_table(spark, sf_dir):
+    return evaluate.gains_table(fx.scores(spark, sf_dir))
+
+
+@query(f"{SCORES_SQL} SELECT score AS threshold, round(pos_to / n_to, 6) AS precision, round(pos_to / P, 6) AS recall FROM down, tot")
+def pr_curve(spark, sf_dir):
+    return evaluate.pr_curve(fx.scores(spark, sf_dir))
+
+
+@query(f"{SCORES_SQL} SELECT label, CAST(least(floor((score / 40000) * 40), 39) AS INT) AS bin, count(*) AS n FROM scores GROUP BY ALL")
+def score_hist(spark, sf_dir):
+    return evaluate.score_histogram(fx.scores(spark, sf_dir).withColumn("score", F.col("score") / 40000))
+
+
+def _logits(spark, sf_dir):
+    return fx.scores(spark, sf_dir).select(((F.col("score") - 2500) / 1000).alias("logit"), F.col("label").alias("target"), "label")
+
+
+_LOGITS = SCORES_SQL + ", lg AS (SELECT (score - 2500) / 1000 AS logit, label FROM scores), risk AS (SELECT 0.3 * avg(1 / (1 + exp(logit))) FILTER (label = 1) AS p, avg(1 / (1 + exp(-logit))) FILTER (label = 0) - 0.3 * avg(1 / (1 + exp(-logit))) FILTER (label = 1) AS q FROM lg)"
+
+
+@query(f"{_LOGITS} SELECT round(p, 6) AS positive_risk, round(q, 6) AS negative_risk, round(CASE WHEN q < 0 THEN -q ELSE p + q END, 6) AS loss, q < 0 AS corrected FROM risk")
+def nnpu_loss(spark, sf_dir):
+    return evaluate.nnpu_loss(_logits(spark, sf_dir), 0.3)
+
+
+@query(f"""{_LOGITS}, c AS (SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, avg(logit) FILTER (label = 1) AS pm, avg(logit) FILTER (label = 0) AS nm, stddev_pop(logit) FILTER (label = 1) AS ps, stddev_pop(logit) FILTER (label = 0) AS ns FROM lg)
+SELECT n_pos, n_neg, round(pm, 6) AS pos_mean, round(nm, 6) AS neg_mean, round(ps, 6) AS pos_std, round(ns, 6) AS neg_std, round(pm - nm, 6) AS gap, CASE WHEN abs(pm - nm) < 0.05 THEN 'collapse' WHEN pm < nm THEN 'inversion' ELSE 'ok' END AS verdict FROM c""")
+def class_logits(spark, sf_dir):
+    return evaluate.class_logits(_logits(spark, sf_dir))
+
+
+@query(f"""{cf.LEDGER} SELECT CAST(src AS VARCHAR) AS from_id, CAST(dst AS VARCHAR) AS to_id, printf('%.2f', total_amount) AS total_amount, txn_count, first_ts AS first_txn, last_ts AS last_txn,
+  array_to_string(list_transform(range(num_bins), lambda i: printf('%.2f', CAST(coalesce(ma[CAST(i AS INT)], 0) AS DOUBLE))), ';') AS amount_bins, array_to_string(list_transform(range(num_bins), lambda i: CAST(coalesce(mc[CAST(i AS INT)], 0) AS VARCHAR)), ';') AS count_bins FROM flow""")
+def csv_roundtrip(spark, sf_dir):
+    """Flow edges written as the exchange CSV into shared scratch storage and loaded again."""
+    at = f"{scratch_dir(spark)}/flow-csv-{uuid.uuid4().hex}"
+    export.flow_csv_lines(flow.flow_agg(fx.peer_ledger(spark, sf_dir))).write.csv(at, header=True)
+    d = files.read_flow_edges(spark, at)
+    return d.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), F.format_string("%.2f", "total_amount").alias("total_amount"), "txn_count", F.col("first_ts").alias("first_txn"), F.col("last_ts").alias("last_txn"),
+                    joined("amount_bins").alias("amount_bins"), F.array_join(F.transform("count_bins", lambda x: x.cast("string")), ";").alias("count_bins"))
+
+
+@query("SELECT event_id, CAST(len(string_split(p, ';')) AS INT) AS n, list_sum(list_transform(string_split(p, ';'), lambda x: CAST(x AS DOUBLE))) AS total FROM (SELECT event_id, concat(CAST(event_id % 7 AS VARCHAR), ';', CAST(user_id AS VARCHAR), ';0.5') AS p FROM events)")
+def list_split(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "events").select("event_id", F.concat_ws(";", (F.col("event_id") % 7).cast("string"), F.col("user_id").cast("string"), F.lit("0.5")).alias("p"))
+    v = export.split_list(F.col("p"))
+    return d.select("event_id", F.size(v).alias("n"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS flagged FROM events")
+def conditional_load(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", "True").otherwise("False").alias("flagged_device"))
+    return d.select("event_id", export.flag(F.col("flagged_device")).alias("flagged"))
+
+
+@query(f"""{with_("accounts")}, up AS (SELECT id, id % 2 AS is_external, '' AS category FROM accounts UNION ALL SELECT id, 0, 'shop' FROM accounts WHERE id % 3 = 0 UNION ALL SELECT id + 100000, 0, 'bank' FROM accounts WHERE id % 5 = 0)
+SELECT id, CAST(max(is_external) AS INT) AS is_external, max(category) AS category FROM up GROUP BY id""")
+def vertex_upsert(spark, sf_dir):
+    """Accounts from three sources become one vertex each; a default never hides a value."""
+    a = fx.accounts(spark, sf_dir)
+    own = a.select("id", F.expr("cast(id % 2 as int)").alias("is_external"))
+    shops = a.where("id % 3 = 0").select("id", F.lit("shop").alias("category"))
+    banks = a.where("id % 5 = 0").select((F.col("id") + 100000).alias("id"), F.lit("bank").alias("category"))
+    return files.upsert([own, shops, banks], {"is_external": 0, "category": ""})

@@ -89,8 +89,8 @@ def feature_auc(features: DataFrame, labels: DataFrame, names: list[str]) -> Dat
     """(feature, auc, best_auc): rank-sum AUC of each feature alone; best_auc is sign-corrected."""
     g = long_features(features, labels, names).groupBy("feature", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
     up, whole = Window.partitionBy("feature").orderBy("score"), Window.partitionBy("feature")
-    g = g.select("feature", "n", "pos", F.sum("n").over(up).alias("to"), F.sum("n").over(whole).alias("N"), F.sum("pos").over(whole).alias("P"))
-    area = (F.sum(F.col("pos") * (F.col("to") - (F.col("n") - 1) / 2)) - F.max("P") * (F.max("P") + 1) / 2) / (F.max("P") * (F.max("N") - F.max("P")))
+    g = g.select("feature", "n", "pos", F.sum("n").over(up).alias("to"), F.sum("n").over(whole).alias("all_n"), F.sum("pos").over(whole).alias("all_pos"))
+    area = (F.sum(F.col("pos") * (F.col("to") - (F.col("n") - 1) / 2)) - F.max("all_pos") * (F.max("all_pos") + 1) / 2) / (F.max("all_pos") * (F.max("all_n") - F.max("all_pos")))
     return g.groupBy("feature").agg(F.round(area, 6).alias("auc")).select("feature", "auc", F.round(F.greatest("auc", 1 - F.col("auc")), 6).alias("best_auc"))
 
 

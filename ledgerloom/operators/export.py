@@ -39,9 +39,9 @@ def pages(vertices: DataFrame, limit: int = 5000, key: str = "id"):
 def flow_csv_lines(flows: DataFrame, decimals: int = 2) -> DataFrame:
     """Flow edges as the text columns of the exchange file: money and spans in fixed notation, bins joined by ';'."""
     fmt = f"%.{decimals}f"
-    at = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss")
+    at = lambda c: F.expr(f"date_format(timestampadd(SECOND, {c}, TIMESTAMP_NTZ'1970-01-01 00:00:00'), 'yyyy-MM-dd HH:mm:ss')")
     return flows.select(F.col("src").cast("string").alias("from_id"), F.col("dst").cast("string").alias("to_id"), F.format_string(fmt, "total_amount").alias("total_amount"), "txn_count",
-                        at(F.col("first_ts")).alias("first_txn_date"), at(F.col("last_ts")).alias("last_txn_date"), F.format_string("%.4f", "span_days").alias("span_days"), "num_bins", "bin_days",
+                        at("first_ts").alias("first_txn_date"), at("last_ts").alias("last_txn_date"), F.format_string("%.4f", "span_days").alias("span_days"), "num_bins", "bin_days",
                         F.array_join(F.transform("amount_bins", lambda x: F.format_string(fmt, x)), ";").alias("amount_bins"), F.array_join(F.transform("count_bins", lambda x: x.cast("string")), ";").alias("count_bins"))
 
 
