@@ -39,8 +39,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _shared(met: DataFrame) -> DataFrame:
-    """Keys that two different lines hold."""
-    return met.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a <> b or c <> d").select("half")
+    """Keys that two different lines hold; broadcast when measured to be few."""
+    both = met.select("half", F.xxhash64("h1", "h2").alias("h")).groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    return _small(cut(both.where("a <> b").select("half")), F.lit(16))
 
 
 def _shorten(rest: DataFrame) -> DataFrame:
@@ -64,13 +65,13 @@ def earliest_like(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # 0..3: first half for m = n - 1 and n, last half for m = n - 1 and n
     m = "(n - 1 + {k} % 2)"
     half = "CASE WHEN n >= {least} THEN xxhash64({m}, {k} div 2, {cut}) END"
-    keys = ", ".join(half.format(least=min_chars, k=k, m=m.format(k=k), cut=f"substring(line, 1, {m.format(k=k)} div 2)" if k < 2 else f"right(line, {m.format(k=k)} div 2)") for k in range(4))
-    seen = _lines(docs).withColumn("n", F.char_length("line")).select("h1", "h2", "pos", "n", F.expr(f"array({keys})").alias("halves"))
-    lines = cut(seen.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-                .select("h1", "h2", "pos", (F.col("pos") < F.col("last")).alias("again"), "n", "halves"))
+    keys = [half.format(least=min_chars, k=k, m=m.format(k=k), cut=f"substring(line, 1, {m.format(k=k)} div 2)" if k < 2 else f"right(line, {m.format(k=k)} div 2)") for k in range(4)]
+    seen = _lines(docs).withColumn("n", F.char_length("line")).select("h1", "h2", "pos", "n", *(F.expr(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    lines = cut(seen.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.min("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
+                .select("h1", "h2", "pos", (F.col("pos") < F.col("last")).alias("again"), "n", *(f"k{i}" for i in range(4))))
     twice = lines.where("again").select("h1", "h2", "pos")
 
-    met = lines.where(f"n >= {min_chars}").select("h1", "h2", F.posexplode("halves").alias("k", "half"))
+    met = lines.where(f"n >= {min_chars}").select("h1", "h2", F.posexplode_outer(F.array(*(f"k{i}" for i in range(4)))).alias("k", "half"))
     near = cut(met.join(_shared(met), "half").select("h1", "h2", "k", "half"))
     who = _small(near.select("h1", "h2").distinct(), F.lit(24))
     text = cut(lines.join(who, ["h1", "h2"], "left_semi").select("h1", "h2", "pos", "n")
