@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.fixpoint import components, cut, scratch_dir  # noqa: F401
+from ledgerloom.plans.fixpoint import components, cut, release, scratch_dir  # noqa: F401
 
 WORKING_SET_MB = 48  # what one Python group may hold before the number of groups is raised
 

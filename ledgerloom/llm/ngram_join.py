@@ -7,7 +7,7 @@ n - T + t of either document then hold t common ones, t = 1 + n div 8; these pre
 1. Copies of whole texts collapse to their first document. Shingles held once drop out of the inverted
    lists, and with them all documents that keep too few shared ones: first over prefixes, then, for the
    documents that are left, over whole sets, where T shared shingles are needed. Most documents end here.
-2. Star rounds: in lists of a few sampled shingles the most connected document is a pivot; each document
+2. A star round: in lists of a few sampled shingles the most connected document is a pivot; each document
    is compared with the pivot it meets most often. This settles groups of near copies with one comparison
    for each member, so no list is ever expanded into all of its pairs.
 3. Documents that met one pivot but are not connected yet form a cluster; its pairs are compared in tiles
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_MB, SLICED, components, cut, groups_for, measured_mb, sliced, unsliced, without
+from ledgerloom.llm.common import BROADCAST_MB, SLICED, components, cut, groups_for, measured_mb, release, sliced, unsliced, without
 
 WORDS, PERCENT = 5, 75
 TILE = 64  # documents of a cluster that are compared with as many others at once
@@ -216,7 +216,7 @@ def _counted(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> pd.DataFrame:
 
 
 def _stars(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
-    """(a, b): each document with the pivot of another component that it meets most often."""
+    """(a, b): each document with the pivot of another component (of any, without components) that it meets most often."""
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
         h, d, n, s, c, _ = _unpacked(b, **_LISTS)
@@ -329,7 +329,7 @@ def _small(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def linked(docs: DataFrame, stars: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copies (doc_id, mark, first), component (node, component)) of ``docs(doc_id, text, mark)``; nodes are doc_ids."""
     buckets = groups_for(docs, BUCKET_BYTES)
     ids = docs.select("doc_id", "mark", F.xxhash64(F.lit(1), "text").alias("twin")).distinct()
@@ -347,17 +347,15 @@ def linked(docs: DataFrame, stars: int = 2) -> tuple[DataFrame, DataFrame]:
     left = cut(shared_shingles(rest, buckets, False).select("node"))
     found = cut(shared_shingles(only(left), buckets, True))
     sets = cut(only(found).mapInPandas(encode, "node long, set binary").where("length(set) > 0"))
-    links, comp, cluster = None, None, None
-    for _ in range(stars):
-        met = cut(_stars(found, comp, buckets))
-        if cluster is None:
-            cluster = cut(met.select(F.col("a").alias("node"), F.col("b").alias("g")).unionAll(met.select(F.col("b").alias("node"), F.col("b").alias("g"))).groupBy("node").agg(F.min("g").alias("g")))
-        more = cut(_verified(met, sets))
-        links = more if links is None else links.unionAll(more)
-        comp = cut(components(links))
-    links = links.unionAll(cut(_within_clusters(cluster, comp, sets)))
+    release(docs.sparkSession)
+    met = cut(_stars(found, None, buckets))
+    cluster = cut(met.select(F.col("a").alias("node"), F.col("b").alias("g")).unionAll(met.select(F.col("b").alias("node"), F.col("b").alias("g"))).groupBy("node").agg(F.min("g").alias("g")))
+    links = cut(_verified(met, sets))
     comp = cut(components(links))
+    release(docs.sparkSession)
+    links = links.unionAll(cut(_within_clusters(cluster, comp, sets)))
     links = links.unionAll(cut(_verified(cut(_candidates(found, comp, cluster, buckets)), sets)))
+    release(docs.sparkSession)
     # a copy keeps a document's other texts and its own first one together
     links = links.unionAll(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     return copies, components(links)
