@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import sigmoid
+from ledgerloom.plans.ordered import running
 
 ALERT_RATES = (0.0005, 0.001, 0.005, 0.01, 0.02)
 KS = (100, 250, 500, 1000)
@@ -19,8 +20,8 @@ KS = (100, 250, 500, 1000)
 def by_score(scores: DataFrame) -> DataFrame:
     """(score, n, pos, n_to, pos_to, all_n, all_pos): counts of each score and running counts down the ranking."""
     g = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    down, whole = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return g.select("score", "n", "pos", F.sum("n").over(down).alias("n_to"), F.sum("pos").over(down).alias("pos_to"), F.sum("n").over(whole).alias("all_n"), F.sum("pos").over(whole).alias("all_pos"))
+    d = running(g, [F.desc("score")], {"n_to": F.col("n"), "pos_to": F.col("pos")})
+    return d.withColumnsRenamed({"n_to_all": "all_n", "pos_to_all": "all_pos"})
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.fixpoint import components, cut
+from ledgerloom.plans.ordered import numbered
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -104,8 +105,7 @@ def fastrp(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (1.0, 1
     """
     e = both_ways(edges).select("src", "dst")
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    # dense ids by counting smaller ids in two levels would be needed beyond one sort; ids are ordered once
-    vid = deg.select("src", "deg", F.dense_rank().over(Window.orderBy("src")).cast("long").alias("vid"))
+    vid = numbered(deg, [F.col("src")], "vid").withColumn("vid", F.col("vid") + 1)
     m = deg.agg(F.sum("deg").alias("m"))
     step = lambda r, _: (r * LCG_MULT + F.col("inc")) % LCG_MOD
     base = vid.join(F.broadcast(m)).withColumn("inc", F.col("vid") + LCG_INC).withColumn("r0", (F.col("inc") + LCG_MULT * F.lit(seed)) % LCG_MOD)

@@ -18,12 +18,18 @@ WEIGHTS = {"email": "0.50", "phone": "0.50", "birthdate": "0.30", "street": "0.2
 def identity_sharing(accounts: DataFrame, owners: DataFrame, identities: DataFrame) -> DataFrame:
     """For each account and kind the number of other accounts whose party holds the same value.
 
-    The four hops are first folded into distinct (account, kind, value); the rest is one self join.
+    The four hops are first folded into distinct (account, kind, value). An account with one value of a kind
+    shares it with all other holders, so counting holders answers it however many there are; only accounts
+    with several values of a kind are joined with the holders of these, to count each peer once.
     """
     held = owners.join(identities, "party").select("account", "kind", "value").distinct()
-    peer = held.alias("x").join(held.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.account") != F.col("y.account")))
-    n = peer.select(F.col("x.account").alias("id"), F.col("x.kind").alias("kind"), F.col("y.account").alias("other")).distinct().groupBy("id").agg(
-        *(F.count_if(F.col("kind") == k).alias(f"{k}_share_cnt") for k in KINDS))
+    holders = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = held.groupBy("account", "kind").agg(F.count(F.lit(1)).alias("values"), F.min("value").alias("value"))
+    one = values.where("values = 1").join(holders, ["kind", "value"]).select("account", "kind", (F.col("n") - 1).alias("n"))
+    many = held.join(values.where("values > 1").select("account", "kind"), ["account", "kind"], "left_semi")
+    peer = many.alias("x").join(held.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.account") != F.col("y.account")))
+    peer = peer.select(F.col("x.account").alias("account"), F.col("x.kind").alias("kind"), F.col("y.account").alias("other")).distinct().groupBy("account", "kind").agg(F.count(F.lit(1)).alias("n"))
+    n = one.unionAll(peer).groupBy(F.col("account").alias("id")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_share_cnt") for k in KINDS))
     return accounts.select("id").join(n, "id", "left").na.fill(0)
 
 

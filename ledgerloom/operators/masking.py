@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import shuffle_key
+from ledgerloom.plans.ordered import numbered
 
 TRAIN, VAL, TEST = 0, 1, 2
 UNLABELLED, REVEALED, HIDDEN = 0, 1, 2
@@ -30,9 +31,10 @@ def group_key(party="party", entity="entity", account="id"):
     return F.when(F.col(entity) >= 0, s("E:", entity)).when(F.col(party).isNotNull(), s("P:", party)).otherwise(s("solo:", account))
 
 
-def _rank(seed, name: str, key: str, partition: list[str] | None = None):
-    """Position in the seeded order, from 1. Only keys pass the window: groups, rings or positives, not rows."""
-    return F.row_number().over(Window.partitionBy(*(partition or [F.lit(name)])).orderBy(shuffle_key(seed, F.lit(name), key), key))
+def _placed(df: DataFrame, seed, name: str, key: str) -> DataFrame:
+    """``df`` with ``r``, the place of each key in the seeded order, from 1."""
+    d = numbered(df.withColumn("_key", shuffle_key(seed, F.lit(name), key)), [F.col("_key"), F.col(key)], "r")
+    return d.withColumn("r", F.col("r") + 1).drop("_key")
 
 
 def pu_mask(accounts: DataFrame, rings: DataFrame, reveal_prevalence: float = 0.10, dark_ring_fraction: float = 0.20, seed: int = 1337) -> DataFrame:
@@ -47,10 +49,10 @@ def pu_mask(accounts: DataFrame, rings: DataFrame, reveal_prevalence: float = 0.
     d = accounts.select("id", "is_mule").join(rings, "id", "left").withColumn("ring_id", F.coalesce("ring_id", F.lit(0)))
     mule_rings = d.where("is_mule = 1 and ring_id > 0").select("ring_id").distinct()
     n = mule_rings.agg(F.bround(F.count(F.lit(1)) * F.lit(dark_ring_fraction), 0).alias("n_dark"))
-    dark = mule_rings.withColumn("r", _rank(seed, "ring", "ring_id")).join(F.broadcast(n)).where("r <= n_dark").select("ring_id", F.lit(1).alias("dark"))
+    dark = _placed(mule_rings, seed, "ring", "ring_id").join(F.broadcast(n)).where("r <= n_dark").select("ring_id", F.lit(1).alias("dark"))
     d = d.join(dark, "ring_id", "left").withColumn("dark", F.coalesce("dark", F.lit(0)))
     want = d.agg(F.bround(F.sum("is_mule") * F.lit(reveal_prevalence), 0).alias("n_reveal"))
-    shown = d.where("is_mule = 1 and dark = 0").select("id").withColumn("r", _rank(seed, "mule", "id")).join(F.broadcast(want)).where("r <= n_reveal").select("id", F.lit(1).alias("shown"))
+    shown = _placed(d.where("is_mule = 1 and dark = 0").select("id"), seed, "mule", "id").join(F.broadcast(want)).where("r <= n_reveal").select("id", F.lit(1).alias("shown"))
     d = d.join(shown, "id", "left")
     pu = F.coalesce("shown", F.lit(0))
     return d.select("id", "is_mule", "ring_id", pu.alias("pu_label"), F.when(F.col("is_mule") == 0, UNLABELLED).when(pu == 1, REVEALED).otherwise(HIDDEN).alias("bucket"), F.col("dark").alias("forced_test"))
@@ -63,7 +65,7 @@ def split_accounts(members: DataFrame, val_fraction: float = 0.20, test_fraction
     train, with two val and train, with more at least one each of val and test. The others go by fraction.
     """
     g = members.groupBy("group_key").agg(F.max("forced_test").alias("forced"), F.max("pu_label").alias("pos"))
-    free = g.where("forced = 0").withColumn("r", _rank(seed, "group", "group_key", ["pos"]))
+    free = _placed(g.where("forced = 0 and pos = 1"), seed, "group", "group_key").unionAll(_placed(g.where("forced = 0 and pos = 0"), seed, "group", "group_key"))
     k = free.groupBy("pos").agg(F.count(F.lit(1)).alias("k"))
     n_val, n_test = F.bround(F.col("k") * F.lit(val_fraction), 0), F.bround(F.col("k") * F.lit(test_fraction), 0)
     low = lambda x: F.greatest(x, F.lit(1))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import shuffle_key
+from ledgerloom.plans.fixpoint import cut
+from ledgerloom.plans.ordered import numbered
 
 # Default fan-outs of the two rounds.
 FANOUTS = {"HAS_PAID": (15, 5), "Account_Account": (10, 5), "Account_Party": (5, 3), "Party_Entity": (5, 3), "Entity_Party": (10, 5), "Party_Account": (10, 5)}
@@ -49,13 +51,14 @@ def khop(seeds: DataFrame, rel: dict[str, DataFrame], fanouts: dict[str, tuple[i
     for r in range(2):
         step = lambda f, k: _step(f, rel[k], k, fanouts[k][r], seed, gated if TYPES[k][1] == "Account" else None, gate_first)
         ids = lambda d: d.select(F.col("to_id").alias("id")).distinct()
-        paid, sim, party = step(frontier, "HAS_PAID"), step(frontier, "Account_Account"), step(frontier, "Account_Party")
+        paid, sim, party = step(frontier, "HAS_PAID"), step(frontier, "Account_Account"), cut(step(frontier, "Account_Party"))
         entity = step(ids(party), "Party_Entity")
-        peers = step(ids(entity), "Entity_Party")
+        peers = cut(step(ids(entity), "Entity_Party"))
         acct = step(ids(peers), "Party_Account")
-        for e in (paid, sim, party, entity, peers, acct):
-            out = e if out is None else out.unionAll(e)
-        frontier = ids(paid.unionAll(sim).unionAll(acct))
+        # a round is read by the next one and by the result: materialised once
+        done = cut(paid.unionAll(sim).unionAll(party).unionAll(entity).unionAll(peers).unionAll(acct))
+        out = done if out is None else out.unionAll(done)
+        frontier = ids(done.where(F.col("e_type").isin("HAS_PAID", "Account_Account", "Party_Account")))
     return out.distinct()
 
 
@@ -93,16 +96,15 @@ def local_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
 def epoch_batches(labels: DataFrame, batch_size: int = 16, positives: int = 2, seed: int = 5, epoch: int = 0) -> DataFrame:
     """(batch, id, slot): every unlabelled account once, ``positives`` drawn with replacement for each batch.
 
-    ``labels(id, pu_label)``. The order is a hash; ranks are taken over one sort of ids.
+    ``labels(id, pu_label)``. The order is a hash; places in it are counted in stretches.
     """
     if positives < 1 or positives >= batch_size:
         raise ValueError("positives must be at least 1 and less than the batch size")
-    rank = lambda name: (F.row_number().over(Window.orderBy("key", "id")) - 1).alias(name)
     d = labels.withColumn("key", shuffle_key(f"{seed}|{epoch}", "id"))
     rest, pos = d.where("pu_label = 0"), d.where("pu_label = 1")
     room = batch_size - positives
-    un = rest.select("id", rank("r")).select(F.expr(f"cast(r div {room} as bigint)").alias("batch"), "id", F.expr(f"cast(r % {room} + {positives} as int)").alias("slot"))
-    p = pos.select("id", rank("r").cast("long"))
+    un = numbered(rest.select("id", "key"), [F.col("key"), F.col("id")], "r").select(F.expr(f"cast(r div {room} as bigint)").alias("batch"), "id", F.expr(f"cast(r % {room} + {positives} as int)").alias("slot"))
+    p = numbered(pos.select("id", "key"), [F.col("key"), F.col("id")], "r").select("id", "r")
     n = pos.agg(F.count(F.lit(1)).alias("n"))
     want = un.select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0), F.lit(positives - 1))).alias("slot")).join(F.broadcast(n))
     draw = F.conv(F.substring(shuffle_key(f"{seed}|{epoch}", "batch", "slot"), 1, 8), 16, 10).cast("long") % F.col("n")
