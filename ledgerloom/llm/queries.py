@@ -187,3 +187,33 @@ SELECT doc_id, domain, lang, source, CAST(t AS BIGINT) AS n_tokens, CAST(copies
 
 
 ORACLES["op6_mixing"] = _mixing_sql()
+
+
+ORACLES["op4_ngram_join"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM doc)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS p, doc_id AS q FROM documents UNION SELECT r.p, s.b FROM reach r JOIN sym s ON r.q = s.a),
+low AS (SELECT p, min(q) AS c FROM reach GROUP BY p)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM documents d LEFT JOIN size USING (doc_id) JOIN low ON low.p = d.doc_id
+"""
+
+ORACLES["op8_suffix_dedup"] = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS w FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM doc WHERE n >= 50)),
+first AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w),
+hit AS (SELECT doc_id, i FROM win JOIN first USING (w) WHERE doc_id > m),
+cut AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut),
+span AS (SELECT doc_id, g, min(i) AS s, max(i) + 50 AS e FROM run GROUP BY doc_id, g),
+gap AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM span),
+per AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM gap JOIN doc USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM doc d LEFT JOIN per USING (doc_id)
+"""
