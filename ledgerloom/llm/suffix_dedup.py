@@ -38,6 +38,8 @@ _r = np.random.default_rng(20)
 _TABLE = _r.integers(0, 1 << 64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: minimisers are compared as 48 bits, six bytes on the wire; two that agree by chance only cost a comparison of bytes
+_KEEP = np.uint64((1 << 48) - 1)
 _POWERS: list = []
 
 
@@ -79,7 +81,7 @@ def runs(segments: list[bytes], gram: int, depth: int):
     fresh[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
     at = np.flatnonzero(fresh)
     stop = np.flatnonzero(valid & ~np.concatenate([valid[1:] & ~fresh[1:], [False]]))
-    return np.stack([own[at], at, stop - at + 1], 1), least[at], data, ends - sizes
+    return np.stack([own[at], at, stop - at + 1], 1), least[at] & _KEEP, data, ends - sizes
 
 
 def msd_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
@@ -117,6 +119,16 @@ def _segments(batches, extra=lambda b, i: None):
         yield lot
 
 
+def _six(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0].astype(np.uint64)
+
+
 def _dealt(h: np.ndarray, doc: np.ndarray, mark: np.ndarray, buckets: int) -> pd.DataFrame:
     """Entries by bucket; see the module's words on minimisers that a batch holds often."""
     order = np.lexsort((doc, h))
@@ -134,7 +146,7 @@ def _dealt(h: np.ndarray, doc: np.ndarray, mark: np.ndarray, buckets: int) -> pd
     cuts = np.flatnonzero(np.diff(to[by])) + 1
     for part in np.split(by, cuts):
         if len(part):
-            out.append((int(to[part[0]]), h[part].tobytes(), doc[part].tobytes(), mark[part].tobytes(), known[part].tobytes()))
+            out.append((int(to[part[0]]), _six(h[part]), doc[part].tobytes(), mark[part].tobytes(), known[part].tobytes()))
     return pd.DataFrame(out, columns=["bucket", "h", "doc", "mark", "known"])
 
 
@@ -155,7 +167,8 @@ def shared_minimisers(docs: DataFrame, buckets: int) -> DataFrame:
             yield _dealt(*map(np.concatenate, zip(*held)), buckets)
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, doc, mark, known = (np.frombuffer(b"".join(b[c]), t) for c, t in (("h", np.uint64), ("doc", np.int64), ("mark", np.int64), ("known", bool)))
+        doc, mark, known = (np.frombuffer(b"".join(b[c]), t) for c, t in (("doc", np.int64), ("mark", np.int64), ("known", bool)))
+        h = _from_six(b"".join(b.h))
         order = np.lexsort((doc, h))
         h, doc, mark, known = h[order], doc[order], mark[order], known[order]
         first = np.ones(len(h), bool)
