@@ -29,14 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BROADCAST_MB, SLICED, components, cut, groups_for, measured_mb, release, sliced, unsliced, without
+from ledgerloom.llm.common import BROADCAST_MB, SLICED, components, cut, groups_for, lean, measured_mb, release, sliced, unsliced, without
 
 WORDS, PERCENT = 5, 75
 TILE = 64  # documents of a cluster that are compared with as many others at once
 SAMPLED = 24  # shingles of a document that take part in a star round
 BLOCK = 1 << 19  # pairs looked at together
-BUCKET_BYTES = 12 << 20
-LOT = 1 << 20
+BUCKET_BYTES = 6 << 20
+LOT = 1 << 18
 _r = np.random.default_rng(4)
 _TABLE = _r.integers(0, 1 << 64, 256, np.uint64)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z hash as a-z
@@ -80,29 +80,28 @@ def _combined(w: np.ndarray, size: int) -> np.ndarray:
     return _mix(out)
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; texts go through numpy in lots."""
-    out, lot, size = [], [], 0
+def _sets_of(lot: list[bytes]):
+    raw = b" ".join(lot)
+    w = word_hashes(raw)
+    blank = np.concatenate([[True], _BLANK[np.frombuffer(raw, np.uint8)]])
+    begins = np.flatnonzero(blank[:-1] & ~blank[1:]) if len(raw) else np.zeros(0, int)
+    edges = np.searchsorted(begins, np.cumsum([0] + [len(x) + 1 for x in lot]))
+    every = _combined(w, WORDS) if len(w) >= WORDS else np.zeros(0, np.uint64)
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield np.unique(every[a:b - WORDS + 1]) if b - a >= WORDS else _combined(w[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
-    def flush():
-        raw = b" ".join(lot)
-        w = word_hashes(raw)
-        blank = np.concatenate([[True], _BLANK[np.frombuffer(raw, np.uint8)]])
-        begins = np.flatnonzero(blank[:-1] & ~blank[1:]) if len(raw) else np.zeros(0, int)
-        edges = np.searchsorted(begins, np.cumsum([0] + [len(x) + 1 for x in lot]))
-        every = _combined(w, WORDS) if len(w) >= WORDS else np.zeros(0, np.uint64)
-        for a, b in zip(edges[:-1], edges[1:]):
-            out.append(np.unique(every[a:b - WORDS + 1]) if b - a >= WORDS else _combined(w[a:b], b - a) if b > a else np.zeros(0, np.uint64))
 
+def shingle_sets(texts):
+    """Sorted distinct shingle hashes of each text, one after the other; texts go through numpy in lots."""
+    lot, size = [], 0
     for t in texts:
         lot.append((t or "").encode())
         size += len(lot[-1])
         if size > LOT:
-            flush()
+            yield from _sets_of(lot)
             lot, size = [], 0
     if lot:
-        flush()
-    return out
+        yield from _sets_of(lot)
 
 
 def need(n):
@@ -135,12 +134,12 @@ def shared_shingles(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
     def send(batches):
         held, n = [], 0
         for b in batches:
-            for doc, s in zip(b.doc_id, shingle_sets(list(b.text))):
+            for doc, s in zip(b.doc_id, shingle_sets(b.text)):
                 if len(s):
                     p = s if whole else s[:len(s) - need(len(s)) + common(len(s))]
                     held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int32)))
                     n += len(p)
-                    if n >= 1 << 20:
+                    if n >= 1 << 18:
                         yield _packed(dict(zip("hdn", map(np.concatenate, zip(*held)))), buckets)
                         held, n = [], 0
         if n:
@@ -192,7 +191,7 @@ def _lists(found: DataFrame, comp: DataFrame | None, buckets: int, sample: int =
                     h = h[np.lexsort((h, np.frombuffer(df, np.int32)))[:max(0, int(n) - need(int(n)) + common(int(n)) - (int(n) - int(k)))]]
                 held.append((h, np.full(len(h), node, np.int64), np.full(len(h), n, np.int32), np.full(len(h), k / n, np.float32), np.full(len(h), c, np.int64), np.full(len(h), g, np.int64)))
                 total += len(h)
-            if total >= 1 << 19:
+            if total >= 1 << 18:
                 yield _packed(dict(zip("hdnscg", map(np.concatenate, zip(*held)))), buckets)
                 held, total = [], 0
         if total:
@@ -331,6 +330,7 @@ def _small(df: DataFrame, small: bool) -> DataFrame:
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copies (doc_id, mark, first), component (node, component)) of ``docs(doc_id, text, mark)``; nodes are doc_ids."""
+    lean(docs.sparkSession)
     buckets = groups_for(docs, BUCKET_BYTES)
     ids = docs.select("doc_id", "mark", F.xxhash64(F.lit(1), "text").alias("twin")).distinct()
     first = ids.groupBy("mark", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -342,7 +342,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def encode(batches):
         for b in batches:
-            yield pd.DataFrame({"node": b.doc_id, "set": [s.tobytes() for s in shingle_sets(list(b.text))]})
+            yield pd.DataFrame({"node": b.doc_id, "set": [s.tobytes() for s in shingle_sets(b.text)]})
 
     left = cut(shared_shingles(rest, buckets, False).select("node"))
     found = cut(shared_shingles(only(left), buckets, True))
@@ -371,7 +371,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def n_shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(s) for s in shingle_sets(list(texts))], dtype="int64")
+        return pd.Series([len(s) for s in shingle_sets(texts)], dtype="int64")
 
     own = d.select("doc_id", "mark", n_shingles(F.coalesce("text", F.lit(""))).alias("n_shingles"))
     own = own.join(comp, F.col("doc_id") == F.col("node"), "left")

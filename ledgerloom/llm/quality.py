@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out
+from ledgerloom.llm.common import held_out, lean
 
 SAMPLE = 4000
 PASSAGE = 512
@@ -122,6 +122,7 @@ class GatedAttention:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention:
     """Fit on at most ``sample`` labelled documents outside the held-out fifth; conflicting labels of an id are dropped."""
+    lean(docs.sparkSession)
     learn = labels.select("doc_id", F.col("quality").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     learn = learn.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
     learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y")

@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SLICED, cut, groups_for, sliced, unsliced, without
+from ledgerloom.llm.common import SLICED, cut, groups_for, lean, sliced, unsliced, without
 
 DEPTH, GRAM = 50, 18
-SEGMENT = 1 << 20  # bytes hashed at once
-BUFFER = 1 << 21  # entries a mapper gathers before it sends them
-BUCKET_BYTES = 12 << 20  # source bytes behind a bucket
+SEGMENT = 1 << 19  # bytes hashed at once
+BUFFER = 1 << 19  # entries a mapper gathers before it sends them
+BUCKET_BYTES = 8 << 20  # source bytes behind a bucket
 _r = np.random.default_rng(20)
 _TABLE = _r.integers(0, 1 << 64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -211,7 +211,7 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                     s, w = int(table[i, 1]), int(table[i, 2])
                     rows.append((int(h[i] % np.uint64(buckets)), int(h[i].view(np.int64)), doc, mark, lo + s - int(base[k]), raw[s:s + w + DEPTH - 1]))
                 n += len(hit)
-            if n >= BUFFER // 16:
+            if n >= BUFFER // 8:
                 yield _packed(rows)
                 rows, n = [], 0
         if rows:
@@ -301,6 +301,7 @@ def _union(spans: np.ndarray) -> np.ndarray:
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, spans binary of disjoint (start, end) pairs) of documents that lose bytes; mark is xxhash64(text)."""
+    lean(docs.sparkSession)
     buckets = groups_for(docs, BUCKET_BYTES)
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("doc_id is not null and text is not null")
     d = d.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import lean
+
 SPACE = "▁"
 MEMO = 400_000  # chunk outputs kept by one worker before its memory is dropped
 STATES = 300_000  # compiled states kept by one worker before compilation starts anew
@@ -177,6 +179,7 @@ def token_counter(path: str):
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs``; no shuffle."""
+    lean(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"),
                           token_counter(path)(text).alias("n_tokens"))

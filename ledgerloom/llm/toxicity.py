@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out
+from ledgerloom.llm.common import held_out, lean
 
 SAMPLE, FEATURES, SUPPORT = 8000, 1000, 3
 MEMO = 300_000
@@ -201,6 +201,7 @@ def _logistic(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 400
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = FEATURES) -> ToxicityModel:
     """Count the language model over all of ``docs``, then fit on a bounded labelled sample."""
+    lean(docs.sparkSession)
     cost = language_model(trigram_counts(docs))
     learn = labels.select("doc_id", F.col("toxic").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     learn = learn.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")

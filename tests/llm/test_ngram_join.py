@@ -45,7 +45,7 @@ def test_sets():
     texts = ["A b C d e f a b c d e", "\tone  two\n", "", None, " ", "É é x y z", "a b c d e " * 3000]
     assert [len(s) for s in j.shingle_sets(texts)] == [len(shingles(t)) for t in texts]
     a, b = j.shingle_sets(["A b c d e", "a B\nc\td e"])
-    assert (a == b).all() and j.shingle_sets(["a b"])[0] != j.shingle_sets(["ab"])[0]
+    assert (a == b).all() and next(j.shingle_sets(["a b"])) != next(j.shingle_sets(["ab"]))
 
 
 def test_random_near_copies(spark):
