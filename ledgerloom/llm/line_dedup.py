@@ -83,6 +83,9 @@ def earliest_like(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     less = rest.select("h1", "h2", "pos", "half", "rest", F.explode(F.sequence(F.lit(1), F.char_length("rest"))).alias("at")).select(
         "h1", "h2", "pos", "half", "at", F.expr("xxhash64(half, concat(left(rest, at - 1), substring(rest, at + 1)))").alias("key"))
     variants = whole.unionAll(less.where("at > 0"))
+    # first the keys alone, then the few variants that two lines share
+    both = variants.select("key", F.xxhash64("h1", "h2").alias("h")).groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    variants = cut(variants.join(_small(cut(both.where("a <> b").select("key")), F.lit(16)), "key", "left_semi"))
     me = F.struct("pos", "h1", "h2")
     # one substitution: the same place deleted; one insertion: a whole rest equal to another's variant
     first = variants.groupBy("key", "at").agg(F.min(me).alias("f"), F.max(me).alias("l"))
