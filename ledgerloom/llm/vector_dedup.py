@@ -5,8 +5,9 @@ orders: rows sorted by the signs and the value of seeded projections meet within
 of a sliding window. Then, round by round, each node joins a sample of its new neighbours with all
 sampled ones (neighbours of neighbours), better neighbours enter the lists, and nodes whose lists are
 saturated, that is hold only neighbours above the threshold, get lists of twice the size, until a round
-finds next to nothing. The graph is audited by brute force for a bounded, seeded set of query nodes
-against all rows, in blocks; while recall is low, more orders and rounds follow.
+finds next to nothing. That graph names components. A pass over all pairs, in blocks, then counts every
+partner of every node and joins the components that descent left apart, so counts and components are
+exact; its work grows with the square of the number of distinct vectors.
 
 Links are pairs with cosine >= ``threshold`` in double precision. Null, zero or non-finite vectors, or
 ones with null components, link with nothing; vectors of different length are never compared. Null
@@ -21,11 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, cut
+from ledgerloom.llm.common import components, cut, measured_mb
 
 THRESHOLD, SLACK = 0.9, 0.1  # lists also hold neighbours down to threshold - slack, to walk along
 ORDERS, BITS, BLOCK = 6, 8, 512
-LIST, ROUNDS, AUDIT, GOAL = 48, 10, 200, 0.98
+LIST, ROUNDS = 48, 10
+SLAB_MB, TILE = 24, (512, 4096)  # of the pass over all pairs: what is broadcast at once, what is multiplied at once
 
 
 def nodes_of(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -154,68 +156,123 @@ def _merged(known: DataFrame | None, found: DataFrame) -> DataFrame:
     return cut(rows.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new")))
 
 
-def _audit(graph: DataFrame, nodes: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of at most ``queries`` nodes (least hash) that the graph holds; brute force in blocks."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "unit").collect()
-    if not asked:
-        return 1.0
-    ids = np.array([r.node for r in asked], np.int64)
-    by_dim: dict[int, list[int]] = {}
-    for i, r in enumerate(asked):
-        by_dim.setdefault(len(r.unit), []).append(i)
-    q = {d: (ids[at], np.stack([np.frombuffer(asked[i].unit) for i in at])) for d, at in by_dim.items()}
-
-    def true(batches):
-        for b in batches:
-            out = []
-            size = b.unit.map(len)
-            for d, (own, x) in q.items():
-                rows = b[size == d]
-                if len(rows):
-                    s = x @ np.stack([np.frombuffer(u) for u in rows.unit]).T
-                    i, j = np.nonzero(s >= threshold)
-                    left, right = own[i], rows.node.to_numpy()[j]
-                    keep = left != right
-                    out.append(pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep]}))
-            yield pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    want = nodes.select("node", "unit").mapInPandas(true, "a long, b long").distinct()
-    row = want.join(graph.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k")).first()
-    return row.k / row.n if row.n else 1.0
-
-
 def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b, sim) between nodes, sim >= threshold."""
-    floor, orders, graph = threshold - SLACK, 0, None
-    for attempt in range(4):
-        for k in range(ORDERS):
-            found = _block_pairs(nodes, orders + k, floor)
-            more = found if k == 0 else more.unionAll(found)
-        orders += ORDERS
-        graph = _merged(graph, more)
-        before = graph.count()
-        for r in range(ROUNDS):
-            graph = _merged(graph, _local_join(graph, nodes, floor, LIST, r))
-            now = graph.count()
-            if now - before <= 0.001 * now:
-                break
-            before = now
-        if _audit(graph, nodes, threshold, AUDIT) >= GOAL:
+    """Links (a, b, sim) between nodes, sim >= threshold: those that NN-descent finds."""
+    floor = threshold - SLACK
+    for k in range(ORDERS):
+        found = _block_pairs(nodes, k, floor)
+        more = found if k == 0 else more.unionAll(found)
+    graph = _merged(None, more)
+    before = graph.count()
+    for r in range(ROUNDS):
+        graph = _merged(graph, _local_join(graph, nodes, floor, LIST, r))
+        now = graph.count()
+        if now - before <= 0.001 * now:
             break
+        before = now
     return graph.where(F.col("sim") >= threshold).select("a", "b", "sim")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float):
+    """Places (i, j) of all pairs with x[i] . y[j] >= threshold, tile by tile.
+
+    Single precision settles what its error cannot turn; the pairs within that error are multiplied again in double.
+    """
+    slack = (x.shape[1] + 4) * 2.0 ** -23
+    x1, y1 = x.astype(np.float32), y.astype(np.float32)
+    for top in range(0, len(x), TILE[0]):
+        for left in range(0, len(y), TILE[1]):
+            s = x1[top:top + TILE[0]] @ y1[left:left + TILE[1]].T
+            at = np.flatnonzero(s >= threshold - slack)
+            if not len(at):
+                continue
+            i, j = np.divmod(at, s.shape[1])
+            i, j, keep = i + top, j + left, s.ravel()[at] >= threshold + slack
+            close = np.flatnonzero(~keep)
+            for k in range(0, len(close), 1 << 16):
+                c = close[k:k + (1 << 16)]
+                keep[c] = np.einsum("ij,ij->i", x[i[c]], y[j[c]]) >= threshold
+            yield i[keep], j[keep]
+
+
+def _stacked(rows: pd.DataFrame) -> dict[int, tuple]:
+    """(ids, unit vectors, copies, labels) by length of the vector."""
+    return {size: (g.node.to_numpy(np.int64), np.stack([np.frombuffer(u) for u in g.unit]), g.copies.to_numpy(np.int64), g.label.to_numpy(np.int64))
+            for size, g in rows.groupby(rows.unit.map(len))}
+
+
+def exact_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All nodes against all: (node, others = vectors linked to it) and (a, b): labels of ``nodes`` that a link joins.
+
+    Slabs of nodes of at most ``SLAB_MB`` are broadcast one after the other and compared in place with every node of
+    their own and of earlier slabs. Partners are counted and links within a label are not handed on, so a large group
+    gives no rows by pairs.
+    """
+    spark = nodes.sparkSession
+    slabs = int(measured_mb(nodes, F.length("unit") + 24) // SLAB_MB) + 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = cut(nodes.select("node", "unit", "copies", "label", F.pmod("node", F.lit(slabs)).cast("int").alias("slab")).repartition(tasks))
+
+    def against(slab, shared):
+        def compare(batches):
+            held = shared.value
+            sums = {d: np.zeros(len(h[0])) for d, h in held.items()}
+            for b in batches:
+                out = []
+                for earlier, rows in b.groupby(b.slab < slab):
+                    for d, (ids, x, copies, labels) in _stacked(rows).items():
+                        if d not in held:
+                            continue
+                        own = np.zeros(len(ids))
+                        for i, j in _linked(x, held[d][1], threshold):
+                            other = ids[i] != held[d][0][j]
+                            i, j = i[other], j[other]
+                            own += np.bincount(i, held[d][2][j], len(ids))
+                            if earlier:
+                                sums[d] += np.bincount(j, copies[i], len(sums[d]))
+                            a, c = labels[i], held[d][3][j]
+                            cross = a != c
+                            if cross.any():
+                                out.append(pd.DataFrame({"a": np.minimum(a, c)[cross], "b": np.maximum(a, c)[cross], "n": 0}).drop_duplicates())
+                        out.append(_counted(ids, own))
+                if out:
+                    yield pd.concat(out)
+            for d, n in sums.items():
+                yield _counted(held[d][0], n)
+
+        return compare
+
+    parts = []
+    for k in range(slabs):
+        shared = spark.sparkContext.broadcast(_stacked(placed.where(F.col("slab") == k).select("node", "unit", "copies", "label").toPandas()))
+        found = placed.where(F.col("slab") <= k).mapInPandas(against(k, shared), "a long, b long, n long")
+        parts.append(cut(found.groupBy("a", "b").agg(F.sum("n").alias("n"))))
+        shared.destroy()
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionAll(more)
+    counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    return counts, found.where("a <> b").select("a", "b").distinct()
+
+
+def _counted(ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Counts above zero; a count has a = b, a joined pair of labels never has."""
+    at = np.flatnonzero(n)
+    return pd.DataFrame({"a": ids[at], "b": ids[at], "n": n[at].astype(np.int64)})
+
+
 def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept): links to other vectors and the smallest id reachable by them."""
     nodes, members = nodes_of(vectors)
     members = cut(members)
     links = cut(neighbour_graph(nodes, threshold))
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    degree = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
     first = nodes.select("node", "first", "copies")
     low = links.join(first.select(F.col("node").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("y")), "b")
     comp = components(low.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    per = first.join(degree, "node", "left").join(comp.withColumnRenamed("node", "first"), "first", "left")
-    per = per.select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "first").alias("c"))
+    named = cut(nodes.join(comp.withColumnRenamed("node", "first"), "first", "left").withColumn("label", F.coalesce("component", "first")))
+    degree, joins = exact_links(named, threshold)
+    whole = components(joins).withColumnRenamed("node", "label").withColumnRenamed("component", "joined")
+    per = named.select("node", "copies", "label").join(degree, "node", "left").join(whole, "label", "left")
+    per = per.select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("joined", "label").alias("c"))
     out = members.join(per, "node", "left").groupBy("vec_id").agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.min("c"), F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

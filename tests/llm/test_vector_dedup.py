@@ -39,3 +39,21 @@ def test_equals_brute_force(spark):
     assert found <= true and found >= 0.98 * true
     assert {k: x[1:] for k, x in got.items()} == {k: x[1:] for k, x in want.items()}
     assert v.link(df.limit(0)).count() == 0
+
+
+def test_isolated_pairs_that_no_order_brings_together(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = []
+    for _ in range(150):
+        c, d = r.normal(size=(2, 64))
+        c /= np.linalg.norm(c)
+        d -= (d @ c) * c
+        d /= np.linalg.norm(d)
+        rows += [(len(rows), c.tolist()), (len(rows) + 1, (0.91 * c + (1 - 0.91 ** 2) ** 0.5 * d).tolist())]
+    monkeypatch.setattr(v, "BITS", 16)  # as in a large table: near vectors seldom stand in one block
+    monkeypatch.setattr(v, "BLOCK", 2)
+    monkeypatch.setattr(v, "SLAB_MB", 0.05)  # and several slabs
+    monkeypatch.setattr(v, "TILE", (16, 32))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in v.link(df).collect()}
+    assert got == brute(rows) and all(x[0] == 1 for x in got.values())
