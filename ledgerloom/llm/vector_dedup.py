@@ -3,9 +3,9 @@
 Equal vectors are one node with a multiplicity. The neighbour graph starts from random-projection
 orders: rows sorted by the signs and the value of seeded projections meet within overlapping blocks
 of a sliding window. Then, round by round, each node joins a sample of its new neighbours with all
-sampled ones (neighbours of neighbours), better neighbours enter the lists, and nodes whose lists are
-saturated, that is hold only neighbours above the threshold, get lists of twice the size, until a round
-finds next to nothing. That graph names components. A pass over all pairs, in blocks, then counts every
+sampled ones (neighbours of neighbours), better neighbours enter the lists, and nodes with more than
+``LIST`` neighbours above threshold - slack are sampled at twice the size, until a round finds next to
+nothing. No sample decides a count. That graph names components. A pass over all pairs, in blocks, then counts every
 partner of every node and joins the components that descent left apart, so counts and components are
 exact; its work grows with the square of the number of distinct vectors.
 

@@ -57,3 +57,16 @@ def test_isolated_pairs_that_no_order_brings_together(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in v.link(df).collect()}
     assert got == brute(rows) and all(x[0] == 1 for x in got.values())
+
+
+def test_large_group_is_counted_whole(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    c = r.normal(size=32)
+    c /= np.linalg.norm(c)
+    rows = [(i, (c + r.normal(size=32) * 0.2 / 32 ** 0.5).tolist()) for i in range(500)]
+    monkeypatch.setattr(v, "BLOCK", 8)
+    monkeypatch.setattr(v, "LIST", 4)  # lists far shorter than the group, as in a group of a hundred thousand
+    monkeypatch.setattr(v, "ROUNDS", 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in v.link(df).collect()}
+    assert got == brute(rows) and max(x[0] for x in got.values()) > 400
