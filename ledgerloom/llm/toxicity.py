@@ -3,7 +3,8 @@
 Noisy-channel restoration: a character trigram model is counted over all documents; a word that
 looks disguised (digits or symbols for letters, separators between single letters, repeated
 letters) spans a lattice of readings, and Viterbi finds the likeliest one under channel and
-language model. A logistic model over words and word beginnings of the restored text gives the score.
+language model. Where the look may be ordinary (a doubled letter, a digit or symbol at the end, two dots)
+the plain word counts as well. Single characters in a row are read as one or several words. A logistic model over words and word beginnings of the restored text gives the score.
 
 Labels are learned from at most ``SAMPLE`` rows (least hash, outside the held-out fifth) and at
 most ``FEATURES`` features; the language model and the scoring cover every row and whole texts. Null
@@ -30,13 +31,18 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
             "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c"}
 SEPARATORS = " .-_*~'"
 SWAP, DROP, COLLAPSE = 1.5, 0.2, 0.7  # channel costs in nats: read a symbol as a letter, skip a separator, shorten a run
+PAIR = 3.0  # read a doubled letter as one: most are ordinary spelling
 N = 60  # 0 word boundary, 1-26 a-z, 27-58 Latin letters with marks, 59 any other letter
 _CODE = np.zeros(0x250, np.int64)
 for _c in range(0x250):
     _s = chr(_c).lower()[:1]
     _CODE[_c] = ord(_s) - 96 if "a" <= _s <= "z" else 27 + ord(_s) - 0xE0 if len(_s) == 1 and 0xE0 <= ord(_s) <= 0xFF else 59 if chr(_c).isalpha() else 0
-SPELLED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(€£¢]+[^\w\s]*[^\W\d_]|[0-9@$!|+€£¢]+[^\W\d_]{2}|([^\W\d_])\1\1|(?:[^\W_][.\-_*~']){3}")
+# Ordinary spelling or disguise: the restored words stand beside the plain ones.
+DOUBTFUL = re.compile(r"[^\W_][0-9@$!|+(€£¢]+$|([^\W\d_])\1|(?<![^\W_])(?:[^\W_][.\-_*~']){2}[^\W_]")
+SPELLED = 3  # least number of single characters in a row that are read as words
+LEFT, RIGHT = "\"'`.,;:!?()[]{}<>*%&#~-_+=/\\^", "\"'`.,;:!?()[]{}<>*%&#$~-_|+=/\\^"
+RIGHT_PLAIN = "".join(c for c in RIGHT if c not in READINGS)
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -101,6 +107,10 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
             arcs.append((i + 1, x, cost))
             if run[i] >= 3:
                 arcs += [(i + run[i], x, cost + COLLAPSE), (i + run[i], x + x, cost + COLLAPSE)]
+            elif run[i] == 2:
+                arcs.append((i + 2, x, cost + PAIR))
+        if c == " ":
+            arcs.append((i + 1, " ", 0.0))
         if c in SEPARATORS or not letters:
             arcs.append((i + 1, "", DROP))
         out.append(arcs)
@@ -135,6 +145,21 @@ def restore(word: str, cost: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def spelled(tokens: list[str]):
+    """Runs of tokens that are single characters once punctuation around them is off, joined by blanks."""
+    run: list[str] = []
+    for t in tokens:
+        c = t if len(t) == 1 else t.strip(LEFT)
+        if len(c) == 1:
+            run.append(c)
+        elif run:
+            if len(run) >= SPELLED:
+                yield " ".join(run)
+            run = []
+    if len(run) >= SPELLED:
+        yield " ".join(run)
+
+
 class Reader:
     """Words of a text as restored; remembers what it has decoded."""
 
@@ -143,11 +168,13 @@ class Reader:
 
     def words(self, token: str) -> tuple[str, ...]:
         if (known := self.memo.get(token)) is None:
-            bare = token.lstrip("\"'`.,;:!?()[]{}<>*%&#~-_+=/\\^").rstrip("\"'`.,;:!?()[]{}<>*%&#$~-_|+=/\\^")
+            bare, held = token.lstrip(LEFT).rstrip(RIGHT), token.lstrip(LEFT).rstrip(RIGHT_PLAIN)
             if DISGUISED.search(bare):
                 known = tuple(WORDS.findall(restore(bare, self.cost)))
             else:
                 known = tuple(WORDS.findall(bare))
+            if DOUBTFUL.search(held):
+                known = tuple(dict.fromkeys((*known, *WORDS.findall(restore(held, self.cost)))))
             if len(token) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -157,15 +184,16 @@ class Reader:
     def features(self, text: str) -> set[str]:
         text = text.lower()
         found: set[str] = set()
-        for token in set(text.split()):
+        tokens = text.split()
+        for token in set(tokens):
             for w in self.words(token):
                 if len(w) >= 3:
                     found.add(w)
                     if len(w) > 4:
                         found.add(w[:4] + "…")
                         found.add(w[:5] + "…")
-        for m in SPELLED.finditer(text):
-            found.update(WORDS.findall(restore(m[0], self.cost)))
+        for run in spelled(tokens):
+            found.update(WORDS.findall(restore(run, self.cost)))
         return found
 
 

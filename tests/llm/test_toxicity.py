@@ -55,3 +55,20 @@ def test_learns_and_edges(spark):
     held = [x for x in rows if x.held_out and x.doc_id is not None and x.doc_id not in (5, 6)]
     assert held and all(x.predicted == int(x.doc_id % 4 == 0) for x in held)
     assert t.score_toxicity(df.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def reader():
+    c = t.codes("  " + ("a moron and a loser met a traitor or scum " + TEXT + "they die at tras tree see ") * 50)
+    n = np.bincount(c[:-2] * t.N ** 2 + c[1:-1] * t.N + c[2:], minlength=t.N ** 3)
+    return t.Reader(t.language_model(n.reshape(t.N, t.N, t.N)))
+
+
+@pytest.mark.parametrize("seen,meant", [("i d i o t.", "idiot"), ("l o s e r,", "loser"), ("s c u m.", "scum"), ('"i d i o t"', "idiot"), ("i  d  i  o  t", "idiot"), ("a m o r o n", "moron"),
+                                        ("idio7", "idiot"), ("tra$", "tras"), ("tra$,", "tras"), ("stuupid", "stupid"), ("d.i.e", "die"), ("d.i.e.", "die")])
+def test_ordinary_disguises(reader, seen, meant):
+    assert meant in reader.features(f"so, {seen} they said")
+
+
+def test_ordinary_spelling_stays(reader):
+    assert {"tree", "windows7", "see"} <= reader.features("tree windows7! see.")
