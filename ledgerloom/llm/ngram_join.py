@@ -7,14 +7,14 @@ n - T + t of either document then hold t common ones, t = 1 + n div 8; these pre
 1. Copies of whole texts collapse to their first document. Shingles held once drop out of the inverted
    lists, and with them all documents that keep too few shared ones: first over prefixes, then, for the
    documents that are left, over whole sets, where T shared shingles are needed. Most documents end here.
-2. A star round: in lists of a few sampled shingles the most connected document is a pivot; each document
+2. A star round: in the lists of a few sampled shingles the document that shares most is a pivot; each document
    is compared with the pivot it meets most often. This settles groups of near copies with one comparison
    for each member, so no list is ever expanded into all of its pairs.
-3. Documents that met one pivot but are not connected yet form a cluster; its pairs are compared in tiles
-   of TILE by TILE documents, so a set travels once for each tile and not once for each pair.
-4. T-occurrence search among different clusters and components. The T - t longest lists of each document are set aside
-   (DivideSkip); its short lists are merged and counted, and documents that occur t times are probed for
-   the long ones by binary search in their sorted sets, which gives the exact overlap.
+3. T-occurrence search among the components that are left (DivideSkip). A document's T - t longest lists are set
+   aside; documents that share t short lists with another component gather, with their sets, in small groups
+   named after the pivots of their lists. There each one asks: its short lists are merged by a heap that skips what
+   cannot occur t times, what does is looked up in the long lists by binary search, and documents that reach the
+   required overlap are links. Only links that join two components leave a group, so rows grow with documents.
 
 Every pair that can reach the threshold and is not yet known to be connected is compared, so the
 components are those of all links. Defined results: texts of fewer than five words are one shingle;
@@ -24,6 +24,9 @@ component is null); several texts of one doc_id share its component; extra colum
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import BROADCAST_MB, SLICED, components, cut, groups_for, lean, measured_mb, release, sliced, unsliced, without
 
 WORDS, PERCENT = 5, 75
-TILE = 64  # documents of a cluster that are compared with as many others at once
 SAMPLED = 24  # shingles of a document that take part in a star round
-BLOCK = 1 << 19  # pairs looked at together
+GROUP, TILES = 1 << 19, 16  # shingles searched together (a document counts for 256 more); parts of a larger group
+DENSE = 1 << 12  # entries of short lists from which they may be added up
+ENTRIES, HOT = 1 << 18, 1 << 14  # entries sent together; repeats from which a shingle is dealt out by document
 BUCKET_BYTES = 6 << 20
 LOT = 1 << 18
 _r = np.random.default_rng(4)
@@ -105,19 +109,28 @@ def shingle_sets(texts):
 
 
 def need(n):
-    """Common shingles that a set of n needs with any partner."""
+    """T: common shingles that a set of n needs with any partner."""
     return -(-PERCENT * n // 100)
 
 
+LEAST = f"(({PERCENT} * n + 99) div 100)"
+
+
 def common(n):
     """t: common shingles within the two prefixes."""
     return 1 + n // 8
 
 
-def _packed(arrays: dict, buckets: int) -> pd.DataFrame:
-    to = (arrays["h"] % np.uint64(buckets)).astype(np.int64)
+def overlap(n, m):
+    """Common shingles that sets of n and m need."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+def _packed(to: np.ndarray, **arrays) -> pd.DataFrame:
+    """One row for each value of ``to``, with the entries that go there as bytes."""
     by = np.argsort(to, kind="stable")
-    rows = [(int(to[p[0]]), *(a[p].tobytes() for a in arrays.values())) for p in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(p)]
+    parts = np.split(by, np.flatnonzero(np.diff(to[by])) + 1)
+    rows = [(int(to[p[0]]), *(a[p].tobytes() for a in arrays.values())) for p in parts if len(p)]
     return pd.DataFrame(rows, columns=["bucket", *arrays])
 
 
@@ -125,145 +138,292 @@ def _unpacked(b: pd.DataFrame, **kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(b[k]), t) for k, t in kinds.items()]
 
 
-def shared_shingles(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
-    """(node, n, k, h binary, df binary): shingles that two documents hold, of documents that keep enough.
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """True where a run of equal keys begins; keys are in order."""
+    first = np.ones(len(keys[0]), bool)
+    if len(first):
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return first
+
+
+def _lots(batches, entries):
+    """Entries (h, d, n) of documents, some ENTRIES together."""
+    held, size = [], 0
+    for b in batches:
+        for doc, s in zip(b.doc_id, shingle_sets(b.text)):
+            if len(s):
+                p = entries(s)
+                held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int32)))
+                size += len(p)
+                if size >= ENTRIES:
+                    yield [np.concatenate(x) for x in zip(*held)]
+                    held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _by_doc(d: np.ndarray, buckets: int) -> np.ndarray:
+    return ((d.astype(np.uint64) * _STEP >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
 
-    Over prefixes in hash order or over whole sets; ``df`` is the number of documents that sent the shingle.
+def shared_in_prefix(docs: DataFrame, buckets: int) -> DataFrame:
+    """(node, n): documents that keep enough shared shingles in their prefix in hash order.
+
+    A shingle that several documents of a lot hold sends one entry to its own bucket; the other documents
+    already know it to be shared and their entries go to buckets of documents, so no bucket grows with a hot shingle.
     """
 
     def send(batches):
-        held, n = [], 0
-        for b in batches:
-            for doc, s in zip(b.doc_id, shingle_sets(b.text)):
-                if len(s):
-                    p = s if whole else s[:len(s) - need(len(s)) + common(len(s))]
-                    held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int32)))
-                    n += len(p)
-                    if n >= 1 << 18:
-                        yield _packed(dict(zip("hdn", map(np.concatenate, zip(*held)))), buckets)
-                        held, n = [], 0
-        if n:
-            yield _packed(dict(zip("hdn", map(np.concatenate, zip(*held)))), buckets)
+        for h, d, n in _lots(batches, lambda s: s[:len(s) - need(len(s)) + common(len(s))]):
+            order = np.lexsort((d, h))
+            h, d, n = h[order], d[order], n[order]
+            first = _runs(h)
+            at = np.flatnonzero(first)
+            known = (d[at] != d[np.append(at[1:], len(h)) - 1])[np.cumsum(first) - 1]
+            to = np.where(known & ~first, _by_doc(d, buckets), (h % np.uint64(buckets)).astype(np.int64))
+            yield _packed(to, h=h, d=d, n=n, known=known)
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, d, n = _unpacked(b, h=np.uint64, d=np.int64, n=np.int32)
-        order = np.lexsort((n, d, h))
-        h, d, n = h[order], d[order], n[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        which = np.cumsum(first) - 1
-        fresh = first.copy()
-        fresh[1:] |= d[1:] != d[:-1]
-        df = np.bincount(which, fresh, which[-1] + 1).astype(np.int64)[which]
-        many = df > 1
-        h, d, n, df = h[many], d[many], n[many], np.minimum(df[many], 1 << 30).astype(np.int32)
-        return sliced(buckets, d, n.astype(np.int64), h, df)
+        h, d, n, known = _unpacked(b, h=np.uint64, d=np.int64, n=np.int32, known=bool)
+        order = np.lexsort((d, h))
+        h, d, n, known = h[order], d[order], n[order], known[order]
+        first = _runs(h)
+        at = np.flatnonzero(first)
+        many = known | (d[at] != d[np.append(at[1:], len(h)) - 1])[np.cumsum(first) - 1]
+        d, n = d[many], n[many].astype(np.int64)
+        order = np.lexsort((n, d))
+        d, n = d[order], n[order]
+        at = np.flatnonzero(_runs(d, n))
+        return sliced(buckets, d[at], n[at], np.diff(np.append(at, len(d))))
 
     def gather(b: pd.DataFrame) -> pd.DataFrame:
-        rows = [(d, n, len(x), np.ascontiguousarray(x[:, 0]).tobytes(), x[:, 1].astype(np.int32).tobytes()) for d, n, x in unsliced(b, 2)]
-        return pd.DataFrame(rows, columns=["node", "n", "k", "h", "df"])
+        return pd.DataFrame([(d, n, int(x.sum())) for d, n, x in unsliced(b, 1)], columns=["node", "n", "k"])
 
-    sent = docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, d binary, n binary")
+    sent = docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, d binary, n binary, known binary")
     found = sent.groupBy("bucket").applyInPandas(find, SLICED)
-    kept = found.groupBy("slice").applyInPandas(gather, "node long, n int, k long, h binary, df binary")
-    least = f"(({PERCENT} * n + 99) div 100)"
-    return kept.where(F.expr(f"k >= {least}" if whole else f"k >= 1 + {least} div 8"))
+    return found.groupBy("slice").applyInPandas(gather, "node long, n long, k long").where(f"k >= 1 + {LEAST} div 8").select("node", "n")
 
 
-def _lists(found: DataFrame, comp: DataFrame | None, buckets: int, sample: int = 0, cluster: DataFrame | None = None) -> DataFrame:
-    """Inverted lists of the documents that are left, packed by bucket: h, node, n, share, component, cluster.
+def hot_shingles(docs: DataFrame, buckets: int) -> DataFrame:
+    """(h, df): shingles whose repeats within lots add up to more than HOT, at most entries / HOT rows.
 
-    With ``sample``, lists of the shingles of least hash; else a document's short lists: all but the T - t
-    longest, in the order (df, hash), of which those held once, n - k, come first and lead nowhere.
+    Their entries never gather by shingle; which shingles these are only decides how work is dealt out.
     """
-    d = found.select("node", "n", "k", "h", "df")
-    d = d.withColumn("c", F.col("node")) if comp is None else d.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "n", "k", "h", "df", F.coalesce("component", "node").alias("c"))
-    d = d.withColumn("g", F.col("node")) if cluster is None else d.join(cluster, "node", "left").withColumn("g", F.coalesce("g", "node"))
 
     def send(batches):
-        held, total = [], 0
-        for b in batches:
-            for node, n, k, h, df, c, g in zip(b.node, b.n, b.k, b.h, b.df, b.c, b.g):
-                h = np.frombuffer(h, np.uint64)
-                if sample:
-                    h = np.sort(h)[:sample]
-                else:
-                    h = h[np.lexsort((h, np.frombuffer(df, np.int32)))[:max(0, int(n) - need(int(n)) + common(int(n)) - (int(n) - int(k)))]]
-                held.append((h, np.full(len(h), node, np.int64), np.full(len(h), n, np.int32), np.full(len(h), k / n, np.float32), np.full(len(h), c, np.int64), np.full(len(h), g, np.int64)))
-                total += len(h)
-            if total >= 1 << 18:
-                yield _packed(dict(zip("hdnscg", map(np.concatenate, zip(*held)))), buckets)
-                held, total = [], 0
-        if total:
-            yield _packed(dict(zip("hdnscg", map(np.concatenate, zip(*held)))), buckets)
-
-    return d.mapInPandas(send, "bucket long, h binary, d binary, n binary, s binary, c binary, g binary")
+        for h, _, _ in _lots(batches, lambda s: s):
+            h = np.sort(h)
+            at = np.flatnonzero(_runs(h))
+            n = np.diff(np.append(at, len(h)))
+            h, n = h[at[n > 1]], n[n > 1]
+            if len(h):
+                yield _packed((h % np.uint64(buckets)).astype(np.int64), h=h, n=n.astype(np.int32))
 
+    def find(b: pd.DataFrame) -> pd.DataFrame:
+        h, n = _unpacked(b, h=np.uint64, n=np.int32)
+        order = np.argsort(h, kind="stable")
+        at = np.flatnonzero(_runs(h[order]))
+        df = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        return pd.DataFrame({"h": h[order][at][df > HOT].view(np.int64), "df": df[df > HOT]})
 
-_LISTS = dict(h=np.uint64, d=np.int64, n=np.int32, s=np.float32, c=np.int64, g=np.int64)
+    return docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, n binary").groupBy("bucket").applyInPandas(find, "h long, df long")
 
 
-def _counted(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> pd.DataFrame:
-    if not len(a):
-        return pd.DataFrame({"a": a, "b": b, "low": low, "k": low})
-    order = np.lexsort((b, a))
-    a, b, low = a[order], b[order], low[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    return pd.DataFrame({"a": a[at], "b": b[at], "low": low[at], "k": np.diff(np.append(at, len(a)))})
+def shared_lists(docs: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
+    """(node, n, k, short array, few array) of documents that keep enough shared shingles, by whole sets.
 
+    ``short``: shingles of the document's short inverted lists: all but the T - t longest in the order (df, hash), of which
+    those held once, n - k, come first and lead nowhere. ``few``: its SAMPLED shingles of least hash. df is the number of
+    documents that hold a shingle, for a hot one the number that was counted in lots; it is the same for all documents.
+    """
+    spark = docs.sparkSession
+    rows = hot.collect()
+    hot_h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    hot_df = np.array([r.df for r in rows], np.int64)
+    order = np.argsort(hot_h)
+    shared = spark.sparkContext.broadcast((hot_h[order], hot_df[order]))
 
-def _stars(found: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
-    """(a, b): each document with the pivot of another component (of any, without components) that it meets most often."""
+    def send(batches):
+        hot_h, hot_df = shared.value
+        for h, d, n in _lots(batches, lambda s: s):
+            at = np.minimum(np.searchsorted(hot_h, h), max(len(hot_h) - 1, 0))
+            is_hot = hot_h[at] == h if len(hot_h) else np.zeros(len(h), bool)
+            df = np.where(is_hot, hot_df[at], 0) if len(hot_h) else np.zeros(len(h), np.int64)
+            yield _packed(np.where(is_hot, _by_doc(d, buckets), (h % np.uint64(buckets)).astype(np.int64)), h=h, d=d, n=n, df=df.astype(np.int64))
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, d, n, s, c, _ = _unpacked(b, **_LISTS)
-        order = np.lexsort((d, -s, h))
-        h, d, n, c = h[order], d[order], n[order], c[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        at = np.flatnonzero(first)[np.cumsum(first) - 1]
-        ok = (c != c[at]) & (PERCENT * n <= 100 * n[at]) & (PERCENT * n[at] <= 100 * n)
-        return _counted(d[ok], d[at][ok], np.zeros(ok.sum(), np.int64))[["a", "b", "k"]]
-
-    met = _lists(found, comp, buckets, SAMPLED).groupBy("bucket").applyInPandas(find, "a long, b long, k long")
-    met = met.groupBy("a", "b").agg(F.sum("k").alias("k"))
-    return met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        h, d, n, df = _unpacked(b, h=np.uint64, d=np.int64, n=np.int32, df=np.int64)
+        order = np.lexsort((d, h))
+        h, d, n, df = h[order], d[order], n[order], df[order]
+        which = np.cumsum(_runs(h)) - 1
+        held = np.bincount(which, _runs(h, d), which[-1] + 1).astype(np.int64)[which]
+        df = np.where(df > 0, df, held)
+        many = df > 1
+        return sliced(buckets, d[many], n[many].astype(np.int64), h[many], df[many])
+
+    def gather(b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for d, n, x in unsliced(b, 2):
+            h, df = x[:, 0].view(np.uint64), x[:, 1]
+            if len(h) >= need(n):
+                short = h[np.lexsort((h, df))[:len(h) - need(n) + common(n)]]
+                rows.append((d, n, len(h), short.view(np.int64), np.sort(h)[:SAMPLED].view(np.int64)))
+        return pd.DataFrame(rows, columns=["node", "n", "k", "short", "few"])
+
+    sent = docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, d binary, n binary, df binary")
+    found = sent.groupBy("bucket").applyInPandas(find, SLICED)
+    return found.groupBy("slice").applyInPandas(gather, "node long, n long, k long, short array<long>, few array<long>")
 
 
-def _candidates(found: DataFrame, comp: DataFrame, cluster: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): pairs of different components and clusters that occur together t times in the short lists.
+def _stars(found: DataFrame) -> DataFrame:
+    """(a, b): each document with the pivot that it meets most often in the lists of its sampled shingles.
 
-    Lists are merged bucket by bucket, a block of sorted runs by one sort, as a heap would one entry
-    after the other; counts add up over buckets. Lists within one component are not expanded.
+    A list's pivot is the document that shares most; minima and maxima are pre-aggregated, lists are never gathered.
     """
+    e = found.select("node", "n", (F.col("k") / F.col("n")).alias("share"), F.explode("few").alias("h"))
+    pivot = e.groupBy("h").agg(F.max(F.struct("share", F.bitwise_not("node").alias("other"), "n")).alias("p"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    pivot = pivot.select("h", F.bitwise_not("p.other").alias("b"), F.col("p.n").alias("m"))
+    met = e.join(pivot, "h").where(f"node <> b and {PERCENT} * n <= 100 * m and {PERCENT} * m <= 100 * n").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
+    return met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
-    def find(b: pd.DataFrame) -> pd.DataFrame:
-        h, d, n, _, c, g = _unpacked(b, **_LISTS)
-        order = np.lexsort((d, h))
-        h, d, n, c, g = (x[order] for x in (h, d, n, c, g))
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
-        mixed = (np.minimum.reduceat(c, cuts[:-1]) != np.maximum.reduceat(c, cuts[:-1])) & (np.minimum.reduceat(g, cuts[:-1]) != np.maximum.reduceat(g, cuts[:-1])) if len(h) else np.zeros(0, bool)
-        pairs, total, done = [], 0, []
-        for lo, hi in zip(cuts[:-1][mixed].tolist(), cuts[1:][mixed].tolist()):
-            step = max(1, BLOCK // (hi - lo))
-            for at in range(lo, hi, step):
-                own = np.arange(at, min(at + step, hi))[:, None]
-                other = np.arange(lo, hi)[None]
-                i, j = np.nonzero((d[own] < d[other]) & (c[own] != c[other]) & (g[own] != g[other]) & (PERCENT * n[own] <= 100 * n[other]) & (PERCENT * n[other] <= 100 * n[own]))
-                i, j = i + at, j + lo
-                pairs.append((d[i], d[j], common(np.minimum(n[i], n[j]).astype(np.int64))))
-                total += len(i)
-                if total > BLOCK:
-                    done.append(_counted(*map(np.concatenate, zip(*pairs))))
-                    pairs, total = [], 0
-        if pairs:
-            done.append(_counted(*map(np.concatenate, zip(*pairs))))
-        return pd.concat(done) if done else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("a", "b", "low", "k")})
-
-    met = _lists(found, comp, buckets, cluster=cluster).groupBy("bucket").applyInPandas(find, "a long, b long, low long, k long")
-    return met.groupBy("a", "b", "low").agg(F.sum("k").alias("k")).where("k >= low").select("a", "b").distinct()
+
+def _routed(found: DataFrame, comp: DataFrame, cluster: DataFrame) -> DataFrame:
+    """(key, tile, other, node, c): the groups of documents in which pairs of different components can meet.
+
+    Of the short lists only those with documents of two components count, and of their documents only those that have
+    t such lists. A list is named after its least pivot, so the lists of one family have few names and a document's set
+    travels once to each name it has. A name with more than GROUP is split into tiles, or by list if these were many.
+    """
+    e = found.join(comp, "node", "left").join(cluster, "node", "left")
+    e = e.select("node", "n", F.coalesce("component", "node").alias("c"), F.coalesce("g", "node").alias("g"), F.explode("short").alias("h"))
+    lists = e.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("g").alias("name")).where("x <> y").select("h", "name")
+    e = cut(e.join(lists, "h").select("node", "n", "c", "h", "name"))
+    enough = e.groupBy("node", "n").agg(F.count(F.lit(1)).alias("mixed")).where("mixed >= 1 + n div 8").select("node", "n")
+    e = cut(e.join(_small(enough, measured_mb(enough, F.lit(24)) < BROADCAST_MB), ["node", "n"], "left_semi"))
+    weight = F.sum(F.col("n") + 256)
+
+    def sized(rows: DataFrame) -> DataFrame:
+        per = rows.groupBy("key").agg(weight.alias("w"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+        return per.select("key", F.expr(f"cast((w + {GROUP - 1}) div {GROUP} as int)").alias("tiles"))
+
+    named = e.select(F.xxhash64("name").alias("key"), "node", "n", "c").distinct()
+    sizes = cut(sized(named))
+    few, many = sizes.where(f"tiles <= {TILES}"), sizes.where(f"tiles > {TILES}")
+    rows = named.join(few, "key")
+    if not many.isEmpty():
+        by_list = e.join(many.select(F.col("key").alias("k")), F.xxhash64("name") == F.col("k"), "left_semi").select(F.xxhash64("name", "h").alias("key"), "node", "n", "c")
+        rows = rows.unionAll(by_list.join(sized(by_list), "key"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    key = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+    return rows.select(key.alias("key"), "tile", "other", "node", "n", "c")
+
+
+def merged(lists: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts) of what occurs in ``t`` of the sorted lists: a heap merges them and skips what cannot reach t.
+
+    Lists so dense that the heap could skip next to nothing are added up in place instead.
+    """
+    total, lo, hi = sum(map(len, lists)), min(x[0] for x in lists), max(x[-1] for x in lists)
+    if total >= DENSE and total >= 2 * (hi - lo + 1):
+        k = np.bincount(np.concatenate(lists) - lo)
+        at = np.flatnonzero(k >= t)
+        return at + lo, k[at]
+    lists = [x.tolist() for x in lists]
+    heap = [(x[0], k) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    at, found = [0] * len(lists), []
+    while len(heap) >= t:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        goal = top + 1
+        if len(popped) >= t:
+            found.append((top, len(popped)))
+        else:
+            while len(popped) < t - 1:
+                popped.append(heapq.heappop(heap)[1])
+            goal = max(goal, heap[0][0])
+        for k in popped:
+            at[k] = bisect_left(lists[k], goal, at[k])
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
+    found = np.array(found, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def reaching(lists: list[np.ndarray], lo: int, hi: int, least: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, overlaps) of the places in [lo, hi) that occur in ``least`` of the sorted lists: DivideSkip.
+
+    The least - t longest lists are set aside; the short ones are merged, and what occurs there t times is looked up in the
+    long ones by binary search, as long as it can still reach ``least``.
+    """
+    spans = (x[i:j] for x in lists for i, j in [np.searchsorted(x, (lo, hi))])
+    spans = sorted((x for x in spans if len(x)), key=len)
+    if len(spans) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    aside = max(0, least - t)
+    places, k = merged(spans[:len(spans) - aside], min(t, least))
+    for left, x in zip(range(aside, 0, -1), spans[len(spans) - aside:]):
+        able = k + left >= least
+        places, k = places[able], k[able]
+        if not len(places):
+            break
+        k = k + (x[np.minimum(np.searchsorted(x, places), len(x) - 1)] == places)
+    return places[k >= least], k[k >= least]
+
+
+def search(b: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join different components among the documents of one group, one for each joint.
+
+    The documents of the largest component (of the one tile, where two meet) are looked up but do not ask.
+    """
+    n, c, two = b.n.to_numpy(), b.c.to_numpy(), (b.tile != b.other).any()
+    if two:
+        asked = (b.tile < b.other).to_numpy()
+    else:
+        names, count = np.unique(c, return_counts=True)
+        asked = c == names[count.argmax()]
+    order = np.lexsort((n, ~asked))
+    n, c, node = n[order], c[order], b.node.to_numpy()[order]
+    sets, first = [np.frombuffer(b.set.iloc[i], np.uint64) for i in order], int(asked.sum())
+    every, own = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    by = np.argsort(own, kind="stable")
+    lists = np.split(place[by], np.flatnonzero(np.diff(own[by])) + 1)
+    ends = np.cumsum([len(x) for x in sets])
+    root = {int(k): int(k) for k in c}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    out = []
+    for p in range(first, len(sets)):
+        mine = [lists[s] for s in own[ends[p] - len(sets[p]):ends[p]] if len(lists[s]) > 1]
+        small, large = need(int(n[p])), 100 * int(n[p]) // PERCENT
+        spans = [(np.searchsorted(n[:first], small), np.searchsorted(n[:first], large, "right"))]
+        if not two:
+            spans.append((first + np.searchsorted(n[first:p], small), p))
+        for whole, (lo, hi) in zip((not two, False), spans):
+            if lo < hi and not (whole and find(int(c[p])) == find(int(c[0]))):
+                for q, k in zip(*reaching(mine, lo, hi, overlap(int(n[p]), int(n[lo])), common(int(n[p])))):
+                    x, y = find(int(c[p])), find(int(c[q]))
+                    if x != y and k >= overlap(int(n[p]), int(n[q])):
+                        root[x] = y
+                        out.append((int(node[p]), int(node[q])))
+                        if whole:  # one component: joined to one, joined to all
+                            break
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def searched(found: DataFrame, comp: DataFrame, cluster: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among documents of different components, enough to join all that are linked."""
+    rows = cut(_routed(found, comp, cluster))
+    rows = _small(rows, measured_mb(rows, F.lit(48)) < BROADCAST_MB)
+    sent = sets.select(F.col("node").alias("m"), F.expr("length(set) div 8").alias("size"), "set").join(rows, (F.col("node") == F.col("m")) & (F.col("n") == F.col("size")))
+    return sent.select("key", "tile", "other", "node", "n", "c", "set").groupBy("key").applyInPandas(search, "a long, b long")
 
 
 def _overlap_reaches(a: np.ndarray, b: np.ndarray) -> bool:
@@ -277,38 +437,6 @@ def _overlap_reaches(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _within_clusters(cluster: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among documents of one cluster that are of different components, tile by tile."""
-    d = cluster.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("g", "node", F.coalesce("component", "node").alias("c"))
-    torn = d.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y")
-    tile = F.pmod(F.xxhash64("node"), F.expr(f"(size + {TILE - 1}) div {TILE}")).cast("int")
-    d = cut(d.join(torn, "g").select("g", "node", "c", tile.alias("tile")))
-    tiles = d.select("g", "tile").distinct()
-    both = tiles.join(tiles.withColumnRenamed("tile", "other"), "g").where("tile <= other").withColumn("task", F.xxhash64("g", "tile", "other"))
-    sent = both.select("g", "task", F.explode_outer(F.array_distinct(F.array("tile", "other"))).alias("tile")).join(d, ["g", "tile"]).join(sets, "node").select("task", "node", "c", "tile", "set")
-
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        out, x = [], [np.frombuffer(v, np.uint64) for v in b.set]
-        node, c, tile = b.node.to_numpy(), b.c.to_numpy(), b.tile.to_numpy()
-        root = {int(k): int(k) for k in c}
-
-        def find(k):
-            while root[k] != k:
-                root[k] = k = root[root[k]]
-            return k
-
-        far = tile.min() != tile.max()
-        for i in range(len(x)):
-            for j in np.flatnonzero((tile[i + 1:] != tile[i]) if far else (tile[i + 1:] == tile[i])) + i + 1:
-                p, q = find(int(c[i])), find(int(c[j]))
-                if p != q and _overlap_reaches(x[i], x[j]):
-                    root[p] = q
-                    out.append((int(node[i]), int(node[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return sent.groupBy("task").applyInPandas(meet, "a long, b long")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sets reach the threshold: the smaller set probes the larger by binary search."""
 
@@ -344,18 +472,15 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             yield pd.DataFrame({"node": b.doc_id, "set": [s.tobytes() for s in shingle_sets(b.text)]})
 
-    left = cut(shared_shingles(rest, buckets, False).select("node"))
-    found = cut(shared_shingles(only(left), buckets, True))
+    left = cut(shared_in_prefix(rest, buckets).select("node"))
+    some = only(left)
+    hot = cut(hot_shingles(some, buckets))
+    found = cut(shared_lists(some, hot, buckets))
     sets = cut(only(found).mapInPandas(encode, "node long, set binary").where("length(set) > 0"))
-    release(docs.sparkSession)
-    met = cut(_stars(found, None, buckets))
-    cluster = cut(met.select(F.col("a").alias("node"), F.col("b").alias("g")).unionAll(met.select(F.col("b").alias("node"), F.col("b").alias("g"))).groupBy("node").agg(F.min("g").alias("g")))
+    met = cut(_stars(found))
+    cluster = met.select(F.col("a").alias("node"), F.col("b").alias("g")).unionAll(met.select(F.col("b").alias("node"), F.col("b").alias("g"))).groupBy("node").agg(F.min("g").alias("g"))
     links = cut(_verified(met, sets))
-    comp = cut(components(links))
-    release(docs.sparkSession)
-    links = links.unionAll(cut(_within_clusters(cluster, comp, sets)))
-    links = links.unionAll(cut(_verified(cut(_candidates(found, comp, cluster, buckets)), sets)))
-    release(docs.sparkSession)
+    links = links.unionAll(cut(searched(found, components(links), cluster, sets)))
     # a copy keeps a document's other texts and its own first one together
     links = links.unionAll(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     return copies, components(links)

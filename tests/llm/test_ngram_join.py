@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
+from ledgerloom.llm import line_dedup
 from ledgerloom.llm import ngram_join as j
 
 
@@ -74,3 +77,56 @@ def test_fixture_filter_and_edges(spark, sf_dir):
     assert kept.columns == odd.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, t, "a"), (3, t, "c"), (4, "other words that are not at all alike to it", "d"), (7, None, "e")], key=str)
     assert j.report(odd.limit(0)).count() == 0
+
+
+def near_copies(m, seed=3):
+    """m copies of ten lines of twenty words, each word changed with two percent chance."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    base = [[word() for _ in range(20)] for _ in range(10)]
+    return [(i, "\n".join(" ".join(word() if r.random() < 0.02 else w for w in line) for line in base)) for i in range(m)]
+
+
+def test_rows_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Fragments that line dedup leaves of near copies share hot shingles without linking: no step may make rows by pairs."""
+    made, routed, searched = [], j._routed, j.searched
+
+    def counted(step):
+        def run(*a):
+            out = j.cut(step(*a))
+            made[-1].append(out.count())
+            return out
+        return run
+
+    monkeypatch.setattr(j, "_routed", counted(routed))
+    monkeypatch.setattr(j, "searched", counted(searched))
+    for m in (150, 1200):
+        docs = line_dedup.dedup(spark.createDataFrame(near_copies(m), "doc_id long, text string")).collect()
+        made.append([])
+        check(spark, [tuple(x) for x in docs])
+        left = sum(1 for x in docs if x.text.strip())
+        assert 0 < made[-1][0] <= 4 * left and made[-1][1] < left  # a document travels once to each name of its lists
+
+
+def test_large_groups_and_hot_shingles_are_split(spark, monkeypatch):
+    docs = [(i, t) for i, t in near_copies(120, 5)] + [(1000 + i, " ".join(t.split("\n")[:3])) for i, t in near_copies(60, 5)]
+    monkeypatch.setattr(j, "HOT", 3)
+    monkeypatch.setattr(j, "ENTRIES", 2000)
+    for group, tiles in ((4000, 99), (3000, 1)):  # tiles alone; lists, and tiles of these
+        monkeypatch.setattr(j, "GROUP", group)
+        monkeypatch.setattr(j, "TILES", tiles)
+        check(spark, docs)
+
+
+def test_merges_equal_counting():
+    r = random.Random(2)
+    for dense in (1, 1 << 30):
+        for _ in range(200):
+            lists = [np.array(sorted(r.sample(range(80), r.randint(1, 60)))) for _ in range(r.randint(1, 12))]
+            t, lo, hi = r.randint(1, 4), r.randint(0, 30), r.randint(31, 80)
+            old, j.DENSE = j.DENSE, dense
+            least = t + r.randint(0, 5)
+            got = dict(zip(*map(np.ndarray.tolist, j.reaching(lists, lo, hi, least, t))))
+            j.DENSE = old
+            n = Counter(int(p) for x in lists for p in x if lo <= p < hi)
+            assert got == {p: k for p, k in n.items() if k >= least}
