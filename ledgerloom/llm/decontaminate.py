@@ -11,7 +11,7 @@ Words: runs of non-ASCII characters, digits and letters after lower-casing A-Z.
 
 Defined results: rows with equal (doc_id, text) count once, rows with the same doc_id but other
 texts are separate documents; null text or item text has no words; a null item_id is no item
-(its windows still hit); an empty benchmark hits nothing; extra columns are ignored.
+(its windows still hit); item_ids may be of any type; an empty benchmark hits nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,6 +65,7 @@ def _places(docs: DataFrame, sizes: list[int]) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_mb: float = BROADCAST_MB) -> DataFrame:
     """(doc_id, mark, n_words, n_hit, item_ids) per distinct (doc_id, text); ``mark`` is xxhash64(text)."""
     shingles = cut(_window_shingles(windows_of(benchmark, window)))
+    ids = f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"
     sizes = sorted(r.g for r in shingles.select("g").distinct().collect())
     size = measured_mb(shingles, F.lit(64) + F.size("items") * 8 + F.size("w") * 24)
     small = size < broadcast_mb
@@ -77,11 +78,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_mb:
     index = (shingles.join(seen, "key", "left").groupBy("w", "k", "items")
              .agg(rare, F.count("df").alias("held"), F.count(F.lit(1)).alias("all_"))
              .where("held = all_").select(F.col("r.key").alias("key"), F.col("r.j").alias("j"), "w", "k", "items"))
-    end = docs.sparkSession.range(1).select(F.lit(END_KEY).cast("long").alias("key"), F.lit(0).alias("j"), F.lit(None).cast("array<string>").alias("w"), F.lit(0).alias("k"), F.lit(None).cast("array<bigint>").alias("items"))
+    end = docs.sparkSession.range(1).select(F.lit(END_KEY).cast("long").alias("key"), F.lit(0).alias("j"), F.lit(None).cast("array<string>").alias("w"), F.lit(0).alias("k"), F.lit(None).cast(ids).alias("items"))
     start = F.col("pos") - F.col("j")
     inside = (start >= 0) & (start + F.col("k") < F.size("all"))
     if small:
-        index = cut(index.select("key", "j", "w", "k", F.col("items").cast("array<bigint>").alias("items")).unionAll(end))
+        index = cut(index.select("key", "j", "w", "k", "items").unionAll(end))
         found = places.join(hint(index), "key").where(F.col("w").isNull() | (inside & (F.slice("all", start + 1, F.col("k")) == F.col("w"))))
         found = found.select("doc_id", "mark", F.when(F.col("w").isNull(), F.col("pos")).alias("n"), start.alias("start"), "k", "items")
     else:
@@ -90,8 +91,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_mb:
         met = met.where((start >= 0) & (start + F.col("k") < F.col("last"))).select("doc_id", "mark", start.alias("start"), "k", "w", "items")
         whole = docs.select(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("mark_"), words(F.col("text")).alias("all")).dropDuplicates(["id_", "mark_"])
         hit = met.join(whole, met["doc_id"].eqNullSafe(whole["id_"]) & (met["mark"] == whole["mark_"])).where(F.slice("all", F.col("start") + 1, F.col("k")) == F.col("w"))
-        found = hit.select("doc_id", "mark", F.lit(None).cast("int").alias("n"), "start", "k", F.col("items").cast("array<bigint>").alias("items")).unionAll(
-            places.where(F.col("word") == END).select("doc_id", "mark", F.col("pos").alias("n"), F.lit(0), F.lit(0), F.lit(None).cast("array<bigint>")))
+        found = hit.select("doc_id", "mark", F.lit(None).cast("int").alias("n"), "start", "k", "items").unionAll(
+            places.where(F.col("word") == END).select("doc_id", "mark", F.col("pos").alias("n"), F.lit(0), F.lit(0), F.lit(None).cast(ids)))
     span = F.when(F.col("n").isNull(), F.struct(F.col("start").cast("long").alias("s"), (F.col("start") + F.col("k")).cast("long").alias("e")))
     per = found.groupBy("doc_id", "mark").agg(F.max("n").cast("long").alias("n_words"), F.collect_set(span).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))

@@ -53,3 +53,15 @@ def test_empty_tables_and_filter(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted((x for x in DOCS if not any(b[0] == x[0] and b[1] == len(words(x[1])) and b[-1] for b in brute(DOCS, ITEMS))), key=str)
     assert bad
+
+
+def test_item_ids_of_text_and_large_ids(spark):
+    from ledgerloom.llm import decontaminate as d
+
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "alpha beta gamma"), (None, "alpha beta gamma"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("b", "alpha beta"), ("a", "beta gamma"), (None, "gamma"), ("c", "delta")], "item_id string, text string")
+    for mb in (32, 0):  # broadcast and shuffle joins
+        got = {(x.doc_id, x.n_words, x.n_hit, tuple(sorted(x.item_ids))) for x in d.find(docs, items, broadcast_mb=mb).collect()}
+        assert got == {(big, 3, 3, ("a", "b")), (None, 3, 3, ("a", "b")), (4, 0, 0, ())}
+    assert d.report(docs, items).count() == 3
