@@ -9,7 +9,8 @@ equal, all their windows are; the windows of the others are ordered by most-sign
 of eight bytes, in which a suffix that stands alone drops out, down to ``depth`` bytes and no further:
 the groups that are left are exactly the repeated windows, compared byte by byte.
 
-Copies of whole texts are settled before by one grouping, so a hot text is handled once. A minimiser
+Copies of whole texts are settled before by one grouping, so a hot text is handled once. Equal strings of
+one batch are settled where they are read and only the first goes on. A minimiser
 that many documents of one map batch hold sends one entry to its own bucket; the others are already
 known to be shared and are dealt out by document instead.
 
@@ -27,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import SLICED, cut, groups_for, lean, sliced, unsliced, without
 
@@ -212,30 +214,33 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                     rows.append((int(h[i] % np.uint64(buckets)), int(h[i].view(np.int64)), doc, mark, lo + s - int(base[k]), raw[s:s + w + DEPTH - 1]))
                 n += len(hit)
             if n >= BUFFER // 8:
-                yield _packed(rows)
+                yield _packed(_first_of_equal(rows, buckets))
                 rows, n = [], 0
         if rows:
-            yield _packed(rows)
+            yield _packed(_first_of_equal(rows, buckets))
 
     def find(b: pd.DataFrame) -> pd.DataFrame:
         lowest: dict[bytes, int] = {}
-        entries = []
+        entries, gone = [], []
         for h, doc, mark, start, size, data in zip(b.h, b.doc, b.mark, b.start, b.sizes, b.data):
             at, data = 0, zlib.decompress(data)
             for e in zip(np.frombuffer(h, np.int64).tolist(), np.frombuffer(doc, np.int64).tolist(), np.frombuffer(mark, np.int64).tolist(), np.frombuffer(start, np.int64).tolist(), np.frombuffer(size, np.int64).tolist()):
+                if e[4] < 0:
+                    gone.append((e[1], e[2], e[3], e[3] - e[4]))
+                    continue
                 s = data[at:at + e[4]]
                 at += e[4]
                 entries.append((*e[:4], s))
                 if lowest.get(s, e[1]) >= e[1]:
                     lowest[s] = e[1]
-        gone, open_, seen = [], {}, set()
+        open_: dict[int, list] = {}
         for h, doc, mark, start, s in entries:
             if lowest[s] < doc:
                 gone.append((doc, mark, start, start + len(s)))
             else:
                 open_.setdefault(h, []).append((doc, mark, start, s))
         strings = [(g, *x) for g, (h, xs) in enumerate(open_.items()) if len({x[0] for x in xs}) > 1 for x in xs]
-        del entries, lowest, open_, seen
+        del entries, lowest, open_
         lot, size, last = [], 0, None
         for x in strings:  # whole minimiser groups, some millions of windows at once
             if size > 1 << 21 and x[0] != last:
@@ -252,14 +257,28 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(find, SLICED)
 
 
+def _first_of_equal(rows: list, buckets: int) -> list:
+    """Of equal strings only those of the least document go on to their minimiser; the others are spans already, dealt out by document.
+
+    So a string that many documents hold goes to its bucket once for each lot.
+    """
+    least: dict[bytes, int] = {}
+    for r in rows:
+        if least.get(r[5], r[2]) >= r[2]:
+            least[r[5]] = r[2]
+    return [r if r[2] == least[r[5]] else ((r[2] * 0x9E3779B97F4A7C15 >> 20) % buckets, *r[1:5], -len(r[5])) for r in rows]
+
+
 def _packed(rows: list) -> pd.DataFrame:
+    """Rows (bucket, h, doc_id, mark, start, string) by bucket; a number below zero instead of a string is a span's length."""
     rows.sort(key=lambda r: r[0])
     out, lo = [], 0
     for i in range(1, len(rows) + 1):
         if i == len(rows) or rows[i][0] != rows[lo][0]:
             part = rows[lo:i]
             ints = [np.array([r[k] for r in part], np.int64).tobytes() for k in (1, 2, 3, 4)]
-            out.append((part[0][0], *ints, np.array([len(r[5]) for r in part], np.int64).tobytes(), zlib.compress(b"".join(r[5] for r in part), 1)))
+            sizes = [r[5] if isinstance(r[5], int) else len(r[5]) for r in part]
+            out.append((part[0][0], *ints, np.array(sizes, np.int64).tobytes(), zlib.compress(b"".join(r[5] for r in part if not isinstance(r[5], int)), 1)))
             lo = i
     return pd.DataFrame(out, columns=["bucket", "h", "doc", "mark", "start", "sizes", "data"])
 
@@ -325,23 +344,23 @@ def spans_of(docs: DataFrame) -> DataFrame:
     return every.groupBy("slice").applyInPandas(gather, "doc_id long, mark long, spans binary")
 
 
+@F.pandas_udf(T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string"))
+def _digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    out = []
+    for text, held in zip(texts, spans):
+        raw = text.encode()
+        u = _union(np.frombuffer(held, np.int64).reshape(-1, 2)) if held is not None else np.zeros((0, 2), np.int64)
+        at, kept = 0, hashlib.sha256()
+        for a, e in u.tolist():
+            kept.update(raw[at:a])
+            at = e
+        kept.update(raw[at:])
+        out.append((len(raw), int((u[:, 1] - u[:, 0]).sum()), len(u), kept.hexdigest()))
+    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spans = spans_of(docs).select(F.col("doc_id").alias("key"), "mark", "spans")
-    d = _base(docs).join(spans.hint("shuffle_hash"), ["key", "mark"], "left").select("doc_id", "text", "spans")
-
-    def keep(batches):
-        for b in batches:
-            out = []
-            for text, held in zip(b.text, b.spans):
-                raw = text.encode()
-                u = _union(np.frombuffer(held, np.int64).reshape(-1, 2)) if held is not None else np.zeros((0, 2), np.int64)
-                at, kept = 0, hashlib.sha256()
-                for a, e in u.tolist():
-                    kept.update(raw[at:a])
-                    at = e
-                kept.update(raw[at:])
-                out.append((len(raw), int((u[:, 1] - u[:, 0]).sum()), len(u), kept.hexdigest()))
-            yield pd.DataFrame({"doc_id": b.doc_id, **dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*out)) if out else ([], [], [], [])))})
-
-    return d.mapInPandas(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    d = _base(docs).join(spans.hint("shuffle_hash"), ["key", "mark"], "left")
+    return d.select("doc_id", _digest("text", "spans").alias("kept")).select("doc_id", "kept.*")

@@ -58,3 +58,10 @@ def test_fixture_and_edges(spark):
     odd = spark.createDataFrame([(None, t), (1, t), (1, t), (1, "z" + t), (2, t)], "doc_id long, text string")
     assert sorted((x.doc_id or 0, x.n_removed) for x in d.report(odd).collect()) == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 80)]
     assert d.report(df.limit(0)).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    t, big = "".join(map(chr, range(40, 120))), (1 << 60) + 1
+    df = spark.createDataFrame([(None, t), (big, t), (big - 1, "q" * 60), (3, t), (None, None)], "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in d.report(df).collect())
+    assert got == sorted([("None", 80, 0), (str(big), 80, 80), (str(big - 1), 60, 0), ("3", 80, 0), ("None", 0, 0)])
