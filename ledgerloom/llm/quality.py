@@ -1,12 +1,14 @@
 """Quality classifier by gated-attention multiple-instance learning (operator 10).
 
 A document is a bag of passages of ``PASSAGE`` bytes; every passage of the whole text is encoded
-(character-class and class-pair rates, case, repetition), a gated attention network learns from
+(character-class and class-pair rates, repetition, line breaks, its own length), a gated attention network learns from
 document labels which passages matter, and the attention-weighted passage representation is scored.
+A passage's features come from that passage alone.
 
-The fit uses at most ``SAMPLE`` labelled rows (the rows of least hash, outside the held-out fifth);
-scoring covers every row and is a narrow map. Null and empty texts are one empty passage and get a
-score too; rows may repeat; extra columns are ignored; without usable labels the score is the prior 0.5.
+The fit uses at most ``SAMPLE`` labelled documents (those of least hash, outside the held-out fifth) with whole texts of
+``FIT_BYTES`` together; scoring covers every row and is a narrow map. Null and empty texts are one empty passage and get a
+score too; rows may repeat, of a doc_id with several texts the least one is learned from; extra columns are ignored;
+without usable labels the score is the prior 0.5.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out, lean
+from ledgerloom.llm.common import cut, held_out, lean
 
-SAMPLE = 4000
+SAMPLE, FIT_BYTES = 4000, 24 << 20
 PASSAGE = 512
 BLOCK = 8192  # passages encoded at once: bounds memory for very long texts
 SINGLE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -57,12 +59,10 @@ def encode(text: str | None) -> np.ndarray:
         few = COARSE[kind]
         pair = few[:-1] * N_PAIR + few[1:]
         rows[:, N_CLASS:-4] = np.bincount(at[1:] * N_PAIR * N_PAIR + pair, minlength=m * N_PAIR ** 2).reshape(m, -1) / size
-    ratio = len(zlib.compress(raw, 1)) / (len(raw) + 16)
-    out[:, -4] = ratio
-    out[:, -3] = np.log1p(len(raw)) / 10
-    out[:, -2] = ratio * out[:, -3]
-    spread = raw.count(b"\n") / len(raw)
-    out[:, -1] = min(1.0, 20 * spread)
+    for k in range(n):
+        part = raw[k * PASSAGE:(k + 1) * PASSAGE]
+        ratio, size = len(zlib.compress(part, 1)) / (len(part) + 16), np.log1p(len(part)) / 10
+        out[k, -4:] = ratio, size, ratio * size, min(1.0, 20 * part.count(b"\n") / len(part))
     return np.sqrt(out)
 
 
@@ -120,8 +120,11 @@ class GatedAttention:
         return self._forward(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))[-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention:
-    """Fit on at most ``sample`` labelled documents outside the held-out fifth; conflicting labels of an id are dropped."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_bytes: int = FIT_BYTES) -> GatedAttention:
+    """Fit on labelled documents outside the held-out fifth; conflicting labels of an id are dropped.
+
+    At most ``sample`` of them, in the order of their hash as far as their texts add up to ``fit_bytes``.
+    """
     lean(docs.sparkSession)
     learn = labels.select("doc_id", F.col("quality").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     learn = learn.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
@@ -131,11 +134,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttent
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "bag": [encode(t).tobytes() for t in b.text]})
 
-    rows = (docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id")
-            .mapInPandas(encoded, "doc_id long, y int, bag binary").toPandas())
+    texts = cut(docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = texts.select("doc_id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).over(order).alias("so_far")).where(F.col("so_far") <= fit_bytes)
+    rows = texts.join(F.broadcast(within), "doc_id").select("doc_id", "y", "text").mapInPandas(encoded, "doc_id long, y int, bag binary").toPandas()
     if rows.y.nunique() < 2:
         return GatedAttention(0.5)
-    rows = rows.sort_values(["doc_id", "bag"]).drop_duplicates("doc_id")
+    rows = rows.sort_values("doc_id")
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in rows.bag]
     return GatedAttention(float(rows.y.mean())).fit(bags, rows.y.to_numpy(float))
 
