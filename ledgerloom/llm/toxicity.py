@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out, lean
+from ledgerloom.llm.common import cut, held_out, lean
 
 SAMPLE, FEATURES, SUPPORT = 8000, 1000, 3
 MEMO = 300_000
@@ -234,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = F
     learn = labels.select("doc_id", F.col("toxic").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
     learn = learn.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
     learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y")
-    seen = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id")
+    # of a doc_id with several texts the least one is learned from: rows that repeat do not add to the sample
+    seen = cut(docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
 
     def tally(batches):
         reader, all_, bad = Reader(cost), Counter(), Counter()
