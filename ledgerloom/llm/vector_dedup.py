@@ -2,59 +2,71 @@
 
 Equal vectors are one node with a multiplicity. The neighbour graph starts from random-projection
 orders: rows sorted by the signs and the value of seeded projections meet within overlapping blocks
-of a sliding window. Then, round by round, each node joins a sample of its new neighbours with all
-sampled ones (neighbours of neighbours), better neighbours enter the lists, and nodes with more than
-``LIST`` neighbours above threshold - slack are sampled at twice the size, until a round finds next to
-nothing. No sample decides a count. That graph names components. A pass over all pairs, in blocks, then counts every
-partner of every node and joins the components that descent left apart, so counts and components are
-exact; its work grows with the square of the number of distinct vectors.
+of a sliding window; the number of signs follows the number of nodes. Then, round by round, each node
+joins a sample of its new neighbours with all sampled ones (neighbours of neighbours), and the best
+``LIST`` of a node stay in its list; a list that is full of links is saturated and grows to twice and four
+times the size. Beside its list a node keeps its link of smallest name, so that a dense spot stays tied to
+what lies around it. This goes on until a round finds next to nothing.
+
+Lists name components. Nodes of a component larger than ``LIST`` get their links counted exactly, tile by
+tile within the component, so a saturated list costs no rows by pairs. An audit then compares ``AUDIT`` nodes
+(of least hash; all, where there are fewer) with every node: what it finds is kept, and the share of these links that were known before is
+the recall. Below ``GOAL``, descent goes on from more orders; after ``ATTEMPTS`` the audit is extended to every node,
+which is exact and quadratic, and is logged as a warning.
 
 Links are pairs with cosine >= ``threshold`` in double precision. Null, zero or non-finite vectors, or
-ones with null components, link with nothing; vectors of different length are never compared. Null
-vec_ids rank first. Rows with equal vec_id and vector are one; a vec_id with several vectors is linked
+ones with null components, link with nothing; vectors of different length are never compared. Rows
+of null vec_id link with nothing and have no component. Rows with equal vec_id and vector are one; a vec_id with several vectors is linked
 through any of them. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import components, cut, measured_mb
 
 THRESHOLD, SLACK = 0.9, 0.1  # lists also hold neighbours down to threshold - slack, to walk along
-ORDERS, BITS, BLOCK = 6, 8, 512
-LIST, ROUNDS = 48, 10
-SLAB_MB, TILE = 24, (512, 4096)  # of the pass over all pairs: what is broadcast at once, what is multiplied at once
+ORDERS, BITS, BLOCK = 6, 2, 512  # of the first attempt; the least number of signs; rows that meet
+LIST, ROUNDS = 24, 10
+AUDIT, GOAL, ATTEMPTS = 2048, 0.99, 3
+SLAB_MB, TILE = 24, (512, 4096)  # audited nodes broadcast at once; what is multiplied at once
+PART = 1024  # nodes of a component in one tile
 
+log = logging.getLogger(__name__)
 
-def nodes_of(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """Distinct unit vectors (node, dim, unit binary, copies) and members (vec_id, node); invalid ones have no node."""
 
-    def unit(batches):
-        for b in batches:
-            out = []
-            for x in b.raw:
-                v = None
-                if x is not None and len(x) and not any(c is None for c in x):
-                    a = np.asarray(x, np.float64)
-                    with np.errstate(over="ignore", invalid="ignore"):
-                        top = np.abs(a).max()
-                        if np.isfinite(a).all() and top > 0:
-                            a = a / top
-                            v = (a / np.sqrt(a @ a)).tobytes()
-                out.append(v)
-            yield pd.DataFrame({"vec_id": b.vec_id, "unit": out})
+@F.pandas_udf(T.BinaryType())
+def _unit(raw: pd.Series) -> pd.Series:
+    out = []
+    for x in raw:
+        v = None
+        if x is not None and len(x) and not any(c is None for c in x):
+            a = np.asarray(x, np.float64)
+            with np.errstate(over="ignore", invalid="ignore"):
+                top = np.abs(a).max()
+                if np.isfinite(a).all() and top > 0:
+                    a = a / top
+                    v = (a / np.sqrt(a @ a)).tobytes()
+        out.append(v)
+    return pd.Series(out, dtype="object")
+
 
+def nodes_of(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Distinct unit vectors (node, dim, unit binary, first, copies) and members (vec_id, node); invalid ones have no node."""
     raw = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("raw"))
-    units = cut(raw.mapInPandas(unit, "vec_id long, unit binary").distinct())
+    units = cut(raw.select("vec_id", _unit("raw").alias("unit")).distinct())
     good = units.where("unit is not null and vec_id is not null")
     nodes = good.groupBy("unit").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = nodes.select(F.xxhash64("unit", "first").alias("node"), (F.length("unit") / 8).cast("int").alias("dim"), "unit", "first", "copies")
     nodes = cut(nodes)
-    members = units.join(nodes.select("unit", "node"), "unit", "left").select("vec_id", "node")
+    members = units.join(nodes.select("unit", "node"), "unit", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("node")).alias("node"))
     return nodes, members
 
 
@@ -62,7 +74,12 @@ def _directions(seed: int, dim: int, bits: int) -> np.ndarray:
     return np.random.default_rng((seed, dim)).standard_normal((dim, bits + 1))
 
 
-def _block_pairs(nodes: DataFrame, seed: int, floor: float) -> DataFrame:
+def bits_for(n: int) -> int:
+    """Signs that leave about half a block of nodes to each code."""
+    return max(BITS, int(np.ceil(np.log2(max(1, 2 * n / BLOCK)))))
+
+
+def _block_pairs(nodes: DataFrame, seed: int, floor: float, bits: int) -> DataFrame:
     """Pairs (a, b, sim) above ``floor`` that stand within a block of one projection order."""
 
     def place(batches):
@@ -70,9 +87,9 @@ def _block_pairs(nodes: DataFrame, seed: int, floor: float) -> DataFrame:
             code, key = np.zeros(len(b), np.int64), np.zeros(len(b))
             for dim in b.dim.unique():
                 at = np.flatnonzero(b.dim == dim)
-                p = np.stack([np.frombuffer(b.unit.iloc[i]) for i in at]) @ _directions(seed, dim, BITS)
-                code[at] = (p[:, :BITS] > 0) @ (1 << np.arange(BITS)) + (dim << BITS)
-                key[at] = p[:, BITS]
+                p = np.stack([np.frombuffer(b.unit.iloc[i]) for i in at]) @ _directions(seed, dim, bits)
+                code[at] = (p[:, :bits] > 0) @ (1 << np.arange(bits)) + (int(dim) << bits)
+                key[at] = p[:, bits]
             yield b.assign(code=code, key=key)
 
     def pairs(batches):
@@ -91,7 +108,7 @@ def _block_pairs(nodes: DataFrame, seed: int, floor: float) -> DataFrame:
 
 
 def _meet(held: list, first: int, floor: float) -> pd.DataFrame:
-    """Pairs of the first ``first`` rows of a block with all its rows, each once."""
+    """Pairs of the first ``first`` rows of a block with all its rows, each once: for each row the best it can keep."""
     out = []
     dims = np.array([h[1] for h in held])
     ids = np.array([h[0] for h in held], np.int64)
@@ -100,13 +117,22 @@ def _meet(held: list, first: int, floor: float) -> pd.DataFrame:
         x = np.stack([np.frombuffer(held[i][2]) for i in at])
         head = at < first
         s = x[head] @ x.T
-        i, j = np.nonzero(s >= floor)
-        left, right = at[head][i], at[j]
-        keep = left < right
-        out.append(pd.DataFrame({"a": np.minimum(ids[left], ids[right])[keep], "b": np.maximum(ids[left], ids[right])[keep], "sim": s[i, j][keep]}))
+        out.append(_best(ids[at[head]], ids[at], s, s >= floor))
     return pd.concat(out)
 
 
+def _best(left: np.ndarray, right: np.ndarray, s: np.ndarray, able: np.ndarray) -> pd.DataFrame:
+    """Pairs (a, b, sim) of ``able`` places of s: of each row the largest, as many as a list may hold, and the smallest name."""
+    able &= left[:, None] != right
+    if s.shape[1] > 4 * LIST:
+        least = -np.partition(-np.where(able, s, -2), 4 * LIST - 1, 1)[:, 4 * LIST - 1:4 * LIST]
+        names = np.where(able, right, np.iinfo(np.int64).max)
+        able &= (s >= least) | (names == names.min(1, keepdims=True))
+    i, j = np.nonzero(able)
+    a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+    return pd.DataFrame({"a": a, "b": b, "sim": s[i, j]})
+
+
 def _local_join(graph: DataFrame, nodes: DataFrame, floor: float, size: int, seed: int) -> DataFrame:
     """Pairs among sampled neighbours of each node that has new ones: at least one of each pair is new.
 
@@ -118,14 +144,11 @@ def _local_join(graph: DataFrame, nodes: DataFrame, floor: float, size: int, see
     some = both.withColumn("r", rank).where(F.col("r") <= 2 * size).join(news, "v").where((F.col("r") <= size) | (F.col("n") > size))
     some = some.select("v", "new", F.col("u").alias("node")).join(nodes.select("node", "unit"), "node")
 
-    def meet(v, rows):
+    def meet(rows):
         ids, new = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
         x = np.stack([np.frombuffer(r[2]) for r in rows])
         s = x[new] @ x.T
-        i, j = np.nonzero(s >= floor)
-        left, right = ids[new][i], ids[j]
-        keep = (left < right) | ((left > right) & ~new[j])
-        return pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep], "sim": s[i, j][keep]})
+        return _best(ids[new], ids, s, s >= floor)
 
     def pairs(batches):
         at, rows, out, n = None, [], [], 0
@@ -133,7 +156,7 @@ def _local_join(graph: DataFrame, nodes: DataFrame, floor: float, size: int, see
             for v, node, new, unit in zip(b.v, b.node, b.new, b.unit):
                 if v != at:
                     if rows:
-                        out.append(meet(at, rows))
+                        out.append(meet(rows))
                         n += len(out[-1])
                         if n > 50_000:
                             yield pd.concat(out).drop_duplicates(["a", "b"])
@@ -141,36 +164,43 @@ def _local_join(graph: DataFrame, nodes: DataFrame, floor: float, size: int, see
                     at, rows = v, []
                 rows.append((node, new, unit))
         if rows:
-            out.append(meet(at, rows))
+            out.append(meet(rows))
         if out:
             yield pd.concat(out).drop_duplicates(["a", "b"])
 
     return some.select("v", "node", "new", "unit").repartition("v").sortWithinPartitions("v").mapInPandas(pairs, "a long, b long, sim double")
 
 
-def _merged(known: DataFrame | None, found: DataFrame) -> DataFrame:
-    """The graph with ``found`` added; only pairs not known before are new."""
+def _merged(known: DataFrame | None, found: DataFrame, threshold: float) -> DataFrame:
+    """The lists with ``found`` added: pairs (a, b, sim, new) that one end keeps; only pairs not known before are new."""
     rows = found.select("a", "b", "sim", F.lit(True).alias("new"))
     if known is not None:
         rows = rows.unionAll(known.select("a", "b", "sim", F.lit(False).alias("new")))
-    return cut(rows.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new")))
-
-
-def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b, sim) between nodes, sim >= threshold: those that NN-descent finds."""
-    floor = threshold - SLACK
-    for k in range(ORDERS):
-        found = _block_pairs(nodes, k, floor)
-        more = found if k == 0 else more.unionAll(found)
-    graph = _merged(None, more)
-    before = graph.count()
+    pairs = rows.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u"), "sim", "new").unionAll(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"), "sim", "new"))
+    held = both.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("r") <= 4 * LIST)
+    held = held.withColumn("links", F.count_if(F.col("sim") >= threshold).over(Window.partitionBy("v")))
+    size = F.when(F.col("links") < LIST, LIST).when(F.col("links") < 2 * LIST, 2 * LIST).otherwise(4 * LIST)
+    lowest = both.where(F.col("sim") >= threshold).groupBy("v").agg(F.min(F.struct("u", "sim", "new")).alias("x")).select("v", "x.*")
+    kept = held.where(F.col("r") <= size).select("v", "u", "sim", "new").unionAll(lowest)
+    kept = kept.groupBy(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    return cut(kept)
+
+
+def descend(nodes: DataFrame, graph: DataFrame | None, orders: range, threshold: float) -> DataFrame:
+    """Neighbour lists (a, b, sim, new), sim >= threshold - SLACK, after starting anew from ``orders``."""
+    floor, bits = threshold - SLACK, bits_for(nodes.count())
+    more = None
+    for k in orders:
+        found = _block_pairs(nodes, k, floor, bits)
+        more = found if more is None else more.unionAll(found)
+    graph = _merged(graph, more, threshold)
     for r in range(ROUNDS):
-        graph = _merged(graph, _local_join(graph, nodes, floor, LIST, r))
-        now = graph.count()
-        if now - before <= 0.001 * now:
+        graph = _merged(graph, _local_join(graph, nodes, floor, LIST, r), threshold)
+        now = graph.agg(F.count_if("new").alias("new"), F.count(F.lit(1)).alias("n")).first()
+        if now.new <= 0.001 * now.n:
             break
-        before = now
-    return graph.where(F.col("sim") >= threshold).select("a", "b", "sim")
+    return graph
 
 
 def _linked(x: np.ndarray, y: np.ndarray, threshold: float):
@@ -195,48 +225,72 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: float):
             yield i[keep], j[keep]
 
 
+def _counted(ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Counts above zero; a count has a = b, a joined pair of labels never has."""
+    at = np.flatnonzero(n)
+    return pd.DataFrame({"a": ids[at], "b": ids[at], "n": n[at].astype(np.int64)})
+
+
+def _within(named: DataFrame, threshold: float) -> DataFrame:
+    """(node, n): links of the nodes of components larger than ``LIST``, in tiles of ``PART`` by ``PART`` nodes."""
+    parts = named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LIST).select("label", F.expr(f"(m + {PART - 1}) div {PART}").alias("parts"))
+    d = named.join(parts, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    d = d.select("label", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "unit", "copies")
+
+    def meet(b: pd.DataFrame) -> pd.DataFrame:
+        out, one = [], (b.tile == b.i).to_numpy()
+        for _, at in b.groupby(b.unit.map(len)).indices.items():
+            sides = [at[one[at]], at if b.i.iloc[0] == b.j.iloc[0] else at[~one[at]]]
+            if not len(sides[0]) or not len(sides[1]):
+                continue
+            (ids, x, n), (others, y, m) = ((b.node.to_numpy(np.int64)[k], np.stack([np.frombuffer(b.unit.iloc[i]) for i in k]), b.copies.to_numpy(np.int64)[k]) for k in sides)
+            own, back = np.zeros(len(ids)), np.zeros(len(others))
+            for i, j in _linked(x, y, threshold):
+                apart = ids[i] != others[j]
+                own += np.bincount(i[apart], m[j[apart]], len(ids))
+                back += np.bincount(j[apart], n[i[apart]], len(others))
+            out.append(_counted(ids, own))
+            if b.i.iloc[0] != b.j.iloc[0]:
+                out.append(_counted(others, back))
+        out = pd.concat(out) if out else _counted(np.zeros(0, np.int64), np.zeros(0))
+        return out[["a", "n"]].rename(columns={"a": "node"})
+
+    return d.groupBy("label", "i", "j").applyInPandas(meet, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def _stacked(rows: pd.DataFrame) -> dict[int, tuple]:
-    """(ids, unit vectors, copies, labels) by length of the vector."""
-    return {size: (g.node.to_numpy(np.int64), np.stack([np.frombuffer(u) for u in g.unit]), g.copies.to_numpy(np.int64), g.label.to_numpy(np.int64))
-            for size, g in rows.groupby(rows.unit.map(len))}
+    """(ids, unit vectors, labels) by length of the vector."""
+    return {size: (g.node.to_numpy(np.int64), np.stack([np.frombuffer(u) for u in g.unit]), g.label.to_numpy(np.int64)) for size, g in rows.groupby(rows.unit.map(len))}
 
 
-def exact_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All nodes against all: (node, others = vectors linked to it) and (a, b): labels of ``nodes`` that a link joins.
+def audited(named: DataFrame, asked: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``asked`` nodes against all: (node, n = vectors linked to it) and (a, b): labels that a link joins.
 
-    Slabs of nodes of at most ``SLAB_MB`` are broadcast one after the other and compared in place with every node of
-    their own and of earlier slabs. Partners are counted and links within a label are not handed on, so a large group
-    gives no rows by pairs.
+    Slabs of asked nodes of at most ``SLAB_MB`` are broadcast one after the other and compared in place with every node.
     """
-    spark = nodes.sparkSession
-    slabs = int(measured_mb(nodes, F.length("unit") + 24) // SLAB_MB) + 1
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed = cut(nodes.select("node", "unit", "copies", "label", F.pmod("node", F.lit(slabs)).cast("int").alias("slab")).repartition(tasks))
+    spark = named.sparkSession
+    slabs = int(measured_mb(asked, F.length("unit") + 24) // SLAB_MB) + 1
+    asked = asked.select("node", "unit", "label", F.pmod("node", F.lit(slabs)).cast("int").alias("slab"))
 
-    def against(slab, shared):
+    def against(shared):
         def compare(batches):
             held = shared.value
             sums = {d: np.zeros(len(h[0])) for d, h in held.items()}
             for b in batches:
-                out = []
-                for earlier, rows in b.groupby(b.slab < slab):
-                    for d, (ids, x, copies, labels) in _stacked(rows).items():
-                        if d not in held:
-                            continue
-                        own = np.zeros(len(ids))
-                        for i, j in _linked(x, held[d][1], threshold):
-                            other = ids[i] != held[d][0][j]
-                            i, j = i[other], j[other]
-                            own += np.bincount(i, held[d][2][j], len(ids))
-                            if earlier:
-                                sums[d] += np.bincount(j, copies[i], len(sums[d]))
-                            a, c = labels[i], held[d][3][j]
-                            cross = a != c
-                            if cross.any():
-                                out.append(pd.DataFrame({"a": np.minimum(a, c)[cross], "b": np.maximum(a, c)[cross], "n": 0}).drop_duplicates())
-                        out.append(_counted(ids, own))
-                if out:
-                    yield pd.concat(out)
+                for d, at in b.groupby(b.unit.map(len)).indices.items():
+                    if d not in held:
+                        continue
+                    ids, copies, labels = (b[c].to_numpy(np.int64)[at] for c in ("node", "copies", "label"))
+                    x = np.stack([np.frombuffer(b.unit.iloc[i]) for i in at])
+                    for i, j in _linked(x, held[d][1], threshold):
+                        apart = ids[i] != held[d][0][j]
+                        i, j = i[apart], j[apart]
+                        sums[d] += np.bincount(j, copies[i], len(sums[d]))
+                        a, c = labels[i], held[d][2][j]
+                        cross = a != c
+                        if cross.any():
+                            yield pd.DataFrame({"a": np.minimum(a, c)[cross], "b": np.maximum(a, c)[cross], "n": 0}).drop_duplicates()
             for d, n in sums.items():
                 yield _counted(held[d][0], n)
 
@@ -244,35 +298,50 @@ def exact_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
 
     parts = []
     for k in range(slabs):
-        shared = spark.sparkContext.broadcast(_stacked(placed.where(F.col("slab") == k).select("node", "unit", "copies", "label").toPandas()))
-        found = placed.where(F.col("slab") <= k).mapInPandas(against(k, shared), "a long, b long, n long")
+        shared = spark.sparkContext.broadcast(_stacked(asked.where(F.col("slab") == k).select("node", "unit", "label").toPandas()))
+        found = named.select("node", "unit", "copies", "label").mapInPandas(against(shared), "a long, b long, n long")
         parts.append(cut(found.groupBy("a", "b").agg(F.sum("n").alias("n"))))
         shared.destroy()
     found = parts[0]
     for more in parts[1:]:
         found = found.unionAll(more)
-    counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    return counts, found.where("a <> b").select("a", "b").distinct()
-
-
-def _counted(ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """Counts above zero; a count has a = b, a joined pair of labels never has."""
-    at = np.flatnonzero(n)
-    return pd.DataFrame({"a": ids[at], "b": ids[at], "n": n[at].astype(np.int64)})
+    return found.where("a = b").select(F.col("a").alias("node"), "n"), found.where("a <> b").select("a", "b").distinct()
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): links to other vectors and the smallest id reachable by them."""
+def link_audited(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
+    """(vec_id, n_links, component_id, kept) and the audited recall of the links, 1.0 where the audit met none."""
     nodes, members = nodes_of(vectors)
     members = cut(members)
-    links = cut(neighbour_graph(nodes, threshold))
     first = nodes.select("node", "first", "copies")
-    low = links.join(first.select(F.col("node").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("y")), "b")
-    comp = components(low.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = cut(nodes.join(comp.withColumnRenamed("node", "first"), "first", "left").withColumn("label", F.coalesce("component", "first")))
-    degree, joins = exact_links(named, threshold)
+    graph, begin, orders = None, 0, ORDERS
+    for attempt in range(ATTEMPTS):
+        graph = descend(nodes, graph, range(begin, begin + orders), threshold)
+        links = graph.where(F.col("sim") >= threshold).select("a", "b")
+        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = cut(both.join(first.select(F.col("node").alias("b"), F.col("first").alias("y"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("n"), F.min("y").alias("y")))
+        low = links.join(first.select(F.col("node").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("y")), "b")
+        comp = components(low.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        named = cut(nodes.join(comp.withColumnRenamed("node", "first"), "first", "left").withColumn("label", F.coalesce("component", "first")).select("node", "dim", "unit", "first", "copies", "label"))
+        counts = named.select("node").join(ends.select("node", F.col("n").alias("listed")), "node", "left").join(_within(named, threshold).withColumnRenamed("n", "tiled"), "node", "left")
+        counts = cut(counts.select("node", F.coalesce("tiled", "listed", F.lit(0)).alias("known")))
+        asked = named.orderBy(F.xxhash64(F.lit(attempt), "node")).limit(AUDIT)
+        truth, joins = audited(named, asked, threshold)
+        seen = truth.join(counts, "node").agg(F.sum("n").alias("true"), F.sum("known").alias("known")).first()
+        recall = seen.known / seen.true if seen.true else 1.0
+        log.info("attempt %d: recall of links %.4f over %s audited links", attempt + 1, recall, seen.true or 0)
+        if recall >= GOAL:
+            break
+        begin, orders = begin + orders, 2 * orders
+    else:
+        log.warning("recall of links %.4f is below %.2f: every node is compared with all", recall, GOAL)
+        truth, joins = audited(named, named, threshold)
     whole = components(joins).withColumnRenamed("node", "label").withColumnRenamed("component", "joined")
-    per = named.select("node", "copies", "label").join(degree, "node", "left").join(whole, "label", "left")
-    per = per.select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("joined", "label").alias("c"))
+    per = named.select("node", "copies", "label").join(counts, "node").join(truth, "node", "left").join(whole, "label", "left")
+    per = per.select("node", (F.coalesce("n", "known") + F.col("copies") - 1).alias("n"), F.coalesce("joined", "label").alias("c"))
     out = members.join(per, "node", "left").groupBy("vec_id").agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.min("c"), F.col("vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), recall
+
+
+def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, n_links, component_id, kept): links to other vectors and the smallest id reachable by them."""
+    return link_audited(vectors, threshold)[0]

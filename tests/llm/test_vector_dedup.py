@@ -70,3 +70,32 @@ def test_large_group_is_counted_whole(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in v.link(df).collect()}
     assert got == brute(rows) and max(x[0] for x in got.values()) > 400
+
+
+def test_large_ids_beside_null(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, [1.0, 0.0]), (big + 1, [1.0, 0.01]), (None, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.0]), (9, None)], "vec_id long, embedding array<double>")
+    got = {(x.vec_id, x.n_links, x.component_id, x.kept) for x in v.link(df).collect()}
+    assert got == {(big, 2, 7, False), (big + 1, 2, 7, False), (7, 2, 7, True), (9, 0, 9, True), (None, 0, None, True)}
+
+
+def test_audit_measures_recall_and_goes_on(spark, monkeypatch, caplog):
+    """Near pairs no order shows: the audit sees that they are missed, and every node is compared in the end."""
+    r = np.random.default_rng(12)
+    rows = []
+    for _ in range(120):
+        c, e = r.normal(size=(2, 64))
+        c /= np.linalg.norm(c)
+        e -= (e @ c) * c
+        e /= np.linalg.norm(e)
+        rows += [(len(rows), c.tolist()), (len(rows) + 1, (0.91 * c + (1 - 0.91 ** 2) ** 0.5 * e).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(v, "AUDIT", 60)
+    out, recall = v.link_audited(df)
+    assert recall == 1.0 and {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out.collect()} == brute(rows)
+    monkeypatch.setattr(v, "BITS", 20)
+    monkeypatch.setattr(v, "BLOCK", 2)
+    monkeypatch.setattr(v, "ATTEMPTS", 1)
+    out, recall = v.link_audited(df)
+    assert recall < v.GOAL and {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out.collect()} == brute(rows)
+    assert "every node is compared" in caplog.text
