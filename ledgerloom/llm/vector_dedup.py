@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import components, cut, measured_mb
+from ledgerloom.llm.common import BROADCAST_MB, components, cut, measured_mb
 
 THRESHOLD, SLACK = 0.9, 0.1  # lists also hold neighbours down to threshold - slack, to walk along
 ORDERS, BITS, BLOCK = 6, 2, 512  # of the first attempt; the least number of signs; rows that meet
@@ -117,15 +117,15 @@ def _meet(held: list, first: int, floor: float) -> pd.DataFrame:
         x = np.stack([np.frombuffer(held[i][2]) for i in at])
         head = at < first
         s = x[head] @ x.T
-        out.append(_best(ids[at[head]], ids[at], s, s >= floor))
+        out.append(_best(ids[at[head]], ids[at], s, s >= floor, 4 * LIST))
     return pd.concat(out)
 
 
-def _best(left: np.ndarray, right: np.ndarray, s: np.ndarray, able: np.ndarray) -> pd.DataFrame:
-    """Pairs (a, b, sim) of ``able`` places of s: of each row the largest, as many as a list may hold, and the smallest name."""
+def _best(left: np.ndarray, right: np.ndarray, s: np.ndarray, able: np.ndarray, most: int) -> pd.DataFrame:
+    """Pairs (a, b, sim) of ``able`` places of s: of each row the ``most`` largest and the smallest name."""
     able &= left[:, None] != right
-    if s.shape[1] > 4 * LIST:
-        least = -np.partition(-np.where(able, s, -2), 4 * LIST - 1, 1)[:, 4 * LIST - 1:4 * LIST]
+    if s.shape[1] > most:
+        least = -np.partition(-np.where(able, s, -2), most - 1, 1)[:, most - 1:most]
         names = np.where(able, right, np.iinfo(np.int64).max)
         able &= (s >= least) | (names == names.min(1, keepdims=True))
     i, j = np.nonzero(able)
@@ -148,7 +148,7 @@ def _local_join(graph: DataFrame, nodes: DataFrame, floor: float, size: int, see
         ids, new = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
         x = np.stack([np.frombuffer(r[2]) for r in rows])
         s = x[new] @ x.T
-        return _best(ids[new], ids, s, s >= floor)
+        return _best(ids[new], ids, s, s >= floor, max(1, LIST // 3))
 
     def pairs(batches):
         at, rows, out, n = None, [], [], 0
@@ -234,9 +234,12 @@ def _counted(ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
 def _within(named: DataFrame, threshold: float) -> DataFrame:
     """(node, n): links of the nodes of components larger than ``LIST``, in tiles of ``PART`` by ``PART`` nodes."""
     parts = named.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LIST).select("label", F.expr(f"(m + {PART - 1}) div {PART}").alias("parts"))
+    parts = cut(parts)
+    if measured_mb(parts, F.lit(32)) < BROADCAST_MB:
+        parts = F.broadcast(parts)
     d = named.join(parts, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    d = d.select("label", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "unit", "copies")
+    d = d.select("label", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "unit", "copies").withColumn("key", F.xxhash64("label", "i", "j"))
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
         out, one = [], (b.tile == b.i).to_numpy()
@@ -256,7 +259,7 @@ def _within(named: DataFrame, threshold: float) -> DataFrame:
         out = pd.concat(out) if out else _counted(np.zeros(0, np.int64), np.zeros(0))
         return out[["a", "n"]].rename(columns={"a": "node"})
 
-    return d.groupBy("label", "i", "j").applyInPandas(meet, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return d.groupBy("key").applyInPandas(meet, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def _stacked(rows: pd.DataFrame) -> dict[int, tuple]:
