@@ -63,35 +63,45 @@ def aa_degree(spark, sf_dir):
 
 
 PR_ROUNDS = 5
+SHARE_SQL = f"{BOTH_SQL}, share AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM both_)"
 PR_SQL = f"""{GRAPH},
-{BOTH_SQL}, share AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS s FROM both_),
+{SHARE_SQL},
 pr0 AS (SELECT DISTINCT src AS id, CAST(1 AS DOUBLE) AS pr FROM both_)""" + "".join(
     f",\npr{k} AS (SELECT p.id, 0.15 + 0.85 * coalesce(r.recv, 0) AS pr FROM pr{k - 1} p LEFT JOIN (SELECT dst, sum(s * pr) AS recv FROM share JOIN pr{k - 1} ON src = id GROUP BY dst) r ON p.id = r.dst)" for k in range(1, PR_ROUNDS + 1))
+MAX_ROUNDS, MAX_CHANGE = 25, 0.001
+#: All rounds, each of which repeats the one before it once that one changed next to nothing.
+CONVERGED = f"""{SHARE_SQL},
+cv0 AS MATERIALIZED (SELECT DISTINCT src AS id, CAST(1 AS DOUBLE) AS pr FROM both_), st0 AS MATERIALIZED (SELECT false AS done)""" + "".join(
+    f""",
+cv{k} AS MATERIALIZED (SELECT p.id, p.pr AS old, CASE WHEN (SELECT done FROM st{k - 1}) THEN p.pr ELSE 0.15 + 0.85 * coalesce(r.recv, 0) END AS pr FROM cv{k - 1} p LEFT JOIN (SELECT dst, sum(s * pr) AS recv FROM share JOIN cv{k - 1} ON src = id GROUP BY dst) r ON p.id = r.dst),
+st{k} AS MATERIALIZED (SELECT coalesce(max(abs(pr - old)) <= {MAX_CHANGE}, true) AS done FROM cv{k})""" for k in range(1, MAX_ROUNDS + 1)) + f""",
+pr AS (SELECT id, round(pr, 6) AS pagerank FROM cv{MAX_ROUNDS})"""
+CONV_SQL = f"{GRAPH},\n{CONVERGED}"
 
 
-def _fixed(spark, sf_dir):
-    return graph.pagerank(aa(spark, sf_dir), max_change=-1, max_iter=PR_ROUNDS).select("id", F.round("pagerank", 6).alias("pagerank"))
+def _ranks(spark, sf_dir):
+    return graph.pagerank(aa(spark, sf_dir)).select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
 @query(f"{PR_SQL} SELECT id, round(pr, 6) AS pagerank FROM pr{PR_ROUNDS}")
 def pagerank_fixed(spark, sf_dir):
-    return _fixed(spark, sf_dir)
+    return graph.pagerank(aa(spark, sf_dir), max_change=-1, max_iter=PR_ROUNDS).select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
-@query(None)
+@query(f"{CONV_SQL} SELECT id, round(pagerank, 4) AS pagerank FROM pr")
 def pagerank_converged(spark, sf_dir):
-    return graph.pagerank(aa(spark, sf_dir)).select("id", F.round("pagerank", 4).alias("pagerank"))
+    return _ranks(spark, sf_dir).select("id", F.round("pagerank", 4).alias("pagerank"))
 
 
-@query(f"{PR_SQL} SELECT id, round(pr, 6) AS pagerank FROM pr{PR_ROUNDS} ORDER BY round(pr, 6) DESC, id LIMIT 25")
+@query(f"{CONV_SQL} SELECT id, pagerank FROM pr ORDER BY pagerank DESC, id LIMIT 25")
 def pagerank_topk(spark, sf_dir):
-    return graph.top_k(_fixed(spark, sf_dir), 25)
+    return graph.top_k(_ranks(spark, sf_dir), 25)
 
 
-@query(f"""{PR_SQL}, top AS (SELECT id FROM pr{PR_ROUNDS} ORDER BY round(pr, 6) DESC, id LIMIT 25)
+@query(f"""{CONV_SQL}, top AS (SELECT id FROM pr ORDER BY pagerank DESC, id LIMIT 25)
 SELECT a, b, weight FROM aa WHERE a IN (SELECT id FROM top) AND b IN (SELECT id FROM top)""")
 def pagerank_top_subgraph(spark, sf_dir):
-    return graph.induced(aa(spark, sf_dir), graph.top_k(_fixed(spark, sf_dir), 25))
+    return graph.induced(aa(spark, sf_dir), graph.top_k(_ranks(spark, sf_dir), 25))
 
 
 def _triangle_sql(cap: int) -> str:
@@ -135,42 +145,57 @@ def fastrp(spark, sf_dir):
     return graph.fastrp(aa(spark, sf_dir)).select("id", F.col("i").cast("int").alias("i"), (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
-SEEDS = "seeds AS (SELECT id FROM accounts WHERE id % 10 = 3)"
+#: Every account is a seed of one batch: the batches of an epoch cover all of them, with drawn positives beside.
+BATCH_SQL = """pos AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 1),
+un AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 0),
+un2 AS (SELECT r // 14 AS batch, id, CAST(r % 14 + 2 AS INT) AS slot FROM un),
+want AS (SELECT batch, CAST(s AS INT) AS slot, CAST('0x' || substr(md5('5|0|' || batch || '|' || s), 1, 8) AS BIGINT) % (SELECT count(*) FROM pos) AS r FROM (SELECT DISTINCT batch FROM un2), range(2) t(s)),
+epoch AS (SELECT batch, id, slot FROM un2 UNION ALL SELECT batch, id, slot FROM want JOIN pos USING (r)),
+seeds AS (SELECT batch AS batch_id, id, min(slot) AS slot FROM epoch GROUP BY ALL)"""
+
+
+@query(f"{GRAPH}, {BATCH_SQL} SELECT * FROM epoch")
+def epoch_batches(spark, sf_dir):
+    return sampling.epoch_batches(fx.mules(spark, sf_dir).withColumnRenamed("is_mule", "pu_label"))
 
 
 def seeds(spark, sf_dir):
-    return fx.accounts(spark, sf_dir).where("id % 10 = 3")
+    return epoch_batches(spark, sf_dir).withColumnRenamed("batch", "batch_id")
 
 
 def gated(spark, sf_dir):
+    """Accounts that a split keeps from being reached: those of one remainder stand for it."""
     return fx.accounts(spark, sf_dir).where("id % 7 = 1")
 
 
 REL_SQL = """rel AS (SELECT 'HAS_PAID' AS k, src AS f, dst AS t FROM hp UNION SELECT 'Account_Account', a, b FROM aa UNION SELECT 'Account_Account', b, a FROM aa
   UNION SELECT 'Account_Party', account, party FROM owners UNION SELECT 'Party_Account', party, account FROM owners
   UNION SELECT 'Party_Entity', party, party // 2 FROM owners UNION SELECT 'Entity_Party', party // 2, party FROM owners),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY md5('7|' || k || '|' || f || '|' || t), t) AS r FROM rel)"""
+  ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY md5('7|' || k || '|' || f || '|' || t), t) AS r FROM rel)"""
 
 
 def _khop_sql(gate: bool) -> str:
-    q, frontier = f"{GRAPH},\n{SEEDS},\n{REL_SQL}", "seeds"
+    q, frontier = f"{GRAPH},\n{BATCH_SQL},\n{REL_SQL}", "SELECT batch_id, id FROM seeds"
     parts = []
     for r in range(2):
         def step(name, src, k):
             g = " AND t % 7 <> 1" if gate and sampling.TYPES[k][1] == "Account" else ""
             parts.append(name)
-            return f",\n{name} AS (SELECT DISTINCT f AS from_id, t AS to_id, k AS e_type FROM ranked WHERE k = '{k}' AND r <= {sampling.FANOUTS[k][r]} AND f IN ({src}){g})"
-        q += step(f"pa{r}", f"SELECT id FROM {frontier}", "HAS_PAID") + step(f"si{r}", f"SELECT id FROM {frontier}", "Account_Account") + step(f"ap{r}", f"SELECT id FROM {frontier}", "Account_Party")
-        q += step(f"pe{r}", f"SELECT to_id FROM ap{r}", "Party_Entity") + step(f"ep{r}", f"SELECT to_id FROM pe{r}", "Entity_Party") + step(f"pc{r}", f"SELECT to_id FROM ep{r}", "Party_Account")
-        q += f",\nfr{r} AS (SELECT to_id AS id FROM pa{r} UNION SELECT to_id FROM si{r} UNION SELECT to_id FROM pc{r})"
-        frontier = f"fr{r}"
-    return q + ",\nsampled AS (" + " UNION ".join(f"SELECT * FROM {p}" for p in parts) + ")"
+            return f",\n{name} AS MATERIALIZED (SELECT DISTINCT batch_id, f AS from_id, t AS to_id, k AS e_type FROM ranked JOIN ({src}) x ON f = x.id WHERE k = '{k}' AND r <= {sampling.FANOUTS[k][r]}{g})"
+        to = lambda p: f"SELECT DISTINCT batch_id, to_id AS id FROM {p}"
+        q += step(f"pa{r}", frontier, "HAS_PAID") + step(f"si{r}", frontier, "Account_Account") + step(f"ap{r}", frontier, "Account_Party")
+        q += step(f"pe{r}", to(f"ap{r}"), "Party_Entity") + step(f"ep{r}", to(f"pe{r}"), "Entity_Party") + step(f"pc{r}", to(f"ep{r}"), "Party_Account")
+        frontier = f"{to(f'pa{r}')} UNION {to(f'si{r}')} UNION {to(f'pc{r}')}"
+    return q + ",\nsampled AS MATERIALIZED (" + " UNION ".join(f"SELECT * FROM {p}" for p in parts) + ")"
 
 
-def _khop(spark, sf_dir, gate=False):
+def _relations(spark, sf_dir):
     flows = hp(spark, sf_dir)
-    rel = sampling.relations(flows, flow.account_edges(flows), fx.owners(spark, sf_dir), entities(spark, sf_dir))
-    return sampling.khop(seeds(spark, sf_dir), rel, gated=gated(spark, sf_dir) if gate else None)
+    return sampling.relations(flows, flow.account_edges(flows), fx.owners(spark, sf_dir), entities(spark, sf_dir))
+
+
+def _khop(spark, sf_dir, gate=False):
+    return sampling.khop(seeds(spark, sf_dir), _relations(spark, sf_dir), gated=gated(spark, sf_dir) if gate else None)
 
 
 @query(f"{_khop_sql(False)} SELECT * FROM sampled")
@@ -185,9 +210,10 @@ def khop_gated(spark, sf_dir):
 
 _KIND = lambda i: "CASE e_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in sampling.TYPES.items()) + " END"
 NODES_SQL = f"""{_khop_sql(False)},
-nodes AS (SELECT {_KIND(0)} AS node_type, from_id AS id FROM sampled UNION SELECT {_KIND(1)}, to_id FROM sampled UNION SELECT 'Account', id FROM seeds)"""
+nodes AS MATERIALIZED (SELECT batch_id, {_KIND(0)} AS node_type, from_id AS id FROM sampled UNION SELECT batch_id, {_KIND(1)}, to_id FROM sampled UNION SELECT batch_id, 'Account', id FROM seeds)"""
 INDEX_SQL = NODES_SQL + """,
-idx AS (SELECT node_type, id, row_number() OVER (PARTITION BY node_type ORDER BY CASE WHEN node_type = 'Account' AND id IN (SELECT id FROM seeds) THEN 0 ELSE 1 END, id) - 1 AS local_id FROM nodes)"""
+idx AS MATERIALIZED (SELECT n.batch_id, n.node_type, n.id, row_number() OVER (PARTITION BY n.batch_id, n.node_type ORDER BY CASE WHEN slot IS NULL THEN 1 ELSE 0 END, slot, n.id) - 1 AS local_id
+  FROM nodes n LEFT JOIN seeds s ON n.node_type = 'Account' AND s.id = n.id AND s.batch_id = n.batch_id)"""
 
 
 @query(f"{NODES_SQL} SELECT * FROM nodes")
@@ -200,24 +226,34 @@ def local_index(spark, sf_dir):
     return sampling.local_index(khop_nodes(spark, sf_dir), seeds(spark, sf_dir))
 
 
-@query(f"""{INDEX_SQL} SELECT e_type, x.local_id AS row, y.local_id AS col FROM sampled JOIN idx x ON x.node_type = {_KIND(0)} AND x.id = from_id JOIN idx y ON y.node_type = {_KIND(1)} AND y.id = to_id""")
+@query(f"{GRAPH} SELECT 'Account' AS node_type, id, row_number() OVER (ORDER BY id) - 1 AS local_id FROM accounts")
+def whole_index(spark, sf_dir):
+    """Local ids of one batch of all accounts."""
+    every = fx.accounts(spark, sf_dir)
+    return sampling.local_index(every.select(F.lit("Account").alias("node_type"), "id"), every)
+
+
+@query(f"""{INDEX_SQL} SELECT sampled.batch_id, e_type, x.local_id AS row, y.local_id AS col FROM sampled JOIN idx x ON x.batch_id = sampled.batch_id AND x.node_type = {_KIND(0)} AND x.id = from_id
+JOIN idx y ON y.batch_id = sampled.batch_id AND y.node_type = {_KIND(1)} AND y.id = to_id""")
 def local_edges(spark, sf_dir):
     e = _khop(spark, sf_dir)
     return sampling.local_edges(e, sampling.local_index(sampling.khop_nodes(seeds(spark, sf_dir), e), seeds(spark, sf_dir)))
 
 
-@query(f"{GRAPH},\n{SEEDS} SELECT src, dst, total_amount, txn_count FROM hp WHERE src IN (SELECT id FROM seeds) AND dst IN (SELECT id FROM seeds)")
+@query(f"{GRAPH},\n{BATCH_SQL} SELECT x.batch_id, src, dst, total_amount, txn_count FROM hp JOIN seeds x ON x.id = src JOIN seeds y ON y.id = dst AND x.batch_id = y.batch_id")
 def inbatch_edges(spark, sf_dir):
-    return sampling.inbatch_edges(hp(spark, sf_dir), seeds(spark, sf_dir)).select("src", "dst", "total_amount", "txn_count")
+    return sampling.inbatch_edges(hp(spark, sf_dir), seeds(spark, sf_dir)).select("batch_id", "src", "dst", "total_amount", "txn_count")
 
 
-@query(f"""{GRAPH}, pos AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 1),
-un AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 0),
-un2 AS (SELECT r // 14 AS batch, id, CAST(r % 14 + 2 AS INT) AS slot FROM un),
-want AS (SELECT batch, CAST(s AS INT) AS slot, CAST('0x' || substr(md5('5|0|' || batch || '|' || s), 1, 8) AS BIGINT) % (SELECT count(*) FROM pos) AS r FROM (SELECT DISTINCT batch FROM un2), range(2) t(s))
-SELECT batch, id, slot FROM un2 UNION ALL SELECT batch, id, slot FROM want JOIN pos USING (r)""")
-def epoch_batches(spark, sf_dir):
-    return sampling.epoch_batches(fx.mules(spark, sf_dir).withColumnRenamed("is_mule", "pu_label"))
+@query(f"""{GRAPH} SELECT id, is_mule AS pu_label FROM mules WHERE is_mule = 1
+UNION ALL (SELECT id, is_mule FROM mules WHERE is_mule = 0 ORDER BY md5('5|val|' || id), id LIMIT 10000)""")
+def validation_sample(spark, sf_dir):
+    return sampling.validation_sample(fx.mules(spark, sf_dir).withColumnRenamed("is_mule", "pu_label"))
+
+
+@query(f"{GRAPH} SELECT 3.0 / count(*) AS prior FROM accounts")
+def class_prior(spark, sf_dir):
+    return spark.createDataFrame([(sampling.class_prior(fx.accounts(spark, sf_dir).count(), 3),)], "prior double")
 
 
 @query(f"{GRAPH},\n{cf.MONEY_SQL} SELECT id, in_degree, out_degree FROM money_flow WHERE id > 40 ORDER BY id LIMIT 50")
@@ -225,16 +261,41 @@ def vertex_page(spark, sf_dir):
     return export.vertex_page(cf.money_flow(spark, sf_dir).select("id", "in_degree", "out_degree"), 40, 50)
 
 
-@query(f"{GRAPH} SELECT src AS from_id, dst AS to_id FROM hp WHERE src IN (SELECT DISTINCT src FROM hp WHERE src > 10 ORDER BY src LIMIT 20)")
+_VERTEX_SQL = {"Account": "SELECT id FROM accounts", "Party": "SELECT DISTINCT party AS id FROM owners", "Entity": "SELECT DISTINCT party // 2 AS id FROM owners"}
+
+
+def _page_sql(kind: str) -> str:
+    return f"""{GRAPH},\n{REL_SQL}, page AS (SELECT id FROM ({_VERTEX_SQL[sampling.TYPES[kind][0]]}) WHERE id > 10 ORDER BY id LIMIT 20),
+last AS (SELECT max(id) AS next_cursor FROM page)
+SELECT f AS from_id, t AS to_id, next_cursor FROM last LEFT JOIN (SELECT f, t FROM rel WHERE k = '{kind}' AND f IN (SELECT id FROM page)) ON true WHERE next_cursor IS NOT NULL"""
+
+
+def _page_of(kind: str):
+    def page(spark, sf_dir):
+        ends = {"Account": fx.accounts(spark, sf_dir), "Party": fx.owners(spark, sf_dir).select(F.col("party").alias("id")).distinct(), "Entity": entities(spark, sf_dir).select(F.col("entity").alias("id")).distinct()}
+        return export.edge_page(_relations(spark, sf_dir)[kind], 10, 20, ends[sampling.TYPES[kind][0]])
+
+    page.__name__ = f"edge_page_{kind.lower()}"
+    page.__doc__ = f"A page of {kind} edges behind source 10: 20 vertices of the source's type."
+    return page
+
+
+for _kind in sampling.TYPES:
+    query(_page_sql(_kind))(_page_of(_kind))
+
+
+@query(f"""{GRAPH}, page AS (SELECT DISTINCT src FROM hp WHERE src > 10 ORDER BY src LIMIT 20)
+SELECT src AS from_id, dst AS to_id, (SELECT max(src) FROM page) AS next_cursor FROM hp WHERE src IN (SELECT src FROM page)""")
 def edge_page(spark, sf_dir):
     return export.edge_page(hp(spark, sf_dir).select(F.col("src").alias("from_id"), F.col("dst").alias("to_id")), 10, 20)
 
 
-@query(f"""{GRAPH} SELECT src, count(*) AS n_edges, string_agg(dst || ':' || printf('%.2f', total_amount) || ':' || txn_count, ';' ORDER BY dst) AS edges FROM hp
-WHERE src IN (SELECT DISTINCT src FROM hp WHERE src > 10 ORDER BY src LIMIT 20) GROUP BY src""")
+@query(f"""{GRAPH}, page AS (SELECT id FROM accounts WHERE id > 10 ORDER BY id LIMIT 20)
+SELECT src, count(*) AS n_edges, string_agg(dst || ':' || printf('%.2f', total_amount) || ':' || txn_count, ';' ORDER BY dst) AS edges, (SELECT max(id) FROM page) AS next_cursor FROM hp
+WHERE src IN (SELECT id FROM page) GROUP BY src""")
 def has_paid_page(spark, sf_dir):
-    d = export.has_paid_page(hp(spark, sf_dir), 10, 20)
-    return d.select("src", F.size("edges").cast("long").alias("n_edges"), F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["dst"].cast("string"), F.format_string("%.2f", e["total_amount"]), e["txn_count"].cast("string"))), ";").alias("edges"))
+    d = export.has_paid_page(hp(spark, sf_dir), 10, 20, fx.accounts(spark, sf_dir))
+    return d.select("src", F.size("edges").cast("long").alias("n_edges"), F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["dst"].cast("string"), F.format_string("%.2f", e["total_amount"]), e["txn_count"].cast("string"))), ";").alias("edges"), "next_cursor")
 
 
 @query(f"""{GRAPH} SELECT (SELECT count(*) FROM accounts) AS n_accounts, (SELECT count(*) FROM hp) AS n_edges, (SELECT count(DISTINCT src) FROM hp) AS n_sources""")

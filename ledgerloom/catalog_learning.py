@@ -31,18 +31,18 @@ def query(sql: str | None):
 
 NAMES = list(features.ACCOUNT_FEATURES)
 _WCC = cg.WCC_SQL
-_PR = cg.PR_SQL[len(GRAPH):].lstrip(",\n")
+_PR = cg.CONVERGED
 _TRI = cg._triangle_sql(1000)[len(GRAPH):].lstrip(",\n")
 _TRI = _TRI[_TRI.index("deg AS"):]
 _TRI_CTES, _TRI_SELECT = _TRI.rsplit("\nSELECT", 1)
 RAW_SQL = f"""{_WCC},
 {_PR}, {_TRI_CTES}, tri AS (SELECT{_TRI_SELECT}),
 {cf.MONEY_SQL}, {cf.TEMPORAL_SQL}, {cf.IDENTITY_SQL},
-raw AS (SELECT a.id, round(coalesce(pr, 0), 6) AS pagerank, com_size, (SELECT count(*) FROM both_ WHERE src = a.id) AS aa_degree, triangle_count, clustering_coef,
+raw AS (SELECT a.id, coalesce(pagerank, 0) AS pagerank, com_size, (SELECT count(*) FROM both_ WHERE src = a.id) AS aa_degree, triangle_count, clustering_coef,
   in_degree, out_degree, in_amount, out_amount, in_txns AS in_txn_count, out_txns AS out_txn_count, fan_in_ratio, fan_out_ratio, pass_through_ratio, net_flow,
   activity_span_days, days_since_last_txn, account_age_days, mean_inter_txn_days, txn_per_active_day, burst_ratio, active_bin_count, activity_concentration, peak_bin_fraction, early_late_ratio, in_out_lag_days,
   device_share_cnt, ip_share_cnt, phone_share_cnt, email_share_cnt, CAST(a.id % 9 = 0 AS INT) AS is_external
-  FROM accounts a JOIN label USING (id) JOIN sized USING (com_id) JOIN tri USING (id) JOIN money_flow USING (id) JOIN temporal USING (id) JOIN identity USING (id) LEFT JOIN pr{cg.PR_ROUNDS} p ON p.id = a.id)"""
+  FROM accounts a JOIN label USING (id) JOIN sized USING (com_id) JOIN tri USING (id) JOIN money_flow USING (id) JOIN temporal USING (id) JOIN identity USING (id) LEFT JOIN pr p ON p.id = a.id)"""
 _FORM = {"identity": "{0}", "log1p": "ln(1 + greatest({0}, 0))", "symlog": "CASE WHEN {0} >= 0 THEN ln(1 + {0}) ELSE -ln(1 - {0}) END", "clamp": "CASE WHEN {0} = -1 THEN 0 ELSE {0} END", "boolean": "CASE WHEN {0} <> 0 THEN 1 ELSE 0 END"}
 FEATURE_SQL = RAW_SQL + ",\nfeat AS (SELECT id, " + ", ".join("CAST(" + _FORM[t].format(f"CAST({k} AS DOUBLE)") + f" AS DOUBLE) AS {k}" for k, t in features.ACCOUNT_FEATURES.items()) + " FROM raw)"
 
@@ -51,7 +51,7 @@ def raw(spark, sf_dir):
     """All attributes of every account, written back to one frame by joins on the id."""
     ids, flows = fx.accounts(spark, sf_dir), hp(spark, sf_dir)
     edges = flow.account_edges(flows)
-    d = ids.join(cg._fixed(spark, sf_dir), "id", "left").na.fill(0.0, ["pagerank"])
+    d = ids.join(cg._ranks(spark, sf_dir), "id", "left").na.fill(0.0, ["pagerank"])
     for more in (cg.wcc(spark, sf_dir), cg.graph.aa_degree(ids, edges), cg.graph.triangles(ids, edges), flow.money_flow(ids, flows), flow.temporal_features(ids, flows), identity.identity_sharing(ids, fx.owners(spark, sf_dir), fx.identities(spark, sf_dir))):
         d = d.join(more, "id")
     return d.withColumnsRenamed({"in_txns": "in_txn_count", "out_txns": "out_txn_count"}).withColumn("is_external", F.expr("cast(id % 9 = 0 as int)"))
@@ -83,16 +83,15 @@ def sentinel_counts(spark, sf_dir):
     return features.sentinel_counts(raw(spark, sf_dir))
 
 
-_LABELS = ", target AS (SELECT id, is_mule AS label FROM mules), long AS (" + " UNION ALL ".join(f"SELECT id, label, '{k}' AS feature, {k} AS score FROM feat JOIN target USING (id)" for k in ("in_degree", "out_degree", "net_flow", "device_share_cnt", "aa_degree", "is_external")) + ")"
-SOME = ["in_degree", "out_degree", "net_flow", "device_share_cnt", "aa_degree", "is_external"]
+_LABELS = ", target AS (SELECT id, is_mule AS label FROM mules), fm AS MATERIALIZED (SELECT * FROM feat), long AS (" + " UNION ALL ".join(f"SELECT id, label, '{k}' AS feature, {k} AS score FROM fm JOIN target USING (id)" for k in NAMES) + ")"
 
 
 def _target(spark, sf_dir):
     return fx.mules(spark, sf_dir).withColumnRenamed("is_mule", "label")
 
 
-def _some(spark, sf_dir):
-    return rounded(_features(spark, sf_dir), SOME, 6)
+def _rounded(spark, sf_dir):
+    return rounded(_features(spark, sf_dir), NAMES, 6)
 
 
 @query(FEATURE_SQL + _LABELS + """, r AS (SELECT feature, label, round(score, 6) AS score, count(*) OVER (PARTITION BY feature) AS N, sum(label) OVER (PARTITION BY feature) AS P,
@@ -100,34 +99,34 @@ def _some(spark, sf_dir):
 auc AS (SELECT feature, round((sum(mid) FILTER (label = 1) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(N) - max(P))), 6) AS auc FROM r GROUP BY feature)
 SELECT feature, CAST(auc AS DOUBLE) AS auc, CAST(round(greatest(auc, 1 - auc), 6) AS DOUBLE) AS best_auc FROM auc""")
 def feature_auc(spark, sf_dir):
-    return evaluate.feature_auc(_some(spark, sf_dir), _target(spark, sf_dir), SOME)
+    return evaluate.feature_auc(_rounded(spark, sf_dir), _target(spark, sf_dir), NAMES)
 
 
 @query(FEATURE_SQL + _LABELS + """ SELECT feature, CASE WHEN stddev_pop(score) < 1e-12 OR stddev_pop(label) < 1e-12 THEN 0 ELSE round(corr(score, label), 5) END AS r FROM (SELECT feature, label, round(score, 6) AS score FROM long) GROUP BY feature""")
 def feature_corr(spark, sf_dir):
-    return evaluate.feature_corr(_some(spark, sf_dir), _target(spark, sf_dir), SOME)
+    return evaluate.feature_corr(_rounded(spark, sf_dir), _target(spark, sf_dir), NAMES)
 
 
 _EDGE_SQL = GRAPH + """, ref AS (SELECT max(last_ts) AS ref FROM hp),
-edge AS (SELECT src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(ln(1 + txn_count), 6) AS log_txns, round((last_ts - first_ts) / 86400.0, 6) AS span_days, CAST((SELECT count(*) FROM hp_bin b WHERE b.src = hp.src AND b.dst = hp.dst AND b.cnt > 0 AND b.i < {w}) AS DOUBLE) AS active_bins,
+edge AS (SELECT src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(ln(1 + txn_count), 6) AS log_txns, round((last_ts - first_ts) / 86400.0, 6) AS span_days, CAST((SELECT count(*) FROM hp_bin b WHERE b.src = hp.src AND b.dst = hp.dst AND b.cnt > 0) AS DOUBLE) AS active_bins,
   round(greatest((ref - last_ts) / 86400.0, 0), 6) AS recency_days, round(greatest((last_ts - first_ts) / 86400.0, 0), 6) AS duration_days, round(total_amount / txn_count, 6) AS amount_per_txn FROM hp, ref)"""
-WIDTH = 4
+WIDTH = "(SELECT max(num_bins) FROM hp)"
 
 
 def _edges(spark, sf_dir):
     flows = hp(spark, sf_dir)
-    return features.edge_features(flows, flows.agg(F.max("last_ts")), WIDTH)
+    return features.edge_features(flows, flows.agg(F.max("last_ts")), flow.temporal_spec(flows)["bins"])
 
 
-@query(_EDGE_SQL.replace("{w}", str(WIDTH)) + f" SELECT *, round(active_bins / {WIDTH}, 6) AS active_fraction FROM edge")
+@query(_EDGE_SQL + f" SELECT *, round(active_bins / {WIDTH}, 6) AS active_fraction FROM edge")
 def edge_features(spark, sf_dir):
     return _edges(spark, sf_dir).select("src", "dst", *(F.round(k, 6).alias(k) for k in ("log_amount", "log_txns", "span_days", "active_bins", "recency_days", "duration_days", "active_fraction", "amount_per_txn")))
 
 
-@query(f"""{GRAPH}, want AS (SELECT src, dst, unnest(range({WIDTH})) AS i FROM hp)
+@query(f"""{GRAPH}, want AS (SELECT src, dst, unnest(range(num_bins)) AS i FROM hp)
 SELECT w.src, w.dst, CAST(w.i AS INT) AS bin, round(ln(1 + CAST(coalesce(amt, 0) AS DOUBLE)), 6) AS log_amount, CAST(coalesce(cnt, 0) AS DOUBLE) AS txns FROM want w LEFT JOIN hp_bin b ON w.src = b.src AND w.dst = b.dst AND w.i = b.i""")
 def edge_bin_features(spark, sf_dir):
-    d = _edges(spark, sf_dir).select("src", "dst", "bins", F.explode_outer(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("bin"))
+    d = _edges(spark, sf_dir).select("src", "dst", "bins", F.explode_outer(F.sequence(F.lit(0), F.expr("size(bins) div 2 - 1"))).alias("bin"))
     return d.select("src", "dst", "bin", F.round(F.get("bins", 2 * F.col("bin")), 6).alias("log_amount"), F.get("bins", 2 * F.col("bin") + 1).alias("txns"))
 
 
@@ -282,3 +281,52 @@ def vertex_upsert(spark, sf_dir):
     shops = a.where("id % 3 = 0").select("id", F.lit("shop").alias("category"))
     banks = a.where("id % 5 = 0").select((F.col("id") + 100000).alias("id"), F.lit("bank").alias("category"))
     return files.upsert([own, shops, banks], {"is_external": 0, "category": ""})
+
+
+@query(f"""{SCORES_SQL}, ks AS (SELECT CAST(rate AS DOUBLE) AS rate, CAST(greatest(1, least(round_even(CAST(rate AS DOUBLE) * N, 0), N)) AS BIGINT) AS k FROM (VALUES (0.0005), (0.001), (0.005), (0.01), (0.02)) v(rate), tot),
+gain AS (SELECT rate AS alert_rate, k, CAST(max(pos_to) AS BIGINT) AS tp, round(max(pos_to) / P, 6) AS recall, round(max(pos_to) / k, 6) AS precision, round((max(pos_to) / k) / (P / N), 6) AS lift FROM ks JOIN rank_ ON place <= k, tot GROUP BY rate, k, P, N),
+head AS (SELECT max(tot.N) AS n, max(P) AS n_pos, round(sum((pos / P) * (pos_to / n_to)), 6) AS average_precision,
+  round((sum(pos * (tot.N - n_to + (down.n + 1) / 2.0)) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(tot.N) - max(P))), 6) AS roc_auc FROM down, tot)
+SELECT gain.*, head.*, round(n_pos / n, 6) AS base_rate, precision >= 0.45 AS beats_analyst FROM gain, head""")
+def summary_report(spark, sf_dir):
+    return evaluate.summary_report(fx.scores(spark, sf_dir))
+
+
+@query(FEATURE_SQL + f", {cg.BATCH_SQL[cg.BATCH_SQL.index('pos AS'):]} SELECT batch_id, id, slot, " + ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in NAMES) + " FROM seeds JOIN feat USING (id)")
+def batch_features(spark, sf_dir):
+    """Features fetched for the accounts of every batch; one that has none is an error."""
+    want = cg.seeds(spark, sf_dir).groupBy("batch_id", "id").agg(F.min("slot").alias("slot"))
+    d = features.aligned(want, _features(spark, sf_dir), ["id"])
+    return d.select("batch_id", "id", "slot", *((F.round(k, 6) + F.lit(0.0)).alias(k) for k in NAMES))
+
+
+@query(f"""{cg._khop_sql(False)}, ref AS (SELECT max(last_ts) AS ref FROM hp) SELECT batch_id, src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(greatest((ref - last_ts) / 86400.0, 0), 6) AS recency_days
+FROM sampled JOIN hp ON e_type = 'HAS_PAID' AND src = from_id AND dst = to_id, ref""")
+def batch_edge_features(spark, sf_dir):
+    """One feature row for each sampled payment edge of every batch; one that has none is an error."""
+    want = cg.khop_edges(spark, sf_dir).where("e_type = 'HAS_PAID'").select("batch_id", F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    d = features.aligned(want, _edges(spark, sf_dir), ["src", "dst"])
+    return d.select("batch_id", "src", "dst", F.round("log_amount", 6).alias("log_amount"), F.round("recency_days", 6).alias("recency_days"))
+
+
+@query(f"{MASK_SQL} SELECT id, is_mule, ring_id, pu_label, bucket, forced_test FROM mask")
+def answer_key(spark, sf_dir):
+    """The masks written as an artifact named by seed and prevalence, its summary beside it, and read by that name."""
+    at, m = f"{scratch_dir(spark)}/artifacts-{uuid.uuid4().hex}", _mask(spark, sf_dir)
+    export.write_masks(m, masking.split_summary(m, _split(spark, sf_dir)), at, 1337, 0.3)
+    return export.read_answer_key(spark, at, 1337, 0.3)
+
+
+@query(f"{cf.LEDGER} SELECT src || ',' || dst || ',' || txn_count AS line FROM flow")
+def text_sink(spark, sf_dir):
+    """Lines of text written to shared scratch storage and read again."""
+    at = f"{scratch_dir(spark)}/text-{uuid.uuid4().hex}"
+    export.write_lines(flow.flow_agg(fx.peer_ledger(spark, sf_dir)).select(F.concat_ws(",", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("txn_count").cast("string")).alias("line")), at)
+    return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+@query(f"{GRAPH} SELECT CAST(src AS VARCHAR) AS from_id, CAST(dst AS VARCHAR) AS to_id, txn_count FROM hp")
+def parsed_edges(spark, sf_dir):
+    """Edges that came as a JSON result: one document with a block of edges for each source."""
+    block = hp(spark, sf_dir).groupBy("src").agg(F.collect_list(F.struct(F.col("src").cast("string").alias("from_id"), F.col("dst").cast("string").alias("to_id"), F.col("txn_count").cast("double").alias("txn_count"))).alias("edges"))
+    return files.parse_edges(block.select(F.to_json(F.struct("edges")).alias("json")), {"txn_count": "long"})

@@ -1,8 +1,7 @@
 """Ranking evaluation over ``(id, score, label)``. Order is score descending, then id; AP and AUC respect ties.
 
-Positions in a ranking need one order of all rows. They are found without one task holding them:
-counts per distinct score are pre-aggregated, running sums are taken over these, and a row's place
-within its score is counted among its equals only.
+Positions in a ranking need one order of all rows. They are found without one task holding them: rows, or
+counts per distinct score, are dealt out by range and running sums are taken over stretches.
 """
 
 from __future__ import annotations
@@ -11,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import sigmoid
+from ledgerloom.plans.fixpoint import cut
 from ledgerloom.plans.ordered import running
 
 ALERT_RATES = (0.0005, 0.001, 0.005, 0.01, 0.02)
 KS = (100, 250, 500, 1000)
+ANALYST_PRECISION = 0.45  # fixed value: share of alerts a human review confirms
 
 
 def by_score(scores: DataFrame) -> DataFrame:
@@ -25,10 +26,9 @@ def by_score(scores: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """(id, score, label, place, pos_to): place from 1 and positives down to it."""
-    tie = Window.partitionBy("score").orderBy("id")
-    d = scores.join(by_score(scores).select("score", (F.col("n_to") - F.col("n")).alias("n0"), (F.col("pos_to") - F.col("pos")).alias("p0"), "all_n", "all_pos"), "score")
-    return d.select("id", "score", "label", (F.col("n0") + F.row_number().over(tie)).alias("place"), (F.col("p0") + F.sum("label").over(tie.rowsBetween(Window.unboundedPreceding, 0))).alias("pos_to"), "all_n", "all_pos")
+    """(id, score, label, place, pos_to, all_n, all_pos): place from 1 and positives down to it, counted in stretches; ties go by id."""
+    d = running(scores.select("id", "score", "label"), [F.desc("score"), F.col("id")], {"place": F.lit(1).cast("long"), "pos_to": F.col("label").cast("long")})
+    return d.withColumnsRenamed({"place_all": "all_n", "pos_to_all": "all_pos"})
 
 
 def two_classes(scores: DataFrame) -> None:
@@ -37,23 +37,34 @@ def two_classes(scores: DataFrame) -> None:
         raise ValueError("both classes are needed")
 
 
+def _both_classes(n, pos):
+    """``pos``, or an error, when the query runs, where not both classes are there."""
+    return F.when((pos > 0) & (pos < n), pos).otherwise(F.raise_error(F.lit("both classes are needed")).cast("long"))
+
+
 def ranking_metrics(scores: DataFrame) -> DataFrame:
-    """(n, n_pos, average_precision, roc_auc), with ties handled as one threshold each."""
+    """(n, n_pos, average_precision, roc_auc), with ties handled as one threshold each; one class alone is an error."""
     g = by_score(scores)
-    ap = F.sum((F.col("pos") / F.col("all_pos")) * (F.col("pos_to") / F.col("n_to")))
+    ap = F.sum(F.try_divide(F.col("pos"), F.col("all_pos")) * (F.col("pos_to") / F.col("n_to")))
     # rank sum with mid ranks, counted from the lowest score
     mid = F.col("all_n") - F.col("n_to") + (F.col("n") + 1) / 2
-    area = (F.sum(F.col("pos") * mid) - F.max("all_pos") * (F.max("all_pos") + 1) / 2) / (F.max("all_pos") * (F.max("all_n") - F.max("all_pos")))
-    return g.agg(F.max("all_n").alias("n"), F.max("all_pos").alias("n_pos"), F.round(ap, 6).alias("average_precision"), F.round(area, 6).alias("roc_auc"))
+    n, p = F.max("all_n"), F.max("all_pos")
+    area = F.try_divide(F.sum(F.col("pos") * mid) - p * (p + 1) / 2, p * (n - p))
+    d = g.agg(n.alias("n"), p.alias("n_pos"), F.round(ap, 6).alias("average_precision"), F.round(area, 6).alias("roc_auc"))
+    return d.withColumn("n_pos", _both_classes(F.col("n"), F.col("n_pos")))
 
 
 def _at(scores: DataFrame, ks: DataFrame) -> DataFrame:
     """``ks(k, ...)`` with tp: positives among the first k; a k beyond the end takes all."""
-    r = ranked(scores)
-    return F.broadcast(ks).join(r, r["place"] <= F.col("k"), "left").groupBy(*ks.columns).agg(F.coalesce(F.max("pos_to"), F.lit(0)).alias("tp"), F.coalesce(F.max("all_n"), F.lit(0)).alias("all_n"), F.coalesce(F.max("all_pos"), F.lit(0)).alias("all_pos"))
+    n = scores.agg(F.count(F.lit(1)).alias("all_n"), F.coalesce(F.sum("label"), F.lit(0)).alias("all_pos"))
+    ks = cut(ks.join(F.broadcast(n)).withColumn("_last", F.least("k", "all_n")))
+    hits = ranked(scores).select("place", "pos_to").join(F.broadcast(ks.select("_last").distinct()), F.col("place") == F.col("_last"), "left_semi")
+    return ks.join(hits, F.col("place") == F.col("_last"), "left").select(*(c for c in ks.columns if c != "_last"), F.coalesce("pos_to", F.lit(0)).alias("tp"))
 
 
 def _ks(scores: DataFrame, ks) -> DataFrame:
+    if not ks or not all(k > 0 for k in ks):
+        raise ValueError("every k must be above 0")
     return scores.sparkSession.createDataFrame([(int(k),) for k in sorted(set(ks))], "k long")
 
 
@@ -81,6 +92,18 @@ def gains_table(scores: DataFrame, rates=ALERT_RATES) -> DataFrame:
     return d.select("alert_rate", "k", "tp", F.round(F.col("tp") / F.col("all_pos"), 6).alias("recall"), F.round(p, 6).alias("precision"), F.round(p / (F.col("all_pos") / F.col("all_n")), 6).alias("lift"))
 
 
+def summary_report(scores: DataFrame, rates=ALERT_RATES, analyst_precision: float = ANALYST_PRECISION) -> DataFrame:
+    """The gains table with what stands above it: counts, base rate, AP and AUC, and whether a row's precision reaches an analyst's."""
+    head = ranking_metrics(scores).withColumn("base_rate", F.round(F.col("n_pos") / F.col("n"), 6))
+    return gains_table(scores, rates).join(F.broadcast(head)).withColumn("beats_analyst", F.col("precision") >= analyst_precision)
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """(line): the report as text, one line for each alert rate, for a text sink."""
+    return report.select(F.format_string("%.3f%% k=%d recall=%.4f precision=%.4f lift=%.1fx tp=%d/%d%s", F.col("alert_rate") * 100, "k", "recall", "precision", "lift", "tp", "n_pos",
+                                         F.when(F.col("beats_analyst"), " *").otherwise("")).alias("line"))
+
+
 def long_features(features: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
     pairs = F.explode_outer(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).cast("double").alias("score")) for k in names)))
     return features.join(labels, "id").select("id", "label", pairs.alias("p")).select("id", "label", "p.feature", "p.score")
@@ -89,8 +112,9 @@ def long_features(features: DataFrame, labels: DataFrame, names: list[str]) -> D
 def feature_auc(features: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
     """(feature, auc, best_auc): rank-sum AUC of each feature alone; best_auc is sign-corrected."""
     g = long_features(features, labels, names).groupBy("feature", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    up, whole = Window.partitionBy("feature").orderBy("score"), Window.partitionBy("feature")
-    g = g.select("feature", "n", "pos", F.sum("n").over(up).alias("to"), F.sum("n").over(whole).alias("all_n"), F.sum("pos").over(whole).alias("all_pos"))
+    g = running(g, [F.col("feature"), F.col("score")], {"to": F.col("n")})
+    whole = g.groupBy("feature").agg(F.min(F.col("to") - F.col("n")).alias("base"), F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
+    g = g.join(F.broadcast(whole), "feature").select("feature", "n", "pos", (F.col("to") - F.col("base")).alias("to"), "all_n", "all_pos")
     area = (F.sum(F.col("pos") * (F.col("to") - (F.col("n") - 1) / 2)) - F.max("all_pos") * (F.max("all_pos") + 1) / 2) / (F.max("all_pos") * (F.max("all_n") - F.max("all_pos")))
     return g.groupBy("feature").agg(F.round(area, 6).alias("auc")).select("feature", "auc", F.round(F.greatest("auc", 1 - F.col("auc")), 6).alias("best_auc"))
 
@@ -140,20 +164,26 @@ def score_histogram(scores: DataFrame, bins: int = 40) -> DataFrame:
 
 
 class BestEpoch:
-    """Model selection: the primary metric decides, the second breaks near ties; patience ends training."""
+    """Model selection: the primary metric decides, the second breaks near ties; patience ends training.
+
+    Two marks are kept: ``best`` of the epochs that were taken, and the last value that rose by ``min_delta``,
+    from which patience counts.
+    """
 
     def __init__(self, patience: int = 5, min_delta: float = 0.0, tie: float = 2e-3):
         self.patience, self.min_delta, self.tie = patience, min_delta, tie
-        self.best, self.second, self.epoch, self.stale, self._epoch = None, None, None, 0, -1
+        self.best = self.second = self.mark = float("-inf")
+        self.epoch, self.stale, self._epoch = None, 0, -1
 
-    def update(self, primary: float, second: float = 0.0) -> bool:
+    def update(self, primary: float, second: float = float("-inf")) -> bool:
         """True where this epoch is the best so far."""
         self._epoch += 1
-        better = self.best is None or primary > self.best + max(self.tie, self.min_delta) or (abs(primary - self.best) <= self.tie and second > self.second)
-        self.stale = 0 if self.best is None or primary > self.best + self.min_delta else self.stale + 1
-        if better:
-            self.best, self.second, self.epoch = max(primary, self.best or primary), second, self._epoch
-        return better
+        wins = primary > self.best + self.tie or (primary >= self.best - self.tie and second > self.second)
+        if wins:
+            self.best, self.second, self.epoch = max(primary, self.best), max(second, self.second), self._epoch
+        rose = primary > self.mark + self.min_delta
+        self.mark, self.stale = (primary, 0) if rose else (self.mark, self.stale + 1)
+        return wins
 
     @property
     def done(self) -> bool:

@@ -12,16 +12,32 @@ def vertex_page(vertices: DataFrame, cursor=None, limit: int = 5000, key: str =
     return d.orderBy(key).limit(limit)
 
 
-def edge_page(edges: DataFrame, cursor=None, limit: int = 5000) -> DataFrame:
-    """Distinct (from_id, to_id) of the next ``limit`` source vertices."""
-    page = vertex_page(edges.select("from_id").distinct(), cursor, limit, "from_id")
-    return edges.join(page, "from_id", "left_semi").select("from_id", "to_id").distinct()
+def _source_page(edges: DataFrame, vertices: DataFrame | None, key: str, cursor, limit: int) -> DataFrame:
+    every = edges.select(key).distinct() if vertices is None else vertices.select(F.col("id").alias(key))
+    return vertex_page(every, cursor, limit, key)
 
 
-def has_paid_page(flows: DataFrame, cursor=None, limit: int = 5000) -> DataFrame:
-    """(src, edges): flow edges nested by source, for the next ``limit`` sources."""
-    page = vertex_page(flows.select("src").distinct(), cursor, limit, "src")
-    return flows.join(page, "src", "left_semi").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "total_amount", "txn_count"))).alias("edges"))
+def next_cursor(page: DataFrame, key: str = "id") -> DataFrame:
+    """(next_cursor): the last key of a page, null behind the last page."""
+    return page.agg(F.max(key).alias("next_cursor"))
+
+
+def edge_page(edges: DataFrame, cursor=None, limit: int = 5000, vertices: DataFrame | None = None) -> DataFrame:
+    """Distinct (from_id, to_id, next_cursor) of the next ``limit`` source vertices.
+
+    With ``vertices(id)`` the page counts all vertices of the source's type, also those without edges; a page
+    of these alone is one row without ends, so the cursor still moves on.
+    """
+    page = _source_page(edges, vertices, "from_id", cursor, limit)
+    found = edges.join(page, "from_id", "left_semi").select("from_id", "to_id").distinct()
+    return next_cursor(page, "from_id").where("next_cursor is not null").join(found, F.lit(True), "left").select("from_id", "to_id", "next_cursor")
+
+
+def has_paid_page(flows: DataFrame, cursor=None, limit: int = 5000, vertices: DataFrame | None = None) -> DataFrame:
+    """(src, edges, next_cursor): flow edges nested by source, for the next ``limit`` sources or vertices; see ``edge_page``."""
+    page = _source_page(flows, vertices, "src", cursor, limit)
+    nested = flows.join(page, "src", "left_semi").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "total_amount", "txn_count"))).alias("edges"))
+    return next_cursor(page, "src").where("next_cursor is not null").join(nested, F.lit(True), "left").select("src", "edges", "next_cursor")
 
 
 def pages(vertices: DataFrame, limit: int = 5000, key: str = "id"):
@@ -53,3 +69,24 @@ def split_list(column, kind: str = "double"):
 def flag(column):
     """1 for the text True, else 0: the loader's conditional column."""
     return F.when(column == "True", 1).otherwise(0)
+
+
+def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
+    """A text file sink: one row, one line."""
+    lines.select(column).write.mode("overwrite").text(path)
+
+
+def artifact(folder: str, kind: str, seed: int, prevalence: float) -> str:
+    """Path of an artifact, named after what made it, so that a reader never picks the newest of several."""
+    return f"{folder}/{kind}-seed{seed}-prevalence{prevalence:.4f}"
+
+
+def write_masks(masked: DataFrame, summary: DataFrame, folder: str, seed: int, prevalence: float) -> None:
+    """The answer key as Parquet and its summary as CSV."""
+    masked.write.mode("overwrite").parquet(artifact(folder, "labels", seed, prevalence))
+    summary.write.mode("overwrite").csv(artifact(folder, "summary", seed, prevalence), header=True)
+
+
+def read_answer_key(spark, folder: str, seed: int, prevalence: float) -> DataFrame:
+    """The answer key of one run; a missing one is an error."""
+    return spark.read.parquet(artifact(folder, "labels", seed, prevalence))

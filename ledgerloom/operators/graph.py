@@ -15,12 +15,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.select("e.*").dropna(subset=["src", "dst"])
 
 
+LARGE = 10_000  # members from which a component's size is handed to its rows by broadcast
+
+
 def wcc(accounts: DataFrame, edges: DataFrame, min_link_weight: int = 2) -> DataFrame:
-    """(id, com_id, com_size) of every account; a component is named by its smallest id."""
+    """(id, com_id, com_size) of every account; a component is named by its smallest id.
+
+    Sizes of large components, at most one in ``LARGE`` rows, are broadcast; the others meet their rows by key. So a giant
+    component is no hot key.
+    """
     c = components(edges.where(F.col("weight") >= min_link_weight).select("a", "b"))
-    d = accounts.select("id").join(c, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("com_id"))
-    sizes = d.groupBy("com_id").agg(F.count(F.lit(1)).alias("com_size"))
-    return d.join(sizes, "com_id").select("id", "com_id", "com_size")
+    d = cut(accounts.select("id").join(c, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("com_id")))
+    sizes = cut(component_sizes(d))
+    large = sizes.where(F.col("com_size") >= LARGE)
+    few = large.count() < 1_000_000
+    one = d.join(F.broadcast(large) if few else large, "com_id")
+    rest = d.join(F.broadcast(large.select("com_id")) if few else large.select("com_id"), "com_id", "left_anti").join(sizes.where(F.col("com_size") < LARGE), "com_id")
+    return one.select("id", "com_id", "com_size").unionAll(rest.select("id", "com_id", "com_size"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -96,32 +107,51 @@ def triangles(accounts: DataFrame, edges: DataFrame, max_degree: int = 1000) ->
 LCG_MOD, LCG_MULT, LCG_INC = 2 ** 31 - 1, 1664525, 1013904223  # fixed values of the reference generator
 
 
-def fastrp(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (1.0, 1.0, 1.0), beta: float = -0.1, sampling: int = 3, seed: int = 42) -> DataFrame:
+def fastrp(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (1.0, 1.0, 1.0), beta: float = -0.1, sampling: int = 3, seed: int = 42,
+           regions: dict[str, tuple[int, int, float]] | None = None, members: DataFrame | None = None) -> DataFrame:
     """(id, i, value): random-projection embeddings in long form.
 
     Vertices get a dense id by order; each projects a sparse random vector, drawn by a linear congruential
     generator, onto its neighbours. Each hop adds the neighbours' vectors to the own one, divides by
     the degree, normalises, and adds the result by weight; the mean over hops is the embedding.
+    ``regions`` (edge type -> start, length, weight) gives edges of a type, column e_type, their own places of the
+    vector; "default" stands for the other types, without it they draw nothing. ``members(id)`` scopes all to one component.
+    A vertex's vector is one row of ``dim`` sums, so an edge costs one row a hop.
     """
-    e = both_ways(edges).select("src", "dst")
+    regions = {"default": (0, dim, 1.0)} if regions is None else regions
+    if any(start < 0 or length < 1 or start + length > dim for start, length, _ in regions.values()):
+        raise ValueError("regions must lie within the embedding")
+    kind = F.col("e_type") if "e_type" in edges.columns else F.lit("default")
+    e = edges.withColumn("weight", kind)
+    e = both_ways(induced(e, members) if members is not None else e).select("src", "dst", F.col("weight").alias("e_type"))
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     vid = numbered(deg, [F.col("src")], "vid").withColumn("vid", F.col("vid") + 1)
     m = deg.agg(F.sum("deg").alias("m"))
-    step = lambda r, _: (r * LCG_MULT + F.col("inc")) % LCG_MOD
     base = vid.join(F.broadcast(m)).withColumn("inc", F.col("vid") + LCG_INC).withColumn("r0", (F.col("inc") + LCG_MULT * F.lit(seed)) % LCG_MOD)
-    draws = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.aggregate(F.sequence(F.lit(1), i), F.col("r0"), step))
-    base = base.withColumn("draw", draws)
+    step = lambda rs, _: F.concat(rs, F.array((F.element_at(rs, -1) * LCG_MULT + F.col("inc")) % LCG_MOD))
+    longest = max(length for _, length, _ in regions.values())
+    base = base.withColumn("draw", F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(longest)), F.array("r0"), step), 2, longest))
     unit = F.pow(F.col("deg") / F.col("m"), F.lit(beta)) * F.sqrt(F.lit(float(sampling)))
-    values = F.transform("draw", lambda r: F.when(r / LCG_MOD <= 1 / (2 * sampling), unit).when(r / LCG_MOD <= 1 / sampling, -unit).otherwise(F.lit(0.0)))
+    sign = F.transform("draw", lambda r: F.when(r / LCG_MOD <= 1 / (2 * sampling), unit).when(r / LCG_MOD <= 1 / sampling, -unit).otherwise(F.lit(0.0)))
+    base = base.select("src", sign.alias("draw"))
     e = cut(e.repartition("src"))
-    start = base.select("src", F.posexplode(values).alias("i", "val"))
-    own = cut(e.join(start, "src").groupBy("dst", "i").agg(F.sum("val").alias("val")).withColumnRenamed("dst", "id"))
+    sums = lambda v: F.array(*(F.sum(v[i]) for i in range(dim))).alias("val")
+
+    def placed(start: int, length: int, weight: float):
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        return F.concat(zeros(start), F.transform(F.slice("draw", 1, length), lambda x: x * weight), zeros(dim - start - length))
+
+    first = F.array_repeat(F.lit(0.0), dim) if "default" not in regions else placed(*regions["default"])
+    for name, region in regions.items():
+        first = F.when(F.col("e_type") == name, placed(*region)).otherwise(first) if name != "default" else first
+    own = cut(e.join(base, "src").select("dst", first.alias("v")).groupBy(F.col("dst").alias("id")).agg(sums(F.col("v"))))
     total = None
     for w in weights:
-        got = e.join(own, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "i", "val").unionAll(own.select("id", "i", "val"))
-        mean = got.groupBy("id", "i").agg(F.sum("val").alias("s")).join(deg.withColumnRenamed("src", "id"), "id").select("id", "i", (F.col("s") / F.greatest(F.lit(1), F.col("deg"))).alias("s"))
-        norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("id")))
-        own = cut(mean.withColumn("norm", norm).select("id", "i", F.when(F.col("norm") > 0, F.col("s") / F.col("norm")).otherwise(F.col("s")).alias("val")))
-        part = own.select("id", "i", (F.col("val") * w / len(weights)).alias("v"))
-        total = part if total is None else total.unionAll(part)
-    return total.groupBy("id", "i").agg(F.sum("v").alias("value"))
+        got = e.select("src", "dst").join(own, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "val").unionAll(own.select("id", "val"))
+        mean = got.groupBy("id").agg(sums(F.col("val"))).join(deg.withColumnRenamed("src", "id"), "id")
+        mean = mean.select("id", F.transform("val", lambda x: x / F.greatest(F.lit(1), F.col("deg"))).alias("val"))
+        norm = F.sqrt(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x))
+        own = cut(mean.withColumn("norm", norm).select("id", F.when(F.col("norm") > 0, F.transform("val", lambda x: x / F.col("norm"))).otherwise(F.col("val")).alias("val")))
+        part = own.select("id", F.transform("val", lambda x: x * (w / len(weights))).alias("v"))
+        total = part if total is None else total.join(part.withColumnRenamed("v", "u"), "id").select("id", F.zip_with("v", "u", lambda a, b: a + b).alias("v"))
+    return total.select("id", F.posexplode("v").alias("i", "value"))

@@ -15,21 +15,33 @@ WEIGHTS = {"email": "0.50", "phone": "0.50", "birthdate": "0.30", "street": "0.2
            "name_minhash": "0.15", "address_minhash": "0.08", "street_minhash": "0.08"}
 
 
+MOST_VALUES = 10  # of one kind; accounts with more are compared with the holders of their values
+
+
 def identity_sharing(accounts: DataFrame, owners: DataFrame, identities: DataFrame) -> DataFrame:
-    """For each account and kind the number of other accounts whose party holds the same value.
+    """For each account and kind the number of other accounts whose party holds one of its values.
 
-    The four hops are first folded into distinct (account, kind, value). An account with one value of a kind
-    shares it with all other holders, so counting holders answers it however many there are; only accounts
-    with several values of a kind are joined with the holders of these, to count each peer once.
+    The holders of any of some values are counted by inclusion and exclusion: every account names all
+    subsets of its values of a kind, the accounts that name a subset are counted once (pre-aggregated), and an account adds
+    and subtracts the counts of its own subsets. So peers are never paired, however many share a value.
     """
     held = owners.join(identities, "party").select("account", "kind", "value").distinct()
-    holders = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    values = held.groupBy("account", "kind").agg(F.count(F.lit(1)).alias("values"), F.min("value").alias("value"))
-    one = values.where("values = 1").join(holders, ["kind", "value"]).select("account", "kind", (F.col("n") - 1).alias("n"))
-    many = held.join(values.where("values > 1").select("account", "kind"), ["account", "kind"], "left_semi")
-    peer = many.alias("x").join(held.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.account") != F.col("y.account")))
-    peer = peer.select(F.col("x.account").alias("account"), F.col("x.kind").alias("kind"), F.col("y.account").alias("other")).distinct().groupBy("account", "kind").agg(F.count(F.lit(1)).alias("n"))
-    n = one.unionAll(peer).groupBy(F.col("account").alias("id")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_share_cnt") for k in KINDS))
+    sets = held.groupBy("account", "kind").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    some, many = sets.where(F.size("values") <= MOST_VALUES), sets.where(F.size("values") > MOST_VALUES)
+    subsets = F.aggregate("values", F.array(F.array().cast("array<string>")), lambda all_, x: F.concat(all_, F.transform(all_, lambda s: F.concat(s, F.array(x)))))
+    named = some.select("account", "kind", F.explode_outer(F.slice(subsets, 2, 1 << MOST_VALUES)).alias("subset"))
+    count = named.groupBy("kind", "subset").agg(F.count(F.lit(1)).alias("n"))
+    wide = not many.isEmpty()
+    if wide:
+        more = count.withColumn("value", F.get("subset", F.lit(0))).join(many.withColumn("value", F.explode("values")), ["kind", "value"]).where(F.size(F.array_except("subset", "values")) == 0)
+        count = count.unionAll(more.groupBy("kind", "subset").agg(F.count(F.lit(1)).alias("n"))).groupBy("kind", "subset").agg(F.sum("n").alias("n"))
+    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
+    n = named.join(count, ["kind", "subset"]).groupBy("account", "kind").agg((F.sum(sign * F.col("n")) - 1).alias("n"))
+    if wide:
+        own = held.join(many.select("account", "kind"), ["account", "kind"], "left_semi").withColumnRenamed("account", "me")
+        peers = own.join(held, ["kind", "value"]).where("account <> me").select("me", "kind", "account").distinct().groupBy(F.col("me").alias("account"), "kind").agg(F.count(F.lit(1)).alias("n"))
+        n = n.unionAll(peers)
+    n = n.groupBy(F.col("account").alias("id")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_share_cnt") for k in KINDS))
     return accounts.select("id").join(n, "id", "left").na.fill(0)
 
 

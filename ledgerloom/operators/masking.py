@@ -64,6 +64,8 @@ def split_accounts(members: DataFrame, val_fraction: float = 0.20, test_fraction
     Groups with a forced account are test. Groups with a revealed positive are dealt out first: with one it is
     train, with two val and train, with more at least one each of val and test. The others go by fraction.
     """
+    if val_fraction < 0 or test_fraction < 0 or val_fraction + test_fraction >= 1:
+        raise ValueError("fractions must not be negative and must leave something to train on")
     g = members.groupBy("group_key").agg(F.max("forced_test").alias("forced"), F.max("pu_label").alias("pos"))
     free = _placed(g.where("forced = 0 and pos = 1"), seed, "group", "group_key").unionAll(_placed(g.where("forced = 0 and pos = 0"), seed, "group", "group_key"))
     k = free.groupBy("pos").agg(F.count(F.lit(1)).alias("k"))

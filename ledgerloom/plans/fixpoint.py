@@ -15,6 +15,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

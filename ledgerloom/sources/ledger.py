@@ -19,6 +19,11 @@ VERTEX_FILES = {
 }
 
 
+def type_of(value) -> str:
+    """The Spark type of a default value."""
+    return {bool: "boolean", int: "long", float: "double"}.get(type(value), "string")
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
@@ -45,13 +50,18 @@ def read_flow_edges(spark: SparkSession, path: str) -> DataFrame:
                     bins("amount_bins", "double").alias("amount_bins"), bins("count_bins", "long").alias("count_bins"))
 
 
-def read_vertices(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Vertices of one file with their id as ``id``; flags given as the text True become 1."""
+def read_vertices(spark: SparkSession, folder: str, name: str, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Vertices of one file with their id as ``id``; flags given as the text True become 1.
+
+    ``defaults`` (attribute -> value) is the vertex type's schema: attributes that the file lacks or leaves empty get it.
+    """
     _, key = VERTEX_FILES[name]
     d = require(spark.read.csv(f"{folder}/{name}.csv", header=True), [key]).withColumnRenamed(key, "id")
     for c in ("flagged_device", "blacklisted_ip"):
         if c in d.columns:
             d = d.withColumn(c, F.when(F.col(c) == "True", 1).otherwise(0))
+    for c, v in (defaults or {}).items():
+        d = d.withColumn(c, F.coalesce(F.col(c).try_cast(type_of(v)), F.lit(v)) if c in d.columns else F.lit(v))
     return d.dropDuplicates(["id"])
 
 
@@ -66,3 +76,20 @@ def upsert(sources: list[DataFrame], defaults: dict[str, object], key: str = "id
     """One vertex for each id of all sources; of the values that are given the largest stays, else the default."""
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
     return every.groupBy(key).agg(*(F.coalesce(F.max(c), F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
+def number(text, kind: str = "long"):
+    """A JSON number as it stands in the text: true and false are an error, a whole double is a whole number, another one is not."""
+    bad = F.raise_error(F.concat(F.lit("not a number: "), text)).cast(kind)
+    value = text.try_cast("double")
+    ok = value.isNotNull() if kind == "double" else value.isNotNull() & (value == F.floor(value))
+    return F.when(text.isNull(), F.lit(None).cast(kind)).when(ok, F.coalesce(text.try_cast(kind), value.cast(kind))).otherwise(bad)
+
+
+def parse_edges(results: DataFrame, attributes: dict[str, str] | None = None, column: str = "json") -> DataFrame:
+    """(from_id, to_id, attributes) of JSON results {"edges": [{"from_id", "to_id", ...}]}; an edge without an end is an error."""
+    attributes = attributes or {}
+    shape = "edges array<struct<from_id: string, to_id: string" + "".join(f", {k}: string" for k in attributes) + ">>"
+    e = results.select(F.explode(F.from_json(column, shape)["edges"]).alias("e")).select("e.*")
+    end = lambda c: F.coalesce(c, F.raise_error(F.lit("an edge of the result lacks an end")).cast("string")).alias(c)
+    return e.select(end("from_id"), end("to_id"), *(number(F.col(k), v).alias(k) for k, v in attributes.items()))

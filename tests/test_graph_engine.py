@@ -109,6 +109,78 @@ def test_seeds_first_and_local_edges(spark):
         sampling.check_fanouts({**sampling.FANOUTS, "HAS_PAID": (5, 9)})
 
 
+def test_batches_keep_seed_order(spark):
+    nodes = spark.createDataFrame([(b, "Account", x) for b in (0, 1) for x in (1, 2, 3, 4)] + [(0, "Party", 9)], "batch_id long, node_type string, id long")
+    seeds = spark.createDataFrame([(0, 4, 0), (0, 2, 1), (0, 4, 2), (1, 3, 0), (1, 77, 1)], "batch_id long, id long, slot int")
+    got = {(r.batch_id, r.node_type, r.id): r.local_id for r in sampling.local_index(nodes, seeds).collect()}
+    assert got == {(0, "Account", 4): 0, (0, "Account", 2): 1, (0, "Account", 1): 2, (0, "Account", 3): 3, (1, "Account", 3): 0, (1, "Account", 1): 1, (1, "Account", 2): 2, (1, "Account", 4): 3, (0, "Party", 9): 0}
+    with pytest.raises(Exception, match="duplicate node id"):
+        sampling.local_index(nodes.unionAll(nodes.limit(1)), seeds).collect()
+    with pytest.raises(Exception, match="unknown edge type"):
+        sampling.local_edges(spark.createDataFrame([(0, 1, 2, "NEW")], "batch_id long, from_id long, to_id long, e_type string"), sampling.local_index(nodes, seeds)).collect()
+    flows = spark.createDataFrame([(1, 2), (1, 3), (3, 3)], "src long, dst long")
+    both = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (1, 3)], "batch_id long, id long")
+    assert sorted(map(tuple, sampling.inbatch_edges(flows, both).collect())) == [(0, 1, 2), (1, 3, 3)]
+
+
+def test_batches_without_positives_priors_and_samples(spark):
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(40)], "id long, pu_label int")
+    with pytest.raises(ValueError):
+        sampling.epoch_batches(labels.where("pu_label = 0"))
+    some = sampling.validation_sample(labels, 5).collect()
+    assert sum(r.pu_label for r in some) == 3 and len(some) == 8
+    assert sampling.class_prior(40, 3) == 3 / 40
+    for bad in (0, 40):
+        with pytest.raises(ValueError):
+            sampling.class_prior(40, bad)
+
+
+def test_shared_identities_equal_brute_force(spark, monkeypatch):
+    import random
+
+    r = random.Random(6)
+    own = [(a, a) for a in range(40)]
+    held = sorted({(p, k, f"{k}{r.randrange(6)}") for p in range(40) for k in ("device", "ip") for _ in range(r.randint(0, 5))})
+    want = {a: {k: len({b for b in range(40) if b != a and {v for p, q, v in held if p == a and q == k} & {v for p, q, v in held if p == b and q == k}}) for k in ("device", "ip")} for a in range(40)}
+    frames = ids(spark, range(40)), spark.createDataFrame(own, "account long, party long"), spark.createDataFrame(held, "party long, kind string, value string")
+    for most in (10, 2):  # by subsets alone; accounts with many values beside
+        monkeypatch.setattr(identity, "MOST_VALUES", most)
+        assert {i: {"device": x.device_share_cnt, "ip": x.ip_share_cnt} for i, x in rows(identity.identity_sharing(*frames)).items()} == want
+
+
+def test_embedding_regions_and_scope(spark):
+    e = edges(spark, [(1, 2, 1), (2, 3, 1), (8, 9, 1)])
+    typed = e.withColumn("e_type", F.when(F.col("a") == 1, "x").otherwise("y"))
+    plain = {(r.id, r.i): r.value for r in graph.fastrp(e, 4).collect()}
+    assert plain == {(r.id, r.i): r.value for r in graph.fastrp(typed, 4, regions={"default": (0, 4, 1.0)}).collect()}
+    got = {(r.id, r.i): r.value for r in graph.fastrp(typed, 4, regions={"x": (0, 2, 1.0), "y": (2, 2, 3.0)}).collect()}
+    assert all(got[i, k] == 0 for i in (8, 9) for k in (0, 1)) and {k[0] for k in got} == {1, 2, 3, 8, 9}
+    assert {r.id for r in graph.fastrp(e, 4, members=ids(spark, [8, 9])).collect()} == {8, 9}
+    with pytest.raises(ValueError):
+        graph.fastrp(typed, 4, regions={"x": (2, 4, 1.0)})
+
+
+def test_large_components_get_their_size(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LARGE", 3)
+    got = rows(graph.wcc(ids(spark, range(1, 9)), edges(spark, [(1, 2, 2), (2, 3, 2), (3, 4, 2), (5, 6, 2)])))
+    assert [got[i].com_size for i in range(1, 9)] == [4, 4, 4, 4, 2, 2, 1, 1]
+
+
+def test_pages_move_on_and_results_are_parsed(spark, tmp_path):
+    e = spark.createDataFrame([(1, 5), (4, 5), (4, 5)], "from_id long, to_id long")
+    every = ids(spark, [1, 2, 3, 4])
+    assert [tuple(r) for r in export.edge_page(e, 1, 2, every).collect()] == [(None, None, 3)]
+    assert [tuple(r) for r in export.edge_page(e, 3, 2, every).collect()] == [(4, 5, 4)] and export.edge_page(e, 4, 2, every).count() == 0
+    js = spark.createDataFrame([('{"edges": [{"from_id": "a", "to_id": "b", "n": 3.0}]}',), ('{"edges": []}',)], "json string")
+    assert [tuple(r) for r in files.parse_edges(js, {"n": "long"}).collect()] == [("a", "b", 3)]
+    for bad in ('{"edges": [{"from_id": "a", "to_id": "b", "n": true}]}', '{"edges": [{"from_id": "a", "to_id": "b", "n": 1.5}]}', '{"edges": [{"from_id": "a"}]}'):
+        with pytest.raises(Exception):
+            files.parse_edges(spark.createDataFrame([(bad,)], "json string"), {"n": "long"}).collect()
+    (tmp_path / "phone.csv").write_text("phone_id,risk\np,0.5\nq,\n")
+    got = rows(files.read_vertices(spark, str(tmp_path), "phone", {"risk": 0.25, "country": "xx", "calls": 0}))
+    assert got["p"].risk == 0.5 and got["q"].risk == 0.25 and got["q"].country == "xx" and got["q"].calls == 0
+
+
 def test_ranking(spark):
     s = spark.createDataFrame([(1, 0.9, 1), (2, 0.8, 1), (3, 0.2, 0), (4, 0.1, 0)], "id long, score double, label int")
     r = evaluate.ranking_metrics(s).first()
@@ -124,6 +196,12 @@ def test_ranking(spark):
         evaluate.gains_table(s, [0.0])
     with pytest.raises(ValueError):
         evaluate.two_classes(s.where("label = 1"))
+    for one in (s.where("label = 1"), s.where("label = 0"), s.limit(0)):
+        with pytest.raises(Exception, match="both classes"):
+            evaluate.ranking_metrics(one).collect()
+    with pytest.raises(ValueError):
+        evaluate.hidden_recall(s, [0])
+    assert "tp=1/2" in " ".join(r.line for r in evaluate.report_lines(evaluate.summary_report(s, [0.1])).collect())
 
 
 def test_pu_loss(spark):
@@ -145,6 +223,13 @@ def test_split_floor(spark, k, want):
     assert sorted(r.split for r in masking.split_accounts(m).collect()) == want
 
 
+def test_split_fractions_are_checked(spark):
+    m = spark.createDataFrame([(1, "P:1", 1, 0)], "id long, group_key string, pu_label int, forced_test int")
+    for v, t in ((-0.1, 0.2), (0.2, -0.1), (0.6, 0.4)):
+        with pytest.raises(ValueError):
+            masking.split_accounts(m, v, t)
+
+
 def test_mask_invariants(spark, sf_dir):
     from ledgerloom import catalog_learning as cl
 
@@ -160,6 +245,8 @@ def test_best_epoch():
     b = evaluate.BestEpoch(patience=2)
     assert b.update(0.5, 0.1) and b.update(0.6, 0.1) and not b.update(0.55) and not b.done and not b.update(0.55) and b.done and b.epoch == 1
     assert b.update(0.601, 0.9)
+    b = evaluate.BestEpoch(patience=2, min_delta=0.05)  # small gains are taken, patience counts from the last large one
+    assert b.update(0.50) and b.update(0.52) and b.update(0.54) and b.done and b.update(0.56) and not b.done
 
 
 def test_files(spark, tmp_path):
@@ -191,4 +278,4 @@ def test_catalog_is_complete():
     from ledgerloom import catalog
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 50
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"pagerank_converged"}
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
