@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import BROADCAST_MB, components, cut, measured_mb
 
 THRESHOLD, SLACK = 0.9, 0.1  # lists also hold neighbours down to threshold - slack, to walk along
-ORDERS, BITS, BLOCK = 6, 2, 512  # of the first attempt; the least number of signs; rows that meet
+ORDERS, BITS, BLOCK = 4, 2, 512  # of the first attempt; the least number of signs; rows that meet
 LIST, ROUNDS = 24, 10
 AUDIT, GOAL, ATTEMPTS = 2048, 0.99, 3
 SLAB_MB, TILE = 24, (512, 4096)  # audited nodes broadcast at once; what is multiplied at once
