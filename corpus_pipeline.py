@@ -15,22 +15,27 @@ from ledgerloom.llm.common import scratch_dir, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the classifier accepts; null and empty texts are scored like others."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, repeated lines taken out of their texts; null stays null, a text may end up empty."""
     return line_dedup.dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of the first doc_id of each group; rows without doc_id or without words are nobody's copy."""
     return ngram_join.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are not contaminated; null texts have no words and stay."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the budgets take, with n_tokens and n_copies set (columns of these names are replaced)."""
     return mixing.mix(docs)
 
 
