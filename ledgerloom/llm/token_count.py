@@ -3,9 +3,13 @@
 The BPE vocabulary is compiled, lazily and deterministically, into a transducer over characters.
 Its state is what later merges can still see: the longest suffix that may begin a piece, and the
 last token of every prefix inside that suffix. A transition carries the change of the emitted
-token count. Each state map sends a state to (state, emitted); maps compose associatively, and a
-place between two characters that stand together in no piece resets every state, so a chunk that
-begins there has a constant map: the count of a whole text is the scan over its chunks' maps.
+token count. A text is cut into blocks of ``BLOCK`` characters, wherever that falls. Each block has
+a state map from the state before it to (state after it, emitted); maps compose associatively, and a
+parallel prefix scan over the blocks' maps gives the running counts, the last of them the text's.
+
+A place between two characters that stand together in no piece resets every state. What follows a
+block's first reset is therefore the same for every state and is counted at once; only the head
+before it waits for the state that comes in. A block without a reset is all head.
 
 Defined results: null text counts as empty (0 tokens); one row per input row; rows may repeat;
 extra columns are ignored; an empty table gives an empty result.
@@ -14,8 +18,8 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import lean
 
 SPACE = "▁"
+START = ("", (None,), (0,))  # state after a reset: suffix, last token of every prefix that ends in it, counts relative to now
+BLOCK = 4096  # characters of a block, whose state map is computed on its own
 MEMO = 400_000  # chunk outputs kept by one worker before its memory is dropped
 STATES = 300_000  # compiled states kept by one worker before compilation starts anew
 
@@ -41,7 +47,7 @@ class PieceTransducer:
             raise ValueError("only models that keep white space and add the first space can be compiled")
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
         self.alphabet = {c for p in self.score for c in p}
-        self.inside = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.inside = {p[i:i + 2].replace(SPACE, " ") for p in self.score for i in range(len(p) - 1)}
         self.starts = {p[:i] for p in self.score for i in range(1, len(p))}
         self.longest = max(map(len, self.score))
         if any(SPACE in p.lstrip(SPACE) for p in self.score) or "\n" in self.alphabet:
@@ -53,9 +59,7 @@ class PieceTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        #: state: (suffix, last token of every prefix that ends in the suffix, their counts relative to now)
-        start = ("", (None,), (0,))
-        self.ids, self.states, self.step = {start: 0}, [start], {}
+        self.ids, self.states, self.step = {START: 0}, [START], {}
 
     def merged(self, text: str) -> list[str]:
         """Reference segmentation of a short string: best merge first, leftmost on ties."""
@@ -81,7 +85,7 @@ class PieceTransducer:
     def _compile(self, state: int, c: str) -> tuple[int, int]:
         suffix, last, counts = self.states[state]
         if c not in self.alphabet:
-            new, delta = ("", (None,), (0,)), len(c.encode())
+            new, delta = START, len(c.encode())
         else:
             seen = suffix + c
             for i in range(len(seen)):  # exactly one last token agrees with what stands before it
@@ -103,7 +107,7 @@ class PieceTransducer:
     def run(self, state: int, text: str) -> tuple[int, int]:
         """The state map of ``text`` at ``state``: where it leads and what it emits."""
         emitted, step = 0, self.step
-        for c in text:
+        for c in text.replace(" ", SPACE):
             state, delta = step.get((state, c)) or self._compile(state, c)
             emitted += delta
         return state, emitted
@@ -112,41 +116,72 @@ class PieceTransducer:
         """Emitted by a chunk that begins at a reset and ends before one; the end flushes nothing more."""
         if len(self.states) > STATES:
             self._reset()
-        return self.run(0, text.replace(" ", SPACE))[1]
+        return self.run(0, text)[1]
+
+    def block(self, text: str) -> tuple:
+        """State map of a block: (head, None) without a reset, else (head, (state after the block, emitted after the head))."""
+        reset = next((i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside), None)
+        if reset is None:
+            return text, None
+        *chunks, last = self.chunks(text[reset:])
+        emitted = sum(map(self.memo.__getitem__, chunks))
+        state, n = self.run(0, last)  # the next block may go on with it
+        return text[:reset], (self.states[state], emitted + n)
+
+    def then(self, a: tuple, b: tuple) -> tuple:
+        """The map of one block after another; associative."""
+        (head, rest), (next_head, next_rest) = a, b
+        if rest is None and head[-1] + next_head[0] in self.inside:
+            return head + next_head, next_rest
+        state, emitted = rest or (START, 0)  # two heads that meet at a reset: the second needs no state
+        state, n = self.run(self._enter(state, next_head[0]), next_head)
+        if next_rest is None:
+            return head, (self.states[state], emitted + n)
+        return head, (next_rest[0], emitted + n + next_rest[1])
+
+    def _enter(self, state: tuple, c: str) -> int:
+        """Number of a state (they are numbered anew after a reset of the tables); 0 if ``c`` resets it."""
+        if not state[0] or state[0][-1].replace(SPACE, " ") + c not in self.inside:
+            return 0
+        if (known := self.ids.get(state)) is None:
+            known = self.ids[state] = len(self.states)
+            self.states.append(state)
+        return known
+
+    def scan(self, blocks: list[str]) -> list[int]:
+        """Running counts after each block of one text, whatever the places it was cut at."""
+        return [self._emitted(m) for m in prefixes(self._maps(blocks), self.then)]
 
     def count(self, text: str | None) -> int:
+        """The scan's last value: its upward sweep alone, as no running counts are asked for."""
         if not text:
             return 0
-        chunks = self.chunks(f" {text}".replace(SPACE, " "))
-        return sum(map(self.memo.__getitem__, chunks))
+        maps = self._maps([text[i:i + BLOCK] for i in range(0, len(text), BLOCK)])
+        while len(maps) > 1:
+            maps = pairwise(maps, self.then)
+        return self._emitted(maps[0])
 
-    def scan(self, blocks: list[str]) -> list[int]:
-        """Running counts after each block of one text, whatever the places it was cut at.
-
-        Each block's map is (head, map of the rest): all up to its first reset is a function of the
-        state that comes in, the rest does not depend on it. Maps compose associatively.
-        """
-        def of(block: str):
-            reset = next((i for i in range(1, len(block)) if block[i - 1:i + 1] not in self.inside), None)
-            return (block, None) if reset is None else (block[:reset], self.run(0, block[reset:]))
-
-        def then(a, b):
-            if a[1] is None:
-                return (a[0] + b[0], b[1])
-            state, n = a[1]
-            if b[0] and state and not self._joins(state, b[0][0]):
-                state = 0
-            mid, m = self.run(state, b[0])
-            return (a[0], (mid, n + m) if b[1] is None else (b[1][0], n + m + b[1][1]))
-
-        maps = [of(b.replace(" ", SPACE)) for b in blocks if b]
-        if maps:
-            maps[0] = (SPACE + maps[0][0], maps[0][1])
-        return [self.run(0, head)[1] + (rest[1] if rest else 0) for head, rest in accumulate(maps, then)]
-
-    def _joins(self, state: int, c: str) -> bool:
-        suffix = self.states[state][0]
-        return bool(suffix) and suffix[-1] + c in self.inside
+    def _maps(self, blocks: list[str]) -> list[tuple]:
+        found = [b.replace(SPACE, " ") for b in blocks if b]
+        return [self.block(b if i else " " + b) for i, b in enumerate(found)]
+
+    def _emitted(self, m: tuple) -> int:
+        """What a map emits at the start state."""
+        head, rest = m
+        return self.run(0, head)[1] + (rest[1] if rest else 0)
+
+
+def pairwise(maps: list, then: Callable) -> list:
+    """Upward sweep: each map composed with its right neighbour, an odd last one as it is."""
+    return [then(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+
+
+def prefixes(maps: list, then: Callable) -> list:
+    """Parallel prefix scan: pairs are composed and scanned, places between them filled in from these."""
+    if len(maps) < 2:
+        return maps
+    pairs = prefixes(pairwise(maps, then), then)
+    return [pairs[i // 2] if i % 2 or i + 1 == len(maps) else then(pairs[i // 2 - 1], m) if i else m for i, m in enumerate(maps)]
 
 
 class _Memo(dict):

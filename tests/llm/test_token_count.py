@@ -5,6 +5,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 import sentencepiece
 
+from ledgerloom.llm import token_count
 from ledgerloom.llm.token_count import PieceTransducer, count_tokens
 
 PATH = P.path("piece_bpe_32k.model")
@@ -18,7 +19,27 @@ def test_counts_and_scans_equal_the_library():
         assert t.count(x) == len(lib.encode(x)), x
         cuts = sorted(r.randint(0, len(x)) for _ in range(3))
         blocks = [x[i:j] for i, j in zip([0, *cuts], [*cuts, len(x)])]
-        assert not x or t.scan(blocks)[-1] == len(lib.encode(x)), blocks
+        ends = [j for i, j in zip([0, *cuts], [*cuts, len(x)]) if j > i]
+        assert t.scan(blocks) == [len(lib.encode(x[:j])) for j in ends], blocks
+
+
+def test_blocks_of_any_size(monkeypatch):
+    lib, t, r = sentencepiece.SentencePieceProcessor(model_file=PATH), PieceTransducer(PATH), random.Random(8)
+    texts = ["".join(r.choice(PARTS) for _ in range(400)) for _ in range(20)] + ["a" * 3000, "the" * 900, " " * 500, "\n" * 500, "é①" * 300]
+    want = [len(lib.encode(x)) for x in texts]
+    for size in (1, 2, 3, 16, 255, 4096):
+        monkeypatch.setattr(token_count, "BLOCK", size)
+        assert [t.count(x) for x in texts] == want, size
+
+
+def test_states_survive_a_reset_of_the_tables(monkeypatch):
+    """Maps carry states, not numbers: the tables may start anew between two blocks."""
+    monkeypatch.setattr(token_count, "STATES", 5)
+    monkeypatch.setattr(token_count, "BLOCK", 7)
+    lib, t, r = sentencepiece.SentencePieceProcessor(model_file=PATH), PieceTransducer(PATH), random.Random(9)
+    for _ in range(200):
+        x = "".join(r.choice(PARTS) for _ in range(60))
+        assert t.count(x) == len(lib.encode(x)), x
 
 
 def test_edge_rows(spark):
