@@ -55,6 +55,13 @@ def test_learns_and_edges(spark):
     held = [x for x in rows if x.held_out and x.doc_id is not None and x.doc_id not in (5, 6)]
     assert held and all(x.predicted == int(x.doc_id % 4 == 0) for x in held)
     assert t.score_toxicity(df.limit(0), labels.limit(0)).count() == 0
+    twice = t.score_toxicity(df.unionAll(df.where("doc_id < 50 or doc_id is null")), labels).collect()
+    assert len(twice) == 403 + 52 + 1  # 5 and 6 have a second text
+    by_id = {}
+    for x in twice:
+        if x.doc_id is not None and x.doc_id != 5:
+            by_id.setdefault(x.doc_id, set()).add((x.score, x.predicted))
+    assert all(len(v) == 1 for i, v in by_id.items() if i != 6)
 
 
 @pytest.fixture(scope="module")
