@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluate, export, features, flow, graph, identity, masking, sampling
+from ledgerloom.plans import fixpoint
 from ledgerloom.sources import ledger as files
 
 DAY = 86400
@@ -279,3 +280,22 @@ def test_catalog_is_complete():
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 50
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
+
+
+def test_components_with_hubs_equal_union_find(spark):
+    """Vertices with a third of all edges: as the least, as the greatest and in the middle of their component; a chain; a loop."""
+    edges = [(0, i) for i in range(1000, 2500)] + [(9000, i) for i in range(3000, 4300)] + [(5000, i) for i in range(4400, 5600)]
+    edges += [(i, i + 1) for i in range(6000, 6040)] + [(7000, 7000), (4299, 5599), (None, 3), (8, 8)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    got = fixpoint.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()
+    assert len(got) == len(root) and all(r.component == find(r.node) for r in got)
