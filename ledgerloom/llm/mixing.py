@@ -7,8 +7,10 @@ and only beyond their stock back to the parent's siblings. Each leaf then takes
 a token-prefix of one more: documents in the order md5(seed | epoch | doc_id), while the tokens before
 them are less than what the leaf still owes.
 
-A leaf's order is cut by the first three hex digits of the key; sums per piece are pre-aggregated, and
-only the one piece in which the prefix ends is sorted, so a leaf with a third of all rows is no hot spot.
+A leaf's order is cut by the first two hex digits of the key; sums per piece are pre-aggregated, and only
+the one piece in which the prefix ends is ordered, all leaves' together in range-partitioned stretches, so
+neither a leaf with a third of all rows nor a key with many is a hot spot. Its last document, one row for
+each leaf, is the bound up to which every row of the leaf is taken: texts are never shuffled.
 Everything is DataFrame functions. Budgets are whole tokens; shares are rounded to 1e-6 before the floor.
 
 Defined results: a token is a space-separated piece of the text, null and empty texts have none; null
@@ -23,9 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import BROADCAST_MB, cut, measured_mb
+from ledgerloom.plans.ordered import running
 
 LEVELS = ["_domain", "_lang", "_source"]
 FRACTION, MAX_EPOCHS, SEED = 0.8, 2, 17
+PIECE_DIGITS = 2
 WEIGHTS = {"web": 3.0, "forum": 1.0, "curated": 2.0, "*/en": 4.0, "*/de": 1.5}  # by path or by "*/language"; others 1
 
 
@@ -88,23 +92,19 @@ def _chosen(docs: DataFrame, fraction: float, max_epochs: int, seed: int, weight
     hint = F.broadcast if small else (lambda x: x)
     d = d.join(hint(due), LEVELS)
     d = d.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    d = d.withColumn("_piece", F.substring("_key", 1, 3))
+    d = d.withColumn("_piece", F.substring("_key", 1, PIECE_DIGITS))
     sums = d.where("_rest > 0").groupBy(*LEVELS, "_piece", "_rest").agg(F.sum("_t").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy(LEVELS).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = sums.withColumn("_before", before).where("_before < _rest").groupBy(LEVELS).agg(F.max(F.struct("_piece", "_before")).alias("m"))
     last = cut(last.select(*LEVELS, F.col("m._piece").alias("_last"), F.col("m._before").alias("_before")))
-    d = d.join(hint(last), LEVELS, "left")
-    own = Window.partitionBy(LEVELS).orderBy("_key", F.col("doc_id").asc_nulls_first(), "_mark").rowsBetween(Window.unboundedPreceding, -1)
-    edge = d.where("_piece = _last").select(*LEVELS, "doc_id", "_mark", "_key", "_t", "_rest", "_before")
-    edge = edge.withColumn("_so_far", F.col("_before") + F.coalesce(F.sum("_t").over(own), F.lit(0))).where("_so_far < _rest")
-    edge = cut(edge.groupBy(F.col("doc_id").alias("_e_id"), F.col("_mark").alias("_e_mark"), *(F.col(k).alias(f"_e{k}") for k in LEVELS)).agg(F.count(F.lit(1)).alias("_taken")))
-    if measured_mb(edge, F.lit(160)) < BROADCAST_MB:
-        edge = F.broadcast(edge)
-    same = d["doc_id"].eqNullSafe(edge["_e_id"]) & (d["_mark"] == edge["_e_mark"]) & (d["_piece"] == d["_last"])
-    for k in LEVELS:
-        same = same & (d[k] == edge[f"_e{k}"])
-    d = d.join(edge, same, "left")
-    part = F.when((F.col("_rest") > 0) & (F.col("_piece") < F.col("_last")), 1).when(F.col("_taken").isNotNull(), 1).otherwise(0)
+    place = ["_key", "doc_id", "_mark"]
+    edge = d.join(hint(last), LEVELS).where("_piece = _last").groupBy(*LEVELS, *place, "_rest", "_before").agg(F.sum("_t").alias("_t"))
+    edge = cut(running(edge, [*LEVELS, *place], {"_sum": F.col("_t")}).withColumn("_sum", F.col("_sum") - F.col("_t")))
+    start = edge.groupBy(LEVELS).agg(F.min("_sum").alias("_start"))
+    edge = edge.join(hint(start), LEVELS).where("_before + _sum - _start < _rest")
+    bound = cut(edge.groupBy(LEVELS).agg(F.max(F.struct(*place)).alias("_bound")))
+    d = d.join(hint(bound), LEVELS, "left")
+    part = F.when(F.struct(*place) <= F.col("_bound"), 1).otherwise(0)
     return d.withColumn("_copies", F.col("_full") + part)
 
 
