@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality, secrets, suffix_dedup, token_count, toxicity, vector_dedup
+from ledgerloom.llm import (decontaminate, line_dedup, manifest, mixing, ngram_join, oracles, quality, secrets, suffix_dedup, token_count,
+                            toxicity, vector_dedup)
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -217,3 +218,11 @@ per AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM doc d LEFT JOIN per USING (doc_id)
 """
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_merkle_manifest"] = oracles.merkle_sql()
