@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import (decontaminate, line_dedup, manifest, mixing, ngram_join, oracles, quality, secrets, suffix_dedup, token_count,
-                            toxicity, vector_dedup)
+from ledgerloom.llm import (decontaminate, line_dedup, manifest, mixing, ngram_join, oracles, packing, quality, secrets, suffix_dedup,
+                            token_count, toxicity, vector_dedup)
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -226,3 +226,10 @@ def op11_merkle_manifest(spark, sf_dir):
 
 
 ORACLES["op11_merkle_manifest"] = oracles.merkle_sql()
+
+
+@query
+def op13_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
