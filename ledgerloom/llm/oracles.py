@@ -59,3 +59,29 @@ between AS (
 SELECT doc_id, leaf, subroot, n.h AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = n.h AS verified
 FROM top_f{levels - 1} f JOIN top{levels - 1} n ON n.one = f.one
 """
+
+
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(m))
+  GROUP BY lang, m, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT g.lang, g.m, phrase, a, unnest(generate_series(1, g.m - 1)) AS k, string_split(phrase, ' ') AS ws FROM g WHERE g.m > 1),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM cuts c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:c.m], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM g q WHERE q.lang = b.lang AND q.m > b.m AND 100 * q.a >= 80 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""

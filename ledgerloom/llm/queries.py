@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import (decontaminate, line_dedup, manifest, mixing, ngram_join, oracles, packing, quality, secrets, suffix_dedup,
-                            token_count, toxicity, vector_dedup)
+from ledgerloom.llm import (collocations, decontaminate, line_dedup, manifest, mixing, ngram_join, oracles, packing, quality, secrets,
+                            suffix_dedup, token_count, toxicity, vector_dedup)
 from ledgerloom.llm.common import table
 
 QUERIES = {}
@@ -228,6 +228,14 @@ def op11_merkle_manifest(spark, sf_dir):
 ORACLES["op11_merkle_manifest"] = oracles.merkle_sql()
 
 
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = oracles.COLLOCATIONS
+
+
 @query
 def op13_packing(spark, sf_dir):
     import public_tokenizers
