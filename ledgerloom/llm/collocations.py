@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut
 
 MINIMUM, TOP, DEPTH, ABSORBED = 30, 2000, 4, 80  # occurrences, rows of a language, words, per cent
-SHARD, BLOCK = 32 << 20, 2 << 20  # bytes of text of a shard, and that are split at once
+SHARD, BLOCK = 16 << 20, 1 << 20  # bytes of text of a shard, and that are split at once
 FAN = 64  # runs merged at once
 BITS, BITS_EACH, PROBES = 1 << 29, 16, 3  # of the filter: at most, for each hash, bits set by one
 TO_PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
