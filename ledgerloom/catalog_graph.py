@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerloom import catalog_flow as cf
 from ledgerloom.catalog_flow import GRAPH, hp
 from ledgerloom.operators import export, flow, graph, sampling
+from ledgerloom.plans.ordered import numbered
 from ledgerloom.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -256,27 +259,59 @@ def class_prior(spark, sf_dir):
     return spark.createDataFrame([(sampling.class_prior(fx.accounts(spark, sf_dir).count(), 3),)], "prior double")
 
 
-@query(f"{GRAPH},\n{cf.MONEY_SQL} SELECT id, in_degree, out_degree FROM money_flow WHERE id > 40 ORDER BY id LIMIT 50")
+def start_of(vertices, key="id"):
+    """The key a tenth down the order, behind which the sample pages begin; none in an empty table."""
+    n = vertices.count()
+    row = numbered(vertices.select(key), [F.col(key)], "place").where(F.col("place") == n // 10).first()
+    return row and row[0]
+
+
+def _start_sql(vertices: str) -> str:
+    return f"(SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM ({vertices})) WHERE r = n // 10)"
+
+
+_VERTEX_SQL = {
+    "Account": "SELECT id FROM accounts", "Party": "SELECT DISTINCT party AS id FROM owners", "Entity": "SELECT DISTINCT party // 2 AS id FROM owners"}
+
+
+@query(f"""{GRAPH},
+{cf.MONEY_SQL}, page AS (SELECT id, in_degree, out_degree FROM money_flow WHERE id > {_start_sql(_VERTEX_SQL['Account'])} ORDER BY id LIMIT 50)
+SELECT page.*, (SELECT max(id) FROM page) AS next_cursor FROM page""")
 def vertex_page(spark, sf_dir):
-    return export.vertex_page(cf.money_flow(spark, sf_dir).select("id", "in_degree", "out_degree"), 40, 50)
+    accounts = cf.money_flow(spark, sf_dir).select("id", "in_degree", "out_degree")
+    return export.vertex_page(accounts, start_of(fx.accounts(spark, sf_dir)), 50)
+
+
+@query(f"""{GRAPH}, paged AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 20 AS page FROM accounts),
+ends AS (SELECT page, max(id) AS next_cursor, count(*) AS n FROM paged GROUP BY page)
+SELECT page, lag(next_cursor) OVER (ORDER BY page) AS cursor, next_cursor, n FROM ends""")
+def vertex_pages(spark, sf_dir):
+    """The cursors of all pages of accounts."""
+    return export.page_index(fx.accounts(spark, sf_dir), 20)
 
 
-_VERTEX_SQL = {"Account": "SELECT id FROM accounts", "Party": "SELECT DISTINCT party AS id FROM owners", "Entity": "SELECT DISTINCT party // 2 AS id FROM owners"}
+def _ends(spark, sf_dir):
+    party = fx.owners(spark, sf_dir).select(F.col("party").alias("id")).distinct()
+    entity = entities(spark, sf_dir).select(F.col("entity").alias("id")).distinct()
+    return {"Account": fx.accounts(spark, sf_dir), "Party": party, "Entity": entity}
 
 
 def _page_sql(kind: str) -> str:
-    return f"""{GRAPH},\n{REL_SQL}, page AS (SELECT id FROM ({_VERTEX_SQL[sampling.TYPES[kind][0]]}) WHERE id > 10 ORDER BY id LIMIT 20),
+    every = _VERTEX_SQL[sampling.TYPES[kind][0]]
+    return f"""{GRAPH},
+{REL_SQL}, page AS (SELECT id FROM ({every}) WHERE id > {_start_sql(every)} ORDER BY id LIMIT 20),
 last AS (SELECT max(id) AS next_cursor FROM page)
-SELECT f AS from_id, t AS to_id, next_cursor FROM last LEFT JOIN (SELECT f, t FROM rel WHERE k = '{kind}' AND f IN (SELECT id FROM page)) ON true WHERE next_cursor IS NOT NULL"""
+SELECT f AS from_id, t AS to_id, next_cursor FROM last
+LEFT JOIN (SELECT f, t FROM rel WHERE k = '{kind}' AND f IN (SELECT id FROM page)) ON true WHERE next_cursor IS NOT NULL"""
 
 
 def _page_of(kind: str):
     def page(spark, sf_dir):
-        ends = {"Account": fx.accounts(spark, sf_dir), "Party": fx.owners(spark, sf_dir).select(F.col("party").alias("id")).distinct(), "Entity": entities(spark, sf_dir).select(F.col("entity").alias("id")).distinct()}
-        return export.edge_page(_relations(spark, sf_dir)[kind], 10, 20, ends[sampling.TYPES[kind][0]])
+        vertices = _ends(spark, sf_dir)[sampling.TYPES[kind][0]]
+        return export.edge_page(_relations(spark, sf_dir)[kind], start_of(vertices), 20, vertices)
 
     page.__name__ = f"edge_page_{kind.lower()}"
-    page.__doc__ = f"A page of {kind} edges behind source 10: 20 vertices of the source's type."
+    page.__doc__ = f"A page of {kind} edges: 20 vertices of the source's type from a tenth of their order on."
     return page
 
 
@@ -284,18 +319,43 @@ for _kind in sampling.TYPES:
     query(_page_sql(_kind))(_page_of(_kind))
 
 
-@query(f"""{GRAPH}, page AS (SELECT DISTINCT src FROM hp WHERE src > 10 ORDER BY src LIMIT 20)
+@query(f"""{GRAPH},
+{REL_SQL}, kinds(k, type) AS (VALUES {', '.join(f"('{k}', '{v[0]}')" for k, v in sampling.TYPES.items())}),
+every AS ({' UNION ALL '.join(f"SELECT '{k}' AS type, id FROM ({v})" for k, v in _VERTEX_SQL.items())}),
+paged AS (SELECT type, id, (row_number() OVER (PARTITION BY type ORDER BY id) - 1) // 20 AS page FROM every),
+ends AS (SELECT type, page, max(id) AS next_cursor FROM paged GROUP BY type, page),
+hit AS (SELECT rel.k, type, page, f, t FROM rel JOIN kinds USING (k) JOIN paged USING (type) WHERE f = id)
+SELECT kinds.k AS e_type, ends.page, next_cursor, f AS from_id, t AS to_id FROM ends JOIN kinds USING (type)
+LEFT JOIN hit ON hit.k = kinds.k AND hit.page = ends.page""")
+def edge_pages(spark, sf_dir):
+    """All pages of all six relations: every vertex of a source's type is on one page, edges or not."""
+    ends, found = _ends(spark, sf_dir), []
+    for kind, edges in _relations(spark, sf_dir).items():
+        paged = export.edge_pages(edges, ends[sampling.TYPES[kind][0]], 20)
+        found.append(paged.select(F.lit(kind).alias("e_type"), "page", "next_cursor", "from_id", "to_id"))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(f"""{GRAPH}, page AS (SELECT DISTINCT src FROM hp WHERE src > {_start_sql('SELECT DISTINCT src AS id FROM hp')} ORDER BY src LIMIT 20)
 SELECT src AS from_id, dst AS to_id, (SELECT max(src) FROM page) AS next_cursor FROM hp WHERE src IN (SELECT src FROM page)""")
 def edge_page(spark, sf_dir):
-    return export.edge_page(hp(spark, sf_dir).select(F.col("src").alias("from_id"), F.col("dst").alias("to_id")), 10, 20)
+    e = hp(spark, sf_dir).select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"))
+    return export.edge_page(e, start_of(e.select("from_id").distinct(), "from_id"), 20)
 
 
-@query(f"""{GRAPH}, page AS (SELECT id FROM accounts WHERE id > 10 ORDER BY id LIMIT 20)
-SELECT src, count(*) AS n_edges, string_agg(dst || ':' || printf('%.2f', total_amount) || ':' || txn_count, ';' ORDER BY dst) AS edges, (SELECT max(id) FROM page) AS next_cursor FROM hp
+@query(f"""{GRAPH}, page AS (SELECT id FROM accounts WHERE id > {_start_sql(_VERTEX_SQL['Account'])} ORDER BY id LIMIT 20)
+SELECT src, count(*) AS n_edges, string_agg(dst || ':' || printf('%.2f', total_amount) || ':' || txn_count, ';' ORDER BY dst) AS edges,
+  (SELECT max(id) FROM page) AS next_cursor FROM hp
 WHERE src IN (SELECT id FROM page) GROUP BY src""")
 def has_paid_page(spark, sf_dir):
-    d = export.has_paid_page(hp(spark, sf_dir), 10, 20, fx.accounts(spark, sf_dir))
-    return d.select("src", F.size("edges").cast("long").alias("n_edges"), F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["dst"].cast("string"), F.format_string("%.2f", e["total_amount"]), e["txn_count"].cast("string"))), ";").alias("edges"), "next_cursor")
+    accounts = fx.accounts(spark, sf_dir)
+    d = export.has_paid_page(hp(spark, sf_dir), start_of(accounts), 20, accounts)
+
+    def line(e):
+        return F.concat_ws(":", e["dst"].cast("string"), F.format_string("%.2f", e["total_amount"]), e["txn_count"].cast("string"))
+
+    lines = F.array_join(F.transform("edges", line), ";")
+    return d.select("src", F.size("edges").cast("long").alias("n_edges"), lines.alias("edges"), "next_cursor")
 
 
 @query(f"""{GRAPH} SELECT (SELECT count(*) FROM accounts) AS n_accounts, (SELECT count(*) FROM hp) AS n_edges, (SELECT count(DISTINCT src) FROM hp) AS n_sources""")

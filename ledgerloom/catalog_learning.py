@@ -14,6 +14,7 @@ from ledgerloom.plans.fixpoint import scratch_dir
 from ledgerloom.sources import fixtures as fx
 from ledgerloom.sources import ledger as files
 from ledgerloom.sources.fixtures import with_
+from ledgerloom.sources.store import Store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -317,6 +318,48 @@ def answer_key(spark, sf_dir):
     return export.read_answer_key(spark, at, 1337, 0.3)
 
 
+#: As many again are revealed; who is dark stays as it was.
+_AGAIN = "shown2 AS (SELECT id FROM dealt WHERE r <= (SELECT round_even(sum(is_mule) * 0.6, 0) FROM held))"
+
+
+@query(f"""{MASK_SQL}, {_AGAIN}
+SELECT id, CAST(id % 9 = 0 AS INT) AS is_external, CAST(split = 0 AS INT) AS is_train, CAST(split = 1 AS INT) AS is_val, CAST(split = 2 AS INT) AS is_test,
+  CAST(id IN (SELECT id FROM shown2) AS INT) AS pu_label FROM split""")
+def written_back(spark, sf_dir):
+    """Accounts stored, split flags and labels merged into them, then the labels of another mask, and read again."""
+    store = Store(spark, f"{scratch_dir(spark)}/accounts-{uuid.uuid4().hex}")
+    store.create(fx.accounts(spark, sf_dir).withColumn("is_external", F.expr("cast(id % 9 = 0 as int)")), buckets=8)
+    masking.write_back(store, _mask(spark, sf_dir), _split(spark, sf_dir))
+    more = masking.pu_mask(fx.mules(spark, sf_dir), masking.account_rings(fx.ring_ledger(spark, sf_dir)), 0.6, 0.4)
+    store.upsert(more.select("id", "pu_label"))
+    return store.read().select("id", "is_external", "is_train", "is_val", "is_test", "pu_label")
+
+
+_KEY_KS = (5, 10, 25, 50, 100, 1000)
+
+
+@query(f"""{MASK_SQL},
+{GRAPH[GRAPH.index("bound AS"):].replace("placed", "in_bin")},
+{cf.MONEY_SQL},
+ranking AS (SELECT m.id, CAST(in_degree * out_degree AS DOUBLE) AS score, is_mule AS label, bucket, forced_test FROM mask m JOIN money_flow USING (id)),
+tot AS (SELECT count(*) AS n, sum(label) AS p, count(*) FILTER (bucket = 1) AS rev, count(*) FILTER (bucket = 2) AS hid, count(*) FILTER (forced_test = 1) AS drk FROM ranking),
+place AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM ranking),
+hit AS (SELECT k, sum(label) AS th, count(*) FILTER (bucket = 1) AS rh, count(*) FILTER (bucket = 2) AS hh, count(*) FILTER (forced_test = 1) AS dh, count(*) AS seen
+  FROM (VALUES {", ".join(f"({k})" for k in _KEY_KS)}) v(k) JOIN place ON r <= k GROUP BY k),
+g AS (SELECT score, count(*) AS c, sum(label) AS pos FROM ranking GROUP BY score),
+down AS (SELECT *, sum(c) OVER (ORDER BY score DESC) AS c_to, sum(pos) OVER (ORDER BY score DESC) AS pos_to FROM g),
+head AS (SELECT round(sum((pos / p) * (pos_to / c_to)), 6) AS ap, round((sum(pos * (n - c_to + (c + 1) / 2.0)) - max(p) * (max(p) + 1) / 2.0) / (max(p) * (max(n) - max(p))), 6) AS auc FROM down, tot)
+SELECT CAST(k AS BIGINT) AS k, n AS accounts, p AS true_positives, rev AS revealed_positives, hid AS hidden_positives, drk AS dark_accounts, th AS true_hits, rh AS revealed_hits,
+  hh AS hidden_hits, dh AS dark_hits, round(coalesce(hh / nullif(hid, 0), 0), 6) AS hidden_recall, round(least(1.0, coalesce(k / nullif(hid, 0), 1.0)), 6) AS ceiling,
+  round(coalesce((hh / nullif(hid, 0)) / least(1.0, k / hid), 0), 6) AS normalised, round(th / seen, 6) AS precision, ap AS average_precision, auc AS roc_auc, k = 10 AS is_primary
+FROM hit, tot, head""")
+def evaluate_hidden(spark, sf_dir):
+    """A ranking of accounts against the answer key that a run of the masks stored."""
+    key = answer_key(spark, sf_dir).select("id", F.col("is_mule").alias("true_label"), "bucket", F.col("forced_test").alias("dark"))
+    scores = cf.money_flow(spark, sf_dir).select("id", (F.col("in_degree") * F.col("out_degree")).cast("double").alias("score"))
+    return evaluate.evaluate_hidden(scores, key, _KEY_KS, 10)
+
+
 @query(f"{cf.LEDGER} SELECT src || ',' || dst || ',' || txn_count AS line FROM flow")
 def text_sink(spark, sf_dir):
     """Lines of text written to shared scratch storage and read again."""

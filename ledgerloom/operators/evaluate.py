@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import sigmoid
+from ledgerloom.operators.masking import HIDDEN, REVEALED
 from ledgerloom.plans.fixpoint import cut
 from ledgerloom.plans.ordered import running
 
@@ -80,6 +81,58 @@ def hidden_recall(scores: DataFrame, ks=KS) -> DataFrame:
     return d.select("k", F.col("tp").alias("hits"), F.round(recall, 6).alias("recall"), F.round(ceiling, 6).alias("ceiling"), F.round(recall / ceiling, 6).alias("normalised"))
 
 
+def keyed(scores: DataFrame, key: DataFrame) -> DataFrame:
+    """(id, score, true_label, bucket, dark) of ``scores(id, score)`` and ``key(id, true_label, bucket[, dark])``.
+
+    A score without a key, a key without a score, and an id that stands twice are errors when the rows are read.
+    """
+    dark = F.col("dark") if "dark" in key.columns else F.lit(0).alias("dark")
+    mine = scores.groupBy("id").agg(F.first("score").alias("score"), F.count(F.lit(1)).alias("n_scores"))
+    theirs = key.select("id", "true_label", "bucket", dark).groupBy("id").agg(
+        *(F.first(c).alias(c) for c in ("true_label", "bucket", "dark")), F.count(F.lit(1)).alias("n_keys"))
+    d = mine.join(theirs, "id", "full")
+
+    def bad(what: str):
+        return F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("double")
+
+    score = F.when(F.col("n_scores").isNull(), bad("no score for")).when(F.col("n_keys").isNull(), bad("no key for")).when(
+        (F.col("n_scores") > 1) | (F.col("n_keys") > 1), bad("stands twice")).otherwise(F.col("score"))
+    return d.select("id", score.alias("score"), "true_label", "bucket", "dark")
+
+
+def evaluate_hidden(scores: DataFrame, key: DataFrame, ks=KS, primary: int | None = None) -> DataFrame:
+    """How a ranking does against the answer key, by bucket: one row for each review depth k.
+
+    One ranking carries running counts of all positives, of those that were revealed and hidden, and of accounts in
+    dark rings. Every k has the hits of each, the share of hidden positives found, the ceiling that k slots
+    allow, and the share of that; the average precision and AUC against true labels stand beside. ``primary``
+    (one of ks) marks the headline row; a k beyond the end takes all.
+    """
+    wanted = _ks(scores, ks)
+    if primary is not None and primary not in ks:
+        raise ValueError("primary is one of ks")
+    d = cut(keyed(scores, key))
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    counts = {"place": F.lit(1).cast("long"), "true": F.col("true_label").cast("long"), "revealed": one(F.col("bucket") == REVEALED),
+              "hidden": one(F.col("bucket") == HIDDEN), "dark_": one(F.col("dark") == 1)}
+    r = cut(running(d, [F.desc("score"), F.col("id")], counts))
+    totals = r.agg(*(F.coalesce(F.first(f"{c}_all"), F.lit(0)).alias(f"{c}_all") for c in counts))
+    wanted = wanted.join(F.broadcast(totals)).withColumn("last", F.least("k", "place_all"))
+    hits = r.select("place", *(F.col(c).alias(f"{c}_hits") for c in counts if c != "place"))
+    at = hits.join(F.broadcast(wanted.select(F.col("last").alias("place")).distinct()), "place", "left_semi")
+    quality = ranking_metrics(d.select("id", "score", F.col("true_label").alias("label")))
+    out = wanted.join(at, F.col("last") == F.col("place"), "left").join(F.broadcast(quality.select("n_pos", "average_precision", "roc_auc")))
+    recall = F.try_divide(F.col("hidden_hits"), F.col("hidden_all"))
+    ceiling = F.least(F.lit(1.0), F.try_divide(F.col("k"), F.col("hidden_all")))
+    six = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return out.select(
+        "k", F.col("place_all").alias("accounts"), F.col("n_pos").alias("true_positives"), F.col("revealed_all").alias("revealed_positives"),
+        F.col("hidden_all").alias("hidden_positives"), F.col("dark__all").alias("dark_accounts"), "true_hits", "revealed_hits", "hidden_hits",
+        F.col("dark__hits").alias("dark_hits"), six(recall).alias("hidden_recall"), six(ceiling).alias("ceiling"),
+        six(F.try_divide(recall, ceiling)).alias("normalised"), six(F.col("true_hits") / F.col("last")).alias("precision"),
+        "average_precision", "roc_auc", (F.col("k") == F.lit(primary)).alias("is_primary") if primary is not None else F.lit(False).alias("is_primary"))
+
+
 def gains_table(scores: DataFrame, rates=ALERT_RATES) -> DataFrame:
     """(alert_rate, k, tp, recall, precision, lift) at each share of the population that is reviewed."""
     if not rates or not all(0 < r <= 1 for r in rates):

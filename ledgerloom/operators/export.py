@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.fixpoint import cut
+from ledgerloom.plans.ordered import numbered
 
-def vertex_page(vertices: DataFrame, cursor=None, limit: int = 5000, key: str = "id") -> DataFrame:
-    """The next ``limit`` rows behind ``cursor`` by key: a range filter and a bounded top-n, never a full sort."""
+
+def _page(vertices: DataFrame, cursor, limit: int, key: str) -> DataFrame:
     d = vertices if cursor is None else vertices.where(F.col(key) > F.lit(cursor))
     return d.orderBy(key).limit(limit)
 
 
+def vertex_page(vertices: DataFrame, cursor=None, limit: int = 5000, key: str = "id") -> DataFrame:
+    """The next ``limit`` rows behind ``cursor`` by key, with next_cursor: a range filter and a bounded top-n, never a full sort."""
+    page = _page(vertices, cursor, limit, key)
+    return page.join(F.broadcast(next_cursor(page, key)))
+
+
 def _source_page(edges: DataFrame, vertices: DataFrame | None, key: str, cursor, limit: int) -> DataFrame:
     every = edges.select(key).distinct() if vertices is None else vertices.select(F.col("id").alias(key))
-    return vertex_page(every, cursor, limit, key)
+    return _page(every, cursor, limit, key)
 
 
 def next_cursor(page: DataFrame, key: str = "id") -> DataFrame:
@@ -30,26 +38,61 @@ def edge_page(edges: DataFrame, cursor=None, limit: int = 5000, vertices: DataFr
     """
     page = _source_page(edges, vertices, "from_id", cursor, limit)
     found = edges.join(page, "from_id", "left_semi").select("from_id", "to_id").distinct()
-    return next_cursor(page, "from_id").where("next_cursor is not null").join(found, F.lit(True), "left").select("from_id", "to_id", "next_cursor")
+    end = next_cursor(page, "from_id").where("next_cursor is not null")
+    return end.join(found, F.lit(True), "left").select("from_id", "to_id", "next_cursor")
 
 
 def has_paid_page(flows: DataFrame, cursor=None, limit: int = 5000, vertices: DataFrame | None = None) -> DataFrame:
     """(src, edges, next_cursor): flow edges nested by source, for the next ``limit`` sources or vertices; see ``edge_page``."""
     page = _source_page(flows, vertices, "src", cursor, limit)
-    nested = flows.join(page, "src", "left_semi").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "total_amount", "txn_count"))).alias("edges"))
-    return next_cursor(page, "src").where("next_cursor is not null").join(nested, F.lit(True), "left").select("src", "edges", "next_cursor")
+    each = F.sort_array(F.collect_list(F.struct("dst", "total_amount", "txn_count"))).alias("edges")
+    nested = flows.join(page, "src", "left_semi").groupBy("src").agg(each)
+    end = next_cursor(page, "src").where("next_cursor is not null")
+    return end.join(nested, F.lit(True), "left").select("src", "edges", "next_cursor")
+
+
+def _paged(vertices: DataFrame, limit: int, key: str) -> DataFrame:
+    """(key, page): every vertex with the number of its page, from one pass over stretches of the order."""
+    if limit < 1:
+        raise ValueError("a page has at least one vertex")
+    d = numbered(vertices.select(key).where(F.col(key).isNotNull()).distinct(), [F.col(key)], "place")
+    return d.select(key, F.expr(f"place div {limit}").alias("page"))
+
+
+def _index_of(paged: DataFrame, key: str) -> DataFrame:
+    ends = paged.groupBy("page").agg(F.max(key).alias("next_cursor"), F.count(F.lit(1)).alias("n"))
+    before = ends.select((F.col("page") + 1).alias("page"), F.col("next_cursor").alias("cursor"))
+    return ends.join(before, "page", "left").select("page", "cursor", "next_cursor", "n")
+
+
+def page_index(vertices: DataFrame, limit: int = 5000, key: str = "id") -> DataFrame:
+    """(page, cursor, next_cursor, n) of all pages, from one pass: a page holds the keys in (cursor, next_cursor]."""
+    return _index_of(_paged(vertices, limit, key), key)
+
+
+def edge_pages(edges: DataFrame, vertices: DataFrame, limit: int = 5000) -> DataFrame:
+    """(page, next_cursor, from_id, to_id): all pages of a relation at once, each as ``edge_page`` gives it.
+
+    A page whose vertices have no edges is one row without ends; sources that are no vertex have no page.
+    """
+    paged = cut(_paged(vertices.select(F.col("id").alias("from_id")), limit, "from_id"))
+    index = _index_of(paged, "from_id").select("page", "next_cursor")
+    found = edges.select("from_id", "to_id").distinct().join(paged, "from_id").join(index, "page")
+    bare = index.join(edges.join(paged, "from_id").select("page").distinct(), "page", "left_anti")
+    none = bare.select("page", "next_cursor", F.lit(None).alias("from_id"), F.lit(None).alias("to_id"))
+    return found.select("page", "next_cursor", "from_id", "to_id").unionByName(none)
+
+
+def in_page(df: DataFrame, cursor, last, key: str = "id") -> DataFrame:
+    """Rows of the page (cursor, last]: a range filter, which file statistics of sorted data turn into skipped files."""
+    d = df.where(F.col(key) <= F.lit(last))
+    return d if cursor is None else d.where(F.col(key) > F.lit(cursor))
 
 
 def pages(vertices: DataFrame, limit: int = 5000, key: str = "id"):
-    """Iterate over pages, for consumers that cannot read a whole frame."""
-    cursor = None
-    while True:
-        page = vertex_page(vertices, cursor, limit, key)
-        last = page.agg(F.max(key)).first()[0]
-        if last is None or last == cursor:
-            return
-        yield page
-        cursor = last
+    """Iterate over pages, for consumers that cannot read a whole frame: one pass for the index, a range for each page."""
+    for p in page_index(vertices, limit, key).orderBy("page").toLocalIterator():
+        yield in_page(vertices, p.cursor, p.next_cursor, key).orderBy(key)
 
 
 def flow_csv_lines(flows: DataFrame, decimals: int = 2) -> DataFrame:

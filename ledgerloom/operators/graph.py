@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.fixpoint import components, cut
+from ledgerloom.plans.messages import messages
 from ledgerloom.plans.ordered import numbered
 
 
@@ -54,16 +55,17 @@ def aa_degree(accounts: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, max_change: float = 0.001, max_iter: int = 25) -> DataFrame:
     """(id, pagerank) of accounts that have an edge; weighted, not normalised, start 1.
 
-    Edges carry their share of the source's weight and are materialised once; each round is one join
-    and one pre-aggregated sum, and cuts its lineage. ``max_change`` < 0 runs all rounds.
+    Edges carry their share of the source's weight and are materialised once, those of hubs apart; each round
+    sends ranks along them, sums what arrives (pre-aggregated), and cuts its lineage. ``max_change`` < 0 runs all rounds.
     """
-    e = both_ways(edges)
-    total = e.groupBy("src").agg(F.sum("weight").alias("all"))
-    e = cut(e.join(total, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")).repartition("src"))
-    rank = cut(e.select(F.col("src").alias("id")).distinct().withColumn("pagerank", F.lit(1.0)))
+    e = messages(both_ways(edges))
+    total = e.edges().groupBy("src").agg(F.sum("weight").alias("all"))
+    e = e.kept(total, (F.col("weight") / F.col("all")).alias("share"), key="src")
+    rank = cut(total.select(F.col("src").alias("id"), F.lit(1.0).alias("pagerank")))
     for _ in range(max_iter):
-        got = e.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("share") * F.col("pagerank")).alias("recv"))
-        new = rank.join(got, F.col("id") == F.col("dst"), "left").select("id", F.col("pagerank").alias("old"), (F.lit(1 - damping) + F.lit(damping) * F.coalesce("recv", F.lit(0.0))).alias("pagerank"))
+        got = e.sent(rank).groupBy("dst").agg(F.sum(F.col("share") * F.col("pagerank")).alias("recv"))
+        value = F.lit(1 - damping) + F.lit(damping) * F.coalesce("recv", F.lit(0.0))
+        new = rank.join(got, F.col("id") == F.col("dst"), "left").select("id", F.col("pagerank").alias("old"), value.alias("pagerank"))
         new = cut(new)
         change = new.agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
         rank = new.select("id", "pagerank")
@@ -134,7 +136,7 @@ def fastrp(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (1.0, 1
     unit = F.pow(F.col("deg") / F.col("m"), F.lit(beta)) * F.sqrt(F.lit(float(sampling)))
     sign = F.transform("draw", lambda r: F.when(r / LCG_MOD <= 1 / (2 * sampling), unit).when(r / LCG_MOD <= 1 / sampling, -unit).otherwise(F.lit(0.0)))
     base = base.select("src", sign.alias("draw"))
-    e = cut(e.repartition("src"))
+    e = messages(e)
     sums = lambda v: F.array(*(F.sum(v[i]) for i in range(dim))).alias("val")
 
     def placed(start: int, length: int, weight: float):
@@ -144,10 +146,10 @@ def fastrp(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (1.0, 1
     first = F.array_repeat(F.lit(0.0), dim) if "default" not in regions else placed(*regions["default"])
     for name, region in regions.items():
         first = F.when(F.col("e_type") == name, placed(*region)).otherwise(first) if name != "default" else first
-    own = cut(e.join(base, "src").select("dst", first.alias("v")).groupBy(F.col("dst").alias("id")).agg(sums(F.col("v"))))
+    own = cut(e.sent(base, "src").select("dst", first.alias("v")).groupBy(F.col("dst").alias("id")).agg(sums(F.col("v"))))
     total = None
     for w in weights:
-        got = e.select("src", "dst").join(own, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "val").unionAll(own.select("id", "val"))
+        got = e.sent(own).select(F.col("dst").alias("id"), "val").unionAll(own.select("id", "val"))
         mean = got.groupBy("id").agg(sums(F.col("val"))).join(deg.withColumnRenamed("src", "id"), "id")
         mean = mean.select("id", F.transform("val", lambda x: x / F.greatest(F.lit(1), F.col("deg"))).alias("val"))
         norm = F.sqrt(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x))

@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.fixpoint import components
+from ledgerloom.plans.fixpoint import components, cut
+from ledgerloom.plans.ordered import numbered
 
 KINDS = ["device", "ip", "phone", "email"]
 # What one shared attribute adds to a pair's score.
@@ -15,36 +16,48 @@ WEIGHTS = {"email": "0.50", "phone": "0.50", "birthdate": "0.30", "street": "0.2
            "name_minhash": "0.15", "address_minhash": "0.08", "street_minhash": "0.08"}
 
 
-MOST_VALUES = 10  # of one kind; accounts with more are compared with the holders of their values
+FEW = 256  # holders up to which those of a value are paired
 
 
-def identity_sharing(accounts: DataFrame, owners: DataFrame, identities: DataFrame) -> DataFrame:
+def identity_sharing(accounts: DataFrame, owners: DataFrame, identities: DataFrame, few: int = FEW) -> DataFrame:
     """For each account and kind the number of other accounts whose party holds one of its values.
 
-    The holders of any of some values are counted by inclusion and exclusion: every account names all
-    subsets of its values of a kind, the accounts that name a subset are counted once (pre-aggregated), and an account adds
-    and subtracts the counts of its own subsets. So peers are never paired, however many share a value.
+    Values with more than ``few`` holders are frequent. An account's peers are the holders of any of its frequent values,
+    and beside them the holders of its other values who share none of the frequent ones. The former are counted once for
+    each distinct set of frequent values: a single value by its degree, several by OR over bitmaps of the holders'
+    dense ids, one bitmap for 32,768 accounts. The latter are pairs, ``few`` for each value that an account holds at most.
+    So no count of rows grows with the square of the holders or the subsets of an account's values.
     """
     held = owners.join(identities, "party").select("account", "kind", "value").distinct()
-    sets = held.groupBy("account", "kind").agg(F.sort_array(F.collect_set("value")).alias("values"))
-    some, many = sets.where(F.size("values") <= MOST_VALUES), sets.where(F.size("values") > MOST_VALUES)
-    subsets = F.aggregate("values", F.array(F.array().cast("array<string>")), lambda all_, x: F.concat(all_, F.transform(all_, lambda s: F.concat(s, F.array(x)))))
-    named = some.select("account", "kind", F.explode_outer(F.slice(subsets, 2, 1 << MOST_VALUES)).alias("subset"))
-    count = named.groupBy("kind", "subset").agg(F.count(F.lit(1)).alias("n"))
-    wide = not many.isEmpty()
-    if wide:
-        more = count.withColumn("value", F.get("subset", F.lit(0))).join(many.withColumn("value", F.explode("values")), ["kind", "value"]).where(F.size(F.array_except("subset", "values")) == 0)
-        count = count.unionAll(more.groupBy("kind", "subset").agg(F.count(F.lit(1)).alias("n"))).groupBy("kind", "subset").agg(F.sum("n").alias("n"))
-    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
-    n = named.join(count, ["kind", "subset"]).groupBy("account", "kind").agg((F.sum(sign * F.col("n")) - 1).alias("n"))
-    if wide:
-        own = held.join(many.select("account", "kind"), ["account", "kind"], "left_semi").withColumnRenamed("account", "me")
-        peers = own.join(held, ["kind", "value"]).where("account <> me").select("me", "kind", "account").distinct().groupBy(F.col("me").alias("account"), "kind").agg(F.count(F.lit(1)).alias("n"))
-        n = n.unionAll(peers)
-    n = n.groupBy(F.col("account").alias("id")).agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_share_cnt") for k in KINDS))
+    degree = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("deg"))
+    held = cut(held.join(degree, ["kind", "value"]))
+    often = held.where(F.col("deg") > few)
+    sets = often.groupBy("account", "kind").agg(F.sort_array(F.collect_set("value")).alias("often"), F.max("deg").alias("deg"))
+    one = sets.where(F.size("often") == 1).select("account", "kind", F.col("deg").alias("reach"))
+    several = cut(sets.where(F.size("often") > 1).select("account", "kind", "often"))
+    reach = one.unionByName(several.join(_union_sizes(often, several), ["kind", "often"]).select("account", "kind", "reach"))
+    rare = held.where(F.col("deg") <= few).join(sets.select("account", "kind", "often"), ["account", "kind"], "left")
+    x, y = rare.alias("x"), rare.alias("y")
+    apart = ~F.coalesce(F.arrays_overlap("x.often", "y.often"), F.lit(False))
+    pairs = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.account") != F.col("y.account")) & apart)
+    pairs = pairs.select("x.account", "x.kind", F.col("y.account").alias("peer")).distinct().groupBy("account", "kind").agg(F.count(F.lit(1)).alias("n"))
+    n = reach.select("account", "kind", (F.col("reach") - 1).alias("n")).unionByName(pairs)
+    each = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_share_cnt") for k in KINDS]
+    n = n.groupBy(F.col("account").alias("id")).agg(*each)
     return accounts.select("id").join(n, "id", "left").na.fill(0)
 
 
+def _union_sizes(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(kind, often, reach): how many accounts hold any value of each distinct set in ``sets(account, kind, often)``."""
+    wanted = sets.select("kind", "often").distinct()
+    named = wanted.select("kind", "often", F.explode("often").alias("value"))
+    ids = numbered(held.select("account").distinct(), [F.col("account")], "no").withColumn("no", F.col("no") + 1)
+    bits = held.join(named.select("kind", "value").distinct(), ["kind", "value"], "left_semi").join(ids, "account")
+    bits = bits.groupBy("kind", "value", F.bitmap_bucket_number("no").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("bits"))
+    each = named.join(bits, ["kind", "value"]).groupBy("kind", "often", "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    return each.groupBy("kind", "often").agg(F.sum("n").alias("reach"))
+
+
 def _banded(pii: DataFrame, below: int) -> DataFrame:
     deg = pii.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("deg")).where(f"deg > 1 and deg < {below}")
     return pii.join(deg, ["kind", "value"])

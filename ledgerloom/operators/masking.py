@@ -88,6 +88,15 @@ def flags(splits: DataFrame) -> DataFrame:
     return splits.select("id", *(F.when(F.col("split") == v, 1).otherwise(0).alias(k) for k, v in (("is_train", TRAIN), ("is_val", VAL), ("is_test", TEST))))
 
 
+def write_back(store, masked: DataFrame, splits: DataFrame) -> int:
+    """Split flags and pu_label merged into stored accounts; accounts the store lacks are added. Buckets rewritten.
+
+    ``store`` is a ``sources.store.Store``; the label is a training target and no feature.
+    """
+    changes = flags(splits).join(masked.select("id", "pu_label"), "id")
+    return store.upsert(changes, {"is_train": 0, "is_val": 0, "is_test": 0, "pu_label": 0})
+
+
 def accounts_of(flagged: DataFrame, split: str) -> DataFrame:
     if split not in ("train", "val", "test"):
         raise ValueError("split is train, val or test")

@@ -136,7 +136,7 @@ def test_batches_without_positives_priors_and_samples(spark):
             sampling.class_prior(40, bad)
 
 
-def test_shared_identities_equal_brute_force(spark, monkeypatch):
+def test_shared_identities_equal_brute_force(spark):
     import random
 
     r = random.Random(6)
@@ -144,9 +144,23 @@ def test_shared_identities_equal_brute_force(spark, monkeypatch):
     held = sorted({(p, k, f"{k}{r.randrange(6)}") for p in range(40) for k in ("device", "ip") for _ in range(r.randint(0, 5))})
     want = {a: {k: len({b for b in range(40) if b != a and {v for p, q, v in held if p == a and q == k} & {v for p, q, v in held if p == b and q == k}}) for k in ("device", "ip")} for a in range(40)}
     frames = ids(spark, range(40)), spark.createDataFrame(own, "account long, party long"), spark.createDataFrame(held, "party long, kind string, value string")
-    for most in (10, 2):  # by subsets alone; accounts with many values beside
-        monkeypatch.setattr(identity, "MOST_VALUES", most)
-        assert {i: {"device": x.device_share_cnt, "ip": x.ip_share_cnt} for i, x in rows(identity.identity_sharing(*frames)).items()} == want
+    for few in (100, 4, 0):  # by pairs alone, by both, by bitmaps alone
+        got = rows(identity.identity_sharing(*frames, few=few))
+        assert {i: {"device": x.device_share_cnt, "ip": x.ip_share_cnt} for i, x in got.items()} == want
+
+
+@pytest.mark.parametrize("few", [2, 50])
+def test_accounts_with_many_values(spark, few):
+    """Accounts with 11 and 200 values of a kind, and a value that a third of all hold."""
+    import random
+
+    r = random.Random(2)
+    values = {a: {r.randrange(2000) for _ in range(r.choice([0, 1, 2, 11, 200] if a < 40 else [0, 1, 2]))} | ({-1} if a % 3 == 0 else set()) for a in range(400)}
+    held = [(a, "email", str(v)) for a, own in values.items() for v in own]
+    want = {a: len({b for b in values if b != a and values[a] & values[b]}) for a in values}
+    own = spark.createDataFrame([(a, a) for a in values], "account long, party long")
+    got = identity.identity_sharing(ids(spark, list(values)), own, spark.createDataFrame(held, "party long, kind string, value string"), few)
+    assert {x.id: x.email_share_cnt for x in got.collect()} == want
 
 
 def test_embedding_regions_and_scope(spark):
@@ -299,3 +313,40 @@ def test_components_with_hubs_equal_union_find(spark):
             root[hi] = lo
     got = fixpoint.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()
     assert len(got) == len(root) and all(r.component == find(r.node) for r in got)
+
+
+def test_page_index_covers_every_vertex_once(spark):
+    vertices = ids(spark, [1, 2, 3, 5, 8, 13, 21, 34])
+    index = export.page_index(vertices, 3).orderBy("page").collect()
+    assert [tuple(r) for r in index] == [(0, None, 3, 3), (1, 3, 13, 3), (2, 13, 34, 2)]
+    assert [[r.id for r in export.in_page(vertices, p.cursor, p.next_cursor).orderBy("id").collect()] for p in index] == [[1, 2, 3], [5, 8, 13], [21, 34]]
+    assert [[r.id for r in p.collect()] for p in export.pages(vertices, 3)] == [[1, 2, 3], [5, 8, 13], [21, 34]]
+    e = spark.createDataFrame([(1, 9), (1, 9), (13, 1), (99, 1)], "from_id long, to_id long")
+    got = sorted(tuple(r) for r in export.edge_pages(e, vertices, 3).select("page", "next_cursor", "from_id", "to_id").collect())
+    assert got[:2] == [(0, 3, 1, 9), (1, 13, 13, 1)] and got[2] == (2, 34, None, None) and len(got) == 3
+    for p, page in enumerate(index):  # each page is what the paged query gives behind its cursor
+        one = export.edge_page(e, page.cursor, 3, vertices).select("from_id", "to_id", "next_cursor").collect()
+        assert sorted(map(str, ((p, r.next_cursor, r.from_id, r.to_id) for r in one))) == sorted(map(str, (g for g in got if g[0] == p)))
+    assert export.page_index(vertices.limit(0)).collect() == [] and list(export.pages(vertices.limit(0))) == []
+    with pytest.raises(ValueError):
+        export.page_index(vertices, 0)
+    assert [(r.id, r.next_cursor) for r in export.vertex_page(vertices, 5, 2).orderBy("id").collect()] == [(8, 13), (13, 13)]
+
+
+def test_evaluation_by_answer_key(spark):
+    scores = spark.createDataFrame([(i, s) for i, s in enumerate([.9, .8, .7, .6, .5, .4])], "id long, score double")
+    key = spark.createDataFrame([(0, 1, 1, 0), (1, 0, 0, 0), (2, 1, 2, 1), (3, 0, 0, 1), (4, 1, 2, 0), (5, 0, 0, 0)], "id long, true_label int, bucket int, dark int")
+    got = rows(evaluate.evaluate_hidden(scores, key, (1, 3, 50), 3), "k")
+    assert [(got[k].true_hits, got[k].revealed_hits, got[k].hidden_hits, got[k].dark_hits) for k in (1, 3, 50)] == [(1, 1, 0, 0), (2, 1, 1, 1), (3, 1, 2, 2)]
+    assert [(got[k].hidden_recall, got[k].ceiling, got[k].normalised) for k in (1, 3, 50)] == [(0, .5, 0), (.5, 1, .5), (1, 1, 1)]
+    assert got[3].precision == 0.666667 and got[50].precision == 0.5 and [got[k].is_primary for k in (1, 3, 50)] == [False, True, False]
+    assert got[1].accounts == 6 and got[1].hidden_positives == 2 and got[1].dark_accounts == 2 and got[1].average_precision == round((1 + 2 / 3 + 3 / 5) / 3, 6)
+    none = rows(evaluate.evaluate_hidden(scores, key.withColumn("bucket", F.col("true_label")).drop("dark"), (3,)), "k")[3]
+    assert (none.hidden_positives, none.hidden_recall, none.ceiling, none.dark_accounts) == (0, 0, 1, 0)
+    for s, k, what in ((scores.where("id > 0"), key, "no score"), (scores, key.where("id > 0"), "no key"), (scores.unionAll(scores.limit(1)), key, "stands twice")):
+        with pytest.raises(Exception, match=what):
+            evaluate.evaluate_hidden(s, k, (3,)).collect()
+    with pytest.raises(ValueError):
+        evaluate.evaluate_hidden(scores, key, (3,), 4)
+    with pytest.raises(Exception, match="both classes"):
+        evaluate.evaluate_hidden(scores, key.withColumn("true_label", F.lit(0)), (3,)).collect()
