@@ -25,6 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ class Encoder:
         first, *others = kinds.get("pretokenizers") or [kinds]
         drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
         self.apart = bool(drops) and not any(x.get("add_prefix_space") for x in others) and not self._ids(" ")
-        self.letters = _byte_letters()
+        self.letters, self.tokenize = _byte_letters(), self.library.model.tokenize
         try:
             self.words = self.apart and all(self._word(w.lower()) == self._ids(w) for w in ("q", "Word", "Ünité", "straße", "Ångström"))
         except Exception:  # a model that does not know these letters
@@ -76,7 +77,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of one lower-case word by the model alone: half of what a call of the whole library costs."""
         mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        return np.array([t.id for t in self.library.model.tokenize(mapped)], "<u4").tobytes()
+        return pack(f"<{len(found := self.tokenize(mapped))}I", *[t.id for t in found])
 
     def __call__(self, text: str) -> bytes:
         if not self.apart:
@@ -95,11 +96,11 @@ class _Memo(dict):
         """Latin words in capitals or with a mark behind them are made from the word: the tokenizer splits there anyway."""
         ids = self.old.get(chunk)
         if ids is None:
-            word = chunk.lower() if self.owner.words and chunk and max(chunk) < LATIN else ""
-            if word[-1:] in MARKS and word[:-1].isalpha():
-                ids = self[word[:-1]] + self[word[-1]]
-            elif word.isalpha():
+            word = chunk.lower() if self.owner.words and (chunk.isascii() or max(chunk) < LATIN) else ""
+            if word.isalpha():
                 ids = self.owner._word(word) if word == chunk else self[word]
+            elif word[-1:] in MARKS and word[:-1].isalpha():
+                ids = self[word[:-1]] + self[word[-1]]
             else:
                 ids = self.owner._ids(chunk)
         if len(chunk) <= CHUNK:
