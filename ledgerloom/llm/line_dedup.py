@@ -110,25 +110,27 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _with_kept(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``docs`` with _lines, their number _n, the kept ones _kept."""
-    gone = cut(removals(docs, min_chars)).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
-    gone = _small(gone, F.lit(64) + F.size("_gone") * 8)
-    d = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_mark"]), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return d.withColumns({"_kept": kept, "_n": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "_less": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_id", "_mark", "_gone")
+    """(row: the columns of ``docs``, kept text, n lines, less: those that went); rows travel whole, whatever their columns are called."""
+    gone = cut(removals(docs, min_chars)).withColumnRenamed("mark", "of")
+    gone = _small(gone, F.lit(64) + F.size("gone") * 8)
+    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    d = d.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("of")), "left")
+    lines = F.split("row.text", "\n", -1)
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
+    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    n = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return d.select("row", kept.alias("kept"), n.alias("n"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("less"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts; every row stays."""
-    new = {"text": F.col("_kept")}
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("_kept").cast(docs.schema["n_chars"].dataType)
-    return _with_kept(docs, min_chars).withColumns(new).select(docs.columns)
+        new["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return _with_kept(docs, min_chars).select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every row."""
     d = _with_kept(docs.select("doc_id", "text"), min_chars)
-    return d.select("doc_id", F.col("_n").alias("n_lines"), F.col("_less").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+    return d.select("row.doc_id", F.col("n").alias("n_lines"), F.col("less").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

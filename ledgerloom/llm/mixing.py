@@ -45,8 +45,11 @@ def n_tokens(text) -> F.Column:
 
 
 def _tree(docs: DataFrame) -> DataFrame:
-    source = F.coalesce(F.col("source"), F.lit("unknown"))
-    return docs.withColumns({"_domain": domain_of(source), "_lang": F.coalesce(F.col("lang"), F.lit("unknown")), "_source": source, "_t": n_tokens(F.col("text")), "_mark": F.xxhash64("text")})
+    """The columns of ``docs`` as one, ``row``, whatever they are called, and the operator's own beside it."""
+    source = F.coalesce(docs["source"], F.lit("unknown"))
+    own = {"_domain": domain_of(source), "_lang": F.coalesce(docs["lang"], F.lit("unknown")), "_source": source,
+           "_t": n_tokens(docs["text"]), "_mark": F.xxhash64(docs["text"]), "doc_id": docs["doc_id"]}
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in own.items()))
 
 
 def _weight(level: int, weights: dict[str, float]) -> F.Column:
@@ -111,11 +114,12 @@ def _chosen(docs: DataFrame, fraction: float, max_epochs: int, seed: int, weight
 def mix(docs: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: dict[str, float] | None = None) -> DataFrame:
     """Rows of ``docs`` that are taken, with n_tokens and n_copies (how many epochs take them) beside their columns."""
     d = _chosen(docs, fraction, max_epochs, seed, WEIGHTS if weights is None else weights).where("_copies > 0")
-    keep = [c for c in docs.columns if c not in ("n_tokens", "n_copies")]
+    keep = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_tokens", "n_copies")]
     return d.select(*keep, F.col("_t").alias("n_tokens"), F.col("_copies").cast("long").alias("n_copies"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, n_copies) of every row that is taken."""
     d = _chosen(docs.select("doc_id", "text", "lang", "source"), FRACTION, MAX_EPOCHS, SEED, WEIGHTS).where("_copies > 0")
-    return d.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_t").alias("n_tokens"), F.col("_copies").cast("long").alias("n_copies"))
+    return d.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"),
+                    F.col("_t").alias("n_tokens"), F.col("_copies").cast("long").alias("n_copies"))

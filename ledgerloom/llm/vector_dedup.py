@@ -1,17 +1,19 @@
 """Near-duplicate vectors by NN-descent (operator 9).
 
-Equal vectors are one node with a multiplicity. The neighbour graph starts from random-projection
-orders: rows sorted by the signs and the value of seeded projections meet within overlapping blocks
-of a sliding window; the number of signs follows the number of nodes. Then, round by round, each node
-joins a sample of its new neighbours with all sampled ones (neighbours of neighbours), and the best
-``LIST`` of a node stay in its list; a list that is full of links is saturated and grows to twice and four
-times the size. Beside its list a node keeps its link of smallest name, so that a dense spot stays tied to
-what lies around it. This goes on until a round finds next to nothing.
+Equal vectors are one node with a multiplicity. The neighbour graph starts from random orders: rows
+sorted by a seeded code (the nearest of random directions) and one projection meet within overlapping blocks of
+a sliding window. A pair without other neighbours can be found by these alone. So the bits of a code follow the
+number of nodes, the number of orders follows what share of pairs at the threshold one code keeps together, and
+twins planted at the threshold beside ``PLANTED`` nodes measure what the orders find, however few links a table has.
+Then, round by round, each node joins a sample of its new neighbours with all sampled ones (neighbours of
+neighbours), and the best ``LIST`` of a node stay in its list; a list that is full of links is saturated and grows to
+twice and four times the size. Beside its list a node keeps its link of smallest name, so that a dense spot stays tied
+to what lies around it. This goes on until a round finds next to nothing.
 
 Lists name components. Nodes of a component larger than ``LIST`` get their links counted exactly, tile by
 tile within the component, so a saturated list costs no rows by pairs. An audit then compares ``AUDIT`` nodes
 (of least hash; all, where there are fewer) with every node: what it finds is kept, and the share of these links that were known before is
-the recall. Below ``GOAL``, descent goes on from more orders; after ``ATTEMPTS`` the audit is extended to every node,
+the recall. Below ``GOAL``, or below ``PLANTED_GOAL`` for planted twins, descent goes on from more orders; after ``ATTEMPTS`` the audit is extended to every node,
 which is exact and quadratic, and is logged as a warning.
 
 Links are pairs with cosine >= ``threshold`` in double precision. Null, zero or non-finite vectors, or
@@ -23,6 +25,7 @@ through any of them. Extra columns are ignored; an empty table gives an empty re
 from __future__ import annotations
 
 import logging
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,9 +36,10 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import BROADCAST_MB, components, cut, measured_mb
 
 THRESHOLD, SLACK = 0.9, 0.1  # lists also hold neighbours down to threshold - slack, to walk along
-ORDERS, BITS, BLOCK = 4, 2, 512  # of the first attempt; the least number of signs; rows that meet
+ORDERS, BITS, BLOCK = 4, 2, 512  # least number of orders and of bits of a code; rows that meet
+TARGET, PLANTED, PLANTED_GOAL = 0.995, 400, 0.97  # of lone pairs by the orders; twins that measure it; what they must show
 LIST, ROUNDS = 24, 10
-AUDIT, GOAL, ATTEMPTS = 2048, 0.99, 3
+AUDIT, GOAL, ATTEMPTS, ENOUGH = 2048, 0.99, 3, 400
 SLAB_MB, TILE = 24, (512, 4096)  # audited nodes broadcast at once; what is multiplied at once
 PART = 1024  # nodes of a component in one tile
 
@@ -70,41 +74,76 @@ def nodes_of(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     return nodes, members
 
 
-def _directions(seed: int, dim: int, bits: int) -> np.ndarray:
-    return np.random.default_rng((seed, dim)).standard_normal((dim, bits + 1))
-
-
 def bits_for(n: int) -> int:
-    """Signs that leave about half a block of nodes to each code."""
+    """Bits of a code that leave about half a block of nodes to each."""
     return max(BITS, int(np.ceil(np.log2(max(1, 2 * n / BLOCK)))))
 
 
-def _block_pairs(nodes: DataFrame, seed: int, floor: float, bits: int) -> DataFrame:
-    """Pairs (a, b, sim) above ``floor`` that stand within a block of one projection order."""
+def _codes(x: np.ndarray, seed: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ``bits`` bits: which of some random directions, taken both ways, is nearest; and one more projection."""
+    dim, code = x.shape[1], np.zeros(len(x), np.int64)
+    draws, rows = np.random.default_rng((seed, dim)), np.arange(len(x))
+    while bits > 0:
+        wide = min(bits - 1, int(np.log2(dim)))
+        p = x @ draws.standard_normal((dim, 1 << wide))
+        at = np.abs(p).argmax(1)
+        code = (code << wide + 1) + 2 * at + (p[rows, at] > 0)
+        bits -= wide + 1
+    return code, x @ draws.standard_normal(dim)
+
+
+def _twins(x: np.ndarray, cosine: float, draws: np.random.Generator) -> np.ndarray:
+    """For each unit vector another one at that cosine, in a random direction."""
+    e = draws.standard_normal(x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    return cosine * x + np.sqrt(1 - cosine ** 2) * e
+
+
+def orders_for(dim: int, bits: int, threshold: float) -> int:
+    """Orders after which a lone pair at the threshold has shared a code with probability ``TARGET``; at least ORDERS."""
+    if dim < 2:  # two directions, which one bit tells apart
+        return ORDERS
+    draws = np.random.default_rng((dim, bits))
+    x = draws.standard_normal((2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = _twins(x, threshold, draws)
+    same = np.mean([(_codes(x, k, bits)[0] == _codes(y, k, bits)[0]).mean() for k in range(4)])
+    return max(ORDERS, int(np.ceil(np.log(1 - TARGET) / np.log1p(-min(max(same, 0.001), 0.999)))))
+
+
+def _block_pairs(nodes: DataFrame, orders: range, floor: float, bits: int) -> DataFrame:
+    """Pairs (a, b, sim) above ``floor`` that stand within a block of one of the orders, all of them from one shuffle."""
 
     def place(batches):
         for b in batches:
-            code, key = np.zeros(len(b), np.int64), np.zeros(len(b))
-            for dim in b.dim.unique():
-                at = np.flatnonzero(b.dim == dim)
-                p = np.stack([np.frombuffer(b.unit.iloc[i]) for i in at]) @ _directions(seed, dim, bits)
-                code[at] = (p[:, :bits] > 0) @ (1 << np.arange(bits)) + (int(dim) << bits)
-                key[at] = p[:, bits]
-            yield b.assign(code=code, key=key)
+            for k in orders:
+                code, key = np.zeros(len(b), np.int64), np.zeros(len(b))
+                for dim in b.dim.unique():
+                    at = np.flatnonzero(b.dim == dim)
+                    code[at], key[at] = _codes(np.stack([np.frombuffer(b.unit.iloc[i]) for i in at]), k, bits)
+                yield b.assign(nth=k, code=code, key=key)
+
+    def meet(held, last):
+        while len(held) >= (1 if last else 2 * BLOCK):
+            final = last and len(held) <= BLOCK
+            yield _meet(held[:BLOCK], BLOCK if final else BLOCK // 2, floor)
+            held[:] = [] if final else held[BLOCK // 2:]
 
     def pairs(batches):
-        held: list = []
+        held, at = [], None
         for b in batches:
-            held += list(zip(b.node, b.dim, b.unit))
-            while len(held) >= 2 * BLOCK:
-                yield _meet(held[:BLOCK], BLOCK // 2, floor)
-                held = held[BLOCK // 2:]
-        while held:
-            yield _meet(held[:BLOCK], BLOCK // 2 if len(held) > BLOCK else BLOCK, floor)
-            held = held[BLOCK // 2:] if len(held) > BLOCK else []
+            for nth, own in b.groupby(["nth", "dim"], sort=True):
+                if nth != at:
+                    yield from meet(held, True)
+                    at = nth
+                held += list(zip(own.node, own.dim, own.unit))
+                yield from meet(held, False)
+        yield from meet(held, True)
 
-    placed = nodes.select("node", "dim", "unit").mapInPandas(place, "node long, dim int, unit binary, code long, key double")
-    return placed.repartitionByRange("code", "key", "node").sortWithinPartitions("code", "key", "node").mapInPandas(pairs, "a long, b long, sim double")
+    placed = nodes.select("node", "dim", "unit").mapInPandas(place, "node long, dim int, unit binary, nth int, code long, key double")
+    order = ("nth", "dim", "code", "key", "node")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(pairs, "a long, b long, sim double")
 
 
 def _meet(held: list, first: int, floor: float) -> pd.DataFrame:
@@ -187,14 +226,38 @@ def _merged(known: DataFrame | None, found: DataFrame, threshold: float) -> Data
     return cut(kept)
 
 
-def descend(nodes: DataFrame, graph: DataFrame | None, orders: range, threshold: float) -> DataFrame:
-    """Neighbour lists (a, b, sim, new), sim >= threshold - SLACK, after starting anew from ``orders``."""
-    floor, bits = threshold - SLACK, bits_for(nodes.count())
-    more = None
-    for k in orders:
-        found = _block_pairs(nodes, k, floor, bits)
-        more = found if more is None else more.unionAll(found)
-    graph = _merged(graph, more, threshold)
+def _planted(nodes: DataFrame, seed: int, threshold: float) -> tuple[list, DataFrame]:
+    """Twins at the threshold of ``PLANTED`` nodes: [(twin, node)], and the twins as nodes."""
+    some = nodes.where("dim > 1").orderBy(F.xxhash64(F.lit(seed), "node")).limit(PLANTED).select("node", "dim", "unit").collect()
+    draws = np.random.default_rng(seed)
+    rows = [(-(1 << 62) - i, r.dim, _twins(np.frombuffer(r.unit)[None], threshold, draws)[0].tobytes()) for i, r in enumerate(some)]
+    twins = nodes.sparkSession.createDataFrame([(t, d, bytearray(u)) for t, d, u in rows], "node long, dim int, unit binary")
+    return [(t[0], r.node) for t, r in zip(rows, some)], twins
+
+
+def first_pairs(nodes: DataFrame, orders: range, threshold: float, bits: int) -> tuple[DataFrame, float]:
+    """Pairs that the orders show, and the share of planted twins that met their node in one.
+
+    Twins with so many other neighbours that their best pairs had to be chosen do not count: there the walk along
+    neighbours finds what the orders do not.
+    """
+    pairs, twins = _planted(nodes, orders.start, threshold)
+    found = cut(_block_pairs(nodes.select("node", "dim", "unit").unionAll(twins), orders, threshold - SLACK, bits))
+    lowest = -(1 << 62) - PLANTED
+    real = found.where(f"NOT (a BETWEEN {lowest} AND {-(1 << 62)})")  # a twin has the smaller name in nearly every pair
+    of = F.broadcast(nodes.sparkSession.createDataFrame(pairs or [(0, 0)], "a long, base long"))
+    both = found.select("a", "b").unionAll(found.select("b", "a")).join(of, "a")
+    met = both.groupBy("a").agg(F.max(F.col("b") == F.col("base")).alias("met"), F.count_distinct("b").alias("n")).collect()  # PLANTED rows
+    full = sum(not r.met and r.n >= 4 * LIST for r in met)
+    counted = len(pairs) - full
+    names = F.broadcast(twins.select(F.col("node").alias("b")))
+    return real.join(names, "b", "left_anti").select("a", "b", "sim"), sum(r.met for r in met) / counted if counted else 1.0
+
+
+def descend(nodes: DataFrame, graph: DataFrame | None, found: DataFrame, threshold: float) -> DataFrame:
+    """Neighbour lists (a, b, sim, new), sim >= threshold - SLACK, walked on from those of ``graph`` and ``found``."""
+    floor = threshold - SLACK
+    graph = _merged(graph, found, threshold)
     for r in range(ROUNDS):
         graph = _merged(graph, _local_join(graph, nodes, floor, LIST, r), threshold)
         now = graph.agg(F.count_if("new").alias("new"), F.count(F.lit(1)).alias("n")).first()
@@ -311,14 +374,24 @@ def audited(named: DataFrame, asked: DataFrame, threshold: float) -> tuple[DataF
     return found.where("a = b").select(F.col("a").alias("node"), "n"), found.where("a <> b").select("a", "b").distinct()
 
 
-def link_audited(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """(vec_id, n_links, component_id, kept) and the audited recall of the links, 1.0 where the audit met none."""
+class Audit(NamedTuple):
+    recall: float  # of links of the asked nodes; where they have fewer than ENOUGH, not above what the planted twins show
+    links: int  # that the asked nodes have in truth: what that figure rests on
+    planted: float  # share of planted lone pairs at the threshold that the orders found
+
+
+def link_audited(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Audit]:
+    """(vec_id, n_links, component_id, kept), and what the audit says of them."""
     nodes, members = nodes_of(vectors)
     members = cut(members)
     first = nodes.select("node", "first", "copies")
-    graph, begin, orders = None, 0, ORDERS
+    common = nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    bits = bits_for(nodes.count())
+    graph, begin, orders, unmet = None, 0, orders_for(common.dim, bits, threshold) if common else ORDERS, 1.0
     for attempt in range(ATTEMPTS):
-        graph = descend(nodes, graph, range(begin, begin + orders), threshold)
+        found, shown = first_pairs(nodes, range(begin, begin + orders), threshold, bits)
+        unmet *= 1 - shown
+        graph = descend(nodes, graph, found, threshold)
         links = graph.where(F.col("sim") >= threshold).select("a", "b")
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ends = cut(both.join(first.select(F.col("node").alias("b"), F.col("first").alias("y"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("n"), F.min("y").alias("y")))
@@ -330,19 +403,21 @@ def link_audited(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
         asked = named.orderBy(F.xxhash64(F.lit(attempt), "node")).limit(AUDIT)
         truth, joins = audited(named, asked, threshold)
         seen = truth.join(counts, "node").agg(F.sum("n").alias("true"), F.sum("known").alias("known")).first()
-        recall = seen.known / seen.true if seen.true else 1.0
-        log.info("attempt %d: recall of links %.4f over %s audited links", attempt + 1, recall, seen.true or 0)
-        if recall >= GOAL:
+        links, known = seen.true or 0, seen.known or 0
+        recall = known / links if links else 1.0
+        audit = Audit(recall if links >= ENOUGH else min(recall, 1 - unmet), links, 1 - unmet)
+        log.info("attempt %d: recall of links %.4f over %d audited links; planted pairs %.4f", attempt + 1, recall, links, 1 - unmet)
+        if recall >= GOAL and 1 - unmet >= PLANTED_GOAL:
             break
         begin, orders = begin + orders, 2 * orders
     else:
-        log.warning("recall of links %.4f is below %.2f: every node is compared with all", recall, GOAL)
+        log.warning("recall of links %.4f, of planted pairs %.4f: every node is compared with all", recall, 1 - unmet)
         truth, joins = audited(named, named, threshold)
     whole = components(joins).withColumnRenamed("node", "label").withColumnRenamed("component", "joined")
     per = named.select("node", "copies", "label").join(counts, "node").join(truth, "node", "left").join(whole, "label", "left")
     per = per.select("node", (F.coalesce("n", "known") + F.col("copies") - 1).alias("n"), F.coalesce("joined", "label").alias("c"))
     out = members.join(per, "node", "left").groupBy("vec_id").agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.min("c"), F.col("vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), recall
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), audit
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

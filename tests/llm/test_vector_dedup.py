@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from ledgerloom.llm import vector_dedup as v
 
@@ -91,11 +92,31 @@ def test_audit_measures_recall_and_goes_on(spark, monkeypatch, caplog):
         rows += [(len(rows), c.tolist()), (len(rows) + 1, (0.91 * c + (1 - 0.91 ** 2) ** 0.5 * e).tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     monkeypatch.setattr(v, "AUDIT", 60)
-    out, recall = v.link_audited(df)
-    assert recall == 1.0 and {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out.collect()} == brute(rows)
+    out, audit = v.link_audited(df)
+    assert audit.recall == 1.0 and audit.links == 60 and audit.planted >= 0.97 and {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out.collect()} == brute(rows)
     monkeypatch.setattr(v, "BITS", 20)
     monkeypatch.setattr(v, "BLOCK", 2)
     monkeypatch.setattr(v, "ATTEMPTS", 1)
-    out, recall = v.link_audited(df)
-    assert recall < v.GOAL and {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out.collect()} == brute(rows)
+    monkeypatch.setattr(v, "orders_for", lambda *_: 2)
+    out, audit = v.link_audited(df)
+    assert audit.recall < v.GOAL and audit.planted < 0.5 and {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out.collect()} == brute(rows)
     assert "every node is compared" in caplog.text
+
+
+def test_lone_pairs_in_a_large_table(spark, tmp_path):
+    """Twelve pairs among 60,000 vectors, all constants as in production: the sample of the audit meets next to none of them."""
+    r = np.random.default_rng(31)
+    x = r.standard_normal((60_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:12] = v._twins(x[20_000:20_012], 0.91, r)
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet")).repartition(8)
+    out, audit = v.link_audited(df)
+    assert {(i.vec_id, i.n_links, i.component_id) for i in out.where("n_links > 0").collect()} == {(k, 1, k % 20_000) for k in (*range(12), *range(20_000, 20_012))}
+    assert audit.links < 10 and 0.97 <= audit.planted <= 1 and audit.recall <= audit.planted
+
+
+def test_orders_follow_the_number_of_nodes():
+    assert v.bits_for(1000) == 2 and v.bits_for(60_000) == 8 and v.bits_for(10 ** 9) == 22
+    few, many = (v.orders_for(64, v.bits_for(n), 0.9) for n in (60_000, 10 ** 7))
+    assert v.ORDERS <= few < many < 60 and v.orders_for(64, 8, 0.99) < few and v.orders_for(1, 3, 0.9) >= v.ORDERS
