@@ -13,6 +13,7 @@ from ledgerloom.operators import evaluate, export, features, flow, identity, mas
 from ledgerloom.plans.fixpoint import scratch_dir
 from ledgerloom.sources import fixtures as fx
 from ledgerloom.sources import ledger as files
+from ledgerloom.sources import results as replies
 from ledgerloom.sources.fixtures import with_
 from ledgerloom.sources.store import Store
 
@@ -373,3 +374,79 @@ def parsed_edges(spark, sf_dir):
     """Edges that came as a JSON result: one document with a block of edges for each source."""
     block = hp(spark, sf_dir).groupBy("src").agg(F.collect_list(F.struct(F.col("src").cast("string").alias("from_id"), F.col("dst").cast("string").alias("to_id"), F.col("txn_count").cast("double").alias("txn_count"))).alias("edges"))
     return files.parse_edges(block.select(F.to_json(F.struct("edges")).alias("json")), {"txn_count": "long"})
+
+
+#: A run for each supplier and line number, an epoch for each month: what part of the largest orders was sold.
+_EPOCHS = """epochs AS (SELECT l_suppkey * 10 + l_linenumber AS run, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS epoch,
+  sum(l_quantity) / (50.0 * count(*)) AS primary_, sum(l_linenumber) / (10.0 * count(*)) + sum(l_quantity) / (100.0 * count(*)) AS second FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_EPOCHS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM epochs),
+state AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS i, CAST('-inf' AS DOUBLE) AS best, CAST('-inf' AS DOUBLE) AS sec, CAST('-inf' AS DOUBLE) AS mark, 0 AS stale, CAST(NULL AS BIGINT) AS ep, CAST(NULL AS BIGINT) AS stop FROM epochs
+  UNION ALL SELECT run, i, CASE WHEN wins THEN greatest(p, best) ELSE best END, CASE WHEN wins THEN greatest(second, sec) ELSE sec END, CASE WHEN rose THEN p ELSE mark END, CASE WHEN rose THEN 0 ELSE stale + 1 END,
+    CASE WHEN wins THEN epoch ELSE ep END, CASE WHEN NOT rose AND stale + 1 >= 3 THEN epoch END
+  FROM (SELECT s.run, p.i, s.best, s.sec, s.mark, s.stale, s.ep, p.epoch, p.primary_ AS p, p.second, p.primary_ > best + 0.05 OR (p.primary_ >= best - 0.05 AND p.second > sec) AS wins, p.primary_ > mark + 0.01 AS rose
+    FROM state s JOIN placed p ON p.run = s.run AND p.i = s.i + 1 WHERE s.stop IS NULL)),
+ended AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY run ORDER BY i DESC) = 1)
+SELECT run, ep AS best_epoch, round(best, 6) AS best, round(sec, 6) AS second, stop AS stop_epoch, CAST(i AS INT) AS seen FROM ended""")
+def model_selection(spark, sf_dir):
+    """The best epoch and the one that ends training, of every run in a table of epochs."""
+    d = fx.read(spark, sf_dir, "lineitem")
+    run, epoch = (F.col("l_suppkey") * 10 + F.col("l_linenumber")), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
+    q, n = F.sum("l_quantity"), F.count(F.lit(1))
+    d = d.groupBy(run.alias("run"), epoch.alias("epoch")).agg((q / (50.0 * n)).alias("primary"), (F.sum("l_linenumber") / (10.0 * n) + q / (100.0 * n)).alias("second"))
+    d = evaluate.select_epochs(d, 3, 0.01, 0.05)
+    return d.select("run", "best_epoch", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), "stop_epoch", "seen")
+
+
+@query(f"""{GRAPH},
+{cg.BATCH_SQL}, mine AS (SELECT DISTINCT batch_id, id FROM seeds)
+SELECT batch_id, 'Account' AS kind, CAST(id AS VARCHAR) AS a, '' AS b FROM mine
+UNION ALL SELECT DISTINCT x.batch_id, 'HAS_PAID', CAST(src AS VARCHAR), CAST(dst AS VARCHAR) FROM hp JOIN mine x ON x.id = src JOIN mine y ON y.id = dst AND x.batch_id = y.batch_id""")
+def parsed_sample(spark, sf_dir):
+    """A sampler's results, one JSON list of blocks for each batch, as nodes and edges."""
+    mine = cg.seeds(spark, sf_dir).select("batch_id", "id").distinct()
+    pairs = cg.sampling.inbatch_edges(hp(spark, sf_dir), mine).select("batch_id", "src", "dst").distinct()
+    ids = mine.groupBy("batch_id").agg(F.collect_list(F.col("id").cast("string")).alias("account_ids"))
+    text = lambda c: F.col(c).cast("string")
+    edge = F.struct(text("src").alias("from_id"), text("dst").alias("to_id"), F.lit("HAS_PAID").alias("e_type"))
+    edges = pairs.groupBy("batch_id").agg(F.collect_list(edge).alias("edges"))
+    blocks = [F.to_json(F.struct("account_ids")), F.lit('{"party_ids": []}'), F.to_json(F.struct("edges"))]
+    results = ids.join(edges, "batch_id", "left").select("batch_id", F.concat(F.lit("["), F.concat_ws(",", *blocks), F.lit("]")).alias("json"))
+    nodes, found = replies.sampled(results, keys=("batch_id",))
+    return nodes.select("batch_id", F.col("node_type").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b")).unionAll(
+        found.select("batch_id", F.col("e_type").alias("kind"), F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+
+def _reply(rows, name: str, item, per: int = 64):
+    """(part, json): results {name: [item]} of some rows each."""
+    d = rows.groupBy((F.crc32(F.col("id").cast("string").cast("binary")) % per).alias("part")).agg(F.collect_list(item).alias("items"))
+    return d.select("part", F.concat(F.lit(f'[{{"{name}": '), F.to_json("items"), F.lit("}]")).alias("json"))
+
+
+@query(f"{GRAPH},\n{cf.MONEY_SQL} SELECT CAST(id AS VARCHAR) AS id, in_degree, out_degree, round(in_amount, 2) AS in_amount FROM money_flow")
+def parsed_accounts(spark, sf_dir):
+    """Attributes fetched for accounts, nested under their ids."""
+    d = cf.money_flow(spark, sf_dir).select("id", "in_degree", "out_degree", F.round("in_amount", 2).alias("in_amount"))
+    own = F.struct(F.col("in_degree").cast("double").alias("in_degree"), "out_degree", "in_amount")  # whole numbers come as 3.0 too
+    results = _reply(d, "Accounts", F.struct(F.col("id").cast("string").alias("v_id"), F.lit("Account").alias("v_type"), own.alias("attributes")))
+    return replies.fetched_accounts(results, {"in_degree": "long", "out_degree": "long", "in_amount": "double"})
+
+
+@query(f"{GRAPH} SELECT CAST(src AS VARCHAR) AS from_id, CAST(dst AS VARCHAR) AS to_id, txn_count, round(total_amount, 2) AS total_amount FROM hp")
+def parsed_flows(spark, sf_dir):
+    """Payment edges fetched, nested under the accounts that pay."""
+    d = hp(spark, sf_dir).withColumn("id", F.col("src"))
+    own = F.struct("txn_count", F.round("total_amount", 2).alias("total_amount")).alias("attributes")
+    edge = F.struct(F.col("src").cast("string").alias("from_id"), F.col("dst").cast("string").alias("to_id"), own)
+    d = d.groupBy("id").agg(F.struct(F.collect_list(edge).alias("out_edges")).alias("attributes"))
+    results = _reply(d, "Collected", F.struct(F.col("id").cast("string").alias("v_id"), "attributes"))
+    return replies.fetched_edges(results, {"txn_count": "long", "total_amount": "double"})
+
+
+@query(f"{MASK_SQL} SELECT CAST(id AS VARCHAR) AS id, pu_label FROM mask")
+def parsed_seeds(spark, sf_dir):
+    """Accounts of a split with their labels, as a query returns them."""
+    own = F.struct(F.col("id").cast("string").alias("account_id"), "pu_label")
+    return replies.seeds(_reply(_mask(spark, sf_dir), "result", F.struct(own.alias("attributes"))))

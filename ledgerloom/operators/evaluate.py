@@ -241,3 +241,32 @@ class BestEpoch:
     @property
     def done(self) -> bool:
         return self.stale >= self.patience
+
+
+def select_epochs(epochs: DataFrame, patience: int = 5, min_delta: float = 0.0, tie: float = 2e-3) -> DataFrame:
+    """(run, best_epoch, best, second, stop_epoch, seen) of ``epochs(run, epoch, primary, second)``: ``BestEpoch`` over many runs at once.
+
+    A run's epochs are folded in their order by one expression in the JVM, runs in parallel; a run has as many rows as it
+    was trained for. ``stop_epoch`` is the epoch at which patience ended it, null if none did; later epochs do not count.
+    """
+    lowest = F.lit(float("-inf"))
+    none = F.lit(None).cast("long")
+    zero = F.struct(lowest.alias("best"), lowest.alias("second"), lowest.alias("mark"), F.lit(0).alias("stale"), none.alias("epoch"), none.alias("stop"), F.lit(0).alias("seen"))
+
+    def step(at, x):
+        second = F.coalesce(x["second"].cast("double"), lowest)
+        primary = x["primary"].cast("double")
+        wins = (primary > at["best"] + tie) | ((primary >= at["best"] - tie) & (second > at["second"]))
+        rose = primary > at["mark"] + min_delta
+        stale = F.when(rose, 0).otherwise(at["stale"] + 1)
+        new = F.struct(
+            F.when(wins, F.greatest(primary, at["best"])).otherwise(at["best"]).alias("best"),
+            F.when(wins, F.greatest(second, at["second"])).otherwise(at["second"]).alias("second"),
+            F.when(rose, primary).otherwise(at["mark"]).alias("mark"), stale.alias("stale"),
+            F.when(wins, x["epoch"].cast("long")).otherwise(at["epoch"]).alias("epoch"),
+            F.when(stale >= patience, x["epoch"].cast("long")).alias("stop"), (at["seen"] + 1).alias("seen"))
+        return F.when(at["stop"].isNotNull(), at).otherwise(new)
+
+    runs = epochs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("epoch", "primary", "second"))).alias("all"))
+    d = runs.select("run", F.aggregate("all", zero, step).alias("x"))
+    return d.select("run", F.col("x.epoch").alias("best_epoch"), "x.best", "x.second", F.col("x.stop").alias("stop_epoch"), "x.seen")

@@ -75,7 +75,8 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 def upsert(sources: list[DataFrame], defaults: dict[str, object], key: str = "id") -> DataFrame:
     """One vertex for each id of all sources; of the values that are given the largest stays, else the default."""
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-    return every.groupBy(key).agg(*(F.coalesce(F.max(c), F.lit(v)).alias(c) for c, v in defaults.items()))
+    given = {c: F.max(c) if c in every.columns else F.lit(None) for c in defaults}
+    return every.groupBy(key).agg(*(F.coalesce(given[c], F.lit(v)).alias(c) for c, v in defaults.items()))
 
 
 def number(text, kind: str = "long"):
