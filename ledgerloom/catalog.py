@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom import catalog_flow, catalog_graph, catalog_learning
+from ledgerloom import catalog_exchange, catalog_flow, catalog_graph, catalog_learning
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (catalog_flow, catalog_graph, catalog_learning):
+for part in (catalog_flow, catalog_graph, catalog_learning, catalog_exchange):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
