@@ -39,6 +39,7 @@ SAMPLED = 24  # shingles of a document that take part in a star round
 GROUP, TILES = 1 << 19, 16  # shingles searched together (a document counts for 256 more); parts of a larger group
 DENSE = 1 << 12  # entries of short lists from which they may be added up
 ENTRIES, HOT = 1 << 18, 1 << 14  # entries sent together; repeats from which a shingle is dealt out by document
+HOTS = 1 << 20  # shingles dealt out so, whatever the table's size: 16 MB that every task knows
 BUCKET_BYTES = 6 << 20
 LOT = 1 << 18
 _r = np.random.default_rng(4)
@@ -205,9 +206,10 @@ def shared_in_prefix(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def hot_shingles(docs: DataFrame, buckets: int) -> DataFrame:
-    """(h, df): shingles whose repeats within lots add up to more than HOT, at most entries / HOT rows.
+    """(h, df): the HOTS most repeated shingles whose repeats within lots add up to more than HOT.
 
-    Their entries never gather by shingle; which shingles these are only decides how work is dealt out.
+    Their entries never gather by shingle; which shingles these are only decides how work is dealt out. A shingle beyond
+    the HOTS first ones has less than 1 / HOTS of all entries, so what gathers by one shingle stays a small part.
     """
 
     def send(batches):
@@ -226,7 +228,8 @@ def hot_shingles(docs: DataFrame, buckets: int) -> DataFrame:
         df = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
         return pd.DataFrame({"h": h[order][at][df > HOT].view(np.int64), "df": df[df > HOT]})
 
-    return docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, n binary").groupBy("bucket").applyInPandas(find, "h long, df long")
+    sent = docs.select("doc_id", "text").mapInPandas(send, "bucket long, h binary, n binary")
+    return sent.groupBy("bucket").applyInPandas(find, "h long, df long").orderBy(F.desc("df"), "h").limit(HOTS)
 
 
 def shared_lists(docs: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:

@@ -112,7 +112,8 @@ def test_large_groups_and_hot_shingles_are_split(spark, monkeypatch):
     docs = [(i, t) for i, t in near_copies(120, 5)] + [(1000 + i, " ".join(t.split("\n")[:3])) for i, t in near_copies(60, 5)]
     monkeypatch.setattr(j, "HOT", 3)
     monkeypatch.setattr(j, "ENTRIES", 2000)
-    for group, tiles in ((4000, 99), (3000, 1)):  # tiles alone; lists, and tiles of these
+    for group, tiles, hots in ((4000, 99, 1 << 20), (3000, 1, 2)):  # tiles alone; lists, tiles of these, and hot shingles beyond those told to all
+        monkeypatch.setattr(j, "HOTS", hots)
         monkeypatch.setattr(j, "GROUP", group)
         monkeypatch.setattr(j, "TILES", tiles)
         check(spark, docs)
