@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog_flow as cf
 from ledgerloom.catalog_flow import GRAPH, hp
+from ledgerloom.functions import tables
 from ledgerloom.operators import export, flow, graph, sampling
 from ledgerloom.plans.ordered import numbered
 from ledgerloom.sources import fixtures as fx
@@ -145,7 +146,8 @@ h{k} AS (SELECT id, i, CASE WHEN n > 0 THEN s / n ELSE s END AS val FROM (SELECT
 
 @query(_fastrp_sql())
 def fastrp(spark, sf_dir):
-    return graph.fastrp(aa(spark, sf_dir)).select("id", F.col("i").cast("int").alias("i"), (F.round("value", 4) + F.lit(0.0)).alias("value"))
+    regions, weights = graph.regions_of([], (0, 16, 1.0)), graph.weights_of("1.0,1.0,1.0")
+    return graph.fastrp(aa(spark, sf_dir), 16, weights, regions=regions).select("id", F.col("i").cast("int").alias("i"), (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
 #: Every account is a seed of one batch: the batches of an epoch cover all of them, with drawn positives beside.
@@ -254,11 +256,6 @@ def validation_sample(spark, sf_dir):
     return sampling.validation_sample(fx.mules(spark, sf_dir).withColumnRenamed("is_mule", "pu_label"))
 
 
-@query(f"{GRAPH} SELECT 3.0 / count(*) AS prior FROM accounts")
-def class_prior(spark, sf_dir):
-    return spark.createDataFrame([(sampling.class_prior(fx.accounts(spark, sf_dir).count(), 3),)], "prior double")
-
-
 def start_of(vertices, key="id"):
     """The key a tenth down the order, behind which the sample pages begin; none in an empty table."""
     n = vertices.count()
@@ -362,3 +359,25 @@ def has_paid_page(spark, sf_dir):
 def export_counts(spark, sf_dir):
     e = hp(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src").alias("n_sources"))
     return fx.accounts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_accounts")).join(F.broadcast(e))
+
+
+@query(f"""{GRAPH}, rare AS (SELECT DISTINCT account, kind, value FROM owners JOIN identities USING (party)),
+deg AS (SELECT kind, value, count(*) AS d FROM rare GROUP BY ALL HAVING count(*) > 1 AND count(*) < 40),
+cand AS (SELECT DISTINCT x.account AS a, y.account AS b FROM rare x JOIN rare y ON x.kind = y.kind AND x.value = y.value AND x.account < y.account JOIN deg ON deg.kind = x.kind AND deg.value = x.value),
+heavy AS (SELECT a, b, weight FROM aa WHERE weight >= 2)
+SELECT 'account_edges' AS fn, a, b, weight AS n FROM heavy
+UNION ALL SELECT 'account_degrees', id, count(*), 0 FROM (SELECT a AS id FROM heavy UNION ALL SELECT b FROM heavy) GROUP BY id
+UNION ALL SELECT 'vertices_between', id, 0, 0 FROM accounts WHERE id > 5 AND id <= 90
+UNION ALL SELECT 'split_members', id, 0, 0 FROM mules WHERE is_mule = 1
+UNION ALL SELECT 'party_candidates', a, b, 0 FROM cand""")
+def table_functions(spark, sf_dir):
+    """Operators called by name from SQL, with parameters other than their defaults."""
+    held = fx.owners(spark, sf_dir).join(fx.identities(spark, sf_dir), "party").select(F.col("account").alias("party"), "kind", "value")
+    tables.register(spark, flows=hp(spark, sf_dir), accounts=fx.accounts(spark, sf_dir), pii=held,
+                    splits=fx.mules(spark, sf_dir).select("id", F.col("is_mule").alias("split")))
+    return spark.sql("""
+        SELECT 'account_edges' AS fn, a, b, weight AS n FROM account_edges(min_weight => 2)
+        UNION ALL SELECT 'account_degrees', id, degree, 0 FROM account_degrees(2)
+        UNION ALL SELECT 'vertices_between', id, 0, 0 FROM vertices_between(5, last => 90)
+        UNION ALL SELECT 'split_members', id, 0, 0 FROM split_members('val')
+        UNION ALL SELECT 'party_candidates', a, b, 0 FROM party_candidates(candidate_degree => 40)""")

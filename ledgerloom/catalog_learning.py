@@ -177,6 +177,11 @@ def pu_mask(spark, sf_dir):
     return _mask(spark, sf_dir)
 
 
+@query(f"{MASK_SQL} SELECT sum(is_mule) / count(*) AS prior FROM mask")
+def class_prior(spark, sf_dir):
+    return cg.sampling.prior_of(_mask(spark, sf_dir))
+
+
 @query(f"{MASK_SQL} SELECT * FROM split")
 def split_accounts(spark, sf_dir):
     return _split(spark, sf_dir)

@@ -39,3 +39,18 @@ def shuffle_key(seed, *parts) -> Column:
 def money(x) -> Column:
     """Cents, so that sums do not depend on order."""
     return col(x).cast("decimal(18,2)")
+
+
+def now() -> Column:
+    """Seconds since 1970 at the start of the query, one value for all of its rows."""
+    return F.unix_seconds(F.current_timestamp())
+
+
+def time_text(seconds, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Seconds since 1970 as UTC text, whatever the session's zone."""
+    return F.date_format(F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=col(seconds).cast("decimal(18,6)")), pattern)
+
+
+def days_between(later, earlier) -> Column:
+    """Difference of two times in seconds, in days."""
+    return (col(later) - col(earlier)) / F.lit(DAY)

@@ -109,6 +109,24 @@ def triangles(accounts: DataFrame, edges: DataFrame, max_degree: int = 1000) ->
 LCG_MOD, LCG_MULT, LCG_INC = 2 ** 31 - 1, 1664525, 1013904223  # fixed values of the reference generator
 
 
+def regions_of(specs: list[str], default: tuple[int, int, float] = (0, 16, 1.0)) -> dict[str, tuple[int, int, float]]:
+    """``regions`` of ``fastrp`` from texts "type,length,weight,start"; edges of other types take ``default`` (start, length, weight)."""
+    found = {}
+    for spec in specs:
+        parts = [x.strip() for x in spec.split(",")]
+        if len(parts) != 4 or not parts[0]:
+            raise ValueError(f"a region is 'type,length,weight,start': {spec!r}")
+        if parts[0] in found or parts[0] == "default":
+            raise ValueError(f"a type has one region: {parts[0]!r}")
+        found[parts[0]] = int(parts[3]), int(parts[1]), float(parts[2])
+    return {**found, "default": default}
+
+
+def weights_of(text: str) -> tuple[float, ...]:
+    """Weights of the hops from a text like "1.0,1.0,0.5"."""
+    return tuple(float(x) for x in text.split(","))
+
+
 def fastrp(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (1.0, 1.0, 1.0), beta: float = -0.1, sampling: int = 3, seed: int = 42,
            regions: dict[str, tuple[int, int, float]] | None = None, members: DataFrame | None = None) -> DataFrame:
     """(id, i, value): random-projection embeddings in long form.

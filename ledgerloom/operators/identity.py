@@ -70,6 +70,15 @@ def party_candidates(pii: DataFrame, candidate_degree: int = 100) -> DataFrame:
         F.col("x.party").alias("a"), F.col("y.party").alias("b")).distinct()
 
 
+BATCHES = 8  # of values, where pairs are scored batch by batch
+
+
+def _batch(batches: int):
+    """The batch of a value: its hash, the same in any engine."""
+    digits = F.substring(F.md5(F.concat_ws("|", "kind", "value").cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") % batches
+
+
 def party_scores(pii: DataFrame, candidate_degree: int = 100, score_degree: int = 25_000, num_value_batches: int = 1, weights: dict[str, str] = WEIGHTS) -> DataFrame:
     """(a, b, score) of candidate pairs: weights of all shared values, also of frequent ones.
 
@@ -78,7 +87,7 @@ def party_scores(pii: DataFrame, candidate_degree: int = 100, score_degree: int
     """
     p = _banded(pii.select("party", "kind", "value").distinct(), score_degree)
     w = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(Decimal(v)).cast("decimal(4,2)"))))
-    p = p.select("party", "kind", "value", F.try_element_at(w, F.col("kind")).alias("w"), F.pmod(F.crc32(F.concat_ws("|", "kind", "value").cast("binary")), F.lit(num_value_batches)).alias("batch"))
+    p = p.select("party", "kind", "value", F.try_element_at(w, F.col("kind")).alias("w"), _batch(num_value_batches).alias("batch"))
     cand = party_candidates(pii, candidate_degree)
     left = cand.join(p.withColumnRenamed("party", "a"), "a")
     both = left.join(p.select(F.col("party").alias("b"), "kind", "value"), ["b", "kind", "value"])

@@ -157,6 +157,13 @@ def class_prior(n_accounts: int, estimated: int) -> float:
     return estimated / n_accounts
 
 
+def prior_of(masked: DataFrame) -> DataFrame:
+    """(prior) of ``masked(is_mule)``: the masks' own share of positives; one that is not within (0, 1) is an error when it is read."""
+    n, p = F.count(F.lit(1)), F.coalesce(F.sum("is_mule"), F.lit(0))
+    bad = F.raise_error(F.concat(F.lit("the prior is not within (0, 1): "), p.cast("string"), F.lit(" of "), n.cast("string"))).cast("double")
+    return masked.agg(F.when((p >= 1) & (p < n), p / n).otherwise(bad).alias("prior"))
+
+
 def validation_sample(labels: DataFrame, cap: int = 10_000, seed: int = 5) -> DataFrame:
     """(id, pu_label): all positives and at most ``cap`` unlabelled accounts, a seeded draw by a bounded top-n."""
     rest = labels.where("pu_label = 0").select("id", "pu_label", shuffle_key(seed, F.lit("val"), "id").alias("_key")).orderBy("_key", "id").limit(cap)

@@ -350,3 +350,33 @@ def test_evaluation_by_answer_key(spark):
         evaluate.evaluate_hidden(scores, key, (3,), 4)
     with pytest.raises(Exception, match="both classes"):
         evaluate.evaluate_hidden(scores, key.withColumn("true_label", F.lit(0)), (3,)).collect()
+
+
+def test_embedding_specs_from_text(spark):
+    assert graph.regions_of(["HAS_PAID, 8,2.0,0", "X,4,1,8"], (12, 4, 0.5)) == {"HAS_PAID": (0, 8, 2.0), "X": (8, 4, 1.0), "default": (12, 4, 0.5)}
+    assert graph.regions_of([]) == {"default": (0, 16, 1.0)} and graph.weights_of("1, 0.5,2") == (1.0, 0.5, 2.0)
+    for bad in (["a,b"], [",1,1,1"], ["a,x,1,1"], ["a,1,1,0", "a,1,1,1"], ["default,1,1,1"]):
+        with pytest.raises(ValueError):
+            graph.regions_of(bad)
+    with pytest.raises(ValueError):
+        graph.weights_of("1,,2")
+    e = edges(spark, [(1, 2, 1), (2, 3, 1)]).withColumn("e_type", F.when(F.col("a") == 1, "x").otherwise("y"))
+    got = graph.fastrp(e, 4, graph.weights_of("1,1"), regions=graph.regions_of(["x,2,1.0,0"], (2, 2, 3.0)))
+    want = graph.fastrp(e, 4, (1.0, 1.0), regions={"x": (0, 2, 1.0), "default": (2, 2, 3.0)})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_times_priors_and_batches(spark):
+    import time
+
+    from ledgerloom.functions import scalar
+
+    r = spark.range(2).select(scalar.now().alias("n"), scalar.time_text(F.lit(T0)).alias("t"), scalar.days_between(F.lit(T0 + DAY), F.lit(T0)).alias("d")).collect()
+    assert r[0].n == r[1].n and abs(r[0].n - time.time()) < 300 and r[0].t == "2025-01-01 00:00:00" and r[0].d == 1
+    assert sampling.prior_of(spark.createDataFrame([(1,), (0,), (0,), (0,)], "is_mule int")).first().prior == 0.25
+    for bad in ([(0,), (0,)], [(1,)], []):
+        with pytest.raises(Exception, match="prior"):
+            sampling.prior_of(spark.createDataFrame(bad, "is_mule int")).collect()
+    pii = spark.createDataFrame([(p, "email", f"e{i}") for p in (1, 2) for i in range(12)], "party long, kind string, value string")
+    whole, best = (identity.party_scores(pii, num_value_batches=n).first().score for n in (1, identity.BATCHES))
+    assert whole == 6 and 1 <= best < 6  # a batch has one to all of the twelve values
