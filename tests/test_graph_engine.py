@@ -380,3 +380,23 @@ def test_times_priors_and_batches(spark):
     pii = spark.createDataFrame([(p, "email", f"e{i}") for p in (1, 2) for i in range(12)], "party long, kind string, value string")
     whole, best = (identity.party_scores(pii, num_value_batches=n).first().score for n in (1, identity.BATCHES))
     assert whole == 6 and 1 <= best < 6  # a batch has one to all of the twelve values
+
+
+@pytest.mark.parametrize("cap", [5, 40, 1000])
+def test_triangles_of_a_skewed_graph_equal_brute_force(spark, cap):
+    import random
+
+    r = random.Random(cap)
+    pairs = {tuple(sorted((int(80 * r.random() ** 3), r.randrange(80)))) for _ in range(700)}
+    pairs = sorted((a, b) for a, b in pairs if a != b)
+    near = {i: set() for i in range(80)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    credit = dict.fromkeys(near, 0)
+    for a, b in pairs:
+        if len(near[a]) <= cap and len(near[b]) <= cap:
+            credit[a] += len(near[a] & near[b])
+            credit[b] += len(near[a] & near[b])
+    got = rows(graph.triangles(ids(spark, range(80)), edges(spark, [(a, b, 1) for a, b in pairs]), cap))
+    assert {i: x.triangle_count for i, x in got.items()} == {i: c // 2 for i, c in credit.items()} and (cap == 5 or max(credit.values()) > 50)
