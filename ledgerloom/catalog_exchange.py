@@ -8,10 +8,13 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog_flow import GRAPH, hp
-from ledgerloom.operators import export
+from ledgerloom.functions import scalar
+from ledgerloom.operators import export, flow
 from ledgerloom.plans.fixpoint import scratch_dir
 from ledgerloom.sources import exchange
 from ledgerloom.sources import fixtures as fx
+from ledgerloom.sources import ledger as files
+from ledgerloom.sources.fixtures import with_
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -77,3 +80,27 @@ def exchange_load(spark, sf_dir):
 
 
 QUERIES["exchange_load"], ORACLES["exchange_load"] = exchange_load, _sql()
+
+
+def ledger_csv(spark, sf_dir):
+    """The ledger with its rings, written as CSV with UTC times and read again."""
+    at = f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    d = fx.ring_ledger(spark, sf_dir)
+    d.select(F.col("src").alias("src_acct"), F.col("dst").alias("dst_acct"), F.format_string("%.2f", "amount").alias("amount"),
+             scalar.time_text("ts").alias("ts"), "ring_id").write.csv(at, header=True)
+    return files.read_ledger(spark, at).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "amount", "ts", "ring_id")
+
+
+def edges_csv(spark, sf_dir):
+    """Account edges written as CSV, each twice, and read as one edge for each pair of ends."""
+    at, e = f"{scratch_dir(spark)}/edges-{uuid.uuid4().hex}", flow.account_edges(hp(spark, sf_dir))
+    e = e.select(F.col("a").alias("FROM"), F.col("b").alias("TO"), F.col("weight").cast("string").alias("weight"))
+    e.unionAll(e).write.csv(at, header=True)
+    d = files.read_edges(spark, at)
+    return d.select("from_id", "to_id", F.col("weight").cast("long").alias("weight"))
+
+
+QUERIES["ledger_csv"] = ledger_csv
+ORACLES["ledger_csv"] = f"{with_('ledger', 'rings')} SELECT src, dst, CAST(printf('%.2f', amount) AS DOUBLE) AS amount, ts, CAST(ring_id AS BIGINT) AS ring_id FROM ring_ledger"
+QUERIES["edges_csv"] = edges_csv
+ORACLES["edges_csv"] = f"{GRAPH} SELECT CAST(a AS VARCHAR) AS from_id, CAST(b AS VARCHAR) AS to_id, weight FROM aa"

@@ -150,6 +150,20 @@ def fastrp(spark, sf_dir):
     return graph.fastrp(aa(spark, sf_dir), 16, weights, regions=regions).select("id", F.col("i").cast("int").alias("i"), (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
+_SCOPE_SQL = """scope AS (SELECT id FROM label WHERE com_id = (SELECT com_id FROM sized ORDER BY com_size DESC, com_id LIMIT 1)),
+aa_in AS (SELECT * FROM aa WHERE a IN (SELECT id FROM scope) AND b IN (SELECT id FROM scope))"""
+
+
+@query(_fastrp_sql(8, 2).replace(RGRAPH, f"{WCC_SQL},\n{_SCOPE_SQL}", 1).replace(BOTH_SQL, BOTH_SQL.replace("FROM aa", "FROM aa_in"), 1))
+def fastrp_scoped(spark, sf_dir):
+    """Embeddings of the largest component alone."""
+    labels = wcc(spark, sf_dir)
+    largest = labels.orderBy(F.desc("com_size"), "com_id").limit(1).select("com_id")
+    members = labels.join(F.broadcast(largest), "com_id", "left_semi").select("id")
+    d = graph.fastrp(aa(spark, sf_dir), 8, (1.0, 1.0), members=members)
+    return d.select("id", F.col("i").cast("int").alias("i"), (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
 #: Every account is a seed of one batch: the batches of an epoch cover all of them, with drawn positives beside.
 BATCH_SQL = """pos AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 1),
 un AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 0),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
+        own = tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)  # a folder of this process alone; a cluster's is its own affair
+        sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
