@@ -40,6 +40,7 @@ for _c in range(0x250):
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(€£¢]+[^\w\s]*[^\W\d_]|[0-9@$!|+€£¢]+[^\W\d_]{2}|([^\W\d_])\1\1|(?:[^\W_][.\-_*~']){3}")
 # Ordinary spelling or disguise: the restored words stand beside the plain ones.
 DOUBTFUL = re.compile(r"[^\W_][0-9@$!|+(€£¢]+$|([^\W\d_])\1|(?<![^\W_])(?:[^\W_][.\-_*~']){2}[^\W_]")
+MIXED = re.compile(r"^[^\W_]*[^\W\d_][0-9]+[^\W\d_][^\W_]*$")  # letters and digits alone, a digit between letters
 SPELLED = 3  # least number of single characters in a row that are read as words
 LEFT, RIGHT = "\"'`.,;:!?()[]{}<>*%&#~-_+=/\\^", "\"'`.,;:!?()[]{}<>*%&#$~-_|+=/\\^"
 RIGHT_PLAIN = "".join(c for c in RIGHT if c not in READINGS)
@@ -169,8 +170,9 @@ class Reader:
     def words(self, token: str) -> tuple[str, ...]:
         if (known := self.memo.get(token)) is None:
             bare, held = token.lstrip(LEFT).rstrip(RIGHT), token.lstrip(LEFT).rstrip(RIGHT_PLAIN)
-            if DISGUISED.search(bare):
-                known = tuple(WORDS.findall(restore(bare, self.cost)))
+            if DISGUISED.search(bare):  # a digit inside may be meant as it stands: h2o, utf8mb4
+                plain = WORDS.findall(bare) if MIXED.search(bare) else ()
+                known = tuple(dict.fromkeys((*WORDS.findall(restore(bare, self.cost)), *plain)))
             else:
                 known = tuple(WORDS.findall(bare))
             if DOUBTFUL.search(held):

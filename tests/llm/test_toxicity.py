@@ -79,3 +79,31 @@ def test_ordinary_disguises(reader, seen, meant):
 
 def test_ordinary_spelling_stays(reader):
     assert {"tree", "windows7", "see"} <= reader.features("tree windows7! see.")
+
+
+@pytest.mark.parametrize("seen", ["h2o", "b2b", "utf8mb4", "mp3", "covid19", "3d"])
+def test_ordinary_words_with_digits_keep_their_plain_form(cost, seen):
+    assert seen in t.Reader(cost).words(seen)
+
+
+def test_fit_equals_plain_python():
+    """The logistic fit against its formula, term by term."""
+    import math
+
+    r = np.random.default_rng(5)
+    rows = [sorted(set(r.integers(0, 6, r.integers(0, 4)).tolist())) for _ in range(60)]
+    y = np.array([float(bool({0, 1} & set(x)) != (i % 11 == 0)) for i, x in enumerate(rows)])
+    got = t._logistic(rows, y, 6, steps=50)
+    w, m, v = [0.0] * 7, [0.0] * 7, [0.0] * 7
+    w[6] = math.log(y.mean() / (1 - y.mean()))
+    for k in range(1, 51):
+        g = [0.0] * 7
+        for x, target in zip(rows, y):
+            p = 1 / (1 + math.exp(-(w[6] + sum(w[j] for j in x))))
+            for j in (*x, 6):
+                g[j] += (p - target) / len(rows)
+        for j in range(7):
+            g[j] += 1e-5 * w[j] if j < 6 else 0
+            m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.999 * v[j] + 0.001 * g[j] ** 2
+            w[j] -= 0.1 * (m[j] / (1 - 0.9 ** k)) / (math.sqrt(v[j] / (1 - 0.999 ** k)) + 1e-8)
+    assert got == pytest.approx(w, abs=1e-3)
