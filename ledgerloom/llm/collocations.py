@@ -138,9 +138,12 @@ def frequent_filter(texts: DataFrame, minimum: int, ranges: int) -> np.ndarray:
             often = np.bincount(ids, minlength=len(words))[BREAK + 1:]
             pairs, n = np.unique(h.pairs, return_counts=True)
             places, n = summed(np.r_[h.words[BREAK + 1:], pairs], np.r_[often, n])
-            cuts = np.searchsorted(range_of(places), np.arange(ranges + 1))
-            rows = [(r, places[lo:hi].astype("<u4").tobytes(), n[lo:hi].astype("<i8").tobytes()) for r, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["range", "keys", "counts"]) if rows else pa.RecordBatch.from_pydict({"range": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+            own = range_of(places)
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else []
+            rows = [(int(own[lo]), places[lo:hi].astype("<u4").tobytes(), n[lo:hi].astype("<i8").tobytes()) for lo, hi in zip(cuts, cuts[1:])]
+            columns = list(zip(*rows)) or [()] * 3
+            kinds = pa.int64(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["range", "keys", "counts"])
 
     def reach(group: pa.Table) -> pa.Table:
         keys, n = summed(*(np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("keys", "<u4"), ("counts", "<i8"))))
