@@ -182,23 +182,19 @@ def seeds(spark, sf_dir):
     return epoch_batches(spark, sf_dir).withColumnRenamed("batch", "batch_id")
 
 
-def gated(spark, sf_dir):
-    """Accounts that a split keeps from being reached: those of one remainder stand for it."""
-    return fx.accounts(spark, sf_dir).where("id % 7 = 1")
-
-
 REL_SQL = """rel AS (SELECT 'HAS_PAID' AS k, src AS f, dst AS t FROM hp UNION SELECT 'Account_Account', a, b FROM aa UNION SELECT 'Account_Account', b, a FROM aa
   UNION SELECT 'Account_Party', account, party FROM owners UNION SELECT 'Party_Account', party, account FROM owners
   UNION SELECT 'Party_Entity', party, party // 2 FROM owners UNION SELECT 'Entity_Party', party // 2, party FROM owners),
   ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY md5('7|' || k || '|' || f || '|' || t), t) AS r FROM rel)"""
 
 
-def _khop_sql(gate: bool) -> str:
-    q, frontier = f"{GRAPH},\n{BATCH_SQL},\n{REL_SQL}", "SELECT batch_id, id FROM seeds"
+def _khop_sql(gate: str = "", head: str = GRAPH) -> str:
+    """``gate``: a query of the accounts that no step may reach."""
+    q, frontier = f"{head},\n{BATCH_SQL},\n{REL_SQL}", "SELECT batch_id, id FROM seeds"
     parts = []
     for r in range(2):
         def step(name, src, k):
-            g = " AND t % 7 <> 1" if gate and sampling.TYPES[k][1] == "Account" else ""
+            g = f" AND t NOT IN ({gate})" if gate and sampling.TYPES[k][1] == "Account" else ""
             parts.append(name)
             return f",\n{name} AS MATERIALIZED (SELECT DISTINCT batch_id, f AS from_id, t AS to_id, k AS e_type FROM ranked JOIN ({src}) x ON f = x.id WHERE k = '{k}' AND r <= {sampling.FANOUTS[k][r]}{g})"
         to = lambda p: f"SELECT DISTINCT batch_id, to_id AS id FROM {p}"
@@ -213,22 +209,17 @@ def _relations(spark, sf_dir):
     return sampling.relations(flows, flow.account_edges(flows), fx.owners(spark, sf_dir), entities(spark, sf_dir))
 
 
-def _khop(spark, sf_dir, gate=False):
-    return sampling.khop(seeds(spark, sf_dir), _relations(spark, sf_dir), gated=gated(spark, sf_dir) if gate else None)
+def _khop(spark, sf_dir, gated=None):
+    return sampling.khop(seeds(spark, sf_dir), _relations(spark, sf_dir), gated=gated)
 
 
-@query(f"{_khop_sql(False)} SELECT * FROM sampled")
+@query(f"{_khop_sql()} SELECT * FROM sampled")
 def khop_edges(spark, sf_dir):
     return _khop(spark, sf_dir)
 
 
-@query(f"{_khop_sql(True)} SELECT * FROM sampled")
-def khop_gated(spark, sf_dir):
-    return _khop(spark, sf_dir, True)
-
-
 _KIND = lambda i: "CASE e_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in sampling.TYPES.items()) + " END"
-NODES_SQL = f"""{_khop_sql(False)},
+NODES_SQL = f"""{_khop_sql()},
 nodes AS MATERIALIZED (SELECT batch_id, {_KIND(0)} AS node_type, from_id AS id FROM sampled UNION SELECT batch_id, {_KIND(1)}, to_id FROM sampled UNION SELECT batch_id, 'Account', id FROM seeds)"""
 INDEX_SQL = NODES_SQL + """,
 idx AS MATERIALIZED (SELECT n.batch_id, n.node_type, n.id, row_number() OVER (PARTITION BY n.batch_id, n.node_type ORDER BY CASE WHEN slot IS NULL THEN 1 ELSE 0 END, slot, n.id) - 1 AS local_id

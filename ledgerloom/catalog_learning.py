@@ -187,6 +187,16 @@ def split_accounts(spark, sf_dir):
     return _split(spark, sf_dir)
 
 
+_MASKED_GRAPH = f"{MASK_SQL},\n{fx.SQL['identities']},\n{GRAPH[GRAPH.index('bound AS'):].replace('placed', 'in_bin')}"
+
+
+@query(f"{cg._khop_sql('SELECT id FROM split WHERE split <> 0', _MASKED_GRAPH)} SELECT * FROM sampled")
+def khop_gated(spark, sf_dir):
+    """Samples that reach no account of the validation and test splits."""
+    kept_out = _split(spark, sf_dir).where(F.col("split") != masking.TRAIN).select("id")
+    return cg._khop(spark, sf_dir, kept_out)
+
+
 @query(f"{MASK_SQL} SELECT split, bucket, count(*) AS n, CAST(sum(is_mule) AS BIGINT) AS n_mules FROM mask JOIN split USING (id) GROUP BY ALL")
 def split_summary(spark, sf_dir):
     return masking.split_summary(_mask(spark, sf_dir), _split(spark, sf_dir))
@@ -307,7 +317,7 @@ def batch_features(spark, sf_dir):
     return d.select("batch_id", "id", "slot", *((F.round(k, 6) + F.lit(0.0)).alias(k) for k in NAMES))
 
 
-@query(f"""{cg._khop_sql(False)}, ref AS (SELECT max(last_ts) AS ref FROM hp) SELECT batch_id, src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(greatest((ref - last_ts) / 86400.0, 0), 6) AS recency_days
+@query(f"""{cg._khop_sql()}, ref AS (SELECT max(last_ts) AS ref FROM hp) SELECT batch_id, src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(greatest((ref - last_ts) / 86400.0, 0), 6) AS recency_days
 FROM sampled JOIN hp ON e_type = 'HAS_PAID' AND src = from_id AND dst = to_id, ref""")
 def batch_edge_features(spark, sf_dir):
     """One feature row for each sampled payment edge of every batch; one that has none is an error."""
