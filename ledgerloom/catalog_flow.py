@@ -167,10 +167,10 @@ def party_matches(spark, sf_dir):
 @query(f"""{RESOLVE_SQL}, per AS (
   SELECT a, b, sum(x.w) AS s FROM cand JOIN often x ON x.party = a JOIN often y ON y.party = b AND x.kind = y.kind AND x.value = y.value
   GROUP BY a, b, CAST('0x' || substr(md5(x.kind || '|' || x.value), 1, 8) AS BIGINT) % {identity.BATCHES})
-SELECT a, b, CAST(max(s) AS DOUBLE) AS score FROM per GROUP BY a, b HAVING max(s) >= 0.5""")
+SELECT a, b, CAST(max(s) AS DOUBLE) AS score FROM per GROUP BY a, b HAVING max(s) >= 0.3""")
 def party_matches_batched(spark, sf_dir):
     """Pairs whose shared values of one batch alone reach the threshold: no batch holds all scores at once."""
-    return identity.party_matches(fx.party_pii(spark, sf_dir), 0.5, num_value_batches=identity.BATCHES)
+    return identity.party_matches(fx.party_pii(spark, sf_dir), 0.3, num_value_batches=identity.BATCHES)
 
 
 @query(f"""{RESOLVE_SQL} SELECT CAST(max(score) AS DOUBLE) AS max_score, CAST(min(score) AS DOUBLE) AS min_score, round(CAST(sum(score) AS DOUBLE) / count(*), 6) AS avg_score, count(*) AS scored_pairs,

@@ -63,7 +63,7 @@ def khop(seeds: DataFrame, rel: dict[str, DataFrame], fanouts: dict[str, tuple[i
     With batch_id all batches are sampled at once; give each epoch another ``seed`` for other draws.
     """
     check_fanouts(fanouts)
-    keys = _keys(seeds)
+    keys, gated = _keys(seeds), None if gated is None else cut(gated)  # read by every step
     out, frontier = None, seeds.select(*keys, "id").distinct()
     for r in range(2):
         step = lambda f, k: _step(f, rel[k], k, fanouts[k][r], seed, gated if TYPES[k][1] == "Account" else None, gate_first)
