@@ -26,9 +26,12 @@ def query(sql: str | None):
 def flow_ctes(ledger: str = "ledger", days: int = BIN) -> str:
     return f"""bound AS (SELECT min(ts) AS g0, CAST(greatest(1, (max(ts) - min(ts)) // {days * 86400} + 1) AS INT) AS nb FROM {ledger}),
 placed AS (SELECT l.*, nb, CAST(least(greatest((ts - g0) // {days * 86400}, 0), nb - 1) AS INT) AS bin FROM {ledger} l, bound),
-binned AS (SELECT src, dst, nb, bin, sum(CAST(amount AS DECIMAL(18, 2))) AS dec, count(*) AS txns, min(ts) AS t0, max(ts) AS t1 FROM placed GROUP BY src, dst, nb, bin),
-flow AS (SELECT src, dst, CAST(sum(dec) AS DOUBLE) AS total_amount, CAST(sum(txns) AS BIGINT) AS txn_count, min(t0) AS first_ts, max(t1) AS last_ts, nb AS num_bins, {days} AS bin_days,
-  map_from_entries(list({{'k': bin, 'v': CAST(dec AS DOUBLE)}})) AS ma, map_from_entries(list({{'k': bin, 'v': txns}})) AS mc FROM binned GROUP BY src, dst, nb),
+binned AS (SELECT src, dst, nb, bin, sum(CAST(amount AS DECIMAL(18, 2))) AS dec, count(*) AS txns, min(ts) AS t0, max(ts) AS t1 FROM placed
+    GROUP BY src, dst, nb, bin),
+flow AS (SELECT src, dst, CAST(sum(dec) AS DOUBLE) AS total_amount, CAST(sum(txns) AS BIGINT) AS txn_count, min(t0) AS first_ts, max(t1) AS last_ts,
+    nb AS num_bins, {days} AS bin_days,
+  map_from_entries(list({{'k': bin, 'v': CAST(dec AS DOUBLE)}})) AS ma, map_from_entries(list({{'k': bin, 'v': txns}})) AS mc FROM binned
+    GROUP BY src, dst, nb),
 hp AS (SELECT * FROM flow WHERE src <> dst),
 hp_bin AS (SELECT f.src, f.dst, CAST(i AS INT) AS i, coalesce(b.dec, 0) AS amt, coalesce(b.txns, 0) AS cnt
   FROM (SELECT src, dst, unnest(range(num_bins)) AS i FROM hp) f LEFT JOIN binned b ON f.src = b.src AND f.dst = b.dst AND f.i = b.bin)"""
@@ -91,9 +94,12 @@ def account_edges_with_loops(spark, sf_dir):
 
 MONEY_SQL = """money AS (SELECT a.id, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_amount, 0.0) AS in_amount, coalesce(out_amount, 0.0) AS out_amount,
     CAST(coalesce(in_txns, 0) AS BIGINT) AS in_txns, CAST(coalesce(out_txns, 0) AS BIGINT) AS out_txns FROM accounts a
-  LEFT JOIN (SELECT src AS id, count(*) AS out_degree, CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS out_amount, sum(txn_count) AS out_txns FROM hp GROUP BY 1) o USING (id)
-  LEFT JOIN (SELECT dst AS id, count(*) AS in_degree, CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS in_amount, sum(txn_count) AS in_txns FROM hp GROUP BY 1) i USING (id)),
-money_flow AS (SELECT *, round(in_amount - out_amount, 2) AS net_flow, in_degree / (out_degree + 1) AS fan_in_ratio, out_degree / (in_degree + 1) AS fan_out_ratio,
+  LEFT JOIN (SELECT src AS id, count(*) AS out_degree, CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS out_amount,
+    sum(txn_count) AS out_txns FROM hp GROUP BY 1) o USING (id)
+  LEFT JOIN (SELECT dst AS id, count(*) AS in_degree, CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS in_amount,
+    sum(txn_count) AS in_txns FROM hp GROUP BY 1) i USING (id)),
+money_flow AS (SELECT *, round(in_amount - out_amount, 2) AS net_flow, in_degree / (out_degree + 1) AS fan_in_ratio,
+    out_degree / (in_degree + 1) AS fan_out_ratio,
   round(least(in_amount, out_amount) / (greatest(in_amount, out_amount) + 0.01), 6) AS pass_through_ratio FROM money)"""
 
 
@@ -104,18 +110,27 @@ def money_flow(spark, sf_dir):
 
 TEMPORAL_SQL = """ref AS (SELECT max(last_ts) AS ref FROM hp),
 own AS (SELECT id, min(first_ts) AS t0, max(last_ts) AS t1, sum(n) AS n, max(lo) AS last_out, min(fi) AS first_in FROM (
-  SELECT src AS id, first_ts, last_ts, txn_count AS n, last_ts AS lo, NULL AS fi FROM hp UNION ALL SELECT dst, first_ts, last_ts, 0, NULL, first_ts FROM hp) GROUP BY id HAVING sum(n) > 0),
+  SELECT src AS id, first_ts, last_ts, txn_count AS n, last_ts AS lo, NULL AS fi FROM hp UNION ALL SELECT dst, first_ts, last_ts, 0, NULL,
+    first_ts FROM hp) GROUP BY id HAVING sum(n) > 0),
 line AS (SELECT src AS id, i, sum(amt) AS amt, sum(cnt) AS cnt FROM hp_bin GROUP BY ALL),
-shape AS (SELECT id, count(*) AS nb, max(cnt) AS pc, CAST(max(amt) AS DOUBLE) AS pa, CAST(sum(amt) AS DOUBLE) AS sa, count(*) FILTER (cnt > 0) AS active,
-  sum(cnt) FILTER (i < n // 2) AS early, sum(cnt) FILTER (i >= n // 2) AS late FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM line) GROUP BY id),
-timed AS (SELECT o.id, (ref - t1) / 86400.0 AS dsl, (ref - t0) / 86400.0 AS age, (t1 - t0) / 86400.0 AS span, n, active, pc / (n / nb) AS burst, CASE WHEN sa = 0 THEN 0 ELSE pa / sa END AS peak,
+shape AS (SELECT id, count(*) AS nb, max(cnt) AS pc, CAST(max(amt) AS DOUBLE) AS pa, CAST(sum(amt) AS DOUBLE) AS sa,
+    count(*) FILTER (cnt > 0) AS active,
+  sum(cnt) FILTER (i < n // 2) AS early, sum(cnt) FILTER (i >= n // 2) AS late FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n
+    FROM line) GROUP BY id),
+timed AS (SELECT o.id, (ref - t1) / 86400.0 AS dsl, (ref - t0) / 86400.0 AS age, (t1 - t0) / 86400.0 AS span, n, active, pc / (n / nb) AS burst,
+    CASE WHEN sa = 0 THEN 0 ELSE pa / sa END AS peak,
   CASE WHEN coalesce(late, 0) > 0 THEN coalesce(early, 0) / late WHEN coalesce(early, 0) > 0 THEN 999.0 ELSE 0 END AS el,
-  CASE WHEN last_out IS NOT NULL AND first_in IS NOT NULL THEN (last_out - first_in) / 86400.0 ELSE 0 END AS lag FROM own o JOIN shape USING (id), ref),
-temporal AS (SELECT a.id, round(coalesce(dsl, -1.0), 6) AS days_since_last_txn, round(coalesce(age, -1.0), 6) AS account_age_days, round(coalesce(span, 0.0), 6) AS activity_span_days,
+  CASE WHEN last_out IS NOT NULL AND first_in IS NOT NULL THEN (last_out - first_in) / 86400.0 ELSE 0 END AS lag FROM own o JOIN shape USING (id),
+    ref),
+temporal AS (SELECT a.id, round(coalesce(dsl, -1.0), 6) AS days_since_last_txn, round(coalesce(age, -1.0), 6) AS account_age_days,
+    round(coalesce(span, 0.0), 6) AS activity_span_days,
   round(CASE WHEN n > 1 THEN CAST(span AS DOUBLE) / CAST(n - 1 AS DOUBLE) ELSE -1.0 END, 6) AS mean_inter_txn_days,
-  round(CAST(coalesce(CASE WHEN span > 0 THEN CAST(n AS DOUBLE) / CAST(span AS DOUBLE) ELSE n END, 0) AS DOUBLE), 6) AS txn_per_active_day, CAST(coalesce(active, 0) AS BIGINT) AS active_bin_count,
-  round(coalesce(burst, 0.0), 6) AS burst_ratio, round(CAST(coalesce(peak, 0) AS DOUBLE), 6) AS peak_bin_fraction, round(CAST(coalesce(peak, 0) AS DOUBLE), 6) AS activity_concentration,
-  round(CAST(coalesce(el, 0) AS DOUBLE), 6) AS early_late_ratio, round(CAST(coalesce(lag, 0) AS DOUBLE), 6) AS in_out_lag_days, CAST(coalesce(n, 0) AS BIGINT) AS total_txns
+  round(CAST(coalesce(CASE WHEN span > 0 THEN CAST(n AS DOUBLE) / CAST(span AS DOUBLE) ELSE n END, 0) AS DOUBLE), 6) AS txn_per_active_day,
+    CAST(coalesce(active, 0) AS BIGINT) AS active_bin_count,
+  round(coalesce(burst, 0.0), 6) AS burst_ratio, round(CAST(coalesce(peak, 0) AS DOUBLE), 6) AS peak_bin_fraction, round(CAST(coalesce(peak,
+    0) AS DOUBLE), 6) AS activity_concentration,
+  round(CAST(coalesce(el, 0) AS DOUBLE), 6) AS early_late_ratio, round(CAST(coalesce(lag, 0) AS DOUBLE), 6) AS in_out_lag_days, CAST(coalesce(n,
+    0) AS BIGINT) AS total_txns
   FROM accounts a LEFT JOIN timed t USING (id))"""
 
 
@@ -135,8 +150,10 @@ def reference_epoch(spark, sf_dir):
 
 
 IDENTITY_SQL = """held AS (SELECT DISTINCT account, kind, value FROM owners JOIN identities USING (party)),
-peer AS (SELECT DISTINCT x.account AS id, x.kind, y.account AS other FROM held x JOIN held y ON x.kind = y.kind AND x.value = y.value AND x.account <> y.account),
-identity AS (SELECT a.id, count(*) FILTER (kind = 'device') AS device_share_cnt, count(*) FILTER (kind = 'ip') AS ip_share_cnt, count(*) FILTER (kind = 'phone') AS phone_share_cnt,
+peer AS (SELECT DISTINCT x.account AS id, x.kind, y.account AS other FROM held x JOIN held y ON x.kind = y.kind AND x.value = y.value
+    AND x.account <> y.account),
+identity AS (SELECT a.id, count(*) FILTER (kind = 'device') AS device_share_cnt, count(*) FILTER (kind = 'ip') AS ip_share_cnt,
+    count(*) FILTER (kind = 'phone') AS phone_share_cnt,
   count(*) FILTER (kind = 'email') AS email_share_cnt FROM accounts a LEFT JOIN peer USING (id) GROUP BY a.id)"""
 
 
@@ -150,7 +167,8 @@ RESOLVE_SQL = with_("pii") + f""",
 deg AS (SELECT kind, value, count(DISTINCT party) AS d FROM pii WHERE value IS NOT NULL GROUP BY ALL),
 rare AS (SELECT DISTINCT party, kind, value FROM pii JOIN deg USING (kind, value) WHERE d > 1 AND d < 100),
 cand AS (SELECT DISTINCT x.party AS a, y.party AS b FROM rare x JOIN rare y ON x.kind = y.kind AND x.value = y.value AND x.party < y.party),
-often AS (SELECT DISTINCT party, kind, value, CAST(CASE kind {_W} END AS DECIMAL(4, 2)) AS w FROM pii JOIN deg USING (kind, value) WHERE d > 1 AND d < 25000),
+often AS (SELECT DISTINCT party, kind, value, CAST(CASE kind {_W} END AS DECIMAL(4, 2)) AS w FROM pii JOIN deg USING (kind, value) WHERE d > 1
+    AND d < 25000),
 scored AS (SELECT a, b, sum(x.w) AS score FROM cand JOIN often x ON x.party = a JOIN often y ON y.party = b AND x.kind = y.kind AND x.value = y.value GROUP BY ALL)"""
 
 

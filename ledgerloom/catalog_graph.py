@@ -77,7 +77,8 @@ MAX_ROUNDS, MAX_CHANGE = 25, 0.001
 CONVERGED = f"""{SHARE_SQL},
 cv0 AS MATERIALIZED (SELECT DISTINCT src AS id, CAST(1 AS DOUBLE) AS pr FROM both_), st0 AS MATERIALIZED (SELECT false AS done)""" + "".join(
     f""",
-cv{k} AS MATERIALIZED (SELECT p.id, p.pr AS old, CASE WHEN (SELECT done FROM st{k - 1}) THEN p.pr ELSE 0.15 + 0.85 * coalesce(r.recv, 0) END AS pr FROM cv{k - 1} p LEFT JOIN (SELECT dst, sum(s * pr) AS recv FROM share JOIN cv{k - 1} ON src = id GROUP BY dst) r ON p.id = r.dst),
+cv{k} AS MATERIALIZED (SELECT p.id, p.pr AS old, CASE WHEN (SELECT done FROM st{k - 1}) THEN p.pr ELSE 0.15 + 0.85 * coalesce(r.recv,
+    0) END AS pr FROM cv{k - 1} p LEFT JOIN (SELECT dst, sum(s * pr) AS recv FROM share JOIN cv{k - 1} ON src = id GROUP BY dst) r ON p.id = r.dst),
 st{k} AS MATERIALIZED (SELECT coalesce(max(abs(pr - old)) <= {MAX_CHANGE}, true) AS done FROM cv{k})""" for k in range(1, MAX_ROUNDS + 1)) + f""",
 pr AS (SELECT id, round(pr, 6) AS pagerank FROM cv{MAX_ROUNDS})"""
 CONV_SQL = f"{GRAPH},\n{CONVERGED}"
@@ -114,7 +115,8 @@ def _triangle_sql(cap: int) -> str:
 act AS (SELECT a, b FROM aa JOIN deg x ON x.src = a JOIN deg y ON y.src = b WHERE x.d <= {cap} AND y.d <= {cap}),
 hit AS (SELECT a, b, count(*) AS n FROM act JOIN both_ p ON p.src = a JOIN both_ q ON q.src = b AND q.dst = p.dst GROUP BY a, b),
 cr AS (SELECT id, sum(n) AS c FROM (SELECT a AS id, n FROM hit UNION ALL SELECT b, n FROM hit) GROUP BY id)
-SELECT a.id, CAST(coalesce(c, 0) // 2 AS BIGINT) AS triangle_count, CASE WHEN d > 1 THEN round(2.0 * (coalesce(c, 0) // 2) / (d * (d - 1)), 6) ELSE 0.0 END AS clustering_coef
+SELECT a.id, CAST(coalesce(c, 0) // 2 AS BIGINT) AS triangle_count, CASE WHEN d > 1 THEN round(2.0 * (coalesce(c, 0) // 2) / (d * (d - 1)), 6)
+    ELSE 0.0 END AS clustering_coef
 FROM accounts a LEFT JOIN cr USING (id) LEFT JOIN deg ON deg.src = a.id"""
 
 
@@ -133,12 +135,15 @@ def _fastrp_sql(dim: int = 16, hops: int = 3, seed: int = 42) -> str:
     q = f"""{RGRAPH},
 {BOTH_SQL}, deg AS (SELECT src, count(*) AS d FROM both_ GROUP BY src), tot AS (SELECT sum(d) AS m FROM deg),
 vid AS (SELECT src, d, dense_rank() OVER (ORDER BY src) + {inc} AS inc FROM deg),
-draw AS (SELECT src, d, inc, -1 AS i, CAST((inc + {mult} * {seed}) % {mod} AS BIGINT) AS r FROM vid UNION ALL SELECT src, d, inc, i + 1, CAST((r * {mult} + inc) % {mod} AS BIGINT) FROM draw WHERE i < {dim - 1}),
-ini AS (SELECT src, i, pow(d / m, -0.1) * sqrt(3.0) * CASE WHEN r / {mod} <= 1 / 6 THEN 1 WHEN r / {mod} <= 1 / 3 THEN -1 ELSE 0 END AS val FROM draw, tot WHERE i >= 0),
+draw AS (SELECT src, d, inc, -1 AS i, CAST((inc + {mult} * {seed}) % {mod} AS BIGINT) AS r FROM vid UNION ALL SELECT src, d, inc, i + 1,
+    CAST((r * {mult} + inc) % {mod} AS BIGINT) FROM draw WHERE i < {dim - 1}),
+ini AS (SELECT src, i, pow(d / m, -0.1) * sqrt(3.0) * CASE WHEN r / {mod} <= 1 / 6 THEN 1 WHEN r / {mod} <= 1 / 3 THEN -1 ELSE 0 END AS val
+    FROM draw, tot WHERE i >= 0),
 h0 AS (SELECT dst AS id, i, sum(val) AS val FROM both_ JOIN ini USING (src) GROUP BY ALL)"""
     for k in range(1, hops + 1):
         q += f""",
-m{k} AS (SELECT id, i, sum(val) / greatest(1, d) AS s FROM (SELECT dst AS id, i, val FROM both_ JOIN h{k - 1} h ON src = h.id UNION ALL SELECT id, i, val FROM h{k - 1}) JOIN deg ON deg.src = id GROUP BY id, i, d),
+m{k} AS (SELECT id, i, sum(val) / greatest(1, d) AS s FROM (SELECT dst AS id, i, val FROM both_ JOIN h{k - 1} h ON src = h.id UNION ALL SELECT id, i,
+    val FROM h{k - 1}) JOIN deg ON deg.src = id GROUP BY id, i, d),
 h{k} AS (SELECT id, i, CASE WHEN n > 0 THEN s / n ELSE s END AS val FROM (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY id)) AS n FROM m{k}))"""
     every = " UNION ALL ".join(f"SELECT id, i, val FROM h{k}" for k in range(1, hops + 1))
     return f"{q} SELECT id, CAST(i AS INT) AS i, round(sum(val) / {hops}, 4) + 0.0 AS value FROM ({every}) GROUP BY id, i"
@@ -168,7 +173,8 @@ def fastrp_scoped(spark, sf_dir):
 BATCH_SQL = """pos AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 1),
 un AS (SELECT id, row_number() OVER (ORDER BY md5('5|0|' || id), id) - 1 AS r FROM mules WHERE is_mule = 0),
 un2 AS (SELECT r // 14 AS batch, id, CAST(r % 14 + 2 AS INT) AS slot FROM un),
-want AS (SELECT batch, CAST(s AS INT) AS slot, CAST('0x' || substr(md5('5|0|' || batch || '|' || s), 1, 8) AS BIGINT) % (SELECT count(*) FROM pos) AS r FROM (SELECT DISTINCT batch FROM un2), range(2) t(s)),
+want AS (SELECT batch, CAST(s AS INT) AS slot, CAST('0x' || substr(md5('5|0|' || batch || '|' || s), 1, 8) AS BIGINT) % (SELECT count(*)
+    FROM pos) AS r FROM (SELECT DISTINCT batch FROM un2), range(2) t(s)),
 epoch AS (SELECT batch, id, slot FROM un2 UNION ALL SELECT batch, id, slot FROM want JOIN pos USING (r)),
 seeds AS (SELECT batch AS batch_id, id, min(slot) AS slot FROM epoch GROUP BY ALL)"""
 
@@ -222,7 +228,8 @@ _KIND = lambda i: "CASE e_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v
 NODES_SQL = f"""{_khop_sql()},
 nodes AS MATERIALIZED (SELECT batch_id, {_KIND(0)} AS node_type, from_id AS id FROM sampled UNION SELECT batch_id, {_KIND(1)}, to_id FROM sampled UNION SELECT batch_id, 'Account', id FROM seeds)"""
 INDEX_SQL = NODES_SQL + """,
-idx AS MATERIALIZED (SELECT n.batch_id, n.node_type, n.id, row_number() OVER (PARTITION BY n.batch_id, n.node_type ORDER BY CASE WHEN slot IS NULL THEN 1 ELSE 0 END, slot, n.id) - 1 AS local_id
+idx AS MATERIALIZED (SELECT n.batch_id, n.node_type, n.id, row_number() OVER (PARTITION BY n.batch_id, n.node_type ORDER BY
+    CASE WHEN slot IS NULL THEN 1 ELSE 0 END, slot, n.id) - 1 AS local_id
   FROM nodes n LEFT JOIN seeds s ON n.node_type = 'Account' AND s.id = n.id AND s.batch_id = n.batch_id)"""
 
 
@@ -368,7 +375,8 @@ def export_counts(spark, sf_dir):
 
 @query(f"""{GRAPH}, rare AS (SELECT DISTINCT account, kind, value FROM owners JOIN identities USING (party)),
 deg AS (SELECT kind, value, count(*) AS d FROM rare GROUP BY ALL HAVING count(*) > 1 AND count(*) < 40),
-cand AS (SELECT DISTINCT x.account AS a, y.account AS b FROM rare x JOIN rare y ON x.kind = y.kind AND x.value = y.value AND x.account < y.account JOIN deg ON deg.kind = x.kind AND deg.value = x.value),
+cand AS (SELECT DISTINCT x.account AS a, y.account AS b FROM rare x JOIN rare y ON x.kind = y.kind AND x.value = y.value
+    AND x.account < y.account JOIN deg ON deg.kind = x.kind AND deg.value = x.value),
 heavy AS (SELECT a, b, weight FROM aa WHERE weight >= 2)
 SELECT 'account_edges' AS fn, a, b, weight AS n FROM heavy
 UNION ALL SELECT 'account_degrees', id, count(*), 0 FROM (SELECT a AS id FROM heavy UNION ALL SELECT b FROM heavy) GROUP BY id

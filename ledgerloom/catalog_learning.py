@@ -40,9 +40,12 @@ _TRI_CTES, _TRI_SELECT = _TRI.rsplit("\nSELECT", 1)
 RAW_SQL = f"""{_WCC},
 {_PR}, {_TRI_CTES}, tri AS (SELECT{_TRI_SELECT}),
 {cf.MONEY_SQL}, {cf.TEMPORAL_SQL}, {cf.IDENTITY_SQL},
-raw AS (SELECT a.id, coalesce(pagerank, 0) AS pagerank, com_size, (SELECT count(*) FROM both_ WHERE src = a.id) AS aa_degree, triangle_count, clustering_coef,
-  in_degree, out_degree, in_amount, out_amount, in_txns AS in_txn_count, out_txns AS out_txn_count, fan_in_ratio, fan_out_ratio, pass_through_ratio, net_flow,
-  activity_span_days, days_since_last_txn, account_age_days, mean_inter_txn_days, txn_per_active_day, burst_ratio, active_bin_count, activity_concentration, peak_bin_fraction, early_late_ratio, in_out_lag_days,
+raw AS (SELECT a.id, coalesce(pagerank, 0) AS pagerank, com_size, (SELECT count(*) FROM both_ WHERE src = a.id) AS aa_degree, triangle_count,
+    clustering_coef,
+  in_degree, out_degree, in_amount, out_amount, in_txns AS in_txn_count, out_txns AS out_txn_count, fan_in_ratio, fan_out_ratio, pass_through_ratio,
+    net_flow,
+  activity_span_days, days_since_last_txn, account_age_days, mean_inter_txn_days, txn_per_active_day, burst_ratio, active_bin_count,
+    activity_concentration, peak_bin_fraction, early_late_ratio, in_out_lag_days,
   device_share_cnt, ip_share_cnt, phone_share_cnt, email_share_cnt, CAST(a.id % 9 = 0 AS INT) AS is_external
   FROM accounts a JOIN label USING (id) JOIN sized USING (com_id) JOIN tri USING (id) JOIN money_flow USING (id) JOIN temporal USING (id) JOIN identity USING (id) LEFT JOIN pr p ON p.id = a.id)"""
 _FORM = {"identity": "{0}", "log1p": "ln(1 + greatest({0}, 0))", "symlog": "CASE WHEN {0} >= 0 THEN ln(1 + {0}) ELSE -ln(1 - {0}) END", "clamp": "CASE WHEN {0} = -1 THEN 0 ELSE {0} END", "boolean": "CASE WHEN {0} <> 0 THEN 1 ELSE 0 END"}
@@ -79,7 +82,8 @@ def normalised_features(spark, sf_dir):
 
 
 @query(RAW_SQL + """ SELECT count(*) AS total_accounts, count(*) FILTER (days_since_last_txn = -1) AS no_last_txn, count(*) FILTER (account_age_days = -1) AS no_age, count(*) FILTER (mean_inter_txn_days = -1) AS no_gap,
-  count(*) FILTER (days_since_last_txn = -1 AND in_txn_count + out_txn_count = 0) AS no_last_and_no_txns, count(*) FILTER (mean_inter_txn_days = -1 AND in_txn_count + out_txn_count = 1) AS no_gap_and_one_txn,
+  count(*) FILTER (days_since_last_txn = -1 AND in_txn_count + out_txn_count = 0) AS no_last_and_no_txns,
+    count(*) FILTER (mean_inter_txn_days = -1 AND in_txn_count + out_txn_count = 1) AS no_gap_and_one_txn,
   count(*) FILTER (activity_span_days = 0) AS span_zero, count(*) FILTER (activity_span_days <> 0) AS span_nonzero, min(com_size) AS min_com_size, max(com_size) AS max_com_size FROM raw""")
 def sentinel_counts(spark, sf_dir):
     return features.sentinel_counts(raw(spark, sf_dir))
@@ -98,7 +102,8 @@ def _rounded(spark, sf_dir):
 
 @query(FEATURE_SQL + _LABELS + """, r AS (SELECT feature, label, round(score, 6) AS score, count(*) OVER (PARTITION BY feature) AS N, sum(label) OVER (PARTITION BY feature) AS P,
   rank() OVER (PARTITION BY feature ORDER BY round(score, 6)) + (count(*) OVER (PARTITION BY feature, round(score, 6)) - 1) / 2.0 AS mid FROM long),
-auc AS (SELECT feature, round((sum(mid) FILTER (label = 1) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(N) - max(P))), 6) AS auc FROM r GROUP BY feature)
+auc AS (SELECT feature, round((sum(mid) FILTER (label = 1) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(N) - max(P))), 6) AS auc FROM r
+    GROUP BY feature)
 SELECT feature, CAST(auc AS DOUBLE) AS auc, CAST(round(greatest(auc, 1 - auc), 6) AS DOUBLE) AS best_auc FROM auc""")
 def feature_auc(spark, sf_dir):
     return evaluate.feature_auc(_rounded(spark, sf_dir), _target(spark, sf_dir), NAMES)
@@ -110,7 +115,9 @@ def feature_corr(spark, sf_dir):
 
 
 _EDGE_SQL = GRAPH + """, ref AS (SELECT max(last_ts) AS ref FROM hp),
-edge AS (SELECT src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(ln(1 + txn_count), 6) AS log_txns, round((last_ts - first_ts) / 86400.0, 6) AS span_days, CAST((SELECT count(*) FROM hp_bin b WHERE b.src = hp.src AND b.dst = hp.dst AND b.cnt > 0) AS DOUBLE) AS active_bins,
+edge AS (SELECT src, dst, round(ln(1 + total_amount), 6) AS log_amount, round(ln(1 + txn_count), 6) AS log_txns,
+    round((last_ts - first_ts) / 86400.0, 6) AS span_days, CAST((SELECT count(*) FROM hp_bin b WHERE b.src = hp.src AND b.dst = hp.dst
+    AND b.cnt > 0) AS DOUBLE) AS active_bins,
   round(greatest((ref - last_ts) / 86400.0, 0), 6) AS recency_days, round(greatest((last_ts - first_ts) / 86400.0, 0), 6) AS duration_days, round(total_amount / txn_count, 6) AS amount_per_txn FROM hp, ref)"""
 WIDTH = "(SELECT max(num_bins) FROM hp)"
 
@@ -134,20 +141,28 @@ def edge_bin_features(spark, sf_dir):
 
 MASK_SQL = with_("ledger", "accounts", "owners", "mules", "rings") + """,
 ends AS (SELECT src AS id, * FROM ring_ledger WHERE ring_id > 0 UNION ALL SELECT dst, * FROM ring_ledger WHERE ring_id > 0),
-ring AS (SELECT id, ring_id FROM (SELECT id, ring_id, row_number() OVER (PARTITION BY id ORDER BY ts, src, dst, amount, ring_id) AS r FROM ends) WHERE r = 1),
+ring AS (SELECT id, ring_id FROM (SELECT id, ring_id, row_number() OVER (PARTITION BY id ORDER BY ts, src, dst, amount, ring_id) AS r
+    FROM ends) WHERE r = 1),
 held AS (SELECT m.id, is_mule, coalesce(ring_id, 0) AS ring_id FROM mules m LEFT JOIN ring USING (id)),
-mring AS (SELECT ring_id, row_number() OVER (ORDER BY md5('1337|ring|' || ring_id), ring_id) AS r FROM (SELECT DISTINCT ring_id FROM held WHERE is_mule = 1 AND ring_id > 0)),
+mring AS (SELECT ring_id, row_number() OVER (ORDER BY md5('1337|ring|' || ring_id), ring_id) AS r FROM (SELECT DISTINCT ring_id FROM held
+    WHERE is_mule = 1 AND ring_id > 0)),
 dark AS (SELECT ring_id FROM mring WHERE r <= (SELECT round_even(count(*) * 0.4, 0) FROM mring)),
-dealt AS (SELECT id, row_number() OVER (ORDER BY md5('1337|mule|' || id), id) AS r FROM held WHERE is_mule = 1 AND ring_id NOT IN (SELECT ring_id FROM dark)),
+dealt AS (SELECT id, row_number() OVER (ORDER BY md5('1337|mule|' || id), id) AS r FROM held WHERE is_mule = 1
+    AND ring_id NOT IN (SELECT ring_id FROM dark)),
 shown AS (SELECT id FROM dealt WHERE r <= (SELECT round_even(sum(is_mule) * 0.3, 0) FROM held)),
-mask AS (SELECT id, is_mule, ring_id, CAST(id IN (SELECT id FROM shown) AS INT) AS pu_label, CASE WHEN is_mule = 0 THEN 0 WHEN id IN (SELECT id FROM shown) THEN 1 ELSE 2 END AS bucket,
+mask AS (SELECT id, is_mule, ring_id, CAST(id IN (SELECT id FROM shown) AS INT) AS pu_label, CASE WHEN is_mule = 0 THEN 0 WHEN id IN (SELECT id
+    FROM shown) THEN 1 ELSE 2 END AS bucket,
   CAST(ring_id IN (SELECT ring_id FROM dark) AS INT) AS forced_test FROM held),
 input AS (SELECT a.id, max(party) AS party, max(party // 2) AS entity FROM accounts a LEFT JOIN owners ON a.id = account GROUP BY a.id),
-member AS (SELECT m.*, CASE WHEN entity >= 0 THEN 'E:' || entity WHEN party IS NOT NULL THEN 'P:' || party ELSE 'solo:' || id END AS group_key FROM mask m JOIN input USING (id)),
+member AS (SELECT m.*, CASE WHEN entity >= 0 THEN 'E:' || entity WHEN party IS NOT NULL THEN 'P:' || party ELSE 'solo:' || id END AS group_key
+    FROM mask m JOIN input USING (id)),
 grp AS (SELECT group_key, max(forced_test) AS forced, max(pu_label) AS pos FROM member GROUP BY 1),
-free AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY md5('1337|group|' || group_key), group_key) AS r, count(*) OVER (PARTITION BY pos) AS k FROM grp WHERE forced = 0),
-quota AS (SELECT *, CASE WHEN pos = 0 THEN round_even(k * 0.2, 0) WHEN k = 1 THEN 0 WHEN k = 2 THEN 1 ELSE greatest(round_even(k * 0.2, 0), 1) END AS nv, greatest(round_even(k * 0.15, 0), 1) AS t1, round_even(k * 0.15, 0) AS t0 FROM free),
-placed AS (SELECT group_key, CASE WHEN r <= nv THEN 1 WHEN r <= nv + (CASE WHEN pos = 0 THEN t0 WHEN k <= 2 THEN 0 WHEN nv + t1 >= k THEN greatest(k - nv - 1, 1) ELSE t1 END) THEN 2 ELSE 0 END AS split FROM quota
+free AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY md5('1337|group|' || group_key), group_key) AS r,
+    count(*) OVER (PARTITION BY pos) AS k FROM grp WHERE forced = 0),
+quota AS (SELECT *, CASE WHEN pos = 0 THEN round_even(k * 0.2, 0) WHEN k = 1 THEN 0 WHEN k = 2 THEN 1 ELSE greatest(round_even(k * 0.2, 0),
+    1) END AS nv, greatest(round_even(k * 0.15, 0), 1) AS t1, round_even(k * 0.15, 0) AS t0 FROM free),
+placed AS (SELECT group_key, CASE WHEN r <= nv THEN 1 WHEN r <= nv + (CASE WHEN pos = 0 THEN t0 WHEN k <= 2 THEN 0 WHEN nv + t1 >= k
+    THEN greatest(k - nv - 1, 1) ELSE t1 END) THEN 2 ELSE 0 END AS split FROM quota
   UNION ALL SELECT group_key, 2 FROM grp WHERE forced = 1),
 split AS (SELECT id, group_key, split FROM member JOIN placed USING (group_key))"""
 
@@ -301,9 +316,11 @@ def vertex_upsert(spark, sf_dir):
 
 
 @query(f"""{SCORES_SQL}, ks AS (SELECT CAST(rate AS DOUBLE) AS rate, CAST(greatest(1, least(round_even(CAST(rate AS DOUBLE) * N, 0), N)) AS BIGINT) AS k FROM (VALUES (0.0005), (0.001), (0.005), (0.01), (0.02)) v(rate), tot),
-gain AS (SELECT rate AS alert_rate, k, CAST(max(pos_to) AS BIGINT) AS tp, round(max(pos_to) / P, 6) AS recall, round(max(pos_to) / k, 6) AS precision, round((max(pos_to) / k) / (P / N), 6) AS lift FROM ks JOIN rank_ ON place <= k, tot GROUP BY rate, k, P, N),
+gain AS (SELECT rate AS alert_rate, k, CAST(max(pos_to) AS BIGINT) AS tp, round(max(pos_to) / P, 6) AS recall, round(max(pos_to) / k,
+    6) AS precision, round((max(pos_to) / k) / (P / N), 6) AS lift FROM ks JOIN rank_ ON place <= k, tot GROUP BY rate, k, P, N),
 head AS (SELECT max(tot.N) AS n, max(P) AS n_pos, round(sum((pos / P) * (pos_to / n_to)), 6) AS average_precision,
-  round((sum(pos * (tot.N - n_to + (down.n + 1) / 2.0)) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(tot.N) - max(P))), 6) AS roc_auc FROM down, tot)
+  round((sum(pos * (tot.N - n_to + (down.n + 1) / 2.0)) - max(P) * (max(P) + 1) / 2.0) / (max(P) * (max(tot.N) - max(P))), 6) AS roc_auc FROM down,
+    tot)
 SELECT gain.*, head.*, round(n_pos / n, 6) AS base_rate, precision >= 0.45 AS beats_analyst FROM gain, head""")
 def summary_report(spark, sf_dir):
     return evaluate.summary_report(fx.scores(spark, sf_dir))
@@ -339,7 +356,8 @@ _AGAIN = "shown2 AS (SELECT id FROM dealt WHERE r <= (SELECT round_even(sum(is_m
 
 
 @query(f"""{MASK_SQL}, {_AGAIN}
-SELECT id, CAST(id % 9 = 0 AS INT) AS is_external, CAST(split = 0 AS INT) AS is_train, CAST(split = 1 AS INT) AS is_val, CAST(split = 2 AS INT) AS is_test,
+SELECT id, CAST(id % 9 = 0 AS INT) AS is_external, CAST(split = 0 AS INT) AS is_train, CAST(split = 1 AS INT) AS is_val,
+    CAST(split = 2 AS INT) AS is_test,
   CAST(id IN (SELECT id FROM shown2) AS INT) AS pu_label FROM split""")
 def written_back(spark, sf_dir):
     """Accounts stored, split flags and labels merged into them, then the labels of another mask, and read again."""
@@ -357,17 +375,24 @@ _KEY_KS = (5, 10, 25, 50, 100, 1000)
 @query(f"""{MASK_SQL},
 {GRAPH[GRAPH.index("bound AS"):].replace("placed", "in_bin")},
 {cf.MONEY_SQL},
-ranking AS (SELECT m.id, CAST(in_degree * out_degree AS DOUBLE) AS score, is_mule AS label, bucket, forced_test FROM mask m JOIN money_flow USING (id)),
-tot AS (SELECT count(*) AS n, sum(label) AS p, count(*) FILTER (bucket = 1) AS rev, count(*) FILTER (bucket = 2) AS hid, count(*) FILTER (forced_test = 1) AS drk FROM ranking),
+ranking AS (SELECT m.id, CAST(in_degree * out_degree AS DOUBLE) AS score, is_mule AS label, bucket, forced_test FROM mask m
+    JOIN money_flow USING (id)),
+tot AS (SELECT count(*) AS n, sum(label) AS p, count(*) FILTER (bucket = 1) AS rev, count(*) FILTER (bucket = 2) AS hid,
+    count(*) FILTER (forced_test = 1) AS drk FROM ranking),
 place AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM ranking),
-hit AS (SELECT k, sum(label) AS th, count(*) FILTER (bucket = 1) AS rh, count(*) FILTER (bucket = 2) AS hh, count(*) FILTER (forced_test = 1) AS dh, count(*) AS seen
+hit AS (SELECT k, sum(label) AS th, count(*) FILTER (bucket = 1) AS rh, count(*) FILTER (bucket = 2) AS hh, count(*) FILTER (forced_test = 1) AS dh,
+    count(*) AS seen
   FROM (VALUES {", ".join(f"({k})" for k in _KEY_KS)}) v(k) JOIN place ON r <= k GROUP BY k),
 g AS (SELECT score, count(*) AS c, sum(label) AS pos FROM ranking GROUP BY score),
 down AS (SELECT *, sum(c) OVER (ORDER BY score DESC) AS c_to, sum(pos) OVER (ORDER BY score DESC) AS pos_to FROM g),
-head AS (SELECT round(sum((pos / p) * (pos_to / c_to)), 6) AS ap, round((sum(pos * (n - c_to + (c + 1) / 2.0)) - max(p) * (max(p) + 1) / 2.0) / (max(p) * (max(n) - max(p))), 6) AS auc FROM down, tot)
-SELECT CAST(k AS BIGINT) AS k, n AS accounts, p AS true_positives, rev AS revealed_positives, hid AS hidden_positives, drk AS dark_accounts, th AS true_hits, rh AS revealed_hits,
-  hh AS hidden_hits, dh AS dark_hits, round(coalesce(hh / nullif(hid, 0), 0), 6) AS hidden_recall, round(least(1.0, coalesce(k / nullif(hid, 0), 1.0)), 6) AS ceiling,
-  round(coalesce((hh / nullif(hid, 0)) / least(1.0, k / hid), 0), 6) AS normalised, round(th / seen, 6) AS precision, ap AS average_precision, auc AS roc_auc, k = 10 AS is_primary
+head AS (SELECT round(sum((pos / p) * (pos_to / c_to)), 6) AS ap,
+    round((sum(pos * (n - c_to + (c + 1) / 2.0)) - max(p) * (max(p) + 1) / 2.0) / (max(p) * (max(n) - max(p))), 6) AS auc FROM down, tot)
+SELECT CAST(k AS BIGINT) AS k, n AS accounts, p AS true_positives, rev AS revealed_positives, hid AS hidden_positives, drk AS dark_accounts,
+    th AS true_hits, rh AS revealed_hits,
+  hh AS hidden_hits, dh AS dark_hits, round(coalesce(hh / nullif(hid, 0), 0), 6) AS hidden_recall, round(least(1.0, coalesce(k / nullif(hid, 0),
+    1.0)), 6) AS ceiling,
+  round(coalesce((hh / nullif(hid, 0)) / least(1.0, k / hid), 0), 6) AS normalised, round(th / seen, 6) AS precision, ap AS average_precision,
+    auc AS roc_auc, k = 10 AS is_primary
 FROM hit, tot, head""")
 def evaluate_hidden(spark, sf_dir):
     """A ranking of accounts against the answer key that a run of the masks stored."""
@@ -398,10 +423,13 @@ _EPOCHS = """epochs AS (SELECT l_suppkey * 10 + l_linenumber AS run, CAST(year(l
 
 @query(f"""WITH RECURSIVE {_EPOCHS},
 placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM epochs),
-state AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS i, CAST('-inf' AS DOUBLE) AS best, CAST('-inf' AS DOUBLE) AS sec, CAST('-inf' AS DOUBLE) AS mark, 0 AS stale, CAST(NULL AS BIGINT) AS ep, CAST(NULL AS BIGINT) AS stop FROM epochs
-  UNION ALL SELECT run, i, CASE WHEN wins THEN greatest(p, best) ELSE best END, CASE WHEN wins THEN greatest(second, sec) ELSE sec END, CASE WHEN rose THEN p ELSE mark END, CASE WHEN rose THEN 0 ELSE stale + 1 END,
+state AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS i, CAST('-inf' AS DOUBLE) AS best, CAST('-inf' AS DOUBLE) AS sec, CAST('-inf' AS DOUBLE) AS mark,
+    0 AS stale, CAST(NULL AS BIGINT) AS ep, CAST(NULL AS BIGINT) AS stop FROM epochs
+  UNION ALL SELECT run, i, CASE WHEN wins THEN greatest(p, best) ELSE best END, CASE WHEN wins THEN greatest(second, sec) ELSE sec END,
+    CASE WHEN rose THEN p ELSE mark END, CASE WHEN rose THEN 0 ELSE stale + 1 END,
     CASE WHEN wins THEN epoch ELSE ep END, CASE WHEN NOT rose AND stale + 1 >= 3 THEN epoch END
-  FROM (SELECT s.run, p.i, s.best, s.sec, s.mark, s.stale, s.ep, p.epoch, p.primary_ AS p, p.second, p.primary_ > best + 0.05 OR (p.primary_ >= best - 0.05 AND p.second > sec) AS wins, p.primary_ > mark + 0.01 AS rose
+  FROM (SELECT s.run, p.i, s.best, s.sec, s.mark, s.stale, s.ep, p.epoch, p.primary_ AS p, p.second,
+    p.primary_ > best + 0.05 OR (p.primary_ >= best - 0.05 AND p.second > sec) AS wins, p.primary_ > mark + 0.01 AS rose
     FROM state s JOIN placed p ON p.run = s.run AND p.i = s.i + 1 WHERE s.stop IS NULL)),
 ended AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY run ORDER BY i DESC) = 1)
 SELECT run, ep AS best_epoch, round(best, 6) AS best, round(sec, 6) AS second, stop AS stop_epoch, CAST(i AS INT) AS seen FROM ended""")
