@@ -4,7 +4,8 @@ Noisy-channel restoration: a character trigram model is counted over all documen
 looks disguised (digits or symbols for letters, separators between single letters, repeated
 letters) spans a lattice of readings, and Viterbi finds the likeliest one under channel and
 language model. Where the look may be ordinary (a doubled letter, a digit or symbol at the end, two dots)
-the plain word counts as well. Single characters in a row are read as one or several words. A logistic model over words and word beginnings of the restored text gives the score.
+the plain word counts as well. In a word of letters alone each doubled letter is decided by itself, which gives the same reading.
+Single characters in a row are read as one or several words. A logistic model over words and word beginnings of the restored text gives the score.
 
 Labels are learned from at most ``SAMPLE`` rows (least hash, outside the held-out fifth) and at
 most ``FEATURES`` features; the language model and the scoring cover every row and whole texts. Null
@@ -37,6 +38,7 @@ _CODE = np.zeros(0x250, np.int64)
 for _c in range(0x250):
     _s = chr(_c).lower()[:1]
     _CODE[_c] = ord(_s) - 96 if "a" <= _s <= "z" else 27 + ord(_s) - 0xE0 if len(_s) == 1 and 0xE0 <= ord(_s) <= 0xFF else 59 if chr(_c).isalpha() else 0
+_CODES = _CODE.tolist()
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(€£¢]+[^\w\s]*[^\W\d_]|[0-9@$!|+€£¢]+[^\W\d_]{2}|([^\W\d_])\1\1|(?:[^\W_][.\-_*~']){3}")
 # Ordinary spelling or disguise: the restored words stand beside the plain ones.
 DOUBTFUL = re.compile(r"[^\W_][0-9@$!|+(€£¢]+$|([^\W\d_])\1|(?<![^\W_])(?:[^\W_][.\-_*~']){2}[^\W_]")
@@ -45,10 +47,11 @@ SPELLED = 3  # least number of single characters in a row that are read as words
 LEFT, RIGHT = "\"'`.,;:!?()[]{}<>*%&#~-_+=/\\^", "\"'`.,;:!?()[]{}<>*%&#$~-_|+=/\\^"
 RIGHT_PLAIN = "".join(c for c in RIGHT if c not in READINGS)
 WORDS = re.compile(r"[^\W_]+")
+TWICE, THRICE = re.compile(r"(.)\1", re.S), re.compile(r"(.)\1\1", re.S)
 
 
 def code(c: str) -> int:
-    return int(_CODE[ord(c)]) if ord(c) < 0x250 else 59
+    return _CODES[ord(c)] if ord(c) < 0x250 else 59
 
 
 def codes(text: str) -> np.ndarray:
@@ -118,8 +121,24 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
     return out
 
 
-def restore(word: str, cost: np.ndarray) -> str:
-    """The likeliest reading of a disguised word (lower case)."""
+def single(word: str, cost: list[float]) -> str:
+    """``restore`` for letters alone and no run over two: whether one run is shortened bears on no other, as its neighbours' letters stay."""
+    out, at = [], 0
+    for m in TWICE.finditer(word):
+        i, x = m.start(), code(m[1])
+        before, after = code(word[i - 1]) if i else 0, code(word[i + 2]) if i + 2 < len(word) else 0
+        if cost[(before * N + x) * N + after] + PAIR < cost[(before * N + x) * N + x] + cost[(x * N + x) * N + after]:
+            out.append(word[at:i + 1])
+            at = i + 2
+    return "".join(out) + word[at:]
+
+
+def restore(word: str, cost: np.ndarray | list[float]) -> str:
+    """The likeliest reading of a disguised word (lower case); ``cost`` as an array or, for many words, as its flat list."""
+    if isinstance(cost, np.ndarray):
+        cost = cost.ravel().tolist()
+    if word.isalpha() and not THRICE.search(word):
+        return single(word, cost)
     place = [dict() for _ in range(len(word) + 1)]
     place[0][0, 0] = (0.0, None, "")
     for i, arcs in enumerate(lattice(word)):
@@ -128,14 +147,14 @@ def restore(word: str, cost: np.ndarray) -> str:
                 (a, b), total = state, so_far + channel
                 for x in letters:
                     k = code(x)
-                    total += cost[a, b, k]
+                    total += cost[(a * N + b) * N + k]
                     a, b = b, k
                 if (a, b) not in place[j] or total < place[j][a, b][0]:
                     place[j][a, b] = (total, (i, state), letters)
     ends = place[-1]
     if not ends:
         return word
-    state = min(ends, key=lambda s: ends[s][0] + cost[s[0], s[1], 0])
+    state = min(ends, key=lambda s: ends[s][0] + cost[(s[0] * N + s[1]) * N])
     at, out = len(word), []
     while at or state != (0, 0):
         _, back, letters = place[at][state]
@@ -162,41 +181,59 @@ def spelled(tokens: list[str]):
 
 
 class Reader:
-    """Words of a text as restored; remembers what it has decoded."""
+    """Features of a text as restored, all or the ``wanted`` ones; remembers what each token gives."""
 
-    def __init__(self, cost: np.ndarray):
-        self.cost, self.memo = cost, {}
+    def __init__(self, cost: np.ndarray, wanted=None):
+        self.cost, self.wanted = cost.ravel().tolist(), None if wanted is None else frozenset(wanted)
+        self.heads = frozenset(f[:-1] for f in wanted or () if f.endswith("…"))
+        self.memo, self.barren, self.singles = {}, set(), set()  # tokens with features, without, of a single character
 
     def words(self, token: str) -> tuple[str, ...]:
-        if (known := self.memo.get(token)) is None:
-            bare, held = token.lstrip(LEFT).rstrip(RIGHT), token.lstrip(LEFT).rstrip(RIGHT_PLAIN)
-            if DISGUISED.search(bare):  # a digit inside may be meant as it stands: h2o, utf8mb4
-                plain = WORDS.findall(bare) if MIXED.search(bare) else ()
-                known = tuple(dict.fromkeys((*WORDS.findall(restore(bare, self.cost)), *plain)))
-            else:
-                known = tuple(WORDS.findall(bare))
-            if DOUBTFUL.search(held):
-                known = tuple(dict.fromkeys((*known, *WORDS.findall(restore(held, self.cost)))))
-            if len(token) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[token] = known
+        held = token if token.isalpha() else token.lstrip(LEFT).rstrip(RIGHT_PLAIN)
+        if held.isalpha() and not TWICE.search(held):
+            return (held,)
+        bare = held.rstrip(RIGHT)
+        if DISGUISED.search(bare):  # a digit inside may be meant as it stands: h2o, utf8mb4
+            plain = WORDS.findall(bare) if MIXED.search(bare) else ()
+            known = tuple(dict.fromkeys((*WORDS.findall(restore(bare, self.cost)), *plain)))
+        else:
+            known = tuple(WORDS.findall(bare))
+        if DOUBTFUL.search(held):
+            known = tuple(dict.fromkeys((*known, *WORDS.findall(restore(held, self.cost)))))
         return known
 
+    def learn(self, token: str) -> tuple[str, ...]:
+        given, all_ = [], self.wanted is None
+        for w in self.words(token):
+            if len(w) >= 3:
+                if all_ or w in self.wanted:
+                    given.append(w)
+                if len(w) > 4:
+                    if all_ or w[:4] in self.heads:
+                        given.append(w[:4] + "…")
+                    if all_ or w[:5] in self.heads:
+                        given.append(w[:5] + "…")
+        if len(token) <= 64:
+            if given:
+                self.memo[token] = tuple(given)
+            else:
+                self.barren.add(token)
+        if len(token) == 1 or not token.isalpha() and len(token.strip(LEFT)) == 1:
+            self.singles.add(token)
+        return tuple(given)
+
     def features(self, text: str) -> set[str]:
-        text = text.lower()
+        if len(self.memo) + len(self.barren) + len(self.singles) >= MEMO:  # between texts: a text's own tokens are all known below
+            self.memo.clear(), self.barren.clear(), self.singles.clear()
         found: set[str] = set()
-        tokens = text.split()
-        for token in set(tokens):
-            for w in self.words(token):
-                if len(w) >= 3:
-                    found.add(w)
-                    if len(w) > 4:
-                        found.add(w[:4] + "…")
-                        found.add(w[:5] + "…")
-        for run in spelled(tokens):
-            found.update(WORDS.findall(restore(run, self.cost)))
-        return found
+        tokens = text.lower().split()
+        for token in set(tokens) - self.barren:
+            known = self.memo.get(token)
+            found.update(self.learn(token) if known is None else known)
+        if b"\1" * SPELLED in bytes(map(self.singles.__contains__, tokens)):
+            for run in spelled(tokens):
+                found.update(WORDS.findall(restore(run, self.cost)))
+        return found if self.wanted is None else found & self.wanted
 
 
 class ToxicityModel:
@@ -209,8 +246,8 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         if self._reader is None:
-            self._reader = Reader(self.cost)
-        known = self.weights.keys() & self._reader.features(text or "")
+            self._reader = Reader(self.cost, self.weights)
+        known = self._reader.features(text or "")
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[k] for k in sorted(known)), -30, 30))))
 
 
@@ -261,9 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = F
     index = {k: i for i, k in enumerate(best)}
 
     def pick(batches):
-        reader = Reader(cost)
+        reader = Reader(cost, index)
         for b in batches:
-            yield pd.DataFrame({"y": b.y, "has": [sorted(index[k] for k in index.keys() & reader.features(t or "")) for t in b.text]})
+            yield pd.DataFrame({"y": b.y, "has": [sorted(index[k] for k in reader.features(t or "")) for t in b.text]})
 
     rows = seen.mapInPandas(pick, "y int, has array<int>").toPandas()
     rows = rows.assign(key=[tuple(h) for h in rows.has]).sort_values(["key", "y"])

@@ -107,3 +107,45 @@ def test_fit_equals_plain_python():
             m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.999 * v[j] + 0.001 * g[j] ** 2
             w[j] -= 0.1 * (m[j] / (1 - 0.9 ** k)) / (math.sqrt(v[j] / (1 - 0.999 ** k)) + 1e-8)
     assert got == pytest.approx(w, abs=1e-3)
+
+
+def test_doubled_letters_need_no_lattice(cost, monkeypatch):
+    """Each doubled letter of a plain word is decided by itself: the same reading as the best of all paths, without one."""
+    def every(word, i=0):
+        if i == len(word):
+            yield "", 0.0
+            return
+        for j, letters, c in lattice(word)[i]:
+            for rest, more in every(word, j):
+                yield letters + rest, c + more
+
+    def price(s, channel):
+        k = [0, 0, *map(t.code, s), 0]
+        return channel + sum(float(cost[a, b, c]) for a, b, c in zip(k, k[1:], k[2:]))
+
+    lattice = t.lattice
+    monkeypatch.setattr(t, "lattice", lambda word: pytest.fail(f"lattice of {word}"))
+    r = np.random.default_rng(3)
+    words = ["tt", "aab", "baa", "eessnn", "ssееtt", "ññ", *("".join(c * int(r.integers(1, 3)) for c in r.choice(list("aeimnorst"), 5)) for _ in range(60))]
+    shorter = 0
+    for word in words:
+        if t.THRICE.search(word):
+            continue
+        got = t.restore(word, cost)
+        assert min(price(s, c) for s, c in every(word) if s == got) == pytest.approx(min(price(s, c) for s, c in every(word)), abs=1e-4)
+        shorter += got != word
+    assert shorter > 5
+    assert {"stupid", "stuupid", "tree"} <= t.Reader(cost).features('so "stuupid, tree.')
+
+
+def test_wanted_features_are_those_of_all(cost, monkeypatch):
+    words = "m0r0n i d i o t. idiooooot stuupid tra$ d.i.e h2o tree loser, losers worthless a I the book! \"s c u m\" n°5 ___ ".split(" ")
+    r = np.random.default_rng(4)
+    texts = ["", " ".join(words), *(" ".join(r.choice(words, 12)) for _ in range(30)), "." * 70 + "a b c " + "x" * 70]
+    full = [t.Reader(cost).features(x) for x in texts]
+    wanted = sorted(set().union(*full))[::2]
+    for memo in (t.MEMO, 4):
+        monkeypatch.setattr(t, "MEMO", memo)
+        some, all_ = t.Reader(cost, wanted), t.Reader(cost)
+        for x, f in [*zip(texts, full)] * 2:
+            assert all_.features(x) == f and some.features(x) == f & set(wanted)
